@@ -25,7 +25,9 @@ from .common import chunks, offsets, ranges
 
 #: Known words are forgotten beyond this many, so a worker's memory stays bounded.
 WORDS_KEPT = 500_000
-FAR = np.int64(1 << 40)
+#: Masks for the first n of eight bytes.
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+FAR = np.int32(1 << 30)
 
 
 def byte_letters() -> dict[str, int]:
@@ -35,6 +37,45 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Lookup:
+    """An open-addressed table from whole numbers to whole numbers, read for many keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.mask = size - 1
+        self.keys, self.values = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.keys[at[put]], self.values[at[put]] = keys[left[put]], values[left[put]]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, at = left[rest], (at[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        shape, keys = keys.shape, keys.ravel()
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & self.mask
+            found = self.keys[at]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.values[at[hit]]
+            more = ~hit & (found >= 0)
+            open_, at = open_[more], at[more]
+        return out.reshape(shape)
+
+
 @dataclass
 class Vocabulary:
     """Arrays made from a tokenizer's JSON, small enough to be broadcast."""
@@ -42,13 +83,11 @@ class Vocabulary:
     token_bytes: np.ndarray  # all tokens' bytes
     token_at: np.ndarray  # where each token's bytes begin, and the end
     merged: np.ndarray  # rank -> id
-    trie_keys: np.ndarray  # node * 256 + byte, sorted
-    trie_next: np.ndarray
+    trie: Lookup  # node * 256 + byte -> node
     trie_token: np.ndarray  # node -> id or -1
     spine_left: tuple[np.ndarray, np.ndarray]  # ids on the left border of a token's tree, and the rank that ends each
     spine_right: tuple[np.ndarray, np.ndarray]
-    pair_keys: np.ndarray
-    pair_ranks: np.ndarray
+    pairs: Lookup  # left id * size + right id -> rank
     specials: dict[str, int]
     byte_ids: np.ndarray
 
@@ -77,12 +116,11 @@ class Vocabulary:
         for letter, b in letters.items():
             byte_ids[b] = vocab[letter]
         keys = np.array([a * size + b for a, b in ranks], np.int64)
-        order = np.argsort(keys)
         none = np.zeros(0, np.int64)
         out = cls(
             token_bytes=np.frombuffer(b"".join(raw), np.uint8), token_at=offsets([len(x) for x in raw]), merged=merged,
-            trie_keys=none, trie_next=none, trie_token=none, spine_left=cls._spines(size, pairs, made, 0), spine_right=cls._spines(size, pairs, made, 1),
-            pair_keys=keys[order], pair_ranks=np.array(list(ranks.values()), np.int64)[order], specials=specials, byte_ids=byte_ids,
+            trie=Lookup(none, none), trie_token=none, spine_left=cls._spines(size, pairs, made, 0), spine_right=cls._spines(size, pairs, made, 1),
+            pairs=Lookup(keys, np.array(list(ranks.values()), np.int64)), specials=specials, byte_ids=byte_ids,
         )
         # only tokens that their own bytes lead to may be proposed
         listed = sorted(set(vocab.values()))
@@ -98,8 +136,7 @@ class Vocabulary:
                     ends.append(-1)
                 node = nodes[key]
             ends[node] = i
-        out.trie_keys = np.array(sorted(nodes), np.int64)
-        out.trie_next = np.array([nodes[k] for k in out.trie_keys.tolist()], np.int64)
+        out.trie = Lookup(np.array(list(nodes), np.int64), np.array(list(nodes.values()), np.int64))
         out.trie_token = np.array(ends, np.int64)
         return out
 
@@ -129,7 +166,7 @@ class Vocabulary:
         start = 0
         while start < len(order):
             stop = start + 1
-            while stop < len(order) and (stop + 1 - start) * len(words[order[stop]]) <= 1 << 20:
+            while stop < len(order) and (stop + 1 - start) * len(words[order[stop]]) <= 1 << 17:
                 stop += 1
             group = order[start:stop]
             for k, ids in zip(group, self._merge_group([words[k] for k in group]), strict=True):
@@ -139,18 +176,17 @@ class Vocabulary:
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair of ids, FAR where there is none or an id is missing."""
-        key = left * (len(self.token_at) - 1) + right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], FAR)
+        rank = self.pairs.get(left.astype(np.int64) * (len(self.token_at) - 1) + right)
+        return np.where((rank >= 0) & (left >= 0) & (right >= 0), rank, FAR)
 
     def _merge_group(self, words: Sequence[bytes]) -> list[list[int]]:
         wide = max(map(len, words))
         if not wide:
             return [[] for _ in words]
-        ids = np.full((len(words), wide + 1), -1, np.int64)
+        ids = np.full((len(words), wide + 1), -1, np.int32)
         for k, word in enumerate(words):
             ids[k, : len(word)] = self.byte_ids[np.frombuffer(word, np.uint8)]
-        rank = np.full(ids.shape, FAR, np.int64)
+        rank = np.full(ids.shape, FAR, np.int32)
         rank[:, :-1] = self._rank(ids[:, :-1], ids[:, 1:])
         live = np.arange(len(words))
         column = np.arange(wide + 1)
@@ -201,10 +237,8 @@ class Vocabulary:
         node = np.zeros(len(data), np.int64)
         deep = 0
         while len(at):
-            key = node << 8 | data[at + deep]
-            k = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
-            found = self.trie_keys[k] == key
-            at, node = at[found], self.trie_next[k[found]]
+            node = self.trie.get(node << 8 | data[at + deep]).astype(np.int64)
+            at, node = at[node >= 0], node[node >= 0]
             deep += 1
             token = self.trie_token[node]
             hit = token >= 0
@@ -258,11 +292,9 @@ class Vocabulary:
     def _longest(self, data: np.ndarray) -> tuple[int, int]:
         node, best = 0, (-1, 1)
         for deep, b in enumerate(data.tolist(), 1):
-            key = node << 8 | b
-            k = int(np.searchsorted(self.trie_keys, key))
-            if k >= len(self.trie_keys) or self.trie_keys[k] != key:
+            node = int(self.trie.get(np.array([node << 8 | b]))[0])
+            if node < 0:
                 break
-            node = int(self.trie_next[k])
             if self.trie_token[node] >= 0:
                 best = int(self.trie_token[node]), deep
         return best
@@ -327,23 +359,16 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self._forget()
-        n = 1 << 16
-        self._powers(n)
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        size = 1 << 21
+        self.table = [np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.uint8), np.full(size, -1, np.int32)]
+        self.long: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
 
-    def _powers(self, n: int) -> None:
-        base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-        self.power, self.inverse = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
-        self.power[1:], self.inverse[1:] = base, inverse
-        np.cumprod(self.power, out=self.power)
-        np.cumprod(self.inverse, out=self.inverse)
-
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and each text's count."""
         special = next(iter(self.vocabulary.specials.items()), None)
@@ -382,51 +407,70 @@ class Encoder:
             at = lead[starts]
             text_of = np.concatenate([lead, [len(data)]])[offsets(lengths)]
         ends = np.concatenate([at[1:], [len(data)]])
-        word = self._words(raw, data, at, ends)
+        word = self._words(raw, at, ends)
         sizes = self.size[word]
         ids = self.flat[ranges(self.at[word], sizes)]
         total = offsets(sizes)
         counts = np.diff(total[np.searchsorted(at, text_of)])
         return ids, counts
 
-    def _words(self, raw: bytes, data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The number under which each word is known; new words are encoded together."""
-        if len(data) >= len(self.power):
-            self._powers(len(data) * 5 // 4)
-        if len(self.known) > WORDS_KEPT:
+    def _words(self, raw: bytes, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number under which each word is known; new words are encoded together.
+
+        Words of up to 16 bytes are found by these bytes themselves, longer ones in a dictionary.
+        """
+        if len(self.at) > WORDS_KEPT:
             self._forget()
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)], out=sums[1:])
         size = ends - at
-        hashed = (sums[ends] - sums[at]) * self.inverse[at] ^ (size.astype(np.uint64) << np.uint64(56))
-        _, rep, back = np.unique(hashed, return_index=True, return_inverse=True)
-        # equal hashes of long words are checked byte by byte; words that differ stand for themselves
-        wrong = np.flatnonzero(size != size[rep][back])
-        long = np.flatnonzero(size > 16)
-        if len(long) and not len(wrong):
-            n = size[long]
-            unlike = data[ranges(at[long], n)] != data[ranges(at[rep[back[long]]], n)]
-            if unlike.any():
-                wrong = long[np.add.reduceat(unlike, offsets(n)[:-1]) > 0]
-        if len(wrong):
-            back = back.copy()
-            back[wrong] = len(rep) + np.arange(len(wrong))
-            rep = np.concatenate([rep, wrong])
-        words = [raw[a:b] for a, b in zip(at[rep].tolist(), ends[rep].tolist(), strict=True)]
-        known = self.known
-        new = list({w: None for w in words if w not in known})
-        if new:
-            found = self.vocabulary.encode_words(new)
-            sizes = np.array([len(x) for x in found], np.int64)
-            known.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.at = np.concatenate([self.at, self.used + offsets(sizes)[:-1]])
-            self.size = np.concatenate([self.size, sizes])
-            flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
-            if self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.uint32)])
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))[back]
+        eights = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(16), strides=(1,))
+        low = eights[at] & KEEP[np.minimum(size, 8)]
+        high = eights[np.minimum(at + 8, len(raw))] & KEEP[np.clip(size - 8, 0, 8)]
+        slot = ((low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F) ^ size.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(43)).astype(np.int64)
+        short = size <= 16
+        out = np.full(len(at), -1, np.int64)
+        lows, highs, sizes, numbers = self.table
+        left = np.flatnonzero(short)
+        k = slot[left]
+        while len(left):
+            number = numbers[k]
+            hit = (lows[k] == low[left]) & (highs[k] == high[left]) & (sizes[k] == size[left]) & (number >= 0)
+            out[left[hit]] = number[hit]
+            more = ~hit & (number >= 0)
+            left, k = left[more], (k[more] + 1) & (len(lows) - 1)
+        for j in np.flatnonzero(~short).tolist():
+            out[j] = self.long.get(raw[at[j] : ends[j]], -1)
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out
+        words = [raw[a:b] for a, b in zip(at[missing].tolist(), ends[missing].tolist(), strict=True)]
+        number = {}
+        one = []
+        for j, word in zip(missing.tolist(), words, strict=True):
+            if word not in number:
+                number[word] = len(self.at) + len(one)
+                one.append(j)
+        found = self.vocabulary.encode_words(list(number))
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts.sum()))
+        out[missing] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        new = np.array(one, np.int64)
+        self.long.update((raw[at[j] : ends[j]], int(out[j])) for j in new[~short[new]].tolist())
+        left = new[short[new]]
+        k = slot[left]
+        while len(left):
+            free = np.flatnonzero(numbers[k] < 0)
+            put = free[np.unique(k[free], return_index=True)[1]]
+            lows[k[put]], highs[k[put]], sizes[k[put]], numbers[k[put]] = low[left[put]], high[left[put]], size[left[put]], out[left[put]]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, k = left[rest], (k[rest] + 1) & (len(lows) - 1)
+        self.at = np.concatenate([self.at, self.used + offsets(counts)[:-1]])
+        self.size = np.concatenate([self.size, counts])
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.uint32)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return out
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Each text that runs of ids stand for; bytes that are no UTF-8 become U+FFFD."""

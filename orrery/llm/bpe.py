@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import ClassVar
@@ -346,18 +346,19 @@ def word_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes whole texts, and remembers the words it has met."""
 
-    held: ClassVar[dict[str, Encoder]] = {}
+    held: ClassVar[dict[tuple, Encoder]] = {}
 
     @classmethod
-    def of(cls, key: str, shared) -> Encoder:
-        """The worker's encoder of a broadcast vocabulary, which outlives a task."""
-        if key not in cls.held:
+    def of(cls, key: str, shared, words: Callable | None = None) -> Encoder:
+        """The worker's encoder of a broadcast vocabulary, which outlives a task. words: makes another encoder of words."""
+        if (key, words) not in cls.held:
             cls.held.clear()
-            cls.held[key] = cls(shared.value)
-        return cls.held[key]
+            cls.held[key, words] = cls(shared.value, words and words(shared.value))
+        return cls.held[key, words]
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, encode_words: Callable | None = None):
         self.vocabulary = vocabulary
+        self.encode_words = encode_words or vocabulary.encode_words
         self._forget()
 
     def _forget(self) -> None:
@@ -449,7 +450,7 @@ class Encoder:
             if word not in number:
                 number[word] = len(self.at) + len(one)
                 one.append(j)
-        found = self.vocabulary.encode_words(list(number))
+        found = self.encode_words(list(number))
         counts = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts.sum()))
         out[missing] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, media, packing
 from .common import table
 
 
@@ -18,5 +18,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op8_bpe": op8_bpe}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, window=2048)
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.to_media(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op5_packing": op5_packing, "op8_bpe": op8_bpe, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, packing
-from .common import table
+from . import bpe, language_id, media, packing, topk, toxicity, url_filters
+from .common import held_out, table
 
 
 def tokenizer_path() -> str:
@@ -26,5 +27,36 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op5_packing": op5_packing, "op8_bpe": op8_bpe, "op10_media": op10_media}
-ORACLE_SQL: dict[str, str] = {}
+#: (host, path, verdict)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    return toxicity.score_documents(docs, lexicon).withColumn("held_out", held_out("doc_id"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs, ~held_out("doc_id"))).withColumn("held_out", held_out("doc_id"))
+
+
+QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op4_toxicity": op4_toxicity,
+    "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
+    "op8_bpe": op8_bpe,
+    "op9_topk": op9_topk,
+    "op10_media": op10_media,
+}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.oracle(URL_RULES), "op9_topk": topk.ORACLE}

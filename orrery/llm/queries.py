@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, media, packing, topk, toxicity, url_filters
+from . import bpe, html_extract, language_id, media, packing, topk, toxicity, url_filters
 from .common import held_out, table
 
 
@@ -50,11 +50,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs, ~held_out("doc_id"))).withColumn("held_out", held_out("doc_id"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
+    "op7_html_extract": op7_html_extract,
     "op8_bpe": op8_bpe,
     "op9_topk": op9_topk,
     "op10_media": op10_media,

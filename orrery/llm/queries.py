@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, language_id, media, minhash, packing, topk, toxicity, url_filters
+from . import bpe, html_extract, language_id, media, minhash, packing, suffix_dedup, topk, toxicity, url_filters
 from .common import held_out, table
 
 
@@ -39,6 +39,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=200)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, similarity=80)
 
@@ -60,6 +64,7 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_minhash": op3_minhash,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,

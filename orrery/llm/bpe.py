@@ -512,8 +512,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
             at = offsets(counts).tolist()
             yield pd.DataFrame({"id": rows["id"].to_numpy(), "ids": [ids[a:b].astype(np.int32) for a, b in zip(at, at[1:], strict=False)], "decoded": enc.decode(ids, counts)})
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return narrow.mapInPandas(run, "id string, ids array<int>, decoded string").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -531,5 +531,5 @@ def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                 "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in enc.decode(ids, counts)],
             })
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return narrow.mapInPandas(run, "id string, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)

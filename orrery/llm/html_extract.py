@@ -222,5 +222,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(x) for x in batch["html"]]
             yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    narrow = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return narrow.mapInPandas(run, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
+    narrow = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    return narrow.mapInPandas(run, "id string, url string, text string, n_chars long").withColumn("id", F.col("id").cast("long")).withColumnsRenamed({"id": id_col, "url": url_col})

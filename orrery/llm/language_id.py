@@ -166,5 +166,5 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                 start = stop
             yield pd.DataFrame({"id": batch["id"], "lang_pred": lang, "score": score})
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return narrow.mapInPandas(run, "id string, lang_pred string, score double").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)

@@ -126,8 +126,8 @@ def signed_documents(docs: DataFrame, size: int, bands: int, rows: int, id_col:
                     "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "buckets": list(found),
                 })
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, "id long, n long, key binary, buckets array<long>")
+    narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return narrow.mapInPandas(run, "id string, n long, key binary, buckets array<long>").withColumn("id", F.col("id").cast("long"))
 
 
 def alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: int) -> DataFrame:

@@ -24,7 +24,7 @@ from .common import chunks, offsets
 #: A sequence's identifier is its partition's number times this, plus its number in the partition.
 SEQUENCES_IN_PARTITION = 1 << 32
 
-SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def library_words(vocabulary: Vocabulary):
@@ -134,5 +134,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
             sequence += times
         yield left.assign(sequence_id=where, offset=place)
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, SCHEMA).withColumnRenamed("id", id_col)
+    narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return narrow.mapInPandas(run, SCHEMA).withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)

@@ -252,14 +252,17 @@ def merge_lists(group: pd.DataFrame, window: int) -> pd.DataFrame:
     return pd.DataFrame({"k1": found[:, 0], "k2": found[:, 1], "low": found[:, 2], "high": found[:, 2] + window})
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and kept (binary) where keep_text is set.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row; kept (binary) where keep_text is set, and the columns to carry.
 
     A text is its UTF-8 bytes, a null one is empty. Each byte covered by a string of `window` bytes that starts
     anywhere else too, in the same or another row, is removed; so repeated rows remove each other. Strings are judged
     on the input. Rows of a null id are treated like any other. An empty table gives an empty result.
     """
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    types = {c: t for c, t in docs.dtypes if c in {id_col, *carry}}
+    extra = [f"x{j}" for j in range(len(carry))]
+    # ids and carried values pass through as text, so that nulls don't turn them into floating-point numbers
+    keyed = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).cast("string").alias(x) for c, x in zip(carry, extra, strict=True)))
     keyed = keyed.withColumn("k1", F.coalesce(F.col("id").cast("long"), F.lit(-1))).withColumn("k2", F.xxhash64("text"))
 
     def find_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,9 +285,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, id
         for batch in batches:
             raw = [t.encode() for t in batch["text"]]
             done = batch["runs"].isna().to_numpy()
-            yield pd.DataFrame({"id": batch["id"], "k1": batch["k1"], "k2": batch["k2"], "n_bytes": [len(r) for r in raw], "whole": [hashlib.sha256(r).hexdigest() if d else None for r, d in zip(raw, done, strict=True)], "raw": [None if d and not keep_text else r for r, d in zip(raw, done, strict=True)], "runs": batch["runs"]})
+            yield pd.DataFrame({"id": batch["id"], **{x: batch[x] for x in extra}, "k1": batch["k1"], "k2": batch["k2"], "n_bytes": [len(r) for r in raw], "whole": [hashlib.sha256(r).hexdigest() if d else None for r, d in zip(raw, done, strict=True)], "raw": [None if d and not keep_text else r for r, d in zip(raw, done, strict=True)], "runs": batch["runs"]})
 
-    shape = "id long, k1 long, k2 long, n_bytes long, whole string, raw binary, runs array<struct<v: long, parts: int, s1: int, m: int>>"
+    also = "".join(f"{x} string, " for x in extra)
+    shape = f"id string, {also}k1 long, k2 long, n_bytes long, whole string, raw binary, runs array<struct<v: long, parts: int, s1: int, m: int>>"
     rows = stored(keyed.join(lists, KEY, "left").mapInPandas(split, shape))
     parts = rows.filter("whole is null").select(*KEY, "raw", F.explode("runs").alias("r"))
     parts = parts.select(F.col("r.v").alias("v"), F.pmod(F.xxhash64(*KEY, "r.s1"), F.col("r.parts")).cast("int").alias("part"), F.col("r.parts").alias("parts"), *KEY, F.col("r.s1").alias("s1"), F.substring("raw", F.col("r.s1") + 1, F.col("r.m") + window - 1).alias("text"))
@@ -308,10 +312,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, id
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 out.append((n, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum()), hashlib.sha256(kept).hexdigest(), kept))
             made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            made.insert(0, "id", batch["id"].to_numpy())
+            for x in ["id", *extra]:
+                made[x] = batch[x].to_numpy()
             yield made if keep_text else made.drop(columns="kept")
 
-    columns = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    done = rows.filter("whole is not null").select("id", "n_bytes", "whole", "raw").withColumn("covered", F.lit(None).cast("array<struct<low: long, high: long>>"))
-    cut = rows.filter("whole is null").join(covered, KEY, "left").select("id", "n_bytes", "whole", "raw", "covered")
-    return done.unionByName(cut).mapInPandas(finish, columns).withColumnRenamed("id", id_col)
+    columns = f"id string, {also}n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    done = rows.filter("whole is not null").select("id", *extra, "n_bytes", "whole", "raw").withColumn("covered", F.lit(None).cast("array<struct<low: long, high: long>>"))
+    cut = rows.filter("whole is null").join(covered, KEY, "left").select("id", *extra, "n_bytes", "whole", "raw", "covered")
+    out = done.unionByName(cut).mapInPandas(finish, columns)
+    figures = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+    return out.select(F.col("id").cast(types[id_col]).alias(id_col), *(F.col(x).cast(types[c]).alias(c) for c, x in zip(carry, extra, strict=True)), *figures)

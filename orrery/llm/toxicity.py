@@ -198,5 +198,5 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, i
                 score.append(1 / (1 + math.exp(-z)))
             yield pd.DataFrame({"id": batch["id"], "score": score, "predicted": [int(s >= threshold) for s in score], "n_hits": count})
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, "id long, score double, predicted int, n_hits int").withColumnRenamed("id", id_col)
+    narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return narrow.mapInPandas(run, "id string, score double, predicted int, n_hits int").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)

@@ -1,8 +1,76 @@
-"""Cleaning of a text corpus in stages, each a table written and read again."""
+"""Cleaning of a text corpus in stages, each a table written and read again.
 
-STAGES: list = []
+Every stage takes the documents that the one before has kept, with all their columns, and does its whole work on them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.llm import language_id, minhash, packing, suffix_dedup, toxicity
+from orrery.llm.common import held_out, stored, table
+from orrery.llm.queries import tokenizer_path
+
+#: A document is rejected if its language is unknown or less sure than this, and if it is toxic at least so surely.
+SURE, TOXIC = 0.5, 0.7
+
+
+def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is among some distinct ids, with all their columns; rows of a null id always stay."""
+    return docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised. Text and lang of the learning fold train the network."""
+    network = language_id.fit(docs, ~held_out("doc_id"))
+    found = language_id.identify(docs, network).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= SURE))
+    return chosen(docs, found.select("doc_id").distinct())
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon doesn't find toxic. Labels of the learning fold train it."""
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    found = toxicity.score_documents(docs, lexicon, TOXIC).filter("predicted = 0")
+    return chosen(docs, found.select("doc_id").distinct())
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near-duplicates; of repeated rows of one id, one."""
+    found = minhash.near_duplicates(docs, size=5, similarity=80).filter("kept").select("doc_id").distinct()
+    return docs.filter("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that a repeated string of 200 covers; characters that a cut tears apart go too."""
+    carry = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = suffix_dedup.remove_repeats(docs, keep_text=True, carry=carry)
+
+    def decoded(batches):
+        for batch in batches:
+            yield batch.assign(text=[bytes(x).decode("utf-8", "ignore") for x in batch["kept"]]).drop(columns="kept")
+
+    narrow = cut.select(F.col("doc_id").cast("string").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in carry), "kept")
+    text = narrow.mapInPandas(decoded, ", ".join(f"`{c}` string" for c in ["doc_id", *carry, "text"]))
+    out = text.withColumn("n_chars", F.length("text"))
+    return out.select(*(F.col(c).cast(t).alias(c) for c, t in docs.dtypes))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens and their places in sequences."""
+    return packing.pack_documents(docs, tokenizer_path(), end_id=1, window=2048)
+
+
+STAGES = [("language_id", known_language), ("toxicity", not_toxic), ("minhash", one_of_each), ("suffix_dedup", without_repeats), ("packing", packed)]
+
+#: No stage but the last can be told in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
+    return docs

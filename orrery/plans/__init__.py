@@ -1,4 +1,6 @@
 """Queries over the given tables, each with the SQL it is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import fields, motion, spatial
+
+QUERIES = {**spatial.QUERIES, **motion.QUERIES, **fields.QUERIES}
+ORACLE_SQL = {**spatial.ORACLE_SQL, **motion.ORACLE_SQL, **fields.ORACLE_SQL}

@@ -81,7 +81,7 @@ def archive_plan(files: DataFrame, limit: int, big: int) -> DataFrame:
 def size_in_bytes(text: Column) -> Column:
     """10M, 1.5G, 7K or 12 as bytes; null for anything else."""
     number = F.try_to_number(F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)", 1), F.lit("999999999999999.999")).cast("double")
-    unit = F.upper(F.regexp_extract(text, r"([KMGT]?)[Bb]?\s*$", 1))
+    unit = F.upper(F.regexp_extract(text, r"([KMGTkmgt]?)[Bb]?\s*$", 1))
     power = F.when(unit == "K", 1).when(unit == "M", 2).when(unit == "G", 3).when(unit == "T", 4).otherwise(0)
     return F.when(text.rlike(r"^\s*[0-9]+(\.[0-9]+)?\s*[KMGTkmgt]?[Bb]?\s*$"), (number * F.pow(F.lit(1024.0), power)).cast("long"))
 
@@ -104,13 +104,13 @@ def audit(submissions: DataFrame, results: DataFrame, texts: DataFrame, key: str
 
 
 def evidence(docs: DataFrame, keywords: DataFrame, around: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, requirement, word, at, snippet): the first place of each keyword in each text, without regard to case.
+    """(id, requirement, word, place, snippet): the first place of each keyword in each text, without regard to case.
 
     keywords: (requirement, word), a small table that is broadcast by its size.
     """
-    met = docs.select(id_col, text_col).crossJoin(keywords).withColumn("at", F.expr(f"locate(lower(word), lower({text_col}))"))
-    start = F.greatest(F.col("at") - around, F.lit(1))
-    return met.filter("at > 0").select(id_col, "requirement", "word", "at", F.substring(F.col(text_col), start, F.col("at") - start + F.length("word") + around).alias("snippet"))
+    met = docs.select(id_col, text_col).crossJoin(keywords).withColumn("place", F.expr(f"locate(lower(word), lower({text_col}))"))
+    start = F.greatest(F.col("place") - around, F.lit(1))
+    return met.filter("place > 0").select(id_col, "requirement", "word", "place", F.substring(F.col(text_col), start, F.col("place") - start + F.length("word") + around).alias("snippet"))
 
 
 def tolerant_json(text: Column) -> Column:
@@ -122,7 +122,7 @@ def tolerant_json(text: Column) -> Column:
 def requirements(text: Column) -> Column:
     """Requirement list of either shape, bare or under a key, as an array of (id, type, description)."""
     row = "array<struct<id: string, type: string, description: string>>"
-    return F.coalesce(F.from_json(text, row), F.from_json(text, f"requirements {row}")["requirements"])
+    return F.when(F.ltrim(text).startswith("["), F.from_json(text, row)).otherwise(F.from_json(text, f"requirements {row}")["requirements"])
 
 
 def severity(exit_code: Column, message: Column) -> Column:

@@ -1,0 +1 @@
+"""Readers and writers of trajectory, structure, log and series text."""

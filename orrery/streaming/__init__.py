@@ -1,0 +1 @@
+"""Incremental forms of the batch operators, by Structured Streaming."""

@@ -1,6 +1,6 @@
 """Queries over the given tables, each with the SQL it is held against."""
 
-from . import fields, motion, records, spatial
+from . import fields, files, motion, records, spatial
 
-QUERIES = {**spatial.QUERIES, **motion.QUERIES, **fields.QUERIES, **records.QUERIES}
-ORACLE_SQL = {**spatial.ORACLE_SQL, **motion.ORACLE_SQL, **fields.ORACLE_SQL, **records.ORACLE_SQL}
+QUERIES = {**spatial.QUERIES, **motion.QUERIES, **fields.QUERIES, **records.QUERIES, **files.QUERIES}
+ORACLE_SQL = {**spatial.ORACLE_SQL, **motion.ORACLE_SQL, **fields.ORACLE_SQL, **records.ORACLE_SQL, **files.ORACLE_SQL}

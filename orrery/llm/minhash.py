@@ -3,9 +3,10 @@
 Documents of equal shingle sets are one node. A first permutation scatters a set's shingles over a ring; a second one,
 shifted around the ring by 0, 1, 2, ... places, gives all signature coordinates. Bands of coordinates put nodes into
 buckets. Links are then confirmed in rounds: each node is held against one head that it shares a bucket with, nodes
-found alike are joined to components, and only buckets that still hold several components go on; at last all pairs
-of different components in a bucket that sizes allow are held against each other. So a group of copies is confirmed by
-about as many comparisons as it has members, and no link between nodes that share a bucket is lost.
+found alike are joined to components, and only buckets that still hold several components go on. Then the signatures of
+all nodes of such a bucket are compared, in blocks: first each node is held against its likeliest partner of another
+component, at last all pairs of different components that may be alike are held against each other. So a group of copies is confirmed by about as many comparisons as it has members, and no link
+between nodes that share a bucket is lost.
 """
 
 from __future__ import annotations
@@ -21,11 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import chunks, offsets, stored
 
-#: Two sets of similarity 0.8 miss all of 72 bands of 7 with a probability of 4e-8.
-BANDS, ROWS = 72, 7
+#: Two sets of similarity 0.8 miss all of 40 bands of 5 with a probability of 1.2e-7.
+BANDS, ROWS = 40, 5
 RING = 1 << 16
-#: Rounds of one head for each node before all remaining pairs are compared; nodes that one task compares with a head.
-ROUNDS, TOGETHER = 3, 200
+#: Nodes of a bucket are compared by the lowest bits of so many coordinates, in blocks of so many nodes; a pair goes on if
+#: its estimate is at most so many standard errors below the similarity asked for.
+BITS, BLOCK, ERRORS = 2048, 256, 5.3
+#: Rounds of one head for each node, and of its likeliest partner, before all remaining pairs are compared; nodes that one
+#: task compares with a head.
+ROUNDS, BEST, TOGETHER = 2, 2, 200
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,13 +101,23 @@ class Signer:
         self.bands, self.rows = bands, rows
         self.scatter = r.permutation(RING)
         ring = r.permutation(RING).astype(np.uint16)
-        self.shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([ring, ring[: bands * rows]]), bands * rows)
+        ring = np.concatenate([ring, ring])
+        self.shifted, self.wide = (np.lib.stride_tricks.sliding_window_view(ring, n) for n in (bands * rows, BITS))
         self.factors = r.integers(1, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salts = r.integers(0, 1 << 63, bands, dtype=np.uint64)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
+        return self._least(self.shifted, shingles, 1024)
+
+    def marks(self, shingles: np.ndarray) -> bytes:
+        """Short numbers of a set's buckets, and the lowest bits of more coordinates."""
+        own = self.buckets(self.signature(shingles)[None])[0].astype(np.uint32)
+        return own.tobytes() + np.packbits(self._least(self.wide, shingles, 128) & 1).tobytes()
+
+    def _least(self, windows: np.ndarray, shingles: np.ndarray, together: int) -> np.ndarray:
+        """A coordinate for each shift of the second permutation: neighbours on the ring, so a set's windows are just cut out."""
         at = np.unique(self.scatter[(shingles & np.uint64(RING - 1)).astype(np.int64)])
-        return reduce(np.minimum, [self.shifted[at[k : k + 1024]].min(0) for k in range(0, len(at), 1024)])
+        return reduce(np.minimum, [windows[at[k : k + together]].min(0) for k in range(0, len(at), together)])
 
     def buckets(self, signatures: np.ndarray) -> np.ndarray:
         """(sets, bands) bucket numbers."""
@@ -133,7 +148,7 @@ def signed_documents(docs: DataFrame, size: int, bands: int, rows: int, id_col:
 def alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: int) -> DataFrame:
     """Those (head, key) pairs whose sets have 100 * intersection >= similarity * union.
 
-    Texts move once: a head's members come behind it in sorted order. A head with many members is dealt to as many
+    A head's members come behind it in sorted order. A head with many members is dealt to as many
     tasks as needed, with its text beside each part.
     """
     counts = pairs.groupBy("head").agg(F.count("*").alias("members")).select("head", F.ceil(F.col("members") / TOGETHER).cast("int").alias("parts"))
@@ -161,7 +176,7 @@ def alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: int) -> Dat
                 if found:
                     yield pd.DataFrame(found, columns=["head", "key"])
 
-    return rows.select("head", "key", "member", "text").mapInPandas(run, "head binary, key binary")
+    return rows.select("head", "key", "member", "text").mapInPandas(run, "head long, key long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -183,55 +198,105 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def likely_pairs(placed: DataFrame, marks: DataFrame, similarity: int, bands: int, best: bool) -> DataFrame:
+    """(head, key) pairs of different components in one bucket whose signatures and sizes leave similarity possible; with
+    `best` only each node's likeliest of a pair of blocks.
+
+    placed: (bucket, size, key, n, component). A bucket's nodes are dealt to blocks of about BLOCK, and each pair of
+    blocks is one row of work, so neither a bucket nor its pairs are ever together in one place. A pair is taken in the
+    first band alone that both share.
+    """
+    rows = placed.join(marks, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).cast("int"))
+    columns = ("keys", "ns", "components", "marks")
+    blocks = rows.groupBy("bucket", "block").agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("ns"), F.collect_list("component").alias("components"), F.collect_list("marks").alias("marks"))
+    other = blocks.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("block", *columns)))
+    met = blocks.join(other, "bucket").filter(F.col("block") <= F.col("block_2"))
+    share = (1 + similarity / 100) / 2  # of equal bits
+    least = share - ERRORS * (share * (1 - share) / BITS) ** 0.5
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                sides = [np.frombuffer(b"".join(m), np.uint8).reshape(len(m), -1) for m in (r.marks, r.marks_2)]
+                bucket = [np.ascontiguousarray(m[:, : 4 * bands]).view(np.uint32) for m in sides]
+                a, b = (np.ascontiguousarray(m[:, 4 * bands :]).view(np.uint64) for m in sides)
+                n, m = np.asarray(r.ns, np.int64), np.asarray(r.ns_2, np.int64)
+                c, d = np.asarray(r.components), np.asarray(r.components_2)
+                band = int(np.flatnonzero((bucket[0] == np.uint32(r.bucket & 0xFFFFFFFF)).all(0))[0])
+                equal = np.zeros((len(a), len(b)))
+                for k in range(len(a)):
+                    able = (d != c[k]) & (100 * np.minimum(m, n[k]) >= similarity * np.maximum(m, n[k]))
+                    if r.block == r.block_2:
+                        able[: k + 1] = False
+                    at = np.flatnonzero(able)
+                    if len(at):
+                        at = at[~(bucket[1][at, :band] == bucket[0][k, :band]).any(1)]
+                        equal[k, at] = 1 - np.bitwise_count(a[k] ^ b[at]).sum(1) / BITS
+                keep = equal >= least
+                if best:
+                    keep &= (equal >= equal.max(1, keepdims=True)) | (equal >= equal.max(0, keepdims=True))
+                out += [(r.keys[i], r.keys_2[j]) for i, j in zip(*(x.tolist() for x in np.nonzero(keep)), strict=True)]
+            if out:
+                found = np.array(out, np.int64)
+                yield pd.DataFrame({"head": found.min(1), "key": found.max(1)})
+
+    return met.mapInPandas(compare, "head long, key long").distinct()
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, best: int = BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
     component_id is the smallest id that a document can reach by links of 100 * intersection >= similarity * union.
     A null text and one without words has an empty set and is linked with nothing, as is a row of a null id, whose
-    component is null and which isn't kept. Repeated rows are linked with each other and share one id, so both are
-    kept or neither is. An empty table gives an empty result. Columns other than the two named are not read.
+    component is null and which isn't kept. Repeated rows share one id, so both are kept or neither is; rows of one id
+    and different texts stand for one document. An empty table gives an empty result. Columns other than the two named are not read.
     """
     signed = stored(signed_documents(docs, size, bands, rows, id_col, text_col))
     sets = signed.filter("id is not null and n > 0")
-    nodes = sets.groupBy("key").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("buckets").alias("buckets"))
+    # a node is called by its least id; 8 bytes a row keep the buckets' shuffle small
+    nodes = sets.groupBy("key").agg(F.min("id").alias("node"), F.min("n").cast("int").alias("n"), F.min("buckets").alias("buckets"))
     nodes = stored(nodes)
-    filed = nodes.select("key", "n", F.explode("buckets").alias("bucket")).withColumn("first", F.min("key").over(Window.partitionBy("bucket"))).withColumn("last", F.max("key").over(Window.partitionBy("bucket")))
-    filed = stored(filed.filter(F.col("first") != F.col("last")))  # buckets of one node say nothing
-    wanted = nodes.select("key", F.col("least").alias("id")).join(filed.select("key").distinct(), "key", "left_semi")
+    bucket = Window.partitionBy("bucket")
+    filed = nodes.select(F.col("node").alias("key"), "n", F.explode("buckets").alias("bucket")).withColumn("first", F.min("key").over(bucket)).withColumn("last", F.max("key").over(bucket))
+    filed = stored(filed.filter(F.col("first") != F.col("last")).select("key", "n", "bucket"))  # buckets of one node say nothing
+    wanted = nodes.select("key", F.col("node").alias("id")).join(filed.select(F.col("key").alias("id")).distinct(), "id", "left_semi")
 
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows whose text gives the set wanted; another row of the same id may not."""
+        """Rows whose text gives the set wanted (another row of the same id may not), with the set's marks."""
+        signer = Signer(bands, rows)
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in chunks(texts):
-                same = [xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(shingle_sets(texts[a:b], size), batch["key"].iloc[a:b], strict=True)]
-                yield batch[["key", "text"]].iloc[a:b][same]
+                part = batch.iloc[a:b]
+                sets = shingle_sets(texts[a:b], size)
+                same = [xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(sets, part["key"], strict=True)]
+                part = part[same]
+                yield pd.DataFrame({"key": part["id"], "text": part["text"], "marks": [signer.marks(s) for s, yes in zip(sets, same, strict=True) if yes]})
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(wanted, "id").mapInPandas(checked, "key binary, text string")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(wanted, "id").select("id", "key", "text").mapInPandas(checked, "key long, text string, marks binary")
     texts = stored(texts.dropDuplicates(["key"]))
-    labels = nodes.sparkSession.createDataFrame([], "node binary, component binary")
-    tested = nodes.sparkSession.createDataFrame([], "head binary, key binary")
-    for turn in range(rounds + 1):
+    labels = nodes.sparkSession.createDataFrame([], "node long, component long")
+    tested = nodes.sparkSession.createDataFrame([], "head long, key long")
+    fits = lambda m, n: 100 * F.least(m, n) >= similarity * F.greatest(m, n)
+    for turn in range(rounds + best + 1):
         # buckets that hold several components, with their nodes
-        placed = filed.select("key", "n", "bucket").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        mixed_ = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("head"), F.min_by("component", F.xxhash64("key", F.lit(turn))).alias("head_component"), F.min_by("n", F.xxhash64("key", F.lit(turn))).alias("head_n"))
-        mixed_ = mixed_.filter(F.col("c1") != F.col("c2"))
-        open_ = placed.join(mixed_, "bucket")
-        fits = lambda m, n: (100 * F.least(m, n) >= similarity * F.greatest(m, n))
+        placed = filed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        priority = F.xxhash64("key", F.lit(turn))
+        open_ = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size"), F.min_by(F.struct("key", "component", "n"), priority).alias("head")).filter(F.col("c1") != F.col("c2"))
         if turn < rounds:
-            offered = open_.filter((F.col("component") != F.col("head_component")) & fits(F.col("n"), F.col("head_n"))).select("head", "key").distinct()
+            met = placed.join(open_.select("bucket", "head"), "bucket")
+            offered = met.filter((F.col("component") != F.col("head.component")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.key").alias("head"), "key")
             if turn:
                 offered = offered.join(tested, ["head", "key"], "left_anti")
             pairs = offered.groupBy("key").agg(F.min("head").alias("head")).select("head", "key")
         else:
-            other = placed.join(mixed_.select("bucket"), "bucket", "left_semi").select("bucket", F.col("key").alias("head"), F.col("n").alias("head_n"), F.col("component").alias("head_component"))
-            left = placed.join(mixed_.select("bucket"), "bucket", "left_semi")
-            pairs = left.join(other, "bucket").filter((F.col("head") < F.col("key")) & (F.col("component") != F.col("head_component")) & fits(F.col("n"), F.col("head_n"))).select("head", "key").distinct()
+            pairs = likely_pairs(placed.join(open_.select("bucket", "size"), "bucket"), texts.select("key", "marks"), similarity, bands, turn < rounds + best)
             pairs = pairs.join(tested, ["head", "key"], "left_anti").join(tested.select(F.col("key").alias("head"), F.col("head").alias("key")), ["head", "key"], "left_anti")
         pairs = stored(pairs)
         if not pairs.limit(1).count():
             continue
-        found = stored(alike(pairs, texts, size, similarity))
+        found = stored(alike(pairs, texts.select("key", "text"), size, similarity))
         if found.limit(1).count():
             # links between components are joined first, then nodes follow their component
             name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
@@ -240,9 +305,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80, bands:
             known = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
             labels = stored(known.unionByName(joined).groupBy("node").agg(F.min("component").alias("component")))
         tested = stored(tested.unionByName(pairs))
-    grouped = nodes.select("key", "least").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = grouped.join(smallest, "component").select("key", "component_id")
+    # a component is called by its least node, and a node by its least id
+    found = nodes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     rows_ = signed.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key"))
     out = rows_.join(found, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80, bands:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(wanted, "id").select("id", "key", "text").mapInPandas(checked, "key long, text string, marks binary")
     texts = stored(texts.dropDuplicates(["key"]))
     labels = nodes.sparkSession.createDataFrame([], "node long, component long")
-    tested = nodes.sparkSession.createDataFrame([], "head long, key long")
+    tested = nodes.sparkSession.createDataFrame([], "lesser long, greater long")
     fits = lambda m, n: 100 * F.least(m, n) >= similarity * F.greatest(m, n)
     for turn in range(rounds + best + 1):
         # buckets that hold several components, with their nodes
@@ -288,11 +288,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80, bands:
             met = placed.join(open_.select("bucket", "head"), "bucket")
             offered = met.filter((F.col("component") != F.col("head.component")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.key").alias("head"), "key")
             if turn:
-                offered = offered.join(tested, ["head", "key"], "left_anti")
+                offered = offered.distinct().join(tested, [F.least("head", "key") == F.col("lesser"), F.greatest("head", "key") == F.col("greater")], "left_anti")
             pairs = offered.groupBy("key").agg(F.min("head").alias("head")).select("head", "key")
         else:
             pairs = likely_pairs(placed.join(open_.select("bucket", "size"), "bucket"), texts.select("key", "marks"), similarity, bands, turn < rounds + best)
-            pairs = pairs.join(tested, ["head", "key"], "left_anti").join(tested.select(F.col("key").alias("head"), F.col("head").alias("key")), ["head", "key"], "left_anti")
+            pairs = pairs.join(tested.select(F.col("lesser").alias("head"), F.col("greater").alias("key")), ["head", "key"], "left_anti")
         pairs = stored(pairs)
         if not pairs.limit(1).count():
             continue
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80, bands:
             joined = components(edges)
             known = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
             labels = stored(known.unionByName(joined).groupBy("node").agg(F.min("component").alias("component")))
-        tested = stored(tested.unionByName(pairs))
+        tested = stored(tested.unionByName(pairs.select(F.least("head", "key").alias("lesser"), F.greatest("head", "key").alias("greater"))))
     # a component is called by its least node, and a node by its least id
     found = nodes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     rows_ = signed.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key"))

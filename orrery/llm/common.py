@@ -50,6 +50,19 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
+def sampled(rows: DataFrame, n: int, id_col: str) -> DataFrame:
+    """At most n rows, those whose ids have the least hashes.
+
+    A limit on ordered rows takes n rows from every task to the driver. Rows with hashes far beyond the n-th are left out
+    before, so that what the driver gets doesn't grow with the number of tasks.
+    """
+    total = rows.count()
+    order = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40))
+    if total > 3 * n:
+        rows = rows.filter(order < int(3 * n / total * (1 << 40)))
+    return rows.orderBy(order, id_col).limit(n)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of the warehouse's parent only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 #: Bytes in a window, labelled documents learned from at most, and windows taken of each.
 WINDOW, SAMPLE, PER_DOCUMENT = 256, 4000, 2
 WIDTHS, FILTERS, EPOCHS, BATCH = (2, 3, 4), 12, 12, 64
@@ -123,9 +125,9 @@ def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE, text_col: str
     From each document PER_DOCUMENT windows are taken, from anywhere in the text by the hash.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & learnable)
-    hashed, length = F.xxhash64(F.col(id_col)), F.greatest(F.length(text_col) - WINDOW, F.lit(1))
+    length = F.greatest(F.length(text_col) - WINDOW, F.lit(1))
     parts = [F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), length) + 1).cast("int"), F.lit(WINDOW)).alias(f"part{k}") for k in range(PER_DOCUMENT)]
-    taken = rows.select(hashed.alias("h"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), *parts).orderBy("h", "id").limit(sample).toPandas()
+    taken = sampled(rows, sample, id_col).select(F.col(lang_col).alias("lang"), *parts).toPandas()
     if not len(taken):
         return None
     languages = sorted(taken["lang"].unique())

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 # Characters of other scripts and signs that look like Latin letters, and digits that stand for letters.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
@@ -122,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
     Only words and their document counts reach the driver, and only those frequent and pure enough. Rows with a null
     label or text are left out. Without labelled rows the lexicon is empty and every score is low.
     """
-    chosen = labels.filter(F.col(label_col).isNotNull() & learnable).select(id_col, F.col(label_col).alias("y")).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample)
+    chosen = sampled(labels.filter(F.col(label_col).isNotNull() & learnable).select(id_col, F.col(label_col).alias("y")), sample, id_col)
     rows = docs.select(id_col, F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(chosen), id_col).select("text", "y")
     rows = rows.persist()
     try:

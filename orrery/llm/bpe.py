@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, offsets, ranges
+from .common import bounded_batches, chunks, offsets, ranges
 
 #: Known words are forgotten beyond this many, so a worker's memory stays bounded.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 400_000
 #: Masks for the first n of eight bytes.
 KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 FAR = np.int32(1 << 30)
@@ -484,6 +484,7 @@ class Encoder:
 
 def share_vocabulary(df: DataFrame, path: str) -> tuple:
     """A vocabulary file's digest and its tables, broadcast; they have a few MB, whatever the input's size."""
+    bounded_batches(df)
     with open(path, encoding="utf-8") as f:
         text = f.read()
     return hashlib.sha256(text.encode()).hexdigest(), df.sparkSession.sparkContext.broadcast(Vocabulary.read(text))

@@ -50,6 +50,13 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Lets workers get at most so many rows at once: whole texts are larger than the rows that the default is meant for."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, rows)
+
+
 def sampled(rows: DataFrame, n: int, id_col: str) -> DataFrame:
     """At most n rows, those whose ids have the least hashes.
 

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled
+from .common import bounded_batches, sampled
 
 #: Bytes in a window, labelled documents learned from at most, and windows taken of each.
 WINDOW, SAMPLE, PER_DOCUMENT = 256, 4000, 2
@@ -168,5 +168,6 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                 start = stop
             yield pd.DataFrame({"id": batch["id"], "lang_pred": lang, "score": score})
 
+    bounded_batches(docs)
     narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     return narrow.mapInPandas(run, "id string, lang_pred string, score double").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, offsets, stored
+from .common import bounded_batches, chunks, offsets, stored
 
 #: Two sets of similarity 0.8 miss all of 40 bands of 5 with a probability of 1.2e-7.
 BANDS, ROWS = 40, 5
@@ -252,6 +252,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80, bands:
     component is null and which isn't kept. Repeated rows share one id, so both are kept or neither is; rows of one id
     and different texts stand for one document. An empty table gives an empty result. Columns other than the two named are not read.
     """
+    bounded_batches(docs)
     signed = stored(signed_documents(docs, size, bands, rows, id_col, text_col))
     sets = signed.filter("id is not null and n > 0")
     # a node is called by its least id; 8 bytes a row keep the buckets' shuffle small

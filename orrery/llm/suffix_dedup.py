@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, offsets, ranges, stored
+from .common import bounded_batches, chunks, offsets, ranges, stored
 from .minhash import mixed, powers
 
 WINDOW, SHORT = 200, 40
@@ -259,6 +259,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, id
     anywhere else too, in the same or another row, is removed; so repeated rows remove each other. Strings are judged
     on the input. Rows of a null id are treated like any other. An empty table gives an empty result.
     """
+    bounded_batches(docs)
     types = {c: t for c, t in docs.dtypes if c in {id_col, *carry}}
     extra = [f"x{j}" for j in range(len(carry))]
     # ids and carried values pass through as text, so that nulls don't turn them into floating-point numbers

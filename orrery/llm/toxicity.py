@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled
+from .common import bounded_batches, sampled
 
 # Characters of other scripts and signs that look like Latin letters, and digits that stand for letters.
 HOMOGLYPHS = {
@@ -124,6 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
     Only words and their document counts reach the driver, and only those frequent and pure enough. Rows with a null
     label or text are left out. Without labelled rows the lexicon is empty and every score is low.
     """
+    bounded_batches(docs)
     chosen = sampled(labels.filter(F.col(label_col).isNotNull() & learnable).select(id_col, F.col(label_col).alias("y")), sample, id_col)
     rows = docs.select(id_col, F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(chosen), id_col).select("text", "y")
     rows = rows.persist()
@@ -200,5 +201,6 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, i
                 score.append(1 / (1 + math.exp(-z)))
             yield pd.DataFrame({"id": batch["id"], "score": score, "predicted": [int(s >= threshold) for s in score], "n_hits": count})
 
+    bounded_batches(docs)
     narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     return narrow.mapInPandas(run, "id string, score double, predicted int, n_hits int").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from . import webp
 from .common import bounded_batches, chunks
 
+#: Pictures are coded in step in groups of about so many characters or bytes, so that a step's fixed cost is shared by many.
+GROUP = 1 << 22
+
 
 def padded(text: str | None) -> tuple[bytes, int]:
     """A text's bytes filled up with zeros to a positive multiple of 64, and how many were its own."""
@@ -33,7 +36,7 @@ def to_media(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, GROUP):
                 pairs = [padded(t) for t in texts[a:b]]
                 yield pd.DataFrame({"id": batch["id"].to_numpy()[a:b], "n_bytes": [n for _, n in pairs], "media": webp.write_payloads([p for p, _ in pairs])})
 
@@ -51,7 +54,7 @@ def read_media(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             files = batch["media"].tolist()
-            for a, b in chunks(files):
+            for a, b in chunks(files, GROUP):
                 payloads = webp.read_payloads(files[a:b])
                 yield pd.DataFrame({
                     "id": batch["id"].to_numpy()[a:b],

@@ -1,18 +1,19 @@
 """Lossless WebP pictures of 8-bit RGBA samples: the whole stream format read, and its features written.
 
-A picture is an array (height, width, 4). Literal-only streams of many small pictures are coded and decoded in step,
-one symbol of each at a time; any other stream goes through the general decoder.
+A picture is an array (height, width, 4). The streams of many small pictures are coded together and decoded in step, one
+symbol of each at a time, with back-references, colour caches and transforms; streams with several groups of codes or
+codes over LONGEST bits go through the general decoder.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 
-from .common import offsets
+from .common import offsets, ranges
 
 # Fixed values of the format.
 SIGNATURE = 0x2F
@@ -28,6 +29,9 @@ LENGTH_SYMBOLS = [4] * 11 + [5] * 6 + [4, 4]
 LONGEST = 12
 WIDTH = 16
 TILE_ROWS = 64
+CACHE_BITS = 6
+#: The shortest copy that is written, and the pixels that must be alike for it to be found.
+LEAST_COPY, ALIKE = 2, 3
 
 
 def near_pixels() -> list[tuple[int, int]]:
@@ -37,6 +41,7 @@ def near_pixels() -> list[tuple[int, int]]:
 
 
 NEAR = near_pixels()
+REVERSED = np.array([int(f"{x:015b}"[::-1], 2) for x in range(1 << 15)])
 
 
 class Bits:
@@ -75,39 +80,48 @@ def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     """Prefix code lengths for symbol counts, none over `longest`; a lone symbol gets length 1."""
     out = np.zeros(len(counts), np.int64)
     used = np.flatnonzero(counts)
-    weights = counts[used].tolist()
-    while len(used) > 1:
-        heap = [(w, k, None, None) for k, w in enumerate(weights)]
-        heapq.heapify(heap)
-        n = len(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a[0] + b[0], n, a, b))
-            n += 1
-        todo = [(heap[0], 0)]
-        while todo:
-            (_, k, a, b), deep = todo.pop()
-            if a is None:
-                out[used[k]] = deep
-            else:
-                todo += [(a, deep + 1), (b, deep + 1)]
-        if out.max() <= longest:
+    n = len(used)
+    weights = counts[used]
+    while n > 1:
+        order = np.argsort(weights, kind="stable")
+        leaves, inner = [*weights[order].tolist(), float("inf")], [float("inf")] * n
+        above = [0] * (2 * n - 1)
+        i = j = 0
+        for k in range(n - 1):  # the two lightest of the sorted leaves and of the inner nodes, which come in order too
+            total = 0
+            for _ in range(2):
+                if leaves[i] <= inner[j]:
+                    total += leaves[i]
+                    above[i] = n + k
+                    i += 1
+                else:
+                    total += inner[j]
+                    above[n + j] = n + k
+                    j += 1
+            inner[k] = total
+        deep = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            deep[k] = deep[above[k]] + 1
+        if max(deep[:n]) <= longest:
+            out[used[order]] = deep[:n]
             return out
-        weights = [w // 2 + 1 for w in weights]
+        weights = weights // 2 + 1
     out[used] = 1
     return out
 
 
+def in_order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The used symbols by length and value, and their lengths."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    return used, lengths[used]
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """The code of each symbol with its first bit lowest, as the stream holds it."""
     codes = np.zeros(len(lengths), np.int64)
-    each = lengths.tolist()
-    code = last = 0
-    for n, s in sorted((n, s) for s, n in enumerate(each) if n):
-        code <<= n - last
-        last = n
-        codes[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
+    symbols, own = in_order(lengths)
+    codes[symbols] = REVERSED[offsets(1 << (15 - own))[:-1]]
     return codes
 
 
@@ -121,40 +135,37 @@ def put_code(out: Writer, lengths: np.ndarray) -> None:
         out.put(symbol > 1, 1)
         out.put(symbol, 8 if symbol > 1 else 1)
         return
-    out.put(0, 1)
-    out.put(15, 4)
-    for symbol in CODE_LENGTH_ORDER:
-        out.put(LENGTH_SYMBOLS[symbol], 3)
-    size = used[-1] + 1
-    size = max(size, 2)
+    out.put(LENGTH_TEXT << 5 | 15 << 1, 62)
+    size = max(used[-1] + 1, 2)
     bits = max(2, (size - 2).bit_length() + (size - 2).bit_length() % 2)
     out.put(1, 1)
     out.put((bits - 2) // 2, 3)
     # the count is of symbols written, runs of zeros being one each
-    symbols: list[tuple[int, int, int]] = []
-    k, values = 0, lengths[:size].tolist()
-    while k < size:
-        run = 1
-        while values[k] == 0 and k + run < size and values[k + run] == 0 and run < 138:
-            run += 1
-        if values[k] or run < 3:
-            symbols.append((values[k], 0, 0))
-            k += 1
-        elif run <= 10:
-            symbols.append((17, run - 3, 3))
-            k += run
-        else:
-            symbols.append((18, run - 11, 7))
-            k += run
-    while len(symbols) < 2:
-        symbols.append((0, 0, 0))
-    out.put(len(symbols) - 2, bits)
-    for symbol, extra, n in symbols:
-        out.put(int(LENGTH_CODE[symbol]), LENGTH_SYMBOLS[symbol])
-        out.put(extra, n)
-
-
-LENGTH_CODE = canonical(np.array(LENGTH_SYMBOLS))
+    value = place = count = 0
+    at, values = 0, lengths.tolist()
+    for symbol in used:
+        while at < symbol:
+            run = min(symbol - at, 138)
+            zeros, extra, n = (18, run - 11, 7) if run > 10 else (17, run - 3, 3) if run > 2 else (0, 0, 0)
+            value |= (LENGTH_CODE[zeros] | extra << LENGTH_SYMBOLS[zeros]) << place
+            place += LENGTH_SYMBOLS[zeros] + n
+            count += 1
+            at += run if zeros else 1
+        own = values[symbol]
+        value |= LENGTH_CODE[own] << place
+        place += LENGTH_SYMBOLS[own]
+        count += 1
+        at += 1
+    while count < 2:
+        value |= LENGTH_CODE[0] << place
+        place += LENGTH_SYMBOLS[0]
+        count += 1
+    out.put(count - 2, bits)
+    out.put(value, place)
+
+
+LENGTH_TEXT = sum(LENGTH_SYMBOLS[symbol] << 3 * k for k, symbol in enumerate(CODE_LENGTH_ORDER))
+LENGTH_CODE = canonical(np.array(LENGTH_SYMBOLS)).tolist()
 
 
 class Code:
@@ -185,11 +196,17 @@ class Code:
         if self.only is not None:
             out[:] = self.only
             return out
-        codes = canonical(self.lengths).tolist()
-        for s in np.flatnonzero(self.lengths).tolist():
-            n = int(self.lengths[s])
-            out[codes[s] :: 1 << n] = s | n << 16
-        return out
+        symbols, own = in_order(self.lengths)
+        return np.repeat(symbols | own << 16, 1 << (wide - own)).astype(np.int32)[REVERSED[: 1 << wide] >> (15 - wide)]
+
+
+@lru_cache(100)
+def length_table(n: int, text: int) -> tuple[list[int], int]:
+    """The table of the n code lengths' code described by `text`, and a mask of its longest code."""
+    own = np.zeros(19, np.int64)
+    own[CODE_LENGTH_ORDER[:n]] = [text >> 3 * k & 7 for k in range(n)]
+    code = Code(own)
+    return code.table(code.longest).tolist(), (1 << code.longest) - 1
 
 
 def read_code(bits: Bits, size: int) -> Code:
@@ -200,24 +217,28 @@ def read_code(bits: Bits, size: int) -> Code:
         if two:
             lengths[bits.read(8)] = 1
         return Code(lengths)
-    own = np.zeros(19, np.int64)
-    for symbol in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
-        own[symbol] = bits.read(3)
-    code = Code(own)
+    n = 4 + bits.read(4)
+    found, low = length_table(n, bits.peek(bits.at, 3 * n))
+    bits.read(3 * n)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    k, last = 0, 8
-    while k < size and left:
+    data, at, last = bits.data, bits.at, 8
+    values: list[int] = []
+    while len(values) < size and left:
         left -= 1
-        symbol = code.read(bits)
+        window = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        one = found[window & low]
+        symbol, n = one & 0xFFFF, one >> 16
+        at += n
         if symbol < 16:
-            lengths[k] = symbol
-            k += 1
+            values.append(symbol)
             last = symbol or last
         else:
-            value, base, n = {16: (last, 3, 2), 17: (0, 3, 3), 18: (0, 11, 7)}[symbol]
-            run = base + bits.read(n)
-            lengths[k : k + run] = value
-            k += run
+            base, more = {16: (3, 2), 17: (3, 3), 18: (11, 7)}[symbol]
+            values += [last if symbol == 16 else 0] * (base + (window >> n & ((1 << more) - 1)))
+            at += more
+    bits.at = at
+    bits.read(0)  # tells of an early end
+    lengths[: len(values)] = values[:size]
     return Code(lengths)
 
 
@@ -350,9 +371,23 @@ def cross_colour(pixels: np.ndarray, width: int, elements: np.ndarray, tile: int
     return out
 
 
-def decode_stream(data: bytes) -> np.ndarray:
-    """Any lossless stream as an array (height, width, 4)."""
-    bits = Bits(data)
+def restored(residual: np.ndarray, width: int, mode_of: np.ndarray, tile: int) -> np.ndarray:
+    """Pixels from their residuals; by sums where all are predicted from the left or all from above."""
+    if mode_of.min() == mode_of.max() and mode_of.flat[0] in (1, 2):
+        grid = residual.reshape(-1, width, 4).astype(np.int64)
+        grid[0, 0] += BLACK
+        if mode_of.flat[0] == 1:
+            grid[:, 0] = grid[:, 0].cumsum(0)
+            return (grid.cumsum(1) & 255).reshape(-1, 4)
+        grid[0] = grid[0].cumsum(0)
+        return (grid.cumsum(0) & 255).reshape(-1, 4)
+    pixels = np.zeros_like(residual)
+    predictions(pixels, width, mode_of, tile, residual)
+    return pixels
+
+
+def opening(bits: Bits) -> tuple[int, int, list[tuple], int]:
+    """Width, height, transforms (kind, width, tile or shift, data), and the width of the picture that is coded."""
     if bits.read(8) != SIGNATURE:
         raise ValueError("not a lossless stream")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -374,11 +409,14 @@ def decode_stream(data: bytes) -> np.ndarray:
             shift = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
             undo.append((kind, width, shift, table))
             width = -(-width >> shift)
-    pixels = read_pixels(bits, width, height, True)
+    return full, height, undo, width
+
+
+def undone(pixels: np.ndarray, height: int, undo: list[tuple]) -> np.ndarray:
+    """Rows (r, g, b, a) of the picture from those that were coded."""
     for kind, wide, tile, what in reversed(undo):
         if kind == PREDICTOR:
-            residual, pixels = pixels, np.zeros_like(pixels)
-            predictions(pixels, wide, what[:, :, 1] & 15, tile, residual)
+            pixels = restored(pixels, wide, what[:, :, 1] & 15, tile)
         elif kind == CROSS_COLOUR:
             pixels = cross_colour(pixels, wide, what, tile, 1)
         elif kind == SUBTRACT_GREEN:
@@ -391,6 +429,14 @@ def decode_stream(data: bytes) -> np.ndarray:
             table = np.zeros((256, 4), np.int64)
             table[: len(what)] = what
             pixels = table[index].reshape(-1, 4)
+    return pixels
+
+
+def decode_stream(data: bytes) -> np.ndarray:
+    """Any lossless stream as an array (height, width, 4)."""
+    bits = Bits(data)
+    full, height, undo, width = opening(bits)
+    pixels = undone(read_pixels(bits, width, height, True), height, undo)
     return pixels.reshape(height, full, 4).astype(np.uint8)
 
 
@@ -534,127 +580,307 @@ def decode(data: bytes) -> np.ndarray:
     return np.concatenate([decode_stream(x) for x in streams(data)])
 
 
+def transform_text(kind: int, element: Sequence[int] = ()) -> tuple[int, int]:
+    """A transform's description, as value and size; elements hold for a whole tile."""
+    out = Writer()
+    out.put(1, 1)
+    out.put(kind, 2)
+    if element:
+        out.put(7, 3)
+        put_pixels(out, np.array([element]), 1, False)
+    return out.value, out.size
+
+
+#: What a document's pixels may be changed by: nothing, less green, less the left, less the upper pixel, blue less red.
+TRANSFORMS = [(0, 0), transform_text(SUBTRACT_GREEN), transform_text(PREDICTOR, (0, 1, 0, 255)), transform_text(PREDICTOR, (0, 2, 0, 255)), transform_text(CROSS_COLOUR, (32, 0, 0, 255))]
+
+
+def changed(data: np.ndarray, inside: np.ndarray, which: int) -> np.ndarray:
+    """Pixels (n, 4) of 8 bits under a transform; inside: each one's place in its tile."""
+    if not which:
+        return data
+    if which in (2, 3):
+        k = np.arange(len(data))
+        guess = data[k - np.where((inside < WIDTH) if which == 3 else (inside % WIDTH > 0), 1, np.minimum(inside, WIDTH))]
+        guess[inside == 0] = BLACK
+        return data - guess
+    out = data.copy()
+    if which == 1:
+        out[:, 0] -= data[:, 1]
+        out[:, 2] -= data[:, 1]
+    else:
+        out[:, 2] -= data[:, 0]
+    return out
+
+
+def coded_bits(counts: np.ndarray, described: int) -> np.ndarray:
+    """About the bits that each row's symbols take, with `described` bits for a used symbol's code."""
+    total = counts.sum(1)
+    return total * np.log2(np.maximum(total, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(1) + described * np.count_nonzero(counts, axis=1)
+
+
+def prefix_symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """prefix_symbol of many values."""
+    v = np.asarray(values, np.int64) - 1
+    n = np.maximum(np.frexp(v)[1].astype(np.int64) - 2, 0)
+    return np.where(v < 4, v, 2 * n + 2 + (v >> n & 1)), np.where(v < 4, 0, v & ((1 << n) - 1)), np.where(v < 4, 0, n)
+
+
+def argb(pixels: np.ndarray) -> np.ndarray:
+    """Samples r, g, b, a as one number of 32 bits each, turned to the order that is hashed."""
+    return pixels & np.uint32(0xFF00FF00) | (pixels & np.uint32(255)) << np.uint32(16) | pixels >> np.uint32(16) & np.uint32(255)
+
+
+def find_copies(pixels: np.ndarray, tile_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of copies within tiles, which don't overlap."""
+    n = len(pixels) - ALIKE + 1
+    wide = pixels.astype(np.uint64)
+    key = tile_of[:n].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for j, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
+        key += (wide[j : n + j] ^ wide[j : n + j] >> np.uint64(15)) * np.uint64(factor)
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    here, before = order[again + 1], order[again]
+    good = (tile_of[here] == tile_of[before]) & (tile_of[here + ALIKE - 1] == tile_of[here])
+    for j in range(ALIKE):
+        good &= pixels[here + j] == pixels[before + j]
+    far = np.zeros(n + 1, np.int64)
+    far[here[good]] = (here - before)[good]
+    edges = np.flatnonzero(np.diff(far, prepend=0))
+    start = edges[far[edges] > 0]
+    end = edges[np.searchsorted(edges, start, side="right")] + ALIKE - 1  # far ends with 0
+    begin = np.maximum(start, np.concatenate([[0], end[:-1]]))
+    kept = end - begin >= LEAST_COPY
+    return begin[kept], (end - begin)[kept], far[start][kept]
+
+
+def find_cached(pixels: np.ndarray, tile_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's place in a colour cache, and whether it lies there when it comes."""
+    place = (argb(pixels) * np.uint32(CACHE_FACTOR) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+    slot = tile_of << CACHE_BITS | place
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    return place, hit
+
+
 def write_payloads(payloads: Sequence[bytes]) -> list[bytes]:
-    """A file for each payload (bytes, a multiple of 64), 16 pixels wide, in tiles of at most 64 rows that share one code."""
-    sizes = np.array([len(p) for p in payloads], np.int64)
-    data = np.frombuffer(b"".join(payloads), np.uint8)
-    at = offsets(sizes)
-    tiles = -(-sizes // (4 * WIDTH * TILE_ROWS))
-    doc = np.repeat(np.arange(len(payloads)), tiles)
-    number = np.arange(len(doc)) - offsets(tiles)[doc]
-    begin = at[doc] + number * 4 * WIDTH * TILE_ROWS
-    size = np.minimum(4 * WIDTH * TILE_ROWS, at[doc + 1] - begin)
-    code_of, length_of = np.zeros((len(payloads), 256), np.uint64), np.zeros((len(payloads), 256), np.int64)
+    """A file for each payload (bytes, a multiple of 64), 16 pixels wide, in tiles of at most 64 rows that share their codes.
+
+    Each payload is coded with the transform and with copies, a colour cache, both or neither as takes the fewest bits by
+    its counts; tiles of few colours are tried as palettes too.
+    """
+    if not payloads:
+        return []
+    sizes = np.array([len(p) for p in payloads], np.int64) // 4  # in pixels
+    data = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 4)
+    docs, at = len(payloads), offsets(sizes)
+    tiles = -(-sizes // (WIDTH * TILE_ROWS))
+    doc = np.repeat(np.arange(docs), tiles)
+    begin = at[doc] + (np.arange(len(doc)) - offsets(tiles)[doc]) * WIDTH * TILE_ROWS
+    size = np.minimum(WIDTH * TILE_ROWS, at[doc + 1] - begin)
+    tile_of = np.repeat(np.arange(len(doc)), size)
+    inside = np.arange(len(data)) - begin[tile_of]
+    doc_of = doc[tile_of]
+    main = 256 + LENGTH_CODES + (1 << CACHE_BITS)
+
+    def literal_bits(x: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        lines = lines << 8
+        counts = sum(np.bincount(lines | x[:, c], minlength=docs << 8) for c in (0, 2, 3))
+        return coded_bits(counts.reshape(docs, 256), 12)
+
+    options = []
+    for k, (_, extra) in enumerate(TRANSFORMS):
+        x = changed(data, inside, k)
+        options.append(literal_bits(x, doc_of) + coded_bits(np.bincount(doc_of << 8 | x[:, 1], minlength=docs << 8).reshape(docs, 256), 4) + extra)
+    transform = np.argmin(options, axis=0)
+    coded = data.copy()
+    for k in range(1, len(TRANSFORMS)):
+        mine = np.flatnonzero(transform[doc_of] == k)
+        if len(mine):
+            # whole documents, so each pixel's neighbours stay where they were
+            coded[mine] = changed(data[mine], inside[mine], k)
+    pixels = coded.view("<u4").ravel()
+
+    start, length, far = find_copies(pixels, tile_of)
+    near = np.arange(WIDTH * TILE_ROWS + 1) + len(NEAR)
+    for n, (x, y) in reversed(list(enumerate(NEAR))):
+        if max(1, x + y * WIDTH) < len(near):
+            near[max(1, x + y * WIDTH)] = n + 1
+    length_symbol, length_extra, length_bits = prefix_symbols(length)
+    far_symbol, far_extra, far_bits = prefix_symbols(near[far])
+    place, hit = find_cached(pixels, tile_of)
+    copy_at = np.full(len(pixels), -1)
+    copy_at[start] = np.arange(len(start))
+    covered = np.zeros(len(pixels), bool)
+    covered[ranges(start, length)] = True
+    copied = np.bincount(doc_of[start], length_bits + far_bits, docs) + coded_bits(np.bincount(doc_of[start] * DISTANCE_CODES + far_symbol, minlength=docs * DISTANCE_CODES).reshape(docs, -1), 4)
+    best, with_copies, with_cache = np.full(docs, np.inf), np.zeros(docs, bool), np.zeros(docs, bool)
+
+    def tokens(copies: np.ndarray | bool, cache: np.ndarray | bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pixels at which symbols stand, and the symbols."""
+        c = covered & copies
+        stand = np.flatnonzero(~c | (copy_at >= 0) & copies)
+        symbol = np.where((hit & cache)[stand], 256 + LENGTH_CODES + place[stand], coded[stand, 1])
+        isa = np.flatnonzero(c[stand])
+        symbol[isa] = 256 + length_symbol[copy_at[stand[isa]]]
+        return stand, symbol
+
+    for copies in (False, True):
+        for cache in (False, True):
+            stand, symbol = tokens(copies, cache)
+            literal = stand[symbol < 256]
+            cost = coded_bits(np.bincount(doc_of[stand] * main + symbol, minlength=docs * main).reshape(docs, main), 4)
+            cost += literal_bits(coded[literal], doc_of[literal]) + copied * copies
+            better = cost < best
+            best[better], with_copies[better], with_cache[better] = cost[better], copies, cache
+    stand, symbol = tokens(with_copies[doc_of], with_cache[doc_of])
+    own_doc = doc_of[stand]
+    literal, copy = np.flatnonzero(symbol < 256), np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTH_CODES))
+    which = copy_at[stand[copy]]
+
+    # counts, codes and their descriptions: green and the rest of a symbol, other channels, distances
+    alphabets = [main, 256, DISTANCE_CODES]
+    where = [(own_doc, symbol), (np.repeat(own_doc[literal], 3), coded[stand[literal]][:, [0, 2, 3]].ravel()), (own_doc[copy], far_symbol[which])]
+    counts = [np.bincount(d * n + x, minlength=docs * n).reshape(docs, n) for n, (d, x) in zip(alphabets, where, strict=True)]
+    codes = [np.zeros((docs, n), np.int64) for n in alphabets]  # from bit 16 their lengths
     code_text = []
-    for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-        lengths = code_lengths(np.bincount(data[a:b], minlength=256))
+    for k in range(docs):
         own = Writer()
-        put_code(own, lengths)
-        code_text.append((own.value, own.size))
-        if np.count_nonzero(lengths) > 1:
-            code_of[k], length_of[k] = canonical(lengths), lengths
+        value, bits = TRANSFORMS[transform[k]]
+        own.put(value, bits)
+        own.put(0, 1)
+        own.put(1 | CACHE_BITS << 1 if with_cache[k] else 0, 5 if with_cache[k] else 1)
+        own.put(0, 1)  # one group of codes
+        texts = []
+        for c in range(3):
+            n = code_lengths(counts[c][k])
+            text = Writer()
+            put_code(text, n if c or with_cache[k] else n[: 256 + LENGTH_CODES])
+            texts.append(text)
+            if np.count_nonzero(n) > 1:
+                codes[c][k] = canonical(n) | n << 16
+        for c in (0, 1, 1, 1, 2):
+            own.put(texts[c].value, texts[c].size)
+        code_text.append(own)
     heads = []
     for k, n in zip(doc.tolist(), size.tolist(), strict=True):
         head = Writer()
-        head.put(SIGNATURE | (WIDTH - 1) << 8 | (n // (4 * WIDTH) - 1) << 22 | 1 << 36, 40)
-        head.put(0, 3)  # no transforms, cache or further groups
-        value, length = code_text[k]
-        for _ in range(4):
-            head.put(value, length)
-        head.put(1, 4)  # one distance symbol
+        head.put(SIGNATURE | (WIDTH - 1) << 8 | (n // WIDTH - 1) << 22 | 1 << 36, 40)
+        head.put(code_text[k].value, code_text[k].size)
         heads.append(head)
-    # a pixel is written green, red, blue, alpha
-    order = data.reshape(-1, 4)[:, [1, 0, 2, 3]].ravel()
-    symbol = np.repeat(np.arange(len(payloads)), sizes) * 256 + order
-    bits = length_of.ravel()[symbol]
+    # four fields a symbol: green, red, blue, alpha; or length, its bits, distance, its bits; or a cached colour alone
+    field = np.zeros((len(stand), 4), np.int64)
+    field[:, 0] = codes[0].ravel()[own_doc * main + symbol]
+    field[literal, 1:] = codes[1].ravel()[where[1][0] << 8 | where[1][1]].reshape(-1, 3)
+    field[copy, 1] = length_extra[which] | length_bits[which] << 16
+    field[copy, 2] = codes[2].ravel()[own_doc[copy] * DISTANCE_CODES + far_symbol[which]]
+    field[copy, 3] = far_extra[which] | far_bits[which] << 16
+    field = field.ravel()
+    value, bits = (field & 0xFFFF).astype(np.uint64), field >> 16
     run = offsets(bits)
+    edges = 4 * offsets(np.bincount(tile_of[stand], minlength=len(doc)))
     head_bits = np.array([h.size for h in heads], np.int64)
-    total = head_bits + run[begin + size] - run[begin]
+    total = head_bits + run[edges[1:]] - run[edges[:-1]]
     base = offsets((total + 31) // 32 + 2)  # in words
-    place = run[:-1] + np.repeat(32 * base[:-1] + head_bits - run[begin], size)
+    spot = run[:-1] + np.repeat(32 * base[:-1] + head_bits - run[edges[:-1]], np.diff(edges))
     words = np.zeros(int(base[-1]) + 1, np.uint64)
-    value = code_of.ravel()[symbol] << (place & 31).astype(np.uint64)
-    word = place >> 5
+    value = value << (spot & 31).astype(np.uint64)
+    word = spot >> 5
     group = np.flatnonzero(np.diff(word, prepend=-1))
     words[word[group]] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), group)
     words[word[group] + 1] += np.add.reduceat(value >> np.uint64(32), group)
     packed = words.astype("<u4").view(np.uint8)
+    few = np.bincount(tile_of[stand[literal]], minlength=len(doc)) <= 24
     out: list[list[bytes]] = [[] for _ in payloads]
     for j, k in enumerate(doc.tolist()):
         a = 4 * int(base[j])
         head = heads[j].bytes()
         packed[a : a + len(head)] |= np.frombuffer(head, np.uint8)
-        out[k].append(packed[a : a + (int(total[j]) + 7) // 8].tobytes())
-    rows = (size // (4 * WIDTH)).tolist()
+        stream = packed[a : a + (int(total[j]) + 7) // 8].tobytes()
+        if few[j]:
+            tile = data[begin[j] : begin[j] + size[j]]
+            colours = len(set(tile.view("<u4").ravel().tolist()))
+            if colours <= 16 and 2 * colours <= size[j]:
+                stream = min(stream, encode_stream(tile.reshape(-1, WIDTH, 4), palette=True, copies=True), key=len)
+        out[k].append(stream)
+    rows = (size // WIDTH).tolist()
     edges = offsets(tiles).tolist()
     return [container(x, WIDTH, rows[a:b]) for x, a, b in zip(out, edges, edges[1:], strict=False)]
 
 
-def plain_header(data: bytes, bits: Bits) -> tuple[int, int, list[Code]] | None:
-    """Width, height and codes of a stream of literals alone, with the bits left at its pixels; None for any other."""
-    bits.read(8)
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    bits.read(4)
-    if bits.read(3):
+def lane_header(bits: Bits) -> tuple | None:
+    """(width, height, transforms, coded width, cache bits, five tables, bits up to the pixels); None for streams with several groups or long codes."""
+    width, height, undo, narrow = opening(bits)
+    cache_bits = bits.read(4) if bits.read(1) else 0
+    if bits.read(1):
         return None
-    first = bits.at
-    codes = [read_code(bits, 256 + LENGTH_CODES)]
-    size = bits.at - first
-    text = bits.peek(first, size)
+    codes = [read_code(bits, 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0))]
+    text, size = None, 0
     for _ in range(3):  # mostly the same description again
-        if not codes[0].lengths[256:].any() and bits.peek(bits.at, size) == text:
-            codes.append(codes[0])
+        if size and bits.peek(bits.at, size) == text:
+            codes.append(codes[-1])
             bits.at += size
         else:
+            first = bits.at
             codes.append(read_code(bits, 256))
+            size = bits.at - first
+            text = bits.peek(first, size)
     codes.append(read_code(bits, DISTANCE_CODES))
-    if codes[0].lengths[256:].any() or max(int(c.lengths.max()) for c in codes) > LONGEST:
+    if max(c.longest for c in codes) > LONGEST:
         return None
-    return width, height, codes
+    made: dict[int, np.ndarray] = {}
+    tables = [made[id(c)] if id(c) in made else made.setdefault(id(c), c.table(LONGEST)) for c in codes]
+    return width, height, undo, narrow, cache_bits, tables, bits.at
 
 
 def read_payloads(files: Sequence[bytes]) -> list[bytes]:
-    """The samples of each file, row by row; pictures of literals alone are decoded in step."""
+    """The samples of each file, row by row; streams with one group of codes are decoded in step."""
     owner, parts, lanes = [], [], []
     for k, data in enumerate(files):
-        shared: dict[bytes, tuple] = {}
+        shared: list[tuple[int, int, tuple]] = []
         for stream in streams(data):
             owner.append(k)
             parts.append(None)
-            # tiles of one file mostly repeat one description of codes
             bits = Bits(stream)
-            known = next((v for prefix, v in shared.items() if stream[5 : 5 + len(prefix)] == prefix), None)
-            if known is None:
-                plain = plain_header(stream, bits)
-                if plain is None:
+            head = int.from_bytes(stream[:5], "little")
+            width, height = (head >> 8 & 0x3FFF) + 1, (head >> 22 & 0x3FFF) + 1
+            # tiles of one file mostly repeat one description of transforms and codes
+            for size, text, known in shared:
+                fits = head & 0xFF == SIGNATURE and not head >> 37 and known[0] == width and all(t[0] not in (PREDICTOR, CROSS_COLOUR) or len(t[3]) == -(-height >> t[2]) for t in known[2])
+                if fits and bits.peek(40, size) == text:
+                    break
+            else:
+                known = lane_header(bits)
+                if known is None:
                     parts[-1] = decode_stream(stream).tobytes()
                     continue
-                _, _, codes = plain
-                same = all(c is codes[0] for c in codes[:4])
-                own = [c.table(LONGEST) for c in codes[: 1 if same else 4]]
-                known = (bits.at, own)
-                shared[stream[5 : bits.at >> 3]] = known
-            head = int.from_bytes(stream[1:5], "little")
-            lanes.append((((head & 0x3FFF) + 1) * ((head >> 14 & 0x3FFF) + 1), len(owner) - 1, stream, *known))
+                shared.append((bits.at - 40, bits.peek(40, bits.at - 40), known))
+            lanes.append((known[3] * height, len(owner) - 1, stream, known, height))
     lanes.sort(key=lambda x: -x[0])
-    for lane, pixels in zip(lanes, _in_step(lanes), strict=True):
-        parts[lane[1]] = pixels
+    for (_, j, _, known, height), pixels in zip(lanes, _in_step(lanes), strict=True):
+        parts[j] = undone(pixels.astype(np.int64), height, known[2]).astype(np.uint8).tobytes() if known[2] else pixels.tobytes()
     out: list[list[bytes]] = [[] for _ in files]
     for k, part in zip(owner, parts, strict=True):
         out[k].append(part)
     return [b"".join(x) for x in out]
 
 
-def _in_step(lanes: list[tuple]) -> list[bytes]:
-    """Pixels of literal-only streams (pixels, -, stream, first bit, code tables), the longest first."""
+def prefix_values(symbol: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """prefix_value of many symbols whose extra bits come lowest in `window`, and the numbers of these bits."""
+    n = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << n) + (window.astype(np.int64) & ((1 << n) - 1)) + 1), n
+
+
+def _in_step(lanes: list[tuple]) -> list[np.ndarray]:
+    """Coded pixels (n, 4) of lanes (pixels, -, stream, header, -), the longest first."""
     if not lanes:
         return []
     counts = np.array([x[0] for x in lanes], np.int64)
     held: dict[int, int] = {}
-    tables, bases = [], np.zeros((4, len(lanes)), np.int64)
+    tables, bases = [], np.zeros((5, len(lanes)), np.int64)
     for j, lane in enumerate(lanes):
-        for c in range(4):
-            own = lane[4][c if len(lane[4]) > 1 else 0]
+        for c, own in enumerate(lane[3][5]):
             if id(own) not in held:
                 held[id(own)] = len(tables) << LONGEST
                 tables.append(own)
@@ -663,23 +889,87 @@ def _in_step(lanes: list[tuple]) -> list[bytes]:
     at = offsets([len(x[2]) for x in lanes])
     raw = b"".join(x[2] for x in lanes) + bytes(16)
     eights = np.ndarray((len(raw) - 8,), "<u8", raw, strides=(1,))
-    place = 8 * at[:-1] + np.array([x[3] for x in lanes], np.int64)
-    where = offsets(counts)[:-1]
-    out = np.zeros((int(counts.sum()), 4), np.uint8)
-    live = len(lanes)
+    p = 8 * at[:-1] + np.array([x[3][6] for x in lanes], np.int64)
+    end, width = 8 * at[1:], np.array([x[3][3] for x in lanes], np.int64)
+    first = offsets(counts)[:-1]
+    target, stop = first.copy(), first + counts
+    start = first
+    pixels = np.zeros(int(counts.sum()), "<u4")
+    back = np.zeros(len(pixels), np.int32)  # a copy's distance, or less than 0: a place in the cache
+    copies: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    near_x, near_y = np.array(NEAR).T
     low = np.uint64((1 << LONGEST) - 1)
+    while len(target):
+        window = eights[p >> 3] >> (p & 7).astype(np.uint64)
+        found = table[bases[0] + (window & low).astype(np.int64)]
+        symbol, used = found & 0xFFFF, found >> 16
+        window >>= used.astype(np.uint64)
+        rest = window
+        value, more = symbol.astype(np.uint32) << np.uint32(8), np.zeros_like(used)
+        for c, shift in ((1, 0), (2, 16), (3, 24)):
+            found = table[bases[c] + (rest & low).astype(np.int64)]
+            value |= (found & 255).astype(np.uint32) << np.uint32(shift)
+            found >>= 16
+            more += found
+            rest = rest >> found.astype(np.uint64)
+        step = np.ones(len(target), np.int64)
+        other = (symbol >= 256).nonzero()[0]
+        if len(other):
+            more[other] = 0
+            own = symbol[other].astype(np.int64) - 256
+            cached = own >= LENGTH_CODES
+            back[target[other[cached]]] = LENGTH_CODES - 1 - own[cached]
+            c, own = other[~cached], own[~cached]
+            if len(c):
+                w = window[c]
+                length, n = prefix_values(own, w)
+                w = w >> n.astype(np.uint64)
+                found = table[bases[4, c] + (w & low).astype(np.int64)].astype(np.int64)
+                w = w >> (found >> 16).astype(np.uint64)
+                far, m = prefix_values(found & 0xFFFF, w)
+                short = np.minimum(far, len(NEAR)) - 1
+                far = np.where(far <= len(NEAR), np.maximum(1, near_x[short] + near_y[short] * width[c]), far - len(NEAR))
+                length = np.minimum(length, stop[c] - target[c])
+                if (far > target[c] - start[c]).any():
+                    raise ValueError("a copy from before the picture")
+                copies.append((target[c], length, far))
+                more[c] = n + (found >> 16) + m
+                step[c] = length
+        pixels[target] = value
+        p = p + used + more
+        target = target + step
+        if (p > end).any():
+            raise ValueError("a stream ends too early")
+        left = target < stop
+        if not left.all():
+            p, target, stop, end, start, width, bases = p[left], target[left], stop[left], end[left], start[left], width[left], bases[:, left]
+    if copies:
+        begin, length, far = (np.concatenate(x) for x in zip(*copies, strict=True))
+        back[ranges(begin, length)] = np.repeat(far, length)
+    _resolve(pixels, back, first, counts, np.array([x[3][4] for x in lanes], np.int64))
+    rows = pixels.view(np.uint8).reshape(-1, 4)
+    return [rows[a : a + n] for a, n in zip(first.tolist(), counts.tolist(), strict=True)]
+
+
+def _resolve(pixels: np.ndarray, back: np.ndarray, first: np.ndarray, counts: np.ndarray, cache_bits: np.ndarray) -> None:
+    """Puts in the pixels that are copied or come from a cache, one pixel of each picture at a time."""
+    mine = np.flatnonzero(np.logical_or.reduceat(back != 0, first))
+    if not len(mine):
+        return
+    first, counts, cache_bits = first[mine], counts[mine], cache_bits[mine]
+    shift = np.where(cache_bits > 0, 32 - cache_bits, 31).astype(np.uint32)
+    slots = offsets(1 << (32 - shift.astype(np.int64)))
+    cache, slots = np.zeros(int(slots[-1]), np.uint32), slots[:-1]
+    live = len(first)
     for step in range(int(counts[0])):
         while counts[live - 1] <= step:
             live -= 1
-        p = place[:live]
-        window = eights[p >> 3] >> (p & 7).astype(np.uint64)
-        target = where[:live] + step
-        for c, channel in enumerate((1, 0, 2, 3)):
-            found = table[bases[c, :live] + (window & low).astype(np.int64)]
-            out[target, channel] = found & 255
-            bits = found >> 16
-            window >>= bits.astype(np.uint64)
-            p += bits
-    edges = offsets(counts).tolist()
-    flat = out.tobytes()
-    return [flat[4 * a : 4 * b] for a, b in zip(edges, edges[1:], strict=False)]
+        t = first[:live] + step
+        far, value = back[t], pixels[t]
+        copy, cached = (far > 0).nonzero()[0], (far < 0).nonzero()[0]
+        if len(copy):
+            value[copy] = pixels[t[copy] - far[copy]]
+        if len(cached):
+            value[cached] = cache[slots[cached] - 1 - far[cached]]
+        pixels[t] = value
+        cache[slots[:live] + (argb(value) * np.uint32(CACHE_FACTOR) >> shift[:live])] = value

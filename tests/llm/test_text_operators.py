@@ -132,6 +132,36 @@ def test_other_streams_are_read_too():
     assert webp.read_payloads([file]) == [picture.tobytes()]
 
 
+def test_documents_are_stored_with_copies_caches_and_transforms(monkeypatch):
+    r = np.random.default_rng(4)
+    passage = bytes(r.integers(32, 127, 400).astype(np.uint8))
+    words = r.integers(0, 256, (40, 4)).astype(np.uint8)
+    payloads = [
+        bytes(r.integers(32, 127, 6400).astype(np.uint8)),  # nothing to find
+        passage * 48,  # repeated passages, several tiles
+        words[r.integers(0, 40, 1600)].tobytes(),  # few colours
+        words[r.integers(0, 9, 1600)].tobytes(),  # a palette
+        (np.cumsum(r.integers(0, 3, (1600, 4)), axis=0) & 255).astype(np.uint8).tobytes(),  # like the left one
+        (np.cumsum(r.integers(0, 3, (100, 64)), axis=0) + r.integers(0, 256, 64) & 255).astype(np.uint8).tobytes(),  # like the upper one
+        (r.integers(0, 256, (1600, 1)) + [[0, 0, 0, 9]] & 255).astype(np.uint8).tobytes(),  # grey
+        bytes(64), bytes(64 * 300), passage[:64],
+    ]
+    files = webp.write_payloads(payloads)
+    assert [webp.decode(f).tobytes() for f in files] == payloads  # by the general decoder
+    kinds, cached = set(), set()
+    for f in files:
+        for stream in webp.streams(f):
+            bits = webp.Bits(stream)
+            kinds |= {t[0] for t in webp.opening(bits)[2]}
+            cached.add(bits.read(1))
+    assert kinds >= {webp.PREDICTOR, webp.SUBTRACT_GREEN, webp.PALETTE} and cached == {0, 1}
+    assert len(files[1]) < len(payloads[1]) / 5 and len(files[2]) < len(payloads[2]) * 0.6
+    monkeypatch.setattr(webp, "decode_stream", None)
+    assert webp.read_payloads(files) == payloads  # in step
+    with pytest.raises(ValueError):
+        webp.read_payloads([webp.container([webp.streams(files[0])[0][:2000]], 16, [64])])
+
+
 def test_language_is_found(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     found = language_id.identify(docs, language_id.fit(docs, ~held_out("doc_id"))).withColumn("held", held_out("doc_id")).join(docs.select("doc_id", "lang"), "doc_id").toPandas()

@@ -1,9 +1,10 @@
 """Main text of HTML pages by composite text density.
 
-A page is read into a tree; menus, forms, adverts and the like are cut by their tags and names. Each node's density is
+A page is read into a tree; menus, forms, adverts and the like are cut by their tags and names, the latter unless they
+hold much of the page's text. Each node's density is
 its characters per tag, raised for text outside links and lowered for text in them; a node's sum is that of its
 children's densities. The node with the greatest sum is the core of the article; going up from it towards the body,
-the subtree is widened as long as the density stays above the body's own.
+the subtree is widened as long as the density stays above the body's own. Lists of links are dropped outside the core.
 """
 
 from __future__ import annotations
@@ -38,23 +39,48 @@ END_BORDER = frozenset("table td th caption html".split())
 
 #: Elements and names that hold no article text.
 NO_TEXT = frozenset("nav footer aside form button select option input label fieldset dialog menu head object embed audio video canvas datalist".split()) | RAW
+#: Whole names of a class list or id; where an element has much of the page's text the density decides instead.
 NO_TEXT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|menu|navbar|nav|navigation|breadcrumbs?|footer|masthead|"
+    r"ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|menu|navbar|nav|navigation|breadcrumbs?|footer|masthead|"
     r"comments?|disqus|replies|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|"
-    r"recommended|pagination|pager|toolbar|widget|hidden|skip)(?:$|[\s_-])",
+    r"recommended|pagination|pager|toolbar|widget|hidden|skip",
     re.IGNORECASE,
 )
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+#: From this share of the page's text and so many characters, an element cut by its name alone is left to the density.
+MUCH_TEXT, LEAST_TEXT = 0.5, 250
+#: Elements that are never cut by their attributes.
+KEPT = frozenset("html body article main".split())
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.IGNORECASE)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.DOTALL)
 SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 
 
+def cut_by(attributes: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether it is named as one without article text."""
+    hidden = named = False
+    seen = set()
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if name in seen:
+            continue  # the first of a name holds
+        seen.add(name)
+        if name == "hidden":
+            hidden = hidden or value.strip().lower() != "false"
+        elif name == "aria-hidden":
+            hidden = hidden or value.strip().lower() == "true"
+        elif name == "style":
+            hidden = hidden or bool(NO_DISPLAY.search(html.unescape(value)))
+        elif name in ("class", "id", "role"):
+            named = named or any(NO_TEXT_NAMES.fullmatch(x) for x in value.split())
+    return hidden, named
+
+
 class Node:
-    __slots__ = ("chars", "children", "cut", "density", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "cut", "density", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut = tag, parent, cut
+        self.tag, self.parent, self.cut, self.named = tag, parent, cut, False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -105,8 +131,9 @@ def tree(page: str) -> Node:
             at = at.parent
         attributes = m[3]
         cut = name in NO_TEXT
-        if attributes and not cut:
-            cut = bool(HIDDEN.search(attributes)) or any(NO_TEXT_NAMES.search(a or b or c) for a, b, c in NAMED.findall(attributes)) and name not in ("body", "html", "article", "main")
+        named = False
+        if attributes and not cut and name not in KEPT:
+            cut, named = cut_by(attributes)
         if name == "header" and not cut:
             node = at
             while node is not root and node.tag not in ("article", "main"):
@@ -118,6 +145,7 @@ def tree(page: str) -> Node:
                 place = end.end() if end else len(page)
             continue
         node = Node(name, at, cut)
+        node.named = named
         at.children.append(node)
         if name not in VOID and not attributes.endswith("/"):
             at = node
@@ -126,6 +154,27 @@ def tree(page: str) -> Node:
     return root
 
 
+def cut_named(root: Node) -> None:
+    """Cuts the named elements that don't hold much of the page's text, links not counted."""
+    order: list[tuple[Node, bool]] = []
+    todo = [(root, False)]
+    any_named = False
+    while todo:
+        node, linked = todo.pop()
+        order.append((node, linked))
+        any_named = any_named or node.named
+        todo.extend((c, linked or c.tag == "a") for c in node.children if isinstance(c, Node) and not c.cut)
+    if not any_named:
+        return
+    chars: dict[int, int] = {}
+    for node, linked in reversed(order):
+        own = 0 if linked else sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        chars[id(node)] = own + sum(chars[id(c)] for c in node.children if isinstance(c, Node) and not c.cut)
+    for node, _ in order:
+        if node.named and chars[id(node)] < max(LEAST_TEXT, MUCH_TEXT * chars[id(root)]):
+            node.cut = True
+
+
 def measure(root: Node) -> list[Node]:
     """Counts of every node, in page order; cut nodes are left out."""
     order: list[Node] = []
@@ -162,8 +211,11 @@ def densities(order: list[Node], body: Node) -> None:
             node.parent.sum += node.density
 
 
-def blocks_of(top: Node) -> list[str]:
-    """Texts of a subtree's blocks in page order, with white space made one space and references decoded."""
+def blocks_of(top: Node, core: Node | None) -> list[str]:
+    """Texts of a subtree's blocks in page order, with white space made one space and references decoded.
+
+    Lists of links are left out where they stand outside the core.
+    """
     out: list[str] = []
     run: list[str] = []
 
@@ -173,6 +225,12 @@ def blocks_of(top: Node) -> list[str]:
             out.append(text)
         run.clear()
 
+    inside: set[int] = set()
+    around: set[int] = set()
+    above = core
+    while above is not None:
+        around.add(id(above))
+        above = above.parent
     todo: list = [top]
     while todo:
         item = todo.pop()
@@ -184,7 +242,9 @@ def blocks_of(top: Node) -> list[str]:
             if item.tag in BLOCKS:
                 end()
                 todo.append(None)
-            if item.link_tags > 1 and item.tag in BLOCKS and item.link_chars > 0.6 * item.chars:
+            if item is core or id(item.parent) in inside:
+                inside.add(id(item))
+            elif id(item) not in around and item.link_tags > 1 and item.tag in BLOCKS and item.link_chars > 0.6 * item.chars:
                 continue  # a list of links
             todo.extend(reversed(item.children))
     end()
@@ -196,6 +256,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = tree(page)
+    cut_named(root)
     order = measure(root)
     body = next((n for n in order if n.tag == "body"), root)
     if not body.chars:
@@ -205,15 +266,14 @@ def main_text(page: str | None) -> str:
     densities(order, body)
     inside = order[order.index(body) :]
     core = max(inside, key=lambda n: n.sum)
-    if core.sum <= 0:
-        core = body
-    best = node = core
+    chosen = core if core.sum > 0 else None
+    best = node = core = chosen or body
     while node is not body and node.parent is not None and node is not root:
         node = node.parent
         if node is body or node.density < body.density:
             break
         best = node
-    return "\n".join(blocks_of(best))
+    return "\n".join(blocks_of(best, chosen))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

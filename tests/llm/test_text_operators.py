@@ -221,6 +221,34 @@ def test_main_text():
     assert [html_extract.main_text(x) for x in (None, "", "plain", "<p>open <b>bold", "<<<>>>", "<script>x")] == ["", "", "plain", "open bold", "<<<>>>", ""]
 
 
+ARTICLE = "".join(f"<p>Sentence number {k} of the story goes on for a while, as stories do.</p>" for k in range(6))
+STORY = "\n".join(f"Sentence number {k} of the story goes on for a while, as stories do." for k in range(6))
+
+
+@pytest.mark.parametrize("attributes", [
+    'style="overflow:hidden"', 'class="overflow-hidden"', 'data-title="The hidden truth"', 'class="content no-sidebar"', "class=has-sidebar", 'class="menu-open"',
+    'class="entry comment-count-3"', "aria-hidden=false", 'style="display:block" title="display:none"', 'class="widget"',
+])
+def test_articles_are_not_cut_by_loose_names(attributes):
+    for tag in ("div", "section", "article", "main"):
+        assert html_extract.main_text(f"<html><body><nav><a href=1>One</a></nav><{tag} {attributes}>{ARTICLE}</{tag}></body></html>") == STORY
+    assert html_extract.main_text(f"<html><body {attributes}>{ARTICLE}</body></html>") == STORY
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'hidden=""', "HIDDEN", 'aria-hidden="true"', 'style="color:red; display : none"', "style='display:none !important'", 'class="x sidebar"', "id=comments", "role=navigation"])
+def test_hidden_and_named_elements_are_cut(attributes):
+    assert html_extract.main_text(f"<body><div>{ARTICLE}<div {attributes}><p>Some few words that are no part of it.</p></div></div></body>") == STORY
+
+
+def test_adverts_of_short_pages_are_cut():
+    assert html_extract.main_text('<body><div class="ad">Buy more of it than the page has words.</div><article><p>Short.</p></article></body>') == "Short."
+
+
+def test_lists_of_links_in_the_core_stay():
+    links = "<ul><li><a href=1>First source of the story</a><li><a href=2>Second source</a></ul>"
+    assert html_extract.main_text(f"<body><div><ul><li><a href=3>Home</a><li><a href=4>News</a></ul></div><article>{ARTICLE}{links}</article></body>") == STORY + "\nFirst source of the story\nSecond source"
+
+
 def test_pages(spark, sf_dir, no_docs):
     pages = table(spark, sf_dir, "pages")
     rows = html_extract.extract(pages.union(pages.limit(1))).collect()

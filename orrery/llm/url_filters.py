@@ -1,7 +1,7 @@
 """URL filter by rules and by a tree of path templates, with DataFrame functions alone.
 
 Rules label the URLs they fit. For the others a tree is built for each host over path segments: under a node with many
-children the rare ones become one wildcard; sibling branches of the same shape whose labelled shares don't differ
+children the rare ones become one wildcard, level by level down to the deepest; branches of the first segment of the same shape whose labelled shares don't differ
 significantly are merged; a template is blocked if its smoothed share of blocked among labelled URLs is high enough.
 Everything is counted over distinct paths with partial aggregation, so a host with most of the rows costs no more than
 its distinct paths.
@@ -10,6 +10,7 @@ its distinct paths.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -61,23 +62,20 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col:
     part = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = parsed.select(
         "id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("given"),
-        F.coalesce(F.get(part, F.lit(0)), F.lit("")).alias("s1"), F.coalesce(F.get(part, F.lit(1)), F.lit("")).alias("s2"),
-        F.array_join(F.slice(part, 3, 1_000_000), "/").alias("s3"),
+        F.array_join(part, "/").alias("s"),
     )
     # the tree's tables are far smaller than the input; each is written once, as several steps read it
-    tree = stored(rows.groupBy("host", "s1", "s2", "s3").agg(F.count("*").alias("n"), F.count_if(F.col("given") == "block").alias("b"), F.count_if(F.col("given") == "allow").alias("a")))
+    tree = rows.groupBy("host", "s").agg(F.count("*").alias("n"), F.count_if(F.col("given") == "block").alias("b"), F.count_if(F.col("given") == "allow").alias("a"))
+    tree = stored(tree.withColumns({"size": F.size(F.split("s", "/")), "t1": F.lit(None).cast("string"), "tail": F.lit("")}))
     for level in (1, 2, 3):
-        node = ["host", *(f"t{k}" for k in range(1, level))]
-        segment = f"s{level}"
-        children = tree.groupBy(*node, segment).agg(F.sum("n").alias("cn"))
-        nodes = children.groupBy(*node).agg(F.count("*").alias("nk"), F.sum("cn").alias("nt"))
-        token = F.when((F.col("nk") > max_children) & (F.col("cn") < kept_share * F.col("nt")), "*").otherwise(F.col(segment))
-        tokens = children.join(nodes, node).select(*node, segment, token.alias(f"t{level}"))
-        tree = stored(tree.join(tokens, [*node, segment]))
-    leaves = tree.groupBy("host", "t1", "t2", "t3").agg(*(F.sum(c).alias(c) for c in ("n", "b", "a")))
+        tree = tree.withColumn("tail", F.col("tail") if level < 3 else F.concat("tail", F.lit("/")))
+        tree = stored(_descended(tree, level, max_children, kept_share))
+    tree = _deepened(tree, max_children, kept_share)
+    leaves = tree.groupBy("host", "t1", "tail").agg(*(F.sum(c).alias(c) for c in ("n", "b", "a")))
     leaves = stored(leaves)
-    # a generalised node has few children, so a branch's shape is short
-    branches = leaves.groupBy("host", "t1").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.array_join(F.array_sort(F.collect_set(F.concat_ws("/", "t2", "t3"))), "|").alias("shape"))
+    # a branch's shape is its set of tails, told by their number and hashes, as there may be many
+    tail = F.xxhash64("tail")
+    branches = leaves.groupBy("host", "t1").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.concat_ws(" ", F.count("*"), F.sum(tail.cast("decimal(38,0)")), F.bit_xor(tail)).alias("shape"))
     branches = branches.withColumn("labelled", F.col("a") + F.col("b") > 0)
     pools = branches.groupBy("host", "shape", "labelled").agg(F.sum("b").alias("pb"), F.sum("a").alias("pa"))
     rate = F.try_divide(F.col("pb"), F.col("pa") + F.col("pb"))
@@ -88,17 +86,58 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col:
     merged = judged.join(groups, ["host", "shape", "labelled"], "left").select("host", "t1", F.when(F.col("near") & (F.col("alike") > 1), F.concat(F.lit("*"), F.when(F.col("labelled"), "").otherwise("?"))).otherwise(F.col("t1")).alias("m1"))
     merged = stored(merged)
     leaves = leaves.join(merged, ["host", "t1"])
-    templates = leaves.groupBy("host", "m1", "t2", "t3").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
-    templates = templates.select("host", "m1", "t2", "t3", ((F.col("b") + 1) / (F.col("a") + F.col("b") + 2)).alias("blocked"))
+    templates = leaves.groupBy("host", "m1", "tail").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    templates = templates.select("host", "m1", "tail", ((F.col("b") + 1) / (F.col("a") + F.col("b") + 2)).alias("blocked"))
     verdicts = (
-        tree.select("host", "s1", "s2", "s3", "t1", "t2", "t3").join(merged, ["host", "t1"]).join(templates, ["host", "m1", "t2", "t3"])
-        .select("host", "s1", "s2", "s3", F.concat_ws("/", F.lit(""), "m1", "t2", "t3").alias("template"), F.when(F.col("blocked") >= purity, "block").otherwise("allow").alias("learned"))
+        tree.select("host", "s", "t1", "tail").join(merged, ["host", "t1"]).join(templates, ["host", "m1", "tail"])
+        .select("host", "s", F.concat_ws("/", F.lit(""), "m1", "tail").alias("template"), F.when(F.col("blocked") >= purity, "block").otherwise("allow").alias("learned"))
     )
-    return rows.join(verdicts, ["host", "s1", "s2", "s3"], "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("given", "learned").alias("verdict"), "template")
+    return rows.join(verdicts, ["host", "s"], "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("given", "learned").alias("verdict"), "template")
+
+
+def _descended(tree: DataFrame, level: int, max_children: int, kept_share: float) -> DataFrame:
+    """The paths with the token of their segment at this level: t1 at the first, at others added to the tail.
+
+    tree: (host, s, n, b, a, size, t1, tail). A path that has ended counts as a child without name.
+    """
+    node = ["host", "t1", "tail"][: 1 if level == 1 else 3]
+    tree = tree.withColumn("segment", F.coalesce(F.get(F.split("s", "/"), F.lit(level - 1)), F.lit("")))
+    children = tree.groupBy(*node, "segment").agg(F.sum("n").alias("cn"))
+    nodes = children.groupBy(*node).agg(F.count("*").alias("nk"), F.sum("cn").alias("nt"))
+    token = F.when((F.col("nk") > max_children) & (F.col("cn") < kept_share * F.col("nt")), "*").otherwise(F.col("segment"))
+    found = tree.join(children.join(nodes, node).select(*node, "segment", token.alias("token")), [*node, "segment"])
+    if level == 1:
+        t1, tail = F.col("token"), F.col("tail")
+    else:
+        t1, tail = F.col("t1"), F.concat("tail", F.when(F.col("token") == "", "").otherwise(F.concat(F.lit("/" if level > 3 else ""), "token")))
+    return found.select("host", "s", "n", "b", "a", "size", t1.alias("t1"), tail.alias("tail"))
+
+
+def _deepened(tree: DataFrame, max_children: int, kept_share: float) -> DataFrame:
+    """The same step from the fourth level to the deepest.
+
+    Below a node of at most max_children distinct paths no node can have more children, so there the rest stays as it is.
+    """
+    whole = ["host", "s", "n", "b", "a", "size", "t1", "tail"]
+    done, going, level = [tree.filter("size < 3")], tree.filter("size >= 3"), 4
+    if tree.filter("size > 3").isEmpty():
+        return tree
+    while not going.isEmpty():
+        nodes = going.groupBy("host", "t1", "tail").agg(F.count("*").alias("paths"), F.max("size").alias("deep"))
+        wide = (F.col("paths") > max_children) & (F.col("deep") >= level)
+        going = going.join(nodes, ["host", "t1", "tail"]).withColumn("wide", wide)
+        rest = F.slice(F.split("s", "/"), level, F.greatest(F.col("size"), F.lit(1)))
+        literal = F.when(F.col("size") >= level, F.concat(F.col("tail"), F.lit("/"), F.array_join(rest, "/"))).otherwise(F.col("tail"))
+        done.append(going.filter("not wide").withColumn("tail", literal).select(*whole))
+        going = stored(_descended(going.filter("wide").select(*whole), level, max_children, kept_share))
+        done.append(going.filter(F.col("size") < level))
+        going = going.filter(F.col("size") >= level)
+        level += 1
+    return stored(reduce(DataFrame.unionByName, done))
 
 
 def oracle(rules: Sequence[tuple[str, str, str]], max_children: int = MAX_CHILDREN, kept_share: float = KEPT_SHARE, errors: float = ERRORS, purity: float = PURITY) -> str:
-    """DuckDB SQL for judge_urls over the table pages."""
+    """DuckDB SQL for judge_urls over the table pages, for paths of up to three segments: it takes the rest as the third."""
     quoted = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
     levels = "tree0 as (select * from paths)"
     for k in (1, 2, 3):

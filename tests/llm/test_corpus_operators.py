@@ -194,6 +194,52 @@ def test_urls_equal_sql(spark, sf_dir):
         assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, rows))
 
 
+def brute_tails(paths, level=1):
+    """The template of each path: paths maps tuples of segments to counts, all below one node."""
+    children = Counter()
+    for path, n in paths.items():
+        children[path[level - 1] if level <= len(path) else ""] += n
+    total, groups, out = sum(children.values()), {}, {}
+    for path, n in paths.items():
+        segment = path[level - 1] if level <= len(path) else ""
+        token = "*" if len(children) > url_filters.MAX_CHILDREN and children[segment] < url_filters.KEPT_SHARE * total else segment
+        if level > 3 and len(path) < level:
+            out[path] = (token,)
+        else:
+            groups.setdefault(token, {})[path] = n
+    for token, some in groups.items():
+        if level < 3 or max(map(len, some)) > level:
+            below = brute_tails({p: n for p, n in some.items() if level < 3 or len(p) >= level}, level + 1)
+        else:
+            below = {}
+        out |= {p: (token, *below.get(p, ())) for p in some}
+    return out
+
+
+def test_deep_paths_are_generalised(spark):
+    r = random.Random(8)
+    urls = [f"http://a.com/a/b/{k}/{'xy'[k % 2]}" for k in range(60)]
+    deep = ["/".join(r.choice("pq") if r.random() < 0.7 else str(r.randrange(60)) for _ in range(r.randrange(1, 9))) for _ in range(1500)]
+    urls += [f"http://b.com/{p}" for p in deep]
+    # the blocked section is one of many and rare; what it says holds for pages of its structure alone
+    urls += [f"http://c.com/{k}/list/{k}-{j}/{'xy'[j % 2]}" for k in range(40) for j in range(6)] + [f"http://c.com/bad/list/{j}/x" for j in range(6)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filters.judge_urls(pages, [("c.com", "/bad/", "block")]).collect()}
+    assert len(got) == len(urls)
+    assert {got[k]["template"] for k in range(60)} == {"/a/b/*/x", "/a/b/*/y"}
+    want = brute_tails(Counter(tuple(p.split("/")) for p in deep))
+    assert {len(t) for t in want.values()} > {3, 6}
+    for k, p in enumerate(deep, 60):
+        first, *tail = want[tuple(p.split("/"))]
+        template = "/".join(x for n, x in enumerate(tail) if x or n < 2)
+        assert got[k]["template"].split("/", 2)[2] == template, p
+    learned = {u.rsplit("/", 1)[1]: set() for u in urls if "c.com" in u}
+    for k, u in enumerate(urls):
+        if "c.com" in u and "/bad/" not in u:
+            learned[u.rsplit("/", 1)[1]].add(got[k]["verdict"])
+    assert learned == {"x": {"block"}, "y": {"allow"}}
+
+
 def test_odd_urls(spark):
     urls = [None, "", "no scheme", "http://", "http://NET", "http://Net/", "https://a.Example.NET/en/1?x#y", "http://xnet/", "http://example.com#/de/", "http://example.com/de/x", "http://fr.org/fr/", "http://É.net/", "a://b.net/://c"]
     pages = spark.createDataFrame([(k, u, "z") for k, u in enumerate(urls)], "page_id long, url string, host string")

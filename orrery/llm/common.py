@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +48,19 @@ def offsets(lengths) -> np.ndarray:
 
 
 def held_out(doc_id) -> F.Column:
-    """The fold that is never learned from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    """The fold that is never learned from. A row of a null id, which has no fold, belongs to it."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
+
+
+def kept_rows(docs: DataFrame, text_col: str, decide: Callable[[list[str | None]], Sequence[bool]]) -> DataFrame:
+    """The rows whose text is kept by a decision on some texts together; all columns stay as they are, and no row is moved."""
+    bounded_batches(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch.column(text_col).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
@@ -71,13 +84,20 @@ def sampled(rows: DataFrame, n: int, id_col: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of the warehouse's parent only where none is named."""
+    """The shared folder that the cluster names, as a setting or as the context's checkpoint directory.
+
+    Where neither is set, a local run uses a folder of its own machine; a cluster, whose machines would not see each
+    other's files, is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("/tmp/orrery-checkpoints")
-    return "/tmp/orrery-checkpoints"
+    set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_.isDefined():
+        return set_.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return tempfile.gettempdir() + "/orrery-checkpoints"
 
 
 def stored(df: DataFrame) -> DataFrame:

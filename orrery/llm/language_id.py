@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, sampled
+from .common import bounded_batches, kept_rows, sampled
 
 #: Bytes in a window, labelled documents learned from at most, and windows taken of each.
 WINDOW, SAMPLE, PER_DOCUMENT = 256, 4000, 2
@@ -137,37 +137,52 @@ def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE, text_col: str
     return train(cut(texts)[0], labels, languages, seed)
 
 
+def classified(texts: Sequence[str | None], network: Network | None) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each whole text; windows are classified in groups, so memory doesn't grow with a text's length."""
+    known = [t is not None and network is not None and bool(LETTER.search(t)) for t in texts]
+    lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    rows = [k for k, yes in enumerate(known) if yes]
+    start = 0
+    while start < len(rows):
+        stop, size = start, 0
+        while stop < len(rows) and (stop == start or size + len(texts[rows[stop]]) < 1 << 18):
+            size += len(texts[rows[stop]])
+            stop += 1
+        windows, owner, length = cut([texts[k].encode() for k in rows[start:stop]])
+        p = np.concatenate([network.probabilities(windows[k : k + 256]) for k in range(0, len(windows), 256)])
+        total = np.zeros((stop - start, p.shape[1]))
+        np.add.at(total, owner, p * length[:, None])
+        total /= total.sum(1, keepdims=True)
+        best = total.argmax(1)
+        own = rows[start:stop]
+        lang[own] = np.array(network.languages, object)[best]
+        score[own] = total[np.arange(len(best)), best]
+        start = stop
+    return lang, score
+
+
 def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every whole text.
 
     A null text and one without letters is `und` with score 0; so is every text without a trained network. Any text is
-    read to its end, in groups of windows, so memory doesn't grow with its length.
+    read to its end. Repeated rows and rows of a null id are judged like any other. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            known = [t is not None and network is not None and bool(LETTER.search(t)) for t in texts]
-            lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            rows = [k for k, yes in enumerate(known) if yes]
-            start = 0
-            while start < len(rows):
-                stop, size = start, 0
-                while stop < len(rows) and (stop == start or size + len(texts[rows[stop]]) < 1 << 18):
-                    size += len(texts[rows[stop]])
-                    stop += 1
-                windows, owner, length = cut([texts[k].encode() for k in rows[start:stop]])
-                p = np.concatenate([network.probabilities(windows[k : k + 256]) for k in range(0, len(windows), 256)])
-                total = np.zeros((stop - start, p.shape[1]))
-                np.add.at(total, owner, p * length[:, None])
-                total /= total.sum(1, keepdims=True)
-                best = total.argmax(1)
-                own = rows[start:stop]
-                lang[own] = np.array(network.languages, object)[best]
-                score[own] = total[np.arange(len(best)), best]
-                start = stop
+            lang, score = classified(batch["text"].tolist(), network)
             yield pd.DataFrame({"id": batch["id"], "lang_pred": lang, "score": score})
 
     bounded_batches(docs)
     narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     return narrow.mapInPandas(run, "id string, lang_pred string, score double").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
+
+
+def recognised(docs: DataFrame, network: Network | None, sure: float, text_col: str = "text") -> DataFrame:
+    """The rows whose language is known with a score of `sure` at least, with all their columns."""
+
+    def decide(texts: list[str | None]) -> Sequence[bool]:
+        lang, score = classified(texts, network)
+        return (lang != UNKNOWN) & (score >= sure)
+
+    return kept_rows(docs, text_col, decide)

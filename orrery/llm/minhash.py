@@ -11,26 +11,30 @@ between nodes that share a bucket is lost.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, offsets, stored
+from .common import bounded_batches, chunks, stored
 
 #: Two sets of similarity 0.8 miss all of 40 bands of 5 with a probability of 1.2e-7.
 BANDS, ROWS = 40, 5
-RING = 1 << 16
+#: Places of the ring for sets of up to LONG shingles; larger sets, which would fill it, are scattered over all 64-bit numbers.
+RING, LONG = 1 << 16, 1 << 14
 #: Nodes of a bucket are compared by the lowest bits of so many coordinates, in blocks of so many nodes; a pair goes on if
 #: its estimate is at most so many standard errors below the similarity asked for.
-BITS, BLOCK, ERRORS = 2048, 256, 5.3
+BITS, BLOCK, ERRORS = 2048, 1024, 5.3
 #: Rounds of one head for each node, and of its likeliest partner, before all remaining pairs are compared; nodes that one
 #: task compares with a head.
 ROUNDS, BEST, TOGETHER = 2, 2, 200
+#: Words whose hashes a worker remembers, and the seed of these hashes.
+WORDS_KEPT, SEED = 200_000, 0x5851F42D
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,63 +46,59 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = _inverse = np.ones(1, np.uint64)
+class WordHashes(dict):
+    """Seeded 64-bit hashes of words' bytes, remembered."""
 
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
+        return found
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse."""
-    global _powers, _inverse
-    if len(_powers) <= n:
-        _powers, _inverse = np.full(n + 1, MULTIPLIER, np.uint64), np.full(n + 1, pow(int(MULTIPLIER), -1, 1 << 64), np.uint64)
-        _powers[0] = _inverse[0] = 1
-        np.cumprod(_powers, out=_powers)
-        np.cumprod(_inverse, out=_inverse)
-    return _powers, _inverse
+
+_hashes = WordHashes()
 
 
 def shingle_sets(texts: Sequence[str], size: int) -> list[np.ndarray]:
     """Each text's set of word shingles as sorted 64-bit hashes.
 
     A-Z are lower-cased; words are split at ASCII white space. A text of fewer words is one shingle of all its words;
-    a text without words has an empty set.
+    a text without words has an empty set. A shingle's hash is a sum of its words' seeded hashes, each times a power of
+    an odd number, so different sequences of words share one with a probability of 2**-64, whatever their letters.
     """
-    raw = [t.encode().lower() for t in texts]
-    sizes = np.array([len(r) + 1 for r in raw], np.int64)
-    if not len(raw):
-        return []
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(blank, prepend=True))
-    start, end = edge[::2], edge[1::2]
-    power, inverse = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    word = mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-    at = np.searchsorted(start, offsets(sizes))
+    if len(_hashes) > WORDS_KEPT:
+        _hashes.clear()
+    lists = [t.encode().lower().split() for t in texts]
+    counts = [len(x) for x in lists]
+    word = np.fromiter(map(_hashes.__getitem__, itertools.chain.from_iterable(lists)), np.uint64, sum(counts))
     total = np.zeros(max(len(word) - size + 1, 0), np.uint64)
     for k in range(size):
         total = total * MULTIPLIER + word[k : k + len(total)]
     total = mixed(total)
-    out = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a >= size:
-            out.append(np.unique(total[a : b - size + 1]))
-        elif b > a:
-            one = np.array([b - a], np.uint64)
-            for k in range(a, b):
+    out, at = [], 0
+    for n in counts:
+        if n >= size:
+            out.append(np.unique(total[at : at + n - size + 1]))
+        elif n:
+            one = np.array([n], np.uint64)
+            for k in range(at, at + n):
                 one = one * MULTIPLIER + word[k : k + 1]
             out.append(mixed(one))
         else:
             out.append(np.zeros(0, np.uint64))
+        at += n
     return out
 
 
 class Signer:
-    """The two permutations, made from a seed, and all bands of a set."""
+    """The two permutations, made from a seed, and all bands of a set.
+
+    Sets of up to LONG shingles use a ring of RING places, with both permutations as tables. Larger ones use the ring of
+    all 64-bit numbers, with bijections of them as permutations, so that it never fills. Sets near the limit, which may
+    be similar to sets of both sizes, get the buckets of both rings.
+    """
 
-    def __init__(self, bands: int = BANDS, rows: int = ROWS, seed: int = 1):
+    def __init__(self, bands: int = BANDS, rows: int = ROWS, similarity: int = 80, seed: int = 1):
         r = np.random.default_rng(seed)
-        self.bands, self.rows = bands, rows
+        self.bands, self.rows, self.similarity = bands, rows, similarity
         self.scatter = r.permutation(RING)
         ring = r.permutation(RING).astype(np.uint16)
         ring = np.concatenate([ring, ring])
@@ -109,40 +109,58 @@ class Signer:
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         return self._least(self.shifted, shingles, 1024)
 
+    def own_buckets(self, shingles: np.ndarray) -> np.ndarray:
+        """(2 bands): the set's buckets of the small and of the large ring, 0 where it has none."""
+        out = np.zeros(2 * self.bands, np.int64)
+        if len(shingles) <= LONG:
+            out[: self.bands] = self.buckets(self.signature(shingles)[None])[0]
+        if 100 * len(shingles) > self.similarity * LONG:
+            out[self.bands :] = self.buckets(self._far(shingles, self.bands * self.rows)[None])[0]
+        return out
+
     def marks(self, shingles: np.ndarray) -> bytes:
         """Short numbers of a set's buckets, and the lowest bits of more coordinates."""
-        own = self.buckets(self.signature(shingles)[None])[0].astype(np.uint32)
-        return own.tobytes() + np.packbits(self._least(self.wide, shingles, 128) & 1).tobytes()
+        own = self.own_buckets(shingles)
+        missing = mixed(shingles[:1] + np.arange(1, len(own) + 1, dtype=np.uint64)).view(np.int64)  # equal to nothing
+        least = self._least(self.wide, shingles, 128) if len(shingles) <= LONG else self._far(shingles, BITS)
+        return np.where(own == 0, missing, own).astype(np.uint32).tobytes() + np.packbits((least & least.dtype.type(1)).astype(bool)).tobytes()
 
     def _least(self, windows: np.ndarray, shingles: np.ndarray, together: int) -> np.ndarray:
         """A coordinate for each shift of the second permutation: neighbours on the ring, so a set's windows are just cut out."""
         at = np.unique(self.scatter[(shingles & np.uint64(RING - 1)).astype(np.int64)])
         return reduce(np.minimum, [windows[at[k : k + together]].min(0) for k in range(0, len(at), together)])
 
+    def _far(self, shingles: np.ndarray, shifts: int) -> np.ndarray:
+        """The same on the ring of all 64-bit numbers."""
+        at = mixed(shingles * MULTIPLIER)
+        return np.array([mixed(at + np.uint64(k)).min() for k in range(shifts)], np.uint64)
+
     def buckets(self, signatures: np.ndarray) -> np.ndarray:
         """(sets, bands) bucket numbers."""
         parts = signatures.reshape(len(signatures), self.bands, self.rows).astype(np.uint64)
         return mixed((parts * self.factors).sum(2, dtype=np.uint64) + self.salts).view(np.int64)
 
 
-def signed_documents(docs: DataFrame, size: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, key, buckets): set size, the set's digest, and its buckets."""
+def signed_documents(docs: DataFrame, size: int, bands: int, rows: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, n, key, buckets): the text's hash, set size, the set's digest, and its buckets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer = Signer(bands, rows)
+        signer = Signer(bands, rows, similarity)
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
             for a, b in chunks(texts):
                 sets = shingle_sets(texts[a:b], size)
-                signatures = np.stack([signer.signature(s) if len(s) else np.zeros(bands * rows, np.uint16) for s in sets])
-                found = signer.buckets(signatures)
+                buckets = []
+                for s in sets:
+                    own = signer.own_buckets(s) if len(s) else np.zeros(0, np.int64)
+                    buckets.append(own[own != 0])
                 yield pd.DataFrame({
-                    "id": batch["id"].to_numpy()[a:b], "n": [len(s) for s in sets],
-                    "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "buckets": list(found),
+                    "id": batch["id"].to_numpy()[a:b], "h": batch["h"].to_numpy()[a:b], "n": [len(s) for s in sets],
+                    "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "buckets": buckets,
                 })
 
-    narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, "id string, n long, key binary, buckets array<long>").withColumn("id", F.col("id").cast("long"))
+    narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return narrow.mapInPandas(run, "id string, h long, n long, key binary, buckets array<long>").withColumn("id", F.col("id").cast("long"))
 
 
 def alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: int) -> DataFrame:
@@ -202,81 +220,104 @@ def likely_pairs(placed: DataFrame, marks: DataFrame, similarity: int, bands: in
     """(head, key) pairs of different components in one bucket whose signatures and sizes leave similarity possible; with
     `best` only each node's likeliest of a pair of blocks.
 
-    placed: (bucket, size, key, n, component). A bucket's nodes are dealt to blocks of about BLOCK, and each pair of
-    blocks is one row of work, so neither a bucket nor its pairs are ever together in one place. A pair is taken in the
-    first band alone that both share.
+    placed: (bucket, size, key, n, component). A bucket's nodes are dealt to blocks of about BLOCK. The rows of each pair
+    of blocks come one after another to one task, and different pairs to different tasks, so neither a bucket nor its
+    pairs are ever together in one place. A pair is taken in the first band alone that both share. Sets of different
+    rings can't be compared by signatures, so such a pair always goes on.
     """
-    rows = placed.join(marks, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).cast("int"))
-    columns = ("keys", "ns", "components", "marks")
-    blocks = rows.groupBy("bucket", "block").agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("ns"), F.collect_list("component").alias("components"), F.collect_list("marks").alias("marks"))
-    other = blocks.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("block", *columns)))
-    met = blocks.join(other, "bucket").filter(F.col("block") <= F.col("block_2"))
+    rows = placed.join(marks, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"), "key", "n", "component", "marks")
+    rows = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     share = (1 + similarity / 100) / 2  # of equal bits
     least = share - ERRORS * (share * (1 - share) / BITS) ** 0.5
 
+    def met(bucket: int, same: bool, part: pd.DataFrame) -> np.ndarray:
+        """Pairs of one pair of blocks, (pairs, 2)."""
+        sides = [part, part] if same else [part[~part["second"]], part[part["second"]]]
+        if not len(sides[0]) or not len(sides[1]):
+            return np.zeros((0, 2), np.int64)
+        raw = [np.frombuffer(b"".join(x["marks"]), np.uint8).reshape(len(x), -1) for x in sides]
+        own = [np.ascontiguousarray(x[:, : 8 * bands]).view(np.uint32) for x in raw]
+        a, b = (np.ascontiguousarray(x[:, 8 * bands :]).view(np.uint64) for x in raw)
+        n, m = (x["n"].to_numpy(np.int64) for x in sides)
+        c, d = (x["component"].to_numpy(np.int64) for x in sides)
+        band = int(np.flatnonzero((own[0] == np.uint32(bucket & 0xFFFFFFFF)).all(0))[0])
+        equal = np.zeros((len(a), len(b)), np.float32)
+        for k in range(len(a)):
+            able = (d != c[k]) & (100 * np.minimum(m, n[k]) >= similarity * np.maximum(m, n[k]))
+            if same:
+                able[: k + 1] = False
+            at = np.flatnonzero(able)
+            if len(at):
+                at = at[~(own[1][at, :band] == own[0][k, :band]).any(1)]
+                near = 1 - np.bitwise_count(a[k] ^ b[at]).sum(1) / BITS
+                equal[k, at] = np.where((m[at] > LONG) == (n[k] > LONG), near, 1.0)
+        keep = equal >= least
+        if best:
+            keep &= (equal >= equal.max(1, keepdims=True)) | (equal >= equal.max(0, keepdims=True))
+        i, j = np.nonzero(keep)
+        return np.stack([sides[0]["key"].to_numpy(np.int64)[i], sides[1]["key"].to_numpy(np.int64)[j]], 1)
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                sides = [np.frombuffer(b"".join(m), np.uint8).reshape(len(m), -1) for m in (r.marks, r.marks_2)]
-                bucket = [np.ascontiguousarray(m[:, : 4 * bands]).view(np.uint32) for m in sides]
-                a, b = (np.ascontiguousarray(m[:, 4 * bands :]).view(np.uint64) for m in sides)
-                n, m = np.asarray(r.ns, np.int64), np.asarray(r.ns_2, np.int64)
-                c, d = np.asarray(r.components), np.asarray(r.components_2)
-                band = int(np.flatnonzero((bucket[0] == np.uint32(r.bucket & 0xFFFFFFFF)).all(0))[0])
-                equal = np.zeros((len(a), len(b)))
-                for k in range(len(a)):
-                    able = (d != c[k]) & (100 * np.minimum(m, n[k]) >= similarity * np.maximum(m, n[k]))
-                    if r.block == r.block_2:
-                        able[: k + 1] = False
-                    at = np.flatnonzero(able)
-                    if len(at):
-                        at = at[~(bucket[1][at, :band] == bucket[0][k, :band]).any(1)]
-                        equal[k, at] = 1 - np.bitwise_count(a[k] ^ b[at]).sum(1) / BITS
-                keep = equal >= least
-                if best:
-                    keep &= (equal >= equal.max(1, keepdims=True)) | (equal >= equal.max(0, keepdims=True))
-                out += [(r.keys[i], r.keys_2[j]) for i, j in zip(*(x.tolist() for x in np.nonzero(keep)), strict=True)]
-            if out:
-                found = np.array(out, np.int64)
+        held: list[pd.DataFrame] = []
+        last = None
+
+        def pairs() -> Iterator[pd.DataFrame]:
+            found = met(last[0], last[1] == last[2], pd.concat(held))
+            if len(found):
                 yield pd.DataFrame({"head": found.min(1), "key": found.max(1)})
 
-    return met.mapInPandas(compare, "head long, key long").distinct()
+        for batch in batches:
+            for group, part in batch.groupby(["bucket", "low", "high"], sort=False):
+                if held and group != last:
+                    yield from pairs()
+                    held = []
+                last = group
+                held.append(part)
+        if held:
+            yield from pairs()
 
+    return rows.mapInPandas(compare, "head long, key long").distinct()
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, best: int = BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row.
 
-    component_id is the smallest id that a document can reach by links of 100 * intersection >= similarity * union.
-    A null text and one without words has an empty set and is linked with nothing, as is a row of a null id, whose
-    component is null and which isn't kept. Repeated rows share one id, so both are kept or neither is; rows of one id
-    and different texts stand for one document. An empty table gives an empty result. Columns other than the two named are not read.
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, best: int = BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept, text_hash, chosen) of every row.
+
+    component_id is the smallest id that a document can reach by links of 100 * intersection >= similarity * union, and
+    kept tells whether it is the document's own. A null text and one without words has an empty set and is linked with
+    nothing. Rows of a null id are linked like others; their component is null if it has no other rows, and they are
+    never kept. Repeated rows share one id, so both are kept or neither is; rows of one id and different texts are nodes
+    of their own. chosen marks the rows of one (id, text hash) of each component, null ids last, and all rows of empty
+    sets: what stays if one of each group is to stay. An empty table gives an empty result. Columns other than the two
+    named are not read.
     """
     bounded_batches(docs)
-    signed = stored(signed_documents(docs, size, bands, rows, id_col, text_col))
-    sets = signed.filter("id is not null and n > 0")
-    # a node is called by its least id; 8 bytes a row keep the buckets' shuffle small
-    nodes = sets.groupBy("key").agg(F.min("id").alias("node"), F.min("n").cast("int").alias("n"), F.min("buckets").alias("buckets"))
-    nodes = stored(nodes)
-    bucket = Window.partitionBy("bucket")
-    filed = nodes.select(F.col("node").alias("key"), "n", F.explode("buckets").alias("bucket")).withColumn("first", F.min("key").over(bucket)).withColumn("last", F.max("key").over(bucket))
-    filed = stored(filed.filter(F.col("first") != F.col("last")).select("key", "n", "bucket"))  # buckets of one node say nothing
-    wanted = nodes.select("key", F.col("node").alias("id")).join(filed.select(F.col("key").alias("id")).distinct(), "id", "left_semi")
+    signed = stored(signed_documents(docs, size, bands, rows, similarity, id_col, text_col))
+    # a node is a distinct set; a number of 8 bytes, fixed by writing it, keeps the buckets' shuffle small
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
+    nodes = signed.filter("n > 0").groupBy("key").agg(first.alias("pick"), F.min("n").cast("int").alias("n"), F.min("buckets").alias("buckets"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()).withColumnRenamed("key", "digest"))
+    filed = nodes.select(F.col("node").alias("key"), "n", F.explode("buckets").alias("bucket"))
+    shared = filed.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter(F.col("a") != F.col("b")).select("bucket")
+    filed = stored(filed.join(shared, "bucket", "left_semi"))  # buckets of one node say nothing
+    wanted = nodes.select("node", "digest", F.col("pick.id").alias("wanted_id"), F.col("pick.h").alias("wanted_h")).join(filed.select(F.col("key").alias("node")).distinct(), "node", "left_semi")
 
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows whose text gives the set wanted (another row of the same id may not), with the set's marks."""
-        signer = Signer(bands, rows)
+        """Rows whose text gives the set wanted, with the set's marks."""
+        signer = Signer(bands, rows, similarity)
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in chunks(texts):
                 part = batch.iloc[a:b]
                 sets = shingle_sets(texts[a:b], size)
-                same = [xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(sets, part["key"], strict=True)]
+                same = [xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(sets, part["digest"], strict=True)]
                 part = part[same]
-                yield pd.DataFrame({"key": part["id"], "text": part["text"], "marks": [signer.marks(s) for s, yes in zip(sets, same, strict=True) if yes]})
+                yield pd.DataFrame({"key": part["node"], "text": part["text"], "marks": [signer.marks(s) for s, yes in zip(sets, same, strict=True) if yes]})
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(wanted, "id").select("id", "key", "text").mapInPandas(checked, "key long, text string, marks binary")
-    texts = stored(texts.dropDuplicates(["key"]))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").withColumn("h", F.xxhash64("text"))
+    source = source.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("h") == F.col("wanted_h")))
+    texts = stored(source.select("node", "digest", "text").mapInPandas(checked, "key long, text string, marks binary").dropDuplicates(["key"]))
     labels = nodes.sparkSession.createDataFrame([], "node long, component long")
     tested = nodes.sparkSession.createDataFrame([], "lesser long, greater long")
     fits = lambda m, n: 100 * F.least(m, n) >= similarity * F.greatest(m, n)
@@ -306,8 +347,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80, bands:
             known = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
             labels = stored(known.unionByName(joined).groupBy("node").agg(F.min("component").alias("component")))
         tested = stored(tested.unionByName(pairs.select(F.least("head", "key").alias("lesser"), F.greatest("head", "key").alias("greater"))))
-    # a component is called by its least node, and a node by its least id
-    found = nodes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
-    rows_ = signed.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key"))
-    out = rows_.join(found, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    # a component is called by the least id of its nodes
+    picks = nodes.select("node", "digest", "pick")
+    named = labels.join(picks.select("node", "pick"), "node").groupBy("component").agg(F.min("pick").alias("first"))
+    linked = labels.join(named, "component").select("node", "first")
+    found = picks.join(linked, "node", "left").select("digest", F.coalesce("first", "pick").alias("first"))
+    out = signed.withColumn("digest", F.when(F.col("n") > 0, F.col("key"))).join(found, "digest", "left")
+    component = F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id"))
+    chosen = (F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")))
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
+        F.col("h").alias("text_hash"), F.coalesce(chosen, F.lit(False)).alias("chosen"),
+    )

@@ -4,8 +4,8 @@ Where strings of W bytes may start is cut into runs by content: a position belon
 strings inside its window, and neighbours of the same hash are one run. Equal windows have equal hashes, wherever they
 stand, so a run can only share a window with runs of its own hash. Hashes that come once are done; the text of the
 other runs goes to shards by hash, where a suffix array (Larsson-Sadakane refinement) and common prefixes (Kasai) find
-equal windows. A hash with very many runs is dealt over several shards, whose sorted lists of windows are merged by
-binary search. Removed bytes then go back to their documents.
+equal windows. A hash whose runs have many bytes is dealt over several shards; each lists its windows once, sorted by
+128-bit digests, and these lists are merged by binary search. Removed bytes then go back to their documents.
 """
 
 from __future__ import annotations
@@ -15,21 +15,41 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import bounded_batches, chunks, offsets, ranges, stored
-from .minhash import mixed, powers
+from .minhash import mixed
 
 WINDOW, SHORT = 200, 40
-#: Runs of one hash in a shard, at most; bytes whose suffixes are sorted together.
-RUNS, SORTED = 2000, 1 << 20
+#: Bytes of one hash's runs in a shard, about; bytes whose suffixes are sorted together at least; windows of a run.
+SHARD, SORTED, LONGEST = 1 << 19, 1 << 19, 1 << 15
 
 KEY = ["k1", "k2"]
 
+#: A window in the list of a shard: its digest, whether the shard itself has it twice, and one place where it starts.
+LISTED = np.dtype([("digest", "S16"), ("settled", "i1"), ("k1", "i8"), ("k2", "i8"), ("at", "i8")])
+
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_powers = _inverse = np.ones(1, np.uint64)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse."""
+    global _powers, _inverse
+    if len(_powers) <= n:
+        _powers, _inverse = np.full(n + 1, MULTIPLIER, np.uint64), np.full(n + 1, pow(int(MULTIPLIER), -1, 1 << 64), np.uint64)
+        _powers[0] = _inverse[0] = 1
+        np.cumprod(_powers, out=_powers)
+        np.cumprod(_inverse, out=_inverse)
+    return _powers, _inverse
+
 
 def rolling(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the `size` bytes from each position."""
+    """A hash of the `size` bytes from each position. It only says where equal strings may be, never that they are equal."""
     power, inverse = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
@@ -50,6 +70,7 @@ def runs(data: np.ndarray, window: int, short: int) -> tuple[np.ndarray, np.ndar
     """Runs of window starts: their hash, first start and number, and at how many places the hash stands in them.
 
     A run whose hash stands at one place holds no window twice; so a hash that stands at one place anywhere is done.
+    A long run, as of one letter repeated, is cut into pieces of its hash.
     """
     if len(data) < window:
         none = np.zeros(0, np.int64)
@@ -64,6 +85,11 @@ def runs(data: np.ndarray, window: int, short: int) -> tuple[np.ndarray, np.ndar
     a, b = np.searchsorted(chosen, first), np.searchsorted(chosen, first + number + width - 1)
     run = np.repeat(np.arange(len(first)), b - a)
     places = np.bincount(run, weights=hashes[chosen[ranges(a, b - a)]] == least[first][run], minlength=len(first)).astype(np.int64)
+    pieces = -(-number // LONGEST)
+    if len(pieces) and pieces.max() > 1:
+        of = np.repeat(np.arange(len(first)), pieces)
+        skip = (np.arange(len(of)) - offsets(pieces)[of]) * LONGEST
+        return least[first][of], first[of] + skip, np.minimum(number[of] - skip, LONGEST), places[of]
     return least[first], first, number, places
 
 
@@ -168,14 +194,14 @@ def spans(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[new], starts[np.concatenate([new[1:], [len(starts)]]) - 1] + window
 
 
-def window_hashes(text: bytes, window: int) -> np.ndarray:
-    return rolling(np.frombuffer(text, np.uint8), window)
+def window_digests(text: bytes, window: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_128_digest(text[k : k + window]) for k in range(len(text) - window + 1)], "S16")
 
 
 def shard(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
     """Equal windows among runs that come sorted by (hash, part); groups are never torn apart.
 
-    Gives covered bytes (k1, k2, low, high) and, for hashes dealt over several parts, lists of window hashes to merge.
+    Gives covered bytes (k1, k2, low, high) and, for hashes dealt over several parts, lists of windows to merge.
     """
     held: list[tuple] = []
     size = 0
@@ -198,21 +224,22 @@ def shard(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame
                 out += [(held[j][3], held[j][4], held[j][5] + low, held[j][5] + high) for j in rows]
             v, part, parts, k1, k2, s1, _ = held[rows[0]]
             if parts > 1:
-                hashes = window_hashes(text, window)
-                settled = np.zeros(total, bool)
-                settled[starts] = True
-                lists.setdefault((v, part, parts), []).append((hashes, settled, np.full(total, k1), np.full(total, k2), s1 + np.arange(total)))
+                own = np.zeros(total, LISTED)
+                own["digest"], own["k1"], own["k2"], own["at"] = window_digests(text, window), k1, k2, s1 + np.arange(total)
+                own["settled"][starts] = 1
+                lists.setdefault((v, part, parts), []).append(own)
         if out:
             yield pd.DataFrame(out, columns=["k1", "k2", "low", "high"]).assign(v=0, bucket=-1, list=None)
         for (v, part, parts), items in lists.items():
-            hashes, settled, k1, k2, at = (np.concatenate(x) for x in zip(*items, strict=True))
-            bucket = (hashes >> np.uint64(32)) % np.uint64(parts)
-            order = np.lexsort((settled, hashes, bucket))
-            packed = np.stack([hashes.view(np.int64), settled, k1, k2, at], 1)[order]
-            edges = np.searchsorted(bucket[order], np.arange(parts + 1, dtype=np.uint64))
+            every = np.concatenate(items)
+            _, one = np.unique(every["digest"], return_index=True)  # settled windows are listed once
+            every = every[one]
+            bucket = np.ndarray((len(every),), "<u4", every["digest"].tobytes(), strides=(16,)) % np.uint32(parts)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(parts + 1))
             for b in range(parts):
                 if edges[b] < edges[b + 1]:
-                    yield pd.DataFrame({"k1": [0], "k2": [0], "low": [part], "high": [0], "v": [v], "bucket": [b], "list": [packed[edges[b] : edges[b + 1]].tobytes()]})
+                    yield pd.DataFrame({"k1": [0], "k2": [0], "low": [part], "high": [0], "v": [v], "bucket": [b], "list": [every[order[edges[b] : edges[b + 1]]].tobytes()]})
 
     last = None
     for batch in batches:
@@ -229,11 +256,15 @@ def shard(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame
 
 
 def merge_lists(group: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Windows of one hash and bucket that come in more than one part, found by binary search in the parts' sorted lists."""
-    lists = [np.frombuffer(x, np.int64).reshape(-1, 5) for x in group["list"]]
-    keys = [x[:, 0].view(np.uint64) if x[:, 0].flags.c_contiguous else np.ascontiguousarray(x[:, 0]).view(np.uint64) for x in lists]
-    # the parts' sorted lists are merged two by two; what comes of it is one sorted list of distinct hashes of each half
-    halves = [(k[np.concatenate([[True], k[1:] != k[:-1]])], np.zeros(0, np.uint64)) for k in keys]
+    """Windows of one hash and bucket that come in more than one part, found by binary search in the parts' sorted lists.
+
+    A part lists each of its windows once and a bucket has about one of as many buckets as there are parts, so a group
+    is about as large as one part's list.
+    """
+    lists = [np.frombuffer(x, LISTED) for x in group["list"]]
+    # the lists are merged two by two; what comes of it is one sorted list of distinct digests of each half
+    none = np.zeros(0, "S16")
+    halves = [(x["digest"], none) for x in lists]
     while len(halves) > 1:
         merged = []
         for k in range(0, len(halves) - 1, 2):
@@ -244,27 +275,36 @@ def merge_lists(group: pd.DataFrame, window: int) -> pd.DataFrame:
         halves = merged + halves[len(halves) - len(halves) % 2 :]
     twice = halves[0][1]
     out = []
-    for x, k in zip(lists, keys, strict=True):
-        at = np.searchsorted(twice, k)
-        hit = (twice[np.minimum(at, len(twice) - 1)] == k) if len(twice) else np.zeros(len(k), bool)
-        out.append(x[hit & (x[:, 1] == 0)][:, 2:])
+    for x in lists:
+        at = np.searchsorted(twice, x["digest"])
+        hit = (twice[np.minimum(at, len(twice) - 1)] == x["digest"]) if len(twice) else np.zeros(len(x), bool)
+        out.append(x[hit & (x["settled"] == 0)])
     found = np.concatenate(out)
-    return pd.DataFrame({"k1": found[:, 0], "k2": found[:, 1], "low": found[:, 2], "high": found[:, 2] + window})
+    return pd.DataFrame({"k1": found["k1"], "k2": found["k2"], "low": found["at"], "high": found["at"] + window})
+
 
+def covered_bytes(n: int, cover) -> np.ndarray:
+    """Which of n bytes lie in some [low, high)."""
+    marks = np.zeros(n + 1, np.int32)
+    for piece in cover:
+        marks[piece["low"]] += 1
+        marks[piece["high"]] -= 1
+    return np.cumsum(marks[:-1]) > 0
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row; kept (binary) where keep_text is set, and the columns to carry.
 
-    A text is its UTF-8 bytes, a null one is empty. Each byte covered by a string of `window` bytes that starts
-    anywhere else too, in the same or another row, is removed; so repeated rows remove each other. Strings are judged
-    on the input. Rows of a null id are treated like any other. An empty table gives an empty result.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
+
+    keep="bytes" adds what is left (kept, binary), keep="text" as a string (kept), without the bytes of characters that
+    a cut tears apart. carry names columns of any type that are passed on, as fields of one struct (carried), so their
+    names can't clash. A text is its UTF-8 bytes, a null one is empty. Each byte covered by a string of `window` bytes
+    that starts anywhere else too, in the same or another row, is removed; so repeated rows remove each other. Strings
+    are judged on the input. Rows of a null id are treated like any other. An empty table gives an empty result.
     """
     bounded_batches(docs)
-    types = {c: t for c, t in docs.dtypes if c in {id_col, *carry}}
-    extra = [f"x{j}" for j in range(len(carry))]
-    # ids and carried values pass through as text, so that nulls don't turn them into floating-point numbers
-    keyed = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).cast("string").alias(x) for c, x in zip(carry, extra, strict=True)))
-    keyed = keyed.withColumn("k1", F.coalesce(F.col("id").cast("long"), F.lit(-1))).withColumn("k2", F.xxhash64("text"))
+    passed = [StructField("id", docs.schema[id_col].dataType)] + [StructField("carried", StructType([docs.schema[c] for c in carry]))] * bool(carry)
+    columns = [F.col(id_col).alias("id")] + [F.struct(*(F.col(c) for c in carry)).alias("carried")] * bool(carry)
+    keyed = docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k1", F.xxhash64("id")).withColumn("k2", F.xxhash64("text"))
 
     def find_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -278,19 +318,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, id
                     yield pd.DataFrame({"k1": np.repeat(batch["k1"].to_numpy()[a:b], count), "k2": np.repeat(batch["k2"].to_numpy()[a:b], count), "v": v.view(np.int64), "s1": s1, "m": m, "c": c})
 
     every = stored(keyed.select(*KEY, "text").mapInPandas(find_runs, "k1 long, k2 long, v long, s1 int, m int, c int"))
-    often = every.groupBy("v").agg(F.count("*").alias("n"), F.sum("c").alias("c")).filter("c > 1").select("v", F.ceil(F.col("n") / RUNS).cast("int").alias("parts"))
+    size = F.sum(F.col("m").cast("long") + (window - 1))
+    often = every.groupBy("v").agg(size.alias("bytes"), F.sum("c").alias("c")).filter("c > 1").select("v", F.ceil(F.col("bytes") / SHARD).cast("int").alias("parts"))
     lists = every.join(often, "v").groupBy(*KEY).agg(F.collect_set(F.struct("v", "parts", "s1", "m")).alias("runs"))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows without shared runs are finished; the others keep their text."""
         for batch in batches:
-            raw = [t.encode() for t in batch["text"]]
-            done = batch["runs"].isna().to_numpy()
-            yield pd.DataFrame({"id": batch["id"], **{x: batch[x] for x in extra}, "k1": batch["k1"], "k2": batch["k2"], "n_bytes": [len(r) for r in raw], "whole": [hashlib.sha256(r).hexdigest() if d else None for r, d in zip(raw, done, strict=True)], "raw": [None if d and not keep_text else r for r, d in zip(raw, done, strict=True)], "runs": batch["runs"]})
-
-    also = "".join(f"{x} string, " for x in extra)
-    shape = f"id string, {also}k1 long, k2 long, n_bytes long, whole string, raw binary, runs array<struct<v: long, parts: int, s1: int, m: int>>"
-    rows = stored(keyed.join(lists, KEY, "left").mapInPandas(split, shape))
+            raw = [t.encode() for t in batch.column("text").to_pylist()]
+            found = batch.column("runs")
+            done = found.is_null().to_pylist()
+            made = {f.name: batch.column(f.name) for f in passed} | {k: batch.column(k) for k in KEY}
+            made["n_bytes"] = pa.array([len(r) for r in raw], pa.int64())
+            made["whole"] = pa.array([hashlib.sha256(r).hexdigest() if d else None for r, d in zip(raw, done, strict=True)], pa.string())
+            made["raw"] = pa.array([None if d and not keep else r for r, d in zip(raw, done, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_pydict(made | {"runs": found})
+
+    joined = keyed.join(lists, KEY, "left")
+    shape = StructType([*passed, *(StructField(k, LongType()) for k in KEY), StructField("n_bytes", LongType()), StructField("whole", StringType()), StructField("raw", BinaryType()), StructField("runs", joined.schema["runs"].dataType)])
+    rows = stored(joined.mapInArrow(split, shape))
     parts = rows.filter("whole is null").select(*KEY, "raw", F.explode("runs").alias("r"))
     parts = parts.select(F.col("r.v").alias("v"), F.pmod(F.xxhash64(*KEY, "r.s1"), F.col("r.parts")).cast("int").alias("part"), F.col("r.parts").alias("parts"), *KEY, F.col("r.s1").alias("s1"), F.substring("raw", F.col("r.s1") + 1, F.col("r.m") + window - 1).alias("text"))
     parts = parts.repartition("v", "part").sortWithinPartitions("v", "part")
@@ -298,28 +344,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, id
     merged = found.filter("bucket >= 0").groupBy("v", "bucket").applyInPandas(lambda group: merge_lists(group, window), "k1 long, k2 long, low long, high long")
     covered = found.filter("bucket < 0").select(*KEY, "low", "high").unionByName(merged).groupBy(*KEY).agg(F.collect_set(F.struct("low", "high")).alias("covered"))
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for n, whole, raw, cover in zip(batch["n_bytes"], batch["whole"], batch["raw"], batch["covered"], strict=True):
+            for n, whole, raw, cover in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "whole", "raw", "covered")), strict=True):
                 if cover is None or whole is not None:
-                    out.append((n, 0, 0, whole or hashlib.sha256(raw).hexdigest(), raw))
+                    out.append((0, 0, whole or hashlib.sha256(raw).hexdigest(), raw))
                     continue
-                marks = np.zeros(n + 1, np.int32)
-                for piece in cover:
-                    marks[piece["low"]] += 1
-                    marks[piece["high"]] -= 1
-                gone = np.cumsum(marks[:-1]) > 0
+                gone = covered_bytes(n, cover)
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out.append((n, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum()), hashlib.sha256(kept).hexdigest(), kept))
-            made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            for x in ["id", *extra]:
-                made[x] = batch[x].to_numpy()
-            yield made if keep_text else made.drop(columns="kept")
-
-    columns = f"id string, {also}n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    done = rows.filter("whole is not null").select("id", *extra, "n_bytes", "whole", "raw").withColumn("covered", F.lit(None).cast("array<struct<low: long, high: long>>"))
-    cut = rows.filter("whole is null").join(covered, KEY, "left").select("id", *extra, "n_bytes", "whole", "raw", "covered")
-    out = done.unionByName(cut).mapInPandas(finish, columns)
-    figures = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
-    return out.select(F.col("id").cast(types[id_col]).alias(id_col), *(F.col(x).cast(types[c]).alias(c) for c, x in zip(carry, extra, strict=True)), *figures)
+                out.append((int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum()), hashlib.sha256(kept).hexdigest(), kept))
+            removed, spans_, digests, kept = ([x[k] for x in out] for k in range(4))
+            made = {f.name: batch.column(f.name) for f in passed} | {"n_bytes": batch.column("n_bytes"), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans_, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            if keep:
+                made["kept"] = pa.array(kept, pa.binary()) if keep == "bytes" else pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
+            yield pa.RecordBatch.from_pydict(made)
+
+    figures = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType())] + [StructField("kept", BinaryType() if keep == "bytes" else StringType())] * bool(keep)
+    first = [f.name for f in passed]
+    done = rows.filter("whole is not null").select(*first, "n_bytes", "whole", "raw").withColumn("covered", F.lit(None).cast("array<struct<low: long, high: long>>"))
+    cut = rows.filter("whole is null").join(covered, KEY, "left").select(*first, "n_bytes", "whole", "raw", "covered")
+    out = done.unionByName(cut).mapInArrow(finish, StructType([*passed, *figures]))
+    return out.withColumnRenamed("id", id_col) if not carry else out.select(F.col("id").alias(id_col), *out.columns[1:])

@@ -38,7 +38,7 @@ def brute_components(rows, size):
     for a in range(len(sets)):
         for b in range(a):
             (i, s), (j, t) = sets[a], sets[b]
-            if i is not None and j is not None and s and t and 100 * len(s & t) >= 80 * len(s | t):
+            if s and t and 100 * len(s & t) >= 80 * len(s | t):
                 parent[root(a)] = root(b)
     least = {}
     for k, (i, _) in enumerate(sets):
@@ -67,7 +67,8 @@ def test_near_duplicates_equal_brute_force(spark, odd_docs):
     for docs in (made, odd_docs):
         rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
         want = sorted(((i, n, c, i is not None and i == c) for i, n, c in brute_components(rows, 4)), key=str)
-        got = sorted(map(tuple, minhash.near_duplicates(docs, size=4).collect()), key=str)
+        found = minhash.near_duplicates(docs, size=4)
+        got = sorted(map(tuple, found.select(found.columns[:4]).collect()), key=str)
         assert got == want
 
 
@@ -95,6 +96,57 @@ def test_hot_heads_are_dealt_out(spark, monkeypatch):
     assert {r["component_id"] for r in minhash.near_duplicates(docs, size=4).collect()} == {0}
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_polynomials_confuse(spark):
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs, size=4).collect()}
+    assert all(r["n_shingles"] == 1 and r["component_id"] == i and r["kept"] for i, r in got.items())
+
+
+def test_long_sets_do_not_fill_the_ring():
+    r = np.random.default_rng(3)
+    signer = minhash.Signer()
+    a, b = (np.unique(r.integers(0, 1 << 63, 500_000, dtype=np.uint64)) for _ in range(2))
+    assert not (signer.own_buckets(a)[40:] == signer.own_buckets(b)[40:]).any()
+    # at the limit of both rings, similar sets share buckets of one of them
+    whole = np.unique(r.integers(0, 1 << 63, minhash.LONG + 1000, dtype=np.uint64))
+    part = whole[r.permutation(len(whole))[: int(0.9 * len(whole))]]
+    assert len(part) <= minhash.LONG < len(whole)
+    x, y = signer.own_buckets(whole), signer.own_buckets(np.sort(part))
+    assert ((x == y) & (x != 0)).any()
+
+
+def test_copies_across_the_limit_of_rings(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LONG", 100)
+    r = random.Random(9)
+    rows = []
+    for n in (80, 95, 105, 110, 130):
+        base = [f"w{r.randrange(10**9)}" for _ in range(n)]
+        rows += [base, base[: int(0.95 * n)], base[int(0.06 * n) :], base[: int(0.7 * n)]]
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, size=4).collect()}
+    assert found == {i: c for i, _, c in brute_components([(k, " ".join(x)) for k, x in enumerate(rows)], 4)}
+
+
+def test_rows_of_one_id_or_none(spark):
+    texts = near_copies()[:3]
+    rows = [(1, texts[0]), (1, texts[0] + " x y z"), (1, "something else altogether it is"), (None, "something else altogether it is"), (None, "a b c d e f"), (None, "a b c d e f"), (2, ""), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(docs, size=4).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == sorted((str(i), n, str(c)) for i, n, c in brute_components(rows, 4))
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    assert [k[1] for k in kept if k[0] == "None"] == ["a b c d e f"] and kept.count(("2", "")) == 2
+    assert ("1", "something else altogether it is") in kept and len(kept) == 5
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in minhash.components(links).collect()}
@@ -136,9 +188,11 @@ def test_suffix_order_and_windows():
         assert suffix_dedup.suffix_order(np.frombuffer(data, np.uint8)).tolist() == sorted(range(len(data)), key=lambda k: data[k:])
 
 
-@pytest.mark.parametrize("runs_in_shard", [2, 2000])
-def test_repeats_equal_brute_force(spark, odd_docs, runs_in_shard, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "RUNS", runs_in_shard)
+@pytest.mark.parametrize(("shard", "longest"), [(1000, 50), (1 << 19, 1 << 15)])
+def test_repeats_equal_brute_force(spark, odd_docs, shard, longest, monkeypatch):
+    """The small sizes deal hashes over several shards, whose lists are merged, and cut long runs."""
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "LONGEST", longest)
     r = random.Random(6)
     passage = "".join(r.choice("abcdef gh") for _ in range(260))
     texts = ["".join(r.choice("abcdef gh") for _ in range(r.randint(0, 300))) + passage[r.randint(0, 30) :] + "".join(r.choice("xyz é") for _ in range(r.randint(0, 99))) for _ in range(40)]
@@ -256,6 +310,28 @@ def test_variable_segments_become_wildcards(spark):
     assert {r["template"] for r in rows} == {"/de/*/", "/en/*/"} and {r["verdict"] for r in rows if r["page_id"] % 2 == 0} == {"allow"}
 
 
+@pytest.fixture
+def strange(spark):
+    """Null and repeated ids, null and empty texts, repeated rows, and columns of clashing names and nested types."""
+    long = " ".join(f"the house of number {k} is old" for k in range(40))
+    rows = [(k, f"{long} and {'it' * k} stands", "en") for k in range(4)] + [(7, None, "en"), (7, "", None), (None, f"another {long[50:]}", "en"), (None, None, None), (9, "x", "en"), (9, "x", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return docs.withColumn("kept", F.lit(True)).withColumn("n_bytes", F.lit(1.5)).withColumn("tags", F.array(F.lit("a"), F.lit(None))).withColumn("score", F.lit("s")).withColumn("raw", F.unhex(F.lit("ff00"))).withColumn("carried", F.struct(F.lit(1).alias("id"))).withColumn("n_chars", F.length("text"))
+
+
+def test_stages_on_strange_tables(spark, sf_dir, strange):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (strange, strange.limit(0)):
+            got = stage(spark, docs, sf_dir)
+            assert got.dtypes == docs.dtypes, name
+            rows = got.collect()
+            assert all(r["tags"] == ["a", None] and r["raw"] == b"\xff\0" and r["score"] == "s" and r["carried"]["id"] == 1 for r in rows)
+            if name == "suffix_dedup":
+                assert len(rows) == docs.count()
+    assert corpus_pipeline.packed(spark, strange, sf_dir).count() >= 10
+    assert corpus_pipeline.packed(spark, strange.limit(0), sf_dir).count() == 0
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Each stage's decisions, on its own input."""
     docs = table(spark, sf_dir, "documents")

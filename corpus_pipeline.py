@@ -16,44 +16,49 @@ from orrery.llm.queries import tokenizer_path
 SURE, TOXIC = 0.5, 0.7
 
 
-def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among some distinct ids, with all their columns; rows of a null id always stay."""
-    return docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised. Text and lang of the learning fold train the network."""
-    network = language_id.fit(docs, ~held_out("doc_id"))
-    found = language_id.identify(docs, network).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= SURE))
-    return chosen(docs, found.select("doc_id").distinct())
+    """Documents whose language is recognised. Text and lang of the learning fold train the network.
+
+    Every row is judged by its own text, also one of a null or repeated id; null texts and texts without letters go. An
+    empty table stays empty. Columns of any name and type stay as they are.
+    """
+    return language_id.recognised(docs, language_id.fit(docs, ~held_out("doc_id")), SURE)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon doesn't find toxic. Labels of the learning fold train it."""
-    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
-    found = toxicity.score_documents(docs, lexicon, TOXIC).filter("predicted = 0")
-    return chosen(docs, found.select("doc_id").distinct())
+    """Documents that the lexicon doesn't find toxic. Labels of the learning fold train it.
+
+    Every row is judged by its own text, also one of a null or repeated id; null and empty texts stay. An empty table
+    stays empty. Columns of any name and type stay as they are.
+    """
+    return toxicity.clean_rows(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id")), TOXIC)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates; of repeated rows of one id, one."""
-    found = minhash.near_duplicates(docs, size=5, similarity=80).filter("kept").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near-duplicates, that of the smallest id; a null id only if the group has no other.
 
+    Of rows that repeat id and text one stays; rows of one id and different texts are documents of their own. Texts
+    without words are no duplicates of anything and all stay. An empty table stays empty. Columns of any name and type
+    stay as they are.
+    """
+    found = minhash.near_duplicates(docs, size=5, similarity=80).filter("chosen")
+    found = found.groupBy(F.col("doc_id").alias("_chosen_id"), F.col("text_hash").alias("_chosen_hash")).agg((F.count("*") * F.max(F.sign("n_shingles"))).alias("_repeats"))
+    at = docs["doc_id"].eqNullSafe(found["_chosen_id"]) & (F.xxhash64(docs["text"]) == found["_chosen_hash"])
+    both = docs.join(found, at)
+    again = both.filter("_repeats > 1").dropDuplicates(["_chosen_id", "_chosen_hash"])
+    return both.filter("_repeats <= 1").unionByName(again).select(*(F.col(f"`{c}`") for c in docs.columns))
 
-def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that a repeated string of 200 covers; characters that a cut tears apart go too."""
-    carry = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = suffix_dedup.remove_repeats(docs, keep_text=True, carry=carry)
 
-    def decoded(batches):
-        for batch in batches:
-            yield batch.assign(text=[bytes(x).decode("utf-8", "ignore") for x in batch["kept"]]).drop(columns="kept")
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that a repeated string of 200 covers; characters that a cut tears apart go too.
 
-    narrow = cut.select(F.col("doc_id").cast("string").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in carry), "kept")
-    text = narrow.mapInPandas(decoded, ", ".join(f"`{c}` string" for c in ["doc_id", *carry, "text"]))
-    out = text.withColumn("n_chars", F.length("text"))
-    return out.select(*(F.col(c).cast(t).alias(c) for c, t in docs.dtypes))
+    No row goes; a null text becomes an empty one. Repeated rows remove each other's text. An empty table stays empty.
+    Other columns, of any name and type, stay as they are, but for n_chars, which is counted anew.
+    """
+    carry = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = suffix_dedup.remove_repeats(docs, keep="text", carry=carry)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept")} | {c: F.col("carried").getField(c) for c in carry}
+    return cut.select(*(made[c].cast(t).alias(c) for c, t in docs.dtypes))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
-"""Exact top-k by inner product in three phases with a uniform cutoff.
-
-Vectors become whole numbers, so scores are exact. Vectors are packed into blocks, queries too; each pair of a query
-block and a block of vectors is one row of work, so any number of queries is met by blocks and none is broadcast.
-Every vector's score for a query is the sum of two local scores, of the first and the second half of its components.
-
-1. Each block ranks its vectors by the first half's score plus a bound of the second's, resolves its first k of them,
-   and gives this list of whole scores.
-2. The k-th best of all lists is a cutoff that no answer can be below; it goes back to the blocks, which collect all
-   vectors whose bound reaches it.
-3. The scores of the collected vectors are resolved exactly and ranked.
+"""Exact top-k by inner product over lists of local scores, in three phases with a uniform threshold.
+
+Vectors become whole numbers, so scores are exact. The dimensions are cut into LISTS slices; for a query, each slice has
+a list of local scores, one of each vector, and a score is the sum of a vector's local scores. Slices of vectors are
+packed into blocks, those of queries too, and each pair of blocks is one row of work, so any number of queries is met.
+
+1. Each list gives its k highest local scores of a query. The vectors that they belong to are scored whole, and the k-th
+   of these scores is a safe cutoff: no answer lies below it.
+2. The cutoff divided by the number of lists goes back to all lists. A vector that stays below it in each of them can't
+   reach the cutoff, so only entries at or above this uniform threshold are collected.
+3. A vector's entries are added up. A list that gave none has less than the threshold, which bounds the whole score;
+   vectors whose bound reaches the cutoff are resolved exactly and ranked.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors and queries in a block.
-BLOCK, QUERY_BLOCK = 1024, 256
-NONE = -(1 << 62)
+from .common import stored
+
+#: Vectors and queries in a block, and slices of the dimensions.
+BLOCK, QUERY_BLOCK, LISTS = 1024, 256, 2
+#: No cutoff: fewer than k candidates were scored.
+NONE = -(1 << 63)
 
 
 def whole(vector: Column) -> Column:
@@ -35,97 +39,110 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
+def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """All inner products of rows of whole numbers, exact: in doubles or 64-bit numbers where these hold them."""
+    if not q.size or not v.size:
+        return np.zeros((len(q), len(v)), np.int64)
+    most = q.shape[1]
+    for x in (q, v):
+        most *= max(abs(int(x.min())), abs(int(x.max())))
+    if most < 1 << 53:
+        return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
+    if most < 1 << 63:
+        return q @ v.T
+    found = q.astype(object) @ v.astype(object).T
+    if max(abs(int(found.min())), abs(int(found.max()))) >= 1 << 62:
+        raise OverflowError("a score doesn't fit into 64 bits")
+    return found.astype(np.int64)
+
+
 def blocks(rows: DataFrame, size: int, prefix: str = "") -> DataFrame:
-    """Vectors (vec, v, cutoff) of one dimension packed together, whatever their order; a vector is whole in one block."""
+    """Slices of vectors (key, v, least) of one dimension packed together, whatever their order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dimension, part in batch.groupby(batch["v"].map(len)):
                 for k in range(0, len(part), size):
                     piece = part.iloc[k : k + size]
-                    matrix = np.array(piece["v"].tolist(), np.int64).reshape(len(piece), dimension).astype("<i4")
-                    yield pd.DataFrame({"dimension": [dimension], "ids": [piece["vec"].to_numpy(np.int64).tobytes()], "matrix": [matrix.tobytes()], "cutoffs": [piece["cutoff"].to_numpy(np.int64).tobytes()]})
-
-    packed = rows.mapInPandas(run, "dimension int, ids binary, matrix binary, cutoffs binary")
-    return packed.withColumnsRenamed({c: prefix + c for c in ("ids", "matrix", "cutoffs")})
-
+                    matrix = np.array(piece["v"].tolist(), np.int64).reshape(len(piece), dimension)
+                    for s, slice_ in enumerate(np.array_split(matrix, LISTS, axis=1)):
+                        yield pd.DataFrame({"dimension": [dimension], "list": [s], "keys": [piece["key"].to_numpy(np.int64).tobytes()], "matrix": [slice_.tobytes()], "least": [piece["least"].to_numpy(np.int64).tobytes()]})
 
-def unpacked(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(matrix, "<i4").reshape(len(ids), -1).astype(np.float64)
-
-
-def halves(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Local scores of the first half, and their bounds with the second half (whole numbers, exact in doubles)."""
-    cut = (q.shape[1] + 1) // 2
-    first = q[:, :cut] @ v[:, :cut].T
-    most = np.linalg.norm(q[:, cut:], axis=1)[:, None] * np.linalg.norm(v[:, cut:], axis=1)[None, :]
-    return first, first + most * (1 + 1e-9) + 1
-
-
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    packed = rows.mapInPandas(run, "dimension int, list int, keys binary, matrix binary, least binary")
+    return packed.withColumnsRenamed({c: prefix + c for c in ("keys", "matrix", "least")})
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest scores among all other rows, ties to smaller ids.
 
-    Null vectors and those with null or non-finite components take no part; vectors of other lengths are never
-    compared. Rows that repeat an id are candidates each, but never of a query of that id. Fewer than k candidates give
-    all of them. Components must lie below 2**23 in size, so that whole scores are exact in doubles up to 2**53.
+    Null and empty vectors and those with null or non-finite components take no part; vectors of other lengths are never
+    compared. Rows that repeat an id are queries and candidates each, also of each other; of equal scores and ids either
+    may come first. Fewer than k candidates give all of them. An empty table gives an empty result. Columns other than
+    the two named, and those is_query reads, don't matter. A score that doesn't fit into 64 bits is an error.
     """
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).alias("v"), is_query.alias("asked")).filter(usable(F.col("v")) & (F.size("v") > 0))
-    rows = rows.withColumn("v", whole(F.col("v"))).withColumn("cutoff", F.lit(NONE))
-    asked = rows.filter("asked").drop("asked")
-    candidates = blocks(rows.drop("asked"), BLOCK).drop("cutoffs").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).filter(usable(F.col("v")) & (F.size("v") > 0))
+    # a row is called by a number that is fixed by writing it
+    rows = stored(rows.withColumn("v", whole(F.col("v"))).withColumn("key", F.monotonically_increasing_id()))
+    asked = rows.filter("asked").select("key", "v")
+    candidates = blocks(rows.select("key", "v", F.lit(NONE).alias("least")), BLOCK).drop("least").withColumn("part", F.pmod(F.xxhash64("keys"), F.lit(parts)).cast("int"))
 
     def paired(queries: DataFrame) -> DataFrame:
-        """Each query block beside each block of vectors; every part meets all query blocks."""
+        """Each query block beside each block of vectors of its slice; every part meets all query blocks."""
         packed = blocks(queries.repartition(max(1, parts // 4)), QUERY_BLOCK, "q_")
-        return packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(candidates, ["dimension", "part"])
+        return packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(candidates, ["dimension", "list", "part"])
+
+    def local(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the queries and of the vectors, and the local scores of all pairs of both."""
+        asking, keys = np.frombuffer(row.q_keys, np.int64), np.frombuffer(row.keys, np.int64)
+        return asking, keys, products(np.frombuffer(row.q_matrix, np.int64).reshape(len(asking), -1), np.frombuffer(row.matrix, np.int64).reshape(len(keys), -1))
 
-    def first_phase(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def highest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                query_ids, q = unpacked(row.q_ids, row.q_matrix)
-                ids, v = unpacked(row.ids, row.matrix)
-                _, bound = halves(q, v)
-                take = min(len(ids), k + 1)  # one may be the query itself
-                likely = np.argpartition(-bound, take - 1, axis=1)[:, :take]
-                scores = np.einsum("qd,qkd->qk", q, v[likely])
-                keep = ids[likely] != query_ids[:, None]
-                yield pd.DataFrame({"vec": np.repeat(query_ids, take)[keep.ravel()], "score": scores[keep].astype(np.int64)})
-
-    lists = paired(asked).mapInPandas(first_phase, "vec long, score long")
-    # each task keeps k scores of a query before they are shuffled
-    ranked = lists.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy(F.desc("score")))).filter(F.col("r") <= k)
-    cutoffs = ranked.groupBy("vec").agg(F.when(F.count("*") == k, F.min("score")).otherwise(NONE).alias("cutoff"))
-    again = asked.drop("cutoff").join(cutoffs, "vec", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(NONE)))
-
-    def last_phases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                asking, keys, scores = local(row)
+                take = min(len(keys), k + 1)  # one may be the query itself
+                top = np.argpartition(-scores, take - 1, axis=1)[:, :take]
+                other = keys[top] != asking[:, None]
+                yield pd.DataFrame({"query": np.repeat(asking, take)[other.ravel()], "list": row.list, "key": keys[top][other], "score": np.take_along_axis(scores, top, 1)[other]})
+
+    def resolved(pairs: DataFrame) -> DataFrame:
+        """(query, key, score) by whole vectors."""
+        both = pairs.join(asked.select(F.col("key").alias("query"), F.col("v").alias("q")), "query").join(rows.select("key", "v"), "key")
+        return both.select("query", "key", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
+
+    order = Window.partitionBy("query", "list").orderBy(F.desc("score"), "key")
+    lists = paired(asked.withColumn("least", F.lit(NONE))).mapInPandas(highest, "query long, list int, key long, score long")
+    named = lists.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("query", "key").distinct()
+    ranked = resolved(named).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("r") <= k)
+    upward = F.expr(f"case when cutoff > 0 then (cutoff + {LISTS - 1}) div {LISTS} else cutoff div {LISTS} end")  # whole numbers, rounded up
+    cutoffs = stored(ranked.groupBy("query").agg(F.when(F.count("*") == k, F.min("score")).alias("cutoff")).withColumn("least", upward))
+    again = asked.join(cutoffs.withColumnRenamed("query", "key"), "key", "left").select("key", "v", F.coalesce("least", F.lit(NONE)).alias("least"))
+
+    def collected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                query_ids, q = unpacked(row.q_ids, row.q_matrix)
-                ids, v = unpacked(row.ids, row.matrix)
-                cutoff = np.frombuffer(row.q_cutoffs, np.int64).astype(np.float64)
-                _, bound = halves(q, v)
-                where, which = np.nonzero((bound >= cutoff[:, None]) & (ids[None, :] != query_ids[:, None]))
-                scores = np.einsum("nd,nd->n", q[where], v[which])
-                keep = scores >= cutoff[where]
-                found = pd.DataFrame({"query_id": query_ids[where[keep]], "vec_id": ids[which[keep]], "score": scores[keep].astype(np.int64)})
-                yield found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-
-    found = paired(again).mapInPandas(last_phases, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                asking, keys, scores = local(row)
+                least = np.frombuffer(row.q_least, np.int64)
+                where, which = np.nonzero((scores >= least[:, None]) & (keys[None, :] != asking[:, None]))
+                yield pd.DataFrame({"query": asking[where], "key": keys[which], "score": scores[where, which]})
+
+    entries = paired(again).mapInPandas(collected, "query long, key long, score long").groupBy("query", "key").agg(F.sum("score").alias("known"), F.count("*").alias("lists"))
+    entries = entries.join(cutoffs, "query", "left")
+    bound = F.col("known") + (LISTS - F.col("lists")) * (F.col("least") - 1)
+    likely = stored(entries.filter(F.col("cutoff").isNull() | (bound >= F.col("cutoff"))))
+    found = likely.filter(F.col("lists") == LISTS).select("query", "key", F.col("known").alias("score")).unionByName(resolved(likely.filter(F.col("lists") < LISTS).select("query", "key")))
+    ids = rows.select("key", "vec")
+    found = found.join(ids.withColumnsRenamed({"key": "query", "vec": "query_id"}), "query").join(ids.withColumnRenamed("vec", "vec_id"), "key")
+    last = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "key")
+    return found.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-    with usable as (select vec_id, list_transform(embedding, lambda x: cast(floor(256e0 * cast(x as double)) as bigint)) as v from embeddings
+    with usable as (select row_number() over () as key, vec_id, list_transform(embedding, lambda x: cast(floor(256e0 * cast(x as double)) as bigint)) as v from embeddings
         where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-    scored as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v::double[], c.v::double[]) as bigint) as score
-        from usable q join usable c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v))
+    scored as (select q.key, q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v::double[], c.v::double[]) as bigint) as score
+        from usable q join usable c on q.vec_id % 50 = 0 and c.key <> q.key and len(c.v) = len(q.v))
     select query_id, cast(rank as integer) as rank, vec_id, score
-    from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 5
+    from (select *, row_number() over (partition by key order by score desc, vec_id) as rank from scored) where rank <= 5
 """

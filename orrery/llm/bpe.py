@@ -8,6 +8,7 @@ inner borders of the tokens' merge trees decides a proposal, and all proposals o
 from __future__ import annotations
 
 import hashlib
+import heapq
 import itertools
 import json
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -25,6 +26,8 @@ from .common import bounded_batches, chunks, offsets, ranges
 
 #: Known words are forgotten beyond this many, so a worker's memory stays bounded.
 WORDS_KEPT = 400_000
+#: Words of more bytes are merged and walked one by one, so that their cost grows with n log n.
+LONG_WORD = 256
 #: Masks for the first n of eight bytes.
 KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 FAR = np.int32(1 << 30)
@@ -90,6 +93,10 @@ class Vocabulary:
     pairs: Lookup  # left id * size + right id -> rank
     specials: dict[str, int]
     byte_ids: np.ndarray
+    rank_of: dict[int, int] | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"rank_of": None}
 
     @classmethod
     def read(cls, text: str) -> Vocabulary:
@@ -163,6 +170,9 @@ class Vocabulary:
         """Exact BPE of some words: in each the lowest rank first, the leftmost of equals, all words in step."""
         out: list[list[int]] = [[] for _ in words]
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        while order and len(words[order[-1]]) > LONG_WORD:
+            k = order.pop()
+            out[k] = self._merge_long(words[k])
         start = 0
         while start < len(order):
             stop = start + 1
@@ -179,6 +189,49 @@ class Vocabulary:
         rank = self.pairs.get(left.astype(np.int64) * (len(self.token_at) - 1) + right)
         return np.where((rank >= 0) & (left >= 0) & (right >= 0), rank, FAR)
 
+    def ranks(self) -> dict[int, int]:
+        """The pairs' ranks for one look-up at a time."""
+        if self.rank_of is None:
+            used = self.pairs.keys >= 0
+            self.rank_of = dict(zip(self.pairs.keys[used].tolist(), self.pairs.values[used].tolist(), strict=True))
+        return self.rank_of
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same for one long word: a heap of ranks and places, and a chain of the tokens that are left."""
+        rank_of, merged, size, n = self.ranks(), self.merged.tolist(), len(self.token_at) - 1, len(word)
+        first = self.byte_ids[np.frombuffer(word, np.uint8)]
+        rank = self._rank(first[:-1], first[1:]).astype(np.int64)
+        heap = (rank * (1 << 32) + np.arange(n - 1))[rank < FAR].tolist()
+        heapq.heapify(heap)
+        ids, rank = first.tolist(), [*rank.tolist(), int(FAR)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        none = int(FAR)
+        while heap:
+            top = heapq.heappop(heap)
+            at, best = top & 0xFFFFFFFF, top >> 32
+            if rank[at] != best:
+                continue  # one of the two is gone
+            gone = after[at]
+            ids[at], rank[gone] = merged[best], none
+            after[at] = nxt = after[gone]
+            if nxt < n:
+                before[nxt] = at
+                rank[at] = found = rank_of.get(ids[at] * size + ids[nxt], none)
+                if found < none:
+                    heapq.heappush(heap, found << 32 | at)
+            else:
+                rank[at] = none
+            prev = before[at]
+            if prev >= 0:
+                rank[prev] = found = rank_of.get(ids[prev] * size + ids[at], none)
+                if found < none:
+                    heapq.heappush(heap, found << 32 | prev)
+        out, at = [], 0
+        while at < n:
+            out.append(ids[at])
+            at = after[at]
+        return out
+
     def _merge_group(self, words: Sequence[bytes]) -> list[list[int]]:
         wide = max(map(len, words))
         if not wide:
@@ -230,8 +283,9 @@ class Vocabulary:
                 ok[live[(rank < x_end[left[live], i]) & (rank <= y_end[right[live], j]) & (rank < FAR)]] = False
         return ok
 
-    def propose(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Longest token that starts at each byte, by one walk down the trie for all bytes together."""
+    def propose(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Longest token that starts at each byte and doesn't reach over its word's end (ends: of each byte), by one walk
+        down the trie for all bytes together."""
         best, length = np.full(len(data), -1, np.int64), np.ones(len(data), np.int64)
         at = np.arange(len(data))
         node = np.zeros(len(data), np.int64)
@@ -243,26 +297,27 @@ class Vocabulary:
             token = self.trie_token[node]
             hit = token >= 0
             best[at[hit]], length[at[hit]] = token[hit], deep
-            inside = at + deep < len(data)
+            inside = at + deep < ends[at]
             at, node = at[inside], node[inside]
         return best, length
 
     def encode_words(self, words: Sequence[bytes]) -> list[list[int]]:
         """BPE ids of each of some distinct words."""
         out: list[list[int]] = [[] for _ in words]
-        bounds = offsets([len(w) for w in words])
+        sizes = np.array([len(w) for w in words], np.int64)
+        bounds = offsets(sizes)
         data = np.frombuffer(b"".join(words), np.uint8)
-        best, length = self.propose(data)
-        # a proposal never reaches over its word's end: such places take the longest that fits by a walk of their own
-        word_of = np.repeat(np.arange(len(words)), np.diff(bounds))
-        over = np.flatnonzero(np.arange(len(data)) + length > bounds[word_of + 1])
-        for k in over.tolist():
-            end = int(bounds[word_of[k] + 1])
-            best[k], length[k] = self._longest(data[k:end])
-        active, at = np.arange(len(words)), bounds[:-1].copy()
-        keep = at < bounds[1:]
-        active, at = active[keep], at[keep]
+        best, length = self.propose(data, np.repeat(bounds[1:], sizes))
         steps = []
+        for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+            a, b = int(bounds[k]), int(bounds[k + 1])
+            tokens, far, at, taken = best[a:b].tolist(), length[a:b].tolist(), 0, []
+            while at < b - a:
+                taken.append(tokens[at])
+                at += far[at]
+            steps.append((np.full(len(taken), k), np.array(taken, np.int64)))
+        active = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))
+        at = bounds[active]
         while len(active):
             steps.append((active, best[at]))
             at = at + length[at]
@@ -289,16 +344,6 @@ class Vocabulary:
             out[k] = ids
         return out
 
-    def _longest(self, data: np.ndarray) -> tuple[int, int]:
-        node, best = 0, (-1, 1)
-        for deep, b in enumerate(data.tolist(), 1):
-            node = int(self.trie.get(np.array([node << 8 | b]))[0])
-            if node < 0:
-                break
-            if self.trie_token[node] >= 0:
-                best = int(self.trie_token[node]), deep
-        return best
-
 
 @lru_cache(1)
 def char_classes() -> np.ndarray:

@@ -36,8 +36,8 @@ def library_words(vocabulary: Vocabulary):
         return None
     raw, at = vocabulary.token_bytes.tobytes(), vocabulary.token_at.tolist()
     ids = [*vocabulary.byte_ids.tolist(), *vocabulary.merged.tolist()]
-    core = tiktoken.Encoding("own", pat_str=r"\s+|\S+", mergeable_ranks={raw[at[i] : at[i + 1]]: i for i in ids}, special_tokens={})
-    return lambda words: [core._core_bpe.encode_single_piece(w) for w in words]
+    core = tiktoken.Encoding("own", pat_str="(?s:.+)", mergeable_ranks={raw[at[i] : at[i + 1]]: i for i in ids}, special_tokens={})
+    return lambda words: [core.encode_ordinary(w.decode()) for w in words]  # its pattern takes a whole word
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:

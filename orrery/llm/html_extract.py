@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,11 +49,13 @@ NO_TEXT_NAMES = re.compile(
 )
 #: From this share of the page's text and so many characters, an element cut by its name alone is left to the density.
 MUCH_TEXT, LEAST_TEXT = 0.5, 250
-#: Elements that are never cut by their attributes.
+#: Elements that are never cut by their attributes, and those that are not cut by their names: headings are often called by an anchor.
 KEPT = frozenset("html body article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 b i em strong a p".split())
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.IGNORECASE)
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.DOTALL)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+MARK = re.compile(r"""["'>]""")
 SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 
 
@@ -76,6 +79,49 @@ def cut_by(attributes: str) -> tuple[bool, bool]:
     return hidden, named
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, whether it ends an element, its name, attributes) of each tag; comments and declarations have no name.
+
+    Quoted values may hold any sign. From the first tag on that a missing quote leaves open to the page's end, tags end
+    at the next `>`. A comment without an end reaches to the page's end. Every character is looked at a few times.
+    """
+    place, quotes = 0, True
+    while (start := page.find("<", place)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            place = len(page) if end < 0 else end + 3
+            yield start, place, False, None, ""
+            continue
+        name = NAME.match(page, start + 1)
+        if not name:
+            place = start + 1
+            if page[place : place + 1] in ("!", "?", "/"):
+                end = page.find(">", place)
+                if end < 0:
+                    return
+                place = end + 1
+                yield start, place, False, None, ""
+            continue
+        end = -1
+        if quotes:
+            at = name.end()
+            while (mark := MARK.search(page, at)) and mark[0] != ">":
+                at = page.find(mark[0], mark.end()) + 1
+                if not at:
+                    mark = None
+                    break
+            if mark:
+                end = mark.start()
+            else:
+                quotes = False
+        if end < 0:
+            end = page.find(">", name.end())
+            if end < 0:
+                return
+        place = end + 1
+        yield start, place, bool(name[1]), name[2].lower(), page[name.end() : end]
+
+
 class Node:
     __slots__ = ("chars", "children", "cut", "density", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
 
@@ -87,68 +133,78 @@ class Node:
 
 
 def tree(page: str) -> Node:
-    """The page's elements and texts, with left-out end tags supplied."""
+    """The page's elements and texts, with left-out end tags supplied.
+
+    Open elements are counted by their tag, so that no walk up the tree is made for one that isn't open.
+    """
     root = at = Node("html", None, False)
-    place = 0
-    find = TOKEN.search
-    while m := find(page, place):
-        if m.start() > place:
-            at.children.append(page[place : m.start()])
-        place = m.end()
-        name = m[2]
+    place = skip = 0
+    open_: Counter[str] = Counter()
+
+    def climb(to: Node) -> Node:
+        node = at
+        while node is not to:
+            open_[node.tag] -= 1
+            node = node.parent
+        return to
+
+    for start, end, closing, name, attributes in tokens(page):
+        if start < skip:
+            continue  # inside an element whose content is no markup
+        if start > place:
+            at.children.append(page[place:start])
+        place = end
         if name is None:
             continue
-        name = name.lower()
-        if m[1]:
-            node = at
+        if closing:
+            node = at if open_[name] else root
             while node is not root and node.tag != name:
                 if node.tag in END_BORDER and name not in ("table", "body", "html", "tr", "tbody", "thead", "tfoot", "article", "main", "section", "div"):
                     node = root
                     break
                 node = node.parent
             if node is not root:
-                at = node.parent
+                at = climb(node.parent)
             elif name == "p":
                 at.children.append(Node("p", at, False))
             continue
-        if name in ("html", "body") and at is root:
-            if name == "html":
-                continue
-        if name in CLOSES_P:
+        if name == "html" and at is root:
+            continue
+        if name in CLOSES_P and open_["p"]:
             node = at
             while node is not root and node.tag not in P_BORDER and node.tag != "p":
                 node = node.parent
             if node.tag == "p":
-                at = node.parent
-        if name in ENDS:
+                at = climb(node.parent)
+        if name in ENDS and any(open_[x] for x in ENDS[name][0]):
             closed, border = ENDS[name]
-            node = at
+            node, up = at, None
             while node is not root and node.tag not in border:
                 if node.tag in closed:
-                    at = node.parent
+                    up = node.parent
                 node = node.parent
+            if up is not None:
+                at = climb(up)
         if name == "body" and at.tag == "head":
-            at = at.parent
-        attributes = m[3]
+            at = climb(at.parent)
         cut = name in NO_TEXT
         named = False
         if attributes and not cut and name not in KEPT:
             cut, named = cut_by(attributes)
+            named = named and name not in HEADINGS
         if name == "header" and not cut:
-            node = at
-            while node is not root and node.tag not in ("article", "main"):
-                node = node.parent
-            cut = node is root
+            cut = not (open_["article"] or open_["main"])
         if name in RAW:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, place)
-                place = end.end() if end else len(page)
+                last = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, place)
+                place = skip = last.end() if last else len(page)
             continue
         node = Node(name, at, cut)
         node.named = named
         at.children.append(node)
         if name not in VOID and not attributes.endswith("/"):
             at = node
+            open_[name] += 1
     if place < len(page):
         at.children.append(page[place:])
     return root

@@ -1,6 +1,7 @@
 """Deduplication, search, URL rules and the pipeline, against brute force and SQL."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -231,16 +232,41 @@ def test_search_of_odd_vectors(spark, monkeypatch):
     rows = [(0, [0.5, 0.25]), (1, [0.5, 0.25]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, 2.0, 3.0]), (7, [-1.0, 0.0]), (50, [1.0, 1.0]), (100, [1.0, 1.0]), (50, [0.0, 0.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(map(tuple, topk.search(vectors, F.col("vec_id") % 50 == 0, 3).collect()))
-    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
-    want = []
-    for q in {i for i, _ in whole if i % 50 == 0 and i != 50}:
-        own = next(v for i, v in whole if i == q)
-        scored = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in whole if i != q and len(v) == len(own))
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:3])]
-    assert [x for x in got if x[0] != 50] == sorted(want)
+    assert got == sorted(brute_search(rows, lambda i: i % 50 == 0, 3))
     assert topk.search(vectors.limit(0), F.lit(True)).count() == 0
 
 
+def brute_search(rows, asked, k):
+    whole = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, (i, q) in enumerate(whole):
+        if asked(i):
+            scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for m, (j, v) in enumerate(whole) if m != n and len(v) == len(q))
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
+    return out
+
+
+def test_search_of_large_and_many_vectors(spark, monkeypatch):
+    """Scores beyond 32 and 53 bits; negative ones; dimensions that don't divide; ties."""
+    r = random.Random(2)
+    large = [(k, [r.choice([1.0, 4.0e6, -3.0e6, 0.5]) for _ in range(3)]) for k in range(30)] + [(100, [1.0, 1.0, 1.0])]
+    many = [(k, [r.gauss(-0.2, 1) for _ in range(7)]) for k in range(400)] + [(k, [0.25] * 7) for k in range(400, 420)]
+    wide = [(0, [2.0**20] * 2), (1, [2.0**21, -(2.0**20)]), (2, [2.0**20, 2.0**20 + 1])]
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    for rows in (large, many, wide):
+        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = sorted(map(tuple, topk.search(vectors, F.col("vec_id") % 5 == 0, 4).collect()))
+        assert got == sorted(brute_search(rows, lambda i: i % 5 == 0, 4))
+
+
+def test_products_are_exact():
+    q, v = np.array([[2**40, -(2**20)]]), np.array([[2**19, 3], [-(2**21), 2**30]])
+    assert topk.products(q, v).tolist() == [[2**59 - 3 * 2**20, -(2**61) - 2**50]]
+    assert topk.products(np.zeros((2, 0), np.int64), np.zeros((3, 0), np.int64)).shape == (2, 3)
+    with pytest.raises(OverflowError):
+        topk.products(np.array([[2**40]]), np.array([[2**40]]))
+
+
 def test_urls_equal_sql(spark, sf_dir):
     for pages in (table(spark, sf_dir, "pages"), table(spark, "/root/testdata/sf0.01", "pages")):
         got = url_filters.judge_urls(pages, queries.URL_RULES)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,7 +124,8 @@ def survival(present: DataFrame, length: int, step: int, frames: int, keys: Sequ
 def welch_power(rows: DataFrame, length: int, step: int, by: str = "type") -> DataFrame:
     """(<by>, k, power): mean over segments of the windowed velocities' spectra, summed over axes and a kind's atoms.
 
-    Each atom's series is one small group; its transforms are numpy's, and Spark sums them up.
+    Atoms come sorted to their tasks, many in a batch; all their segments are transformed at once and summed by kind.
+    An atom with fewer frames than a segment has no power.
     """
     import numpy as np
     import pandas as pd
@@ -132,16 +133,34 @@ def welch_power(rows: DataFrame, length: int, step: int, by: str = "type") -> Da
     hann = np.hanning(length)
     hann = hann / np.sqrt((hann**2).mean())
 
-    def transform(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("frame")
-        v = group[["vx", "vy", "vz"]].to_numpy()
-        starts = range(0, len(v) - length + 1, step)
-        power = [(np.abs(np.fft.rfft(v[s : s + length] * hann[:, None], axis=0)) ** 2).sum(1) for s in starts]
-        total = np.mean(power, 0) if power else np.zeros(length // 2 + 1)
-        return pd.DataFrame({by: group[by].iloc[0], "k": np.arange(len(total)), "power": total})
-
-    spectra = rows.select("atom_id", "frame", by, "vx", "vy", "vz").groupBy("atom_id").applyInPandas(transform, f"{by} int, k int, power double")
-    return spectra.groupBy(by, "k").agg(F.sum("power").alias("power"))
+    def spectra(v: np.ndarray) -> np.ndarray:
+        """Power of (atoms, frames, axes) at each frequency."""
+        if v.shape[1] < length:
+            return np.zeros((len(v), length // 2 + 1))
+        parts = np.lib.stride_tricks.sliding_window_view(v, length, axis=1)[:, ::step] * hann
+        return (np.abs(np.fft.rfft(parts, axis=3)) ** 2).sum(2).mean(1)
+
+    def summed(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Whole atoms, by kind and number of frames."""
+        size = part.groupby("atom_id", sort=False)["atom_id"].transform("size")
+        for (kind, n), some in part.groupby([part[by], size], sort=False):
+            total = spectra(some[["vx", "vy", "vz"]].to_numpy().reshape(-1, n, 3)).sum(0)
+            yield pd.DataFrame({by: kind, "k": np.arange(len(total)), "power": total})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch])
+            whole = rest["atom_id"] != rest["atom_id"].iloc[-1]  # the last atom may go on
+            if whole.any():
+                yield from summed(rest[whole])
+                rest = rest[~whole]
+        if rest is not None and len(rest):
+            yield from summed(rest)
+
+    placed = rows.select("atom_id", "frame", by, "vx", "vy", "vz").repartition("atom_id").sortWithinPartitions("atom_id", "frame")
+    found = placed.mapInPandas(run, f"{by} int, k int, power double")
+    return found.groupBy(by, "k").agg(F.sum("power").alias("power"))
 
 
 def dynamic_structure(rows: DataFrame, box: float, points: Sequence[tuple[int, int, int]], length: int, frames: int, dt: float, count: int, step: float) -> DataFrame:

@@ -1,14 +1,17 @@
-"""Neighbour search by cell lists: an equi-join on cells instead of comparisons of all pairs."""
+"""Neighbour search by blocks of space and cell lists instead of comparisons of all pairs."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.geometry import AXES, minimum_image, norm
+from ..functions.geometry import AXES
 
 Box = Sequence[Column | float]
 
@@ -17,17 +20,60 @@ def lit(x: Column | float) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
-def with_cells(atoms: DataFrame, size: float, box: Box, origin: Box = (0.0, 0.0, 0.0), periodic: Sequence[bool] = (True, True, True)) -> DataFrame:
-    """Adds n0..n2 (cells per axis, of `size` at least) and c0..c2."""
-    for k, (axis, length, low) in enumerate(zip(AXES, box, origin, strict=True)):
-        length, low = lit(length), lit(low)
-        if periodic[k]:
-            n = F.greatest(F.floor(length / size), F.lit(1)).cast("int")
-            cell = F.pmod(F.floor((F.col(axis) - low) / length * n).cast("int"), n)
+#: Edge of a block in units of the search radius: atoms of a frame are dealt to blocks, which bounds what one task holds.
+EDGE = 4
+#: Pairs of centers and cells that are looked at together.
+TOGETHER = 1 << 20
+
+
+def spans(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, place): every place of some spans, and the span it belongs to."""
+    which = np.repeat(np.arange(len(starts)), lengths)
+    ends = np.cumsum(lengths)
+    return which, np.arange(len(which)) - np.repeat(ends - lengths, lengths) + starts[which]
+
+
+def cell_pairs(centers: np.ndarray, wings: np.ndarray, reach: float, wrap: Sequence[float | None], explicit: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, d) of centers and wings within reach, with the vectors d from i to j, by sorted cells of that size.
+
+    wrap: the box's length on axes that are periodic within the block, whose coordinates lie in [0, length); None on
+    others. There the nearest image is taken, or every image with `explicit`.
+    """
+    if not len(centers) or not len(wings):
+        return
+    low = np.minimum(centers.min(0), wings.min(0))
+    n, here, there, steps = [], [], [], []
+    for k, length in enumerate(wrap):
+        if length is None:
+            here.append(np.floor((centers[:, k] - low[k]) / reach).astype(np.int64) + 1)
+            there.append(np.floor((wings[:, k] - low[k]) / reach).astype(np.int64) + 1)
+            n.append(int(max(here[-1].max(), there[-1].max())) + 2)
+            steps.append((-1, 0, 1))
         else:
-            n, cell = F.lit(1 << 30), F.floor((F.col(axis) - low) / size).cast("int")
-        atoms = atoms.withColumn(f"n{k}", n).withColumn(f"c{k}", cell)
-    return atoms
+            n.append(max(int(length / reach), 1))
+            here.append(np.minimum((centers[:, k] / length * n[-1]).astype(np.int64), n[-1] - 1))
+            there.append(np.minimum((wings[:, k] / length * n[-1]).astype(np.int64), n[-1] - 1))
+            steps.append((-1, 0, 1) if explicit or n[-1] > 2 else (0, 1)[: n[-1]])
+    cell = (there[0] * n[1] + there[1]) * n[2] + there[2]
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    for step in product(*steps):
+        to = [h + o for h, o in zip(here, step, strict=True)]
+        image = [np.floor_divide(t, m) if w is not None else None for t, m, w in zip(to, n, wrap, strict=True)]
+        to = [t - i * m if i is not None else t for t, i, m in zip(to, image, n, strict=True)]
+        target = (to[0] * n[1] + to[1]) * n[2] + to[2]
+        first = np.searchsorted(cell, target)
+        count = np.searchsorted(cell, target, "right") - first
+        edges = np.flatnonzero(np.diff(np.cumsum(count) // TOGETHER)) + 1
+        for part in np.split(np.arange(len(centers)), edges):
+            which, place = spans(first[part], count[part])
+            i, j = part[which], order[place]
+            d = wings[j] - centers[i]
+            for k, length in enumerate(wrap):
+                if length is not None:
+                    d[:, k] += image[k][i] * length if explicit else -length * np.rint(d[:, k] / length)
+            near = np.flatnonzero(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2] <= reach * reach * (1 + 1e-9))
+            yield i[near], j[near], d[near]
 
 
 def pairs(
@@ -36,43 +82,69 @@ def pairs(
 ) -> DataFrame:
     """Ordered pairs (keys, i, j, <carry>_i, <carry>_j, dx, dy, dz, r) with r_min <= r <= r_max; the vector goes from i to j.
 
-    images="minimum" takes the nearest image of each pair, and needs r_max below half the box. "explicit" takes every
-    image within r_max, which may reach the length of the box. With few cells on an axis, offsets that lead to the same
-    cell are taken once. `center` and `wing` choose atoms for the two sides; `half` keeps i < j only.
+    images="minimum" takes the nearest image of each pair, and half of every periodic edge must hold r_max. "explicit"
+    takes every image within r_max, which may reach the length of the box. `center` and `wing` choose atoms for the two
+    sides; `half` keeps i < j only. Atoms with a null coordinate have no neighbours.
+
+    Atoms are shuffled once, by frame and block of space; those near a block's faces go to its neighbours too. Within a
+    block sorted cells give the candidates, so neither a frame nor its pairs are ever compared as a whole.
     """
-    placed = with_cells(atoms, r_max, box, origin, periodic)
-    columns = [*keys, "atom_id", *dict.fromkeys([*carry, *AXES])]
-    wings = (placed if wing is None else placed.filter(wing)).select(*keys, "c0", "c1", "c2", F.col("atom_id").alias("j"), *(F.col(c).alias(f"{c}_j") for c in dict.fromkeys([*carry, *AXES])))
-    near = placed if center is None else placed.filter(center)
-    steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{k}") for k, d in enumerate(o))) for o in product((-1, 0, 1), repeat=3)))
-
-    def target(o: Column) -> Column:
-        out = []
-        for k in range(3):
-            to = F.col(f"c{k}") + o[f"d{k}"]
-            if not periodic[k]:
-                out += [to.alias(f"c{k}"), F.lit(0).alias(f"s{k}")]
-            elif images == "minimum":
-                out += [F.pmod(to, F.col(f"n{k}")).alias(f"c{k}"), F.lit(0).alias(f"s{k}")]
-            else:
-                out += [F.pmod(to, F.col(f"n{k}")).alias(f"c{k}"), F.floor(to / F.col(f"n{k}")).cast("int").alias(f"s{k}")]
-        return F.struct(*out)
-
-    lengths = [lit(x).alias(f"l{k}") for k, x in enumerate(box)]
-    fan = near.select(*[c for c in columns if c != "atom_id"], F.col("atom_id").alias("i"), *lengths, F.explode(F.array_distinct(F.transform(steps, target))).alias("to"))
-    fan = fan.select(*keys, "i", *(F.col(c).alias(f"{c}_i") for c in dict.fromkeys([*carry, *AXES])), "l0", "l1", "l2", "to.*")
-    met = fan.join(wings, [*keys, "c0", "c1", "c2"])
-    for k, axis in enumerate(AXES):
-        d = F.col(f"{axis}_j") - F.col(f"{axis}_i")
-        if images == "explicit" and periodic[k]:
-            d = d + F.col(f"s{k}") * F.col(f"l{k}")
-        elif periodic[k]:
-            d = minimum_image(d, F.col(f"l{k}"))
-        met = met.withColumn(f"d{axis}", d)
-    met = met.withColumn("r", norm(F.col("dx"), F.col("dy"), F.col("dz")))
-    same = F.col("i") < F.col("j") if half else (F.col("i") != F.col("j")) | (F.col("r") > 0) if images == "explicit" else F.col("i") != F.col("j")
-    met = met.filter(same & (F.col("r") >= r_min) & (F.col("r") <= r_max))
-    return met.select(*keys, "i", "j", *(f"{c}_{s}" for c in carry for s in "ij"), "dx", "dy", "dz", "r")
+    edge = EDGE * r_max
+    most = 1.0 if images == "explicit" else 2.0
+    used = [F.coalesce(c, F.lit(False)) if c is not None else F.lit(True) for c in (center, wing)]
+    rows = atoms.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).select(*keys, "atom_id", *dict.fromkeys([*carry, *AXES]), used[0].alias("_center"), used[1].alias("_wing")).filter(F.col("_center") | F.col("_wing"))
+    for k, (axis, length, low) in enumerate(zip(AXES, box, origin, strict=True)):
+        at = F.col(axis).cast("double") - lit(low)
+        if periodic[k]:
+            if not isinstance(length, Column) and most * r_max > length:
+                raise ValueError(f"a radius of {r_max} is too large for a periodic edge of {length}")
+            size = lit(length)
+            size = F.when(size >= most * r_max, size).otherwise(F.raise_error(F.lit(f"a radius of {r_max} is too large for a periodic edge")).cast("double")) if isinstance(length, Column) else size
+            count = F.greatest(F.floor(size / edge), F.lit(1)).cast("int")
+            at = at - size * F.floor(at / size)
+            at = F.when(at >= size, 0.0).otherwise(at)
+        else:
+            size, count = F.lit(None).cast("double"), F.lit(1 << 30)
+        rows = rows.withColumns({f"_p{k}": at, f"_l{k}": size, f"_n{k}": count})
+        if periodic[k] and not isinstance(length, Column) and length < 2 * edge:
+            rows = rows.withColumns({f"_b{k}": F.lit(0), f"_away{k}": F.lit(0)})
+            continue
+        width = F.col(f"_l{k}") / F.col(f"_n{k}") if periodic[k] else F.lit(edge)
+        own = F.floor(F.col(f"_p{k}") / width).cast("int")
+        own = F.least(own, F.col(f"_n{k}") - 1) if periodic[k] else own
+        inside = F.col(f"_p{k}") - own * width
+        several = F.col(f"_n{k}") > 1
+        sides = F.array(F.lit(0), F.when(several & (inside <= r_max), -1), F.when(several & (width - inside <= r_max), 1))
+        rows = rows.withColumn("_own", own).withColumn(f"_away{k}", F.explode(F.filter(sides, lambda x: x.isNotNull())))
+        to = F.col("_own") + F.col(f"_away{k}")
+        if periodic[k]:
+            turn = F.floor(to / F.col(f"_n{k}"))
+            rows = rows.withColumns({f"_b{k}": F.pmod(to, F.col(f"_n{k}")), f"_p{k}": F.col(f"_p{k}") - turn * F.col(f"_l{k}")})
+        else:
+            rows = rows.withColumn(f"_b{k}", to)
+    rows = rows.drop("_own").withColumn("_center", F.col("_center") & (F.col("_away0") == 0) & (F.col("_away1") == 0) & (F.col("_away2") == 0)).drop("_away0", "_away1", "_away2")
+    fields = {f.name: f for f in rows.schema.fields}
+    shape = [fields[k] for k in keys] + [StructField(s, fields["atom_id"].dataType) for s in "ij"]
+    shape += [StructField(f"{c}_{s}", fields[c].dataType) for c in carry for s in "ij"] + [StructField(c, DoubleType()) for c in ("dx", "dy", "dz", "r")]
+
+    def met(block: pa.Table) -> pa.Table:
+        place = np.stack([block.column(f"_p{k}").to_numpy() for k in range(3)], 1)
+        wrap = [block.column(f"_l{k}")[0].as_py() if periodic[k] and block.column(f"_n{k}")[0].as_py() == 1 else None for k in range(3)]
+        ids = block.column("atom_id").to_numpy()
+        sides = [np.flatnonzero(block.column(c).to_numpy()) for c in ("_center", "_wing")]
+        found = []
+        for i, j, d in cell_pairs(place[sides[0]], place[sides[1]], r_max, wrap, images == "explicit"):
+            i, j = sides[0][i], sides[1][j]
+            r = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+            other = ids[i] < ids[j] if half else (ids[i] != ids[j]) | (r > 0) if images == "explicit" else ids[i] != ids[j]
+            keep = np.flatnonzero(other & (r >= r_min) & (r <= r_max))
+            found.append((i[keep], j[keep], d[keep], r[keep]))
+        i, j, d, r = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros((0, 3)), np.zeros(0))
+        out = {k: block.column(k).take(i) for k in keys} | {"i": block.column("atom_id").take(i), "j": block.column("atom_id").take(j)}
+        out |= {f"{c}_{s}": block.column(c).take(x) for c in carry for s, x in (("i", i), ("j", j))}
+        return pa.table(out | {f"d{a}": np.ascontiguousarray(d[:, k]) for k, a in enumerate(AXES)} | {"r": r})
+
+    return rows.groupBy(*keys, "_b0", "_b1", "_b2").applyInArrow(met, StructType(shape))
 
 
 def bonds(atoms: DataFrame, cutoffs: dict[tuple, float], box: Box, by: str = "type", **options) -> DataFrame:
@@ -111,6 +183,7 @@ def partner_distances(shell: DataFrame, partners: DataFrame, reach: float, keys:
     left, found = shell.select(*keys, "atom_id", *AXES).withColumn("side", F.lit(0)), []
     other = partners.select(*keys, "atom_id", *AXES).withColumn("side", F.lit(1))
     while True:
+        left = left.persist()  # else each step would search all steps before it again
         both = left.unionByName(other)
         hit = pairs(both, reach, (1.0, 1.0, 1.0), periodic=wide, keys=keys, carry=("side",), center=F.col("side") == 0, wing=F.col("side") == 1).groupBy(*keys, F.col("i").alias("atom_id")).agg(F.min("r").alias("distance"))
         found.append(hit)

@@ -12,12 +12,30 @@ DIELECTRIC = 2.56e7 / (1.38 * 8.85)
 #: e angstrom in debye
 DEBYE = 4.80320427
 
+#: Steps in a block of a series, which one task sums up.
+BLOCK = 1 << 16
 MEANS = [f"{n}{a}" for n in ("m", "q") for a in "xyz"]
 
 
-def moments(rows: DataFrame, window: Window) -> DataFrame:
-    """Means of each component and of its square over a window: mx_ ... qz_."""
-    return rows.select("*", *(F.avg(f"m{a}").over(window).alias(f"m{a}_") for a in "xyz"), *(F.avg(F.col(f"m{a}") * F.col(f"m{a}")).over(window).alias(f"q{a}_") for a in "xyz"))
+def running(rows: DataFrame, keys: Sequence[str] = ("traj_id",), block: int = BLOCK) -> DataFrame:
+    """(keys, step, rn, sums): the number of each sample in its series, and sums of all up to it as arrays of six.
+
+    Series are cut into blocks of steps. Samples are numbered and summed up within their block, and the blocks' totals
+    are summed up on their own, so a long series is not one task.
+    """
+    cut = rows.select(*keys, "step", F.floor(F.col("step") / block).alias("_block"), *(F.col(f"m{a}").cast("double").alias(f"m{a}") for a in "xyz"))
+    cut = cut.select("*", *((F.col(f"m{a}") * F.col(f"m{a}")).alias(f"q{a}") for a in "xyz"))
+    totals = cut.groupBy(*keys, "_block").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_{c}") for c in MEANS))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", *(f"_{c}" for c in MEANS))))
+    own = Window.partitionBy(*keys, "_block").orderBy("step")
+    here = own.rowsBetween(Window.unboundedPreceding, 0)
+    inside = cut.select(*keys, "_block", "step", F.row_number().over(own).alias("rn"), *(F.sum(c).over(here).alias(c) for c in MEANS))
+    return inside.join(totals, [*keys, "_block"]).select(*keys, "step", (F.col("rn") + F.col("_n")).alias("rn"), F.array(*(F.col(c) + F.col(f"_{c}") for c in MEANS)).alias("sums"))
+
+
+def means(sums: Column, n: Column | int) -> list[Column]:
+    return [(F.get(sums, F.lit(k)) / n).alias(f"{c}_") for k, c in enumerate(MEANS)]
 
 
 def fluctuation(temperature: Column | float = 300.0, volume: Column | float = 1.0) -> dict[str, Column]:
@@ -28,34 +46,40 @@ def fluctuation(temperature: Column | float = 300.0, volume: Column | float = 1.
     return {"m2": square, "mm": mean, "variance": square - mean, "debye2": (square - mean) * DEBYE * DEBYE, "epsilon": (square - mean) * DIELECTRIC / (temperature * volume)}
 
 
-def ordered(keys: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy("step")
+def differences(sums: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
+    """Running sums beside those of `size` samples before (start), null for the first samples."""
+    back = sums.select(*keys, (F.col("rn") + size).alias("rn"), F.col("sums").alias("start"))
+    return sums.join(back, [*keys, "rn"], "left")
 
 
-def sliding(rows: DataFrame, size: int, keys: Sequence[str] = ("traj_id",), **physics) -> DataFrame:
-    """The last `size` samples at each step; none before there are so many."""
-    w = ordered(keys)
-    found = moments(rows.withColumn("rn", F.row_number().over(w)), w.rowsBetween(1 - size, 0)).filter(F.col("rn") >= size)
+def told(found: DataFrame, keys: Sequence[str], physics: dict) -> DataFrame:
     return found.select(*keys, "step", *(c.alias(n) for n, c in fluctuation(**physics).items()))
 
 
+def sliding(rows: DataFrame, size: int, keys: Sequence[str] = ("traj_id",), **physics) -> DataFrame:
+    """The last `size` samples at each step; none before there are so many. The cost doesn't depend on `size`."""
+    found = differences(running(rows, keys), size, keys).filter(F.col("rn") >= size)
+    window = F.zip_with("sums", F.coalesce("start", F.array(*[F.lit(0.0)] * 6)), lambda a, b: a - b)
+    return told(found.select(*keys, "step", *means(window, size)), keys, physics)
+
+
 def cumulative(rows: DataFrame, keys: Sequence[str] = ("traj_id",), **physics) -> DataFrame:
     """All samples up to each step."""
-    found = moments(rows, ordered(keys).rowsBetween(Window.unboundedPreceding, 0))
-    return found.select(*keys, "step", *(c.alias(n) for n, c in fluctuation(**physics).items()))
+    return told(running(rows, keys).select(*keys, "step", *means(F.col("sums"), F.col("rn"))), keys, physics)
 
 
 def hybrid(rows: DataFrame, size: int, keys: Sequence[str] = ("traj_id",), **physics) -> DataFrame:
-    """Cumulative until `size` samples are there, then sliding: a sliding window over fewer rows is just that."""
-    found = moments(rows, ordered(keys).rowsBetween(1 - size, 0))
-    return found.select(*keys, "step", *(c.alias(n) for n, c in fluctuation(**physics).items()))
+    """Cumulative until `size` samples are there, then sliding."""
+    window = F.zip_with("sums", F.coalesce("start", F.array(*[F.lit(0.0)] * 6)), lambda a, b: a - b)
+    found = differences(running(rows, keys), size, keys).select(*keys, "step", *means(window, F.least("rn", F.lit(size))))
+    return told(found, keys, physics)
 
 
 def binned(rows: DataFrame, size: int, keys: Sequence[str] = ("traj_id",), **physics) -> DataFrame:
     """Each `size` samples on their own, named by their last step; a last bin of fewer is dropped."""
-    numbered = rows.withColumn("bin", F.floor((F.row_number().over(ordered(keys)) - 1) / size))
-    sums = numbered.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.max("step").alias("step"), *(F.avg(f"m{a}").alias(f"m{a}_") for a in "xyz"), *(F.avg(F.col(f"m{a}") * F.col(f"m{a}")).alias(f"q{a}_") for a in "xyz"))
-    return sums.filter(F.col("n") == size).select(*keys, "step", *(c.alias(n) for n, c in fluctuation(**physics).items()))
+    ends = running(rows, keys).filter(F.col("rn") % size == 0)
+    window = F.zip_with("sums", F.coalesce("start", F.array(*[F.lit(0.0)] * 6)), lambda a, b: a - b)
+    return told(differences(ends, size, keys).select(*keys, "step", *means(window, size)), keys, physics)
 
 
 STRATEGIES = {"sliding": sliding, "hybrid": hybrid, "binned": binned, "cumulative": lambda rows, size, keys=("traj_id",), **physics: cumulative(rows, keys, **physics)}

@@ -106,11 +106,15 @@ def audit(submissions: DataFrame, results: DataFrame, texts: DataFrame, key: str
 def evidence(docs: DataFrame, keywords: DataFrame, around: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, requirement, word, place, snippet): the first place of each keyword in each text, without regard to case.
 
-    keywords: (requirement, word), a small table that is broadcast by its size.
+    keywords: (requirement, word), a small table; all of it stands beside each text as one array, so that a text is
+    read where it lies and only what is found becomes a row.
     """
-    met = docs.select(id_col, text_col).crossJoin(keywords).withColumn("place", F.expr(f"locate(lower(word), lower({text_col}))"))
+    every = keywords.agg(F.collect_list(F.struct("requirement", "word", F.lower("word").alias("low"))).alias("_words"))
+    met = docs.select(id_col, text_col).crossJoin(every).withColumn("_low", F.lower(text_col))
+    hits = F.transform("_words", lambda k: F.struct(k["requirement"].alias("requirement"), k["word"].alias("word"), F.call_function("locate", k["low"], F.col("_low")).alias("place")))
+    met = met.select(id_col, text_col, F.explode(F.filter(hits, lambda h: h["place"] > 0)).alias("_hit")).select(id_col, text_col, "_hit.*")
     start = F.greatest(F.col("place") - around, F.lit(1))
-    return met.filter("place > 0").select(id_col, "requirement", "word", "place", F.substring(F.col(text_col), start, F.col("place") - start + F.length("word") + around).alias("snippet"))
+    return met.select(id_col, "requirement", "word", "place", F.substring(F.col(text_col), start, F.col("place") - start + F.length("word") + around).alias("snippet"))
 
 
 def tolerant_json(text: Column) -> Column:

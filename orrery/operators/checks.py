@@ -61,6 +61,13 @@ def nth_profile(near: DataFrame, rank: int, low: float, high: float, keys: Seque
     return found.rollup(*keys).agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("deviation"))
 
 
+def counts_below(near: DataFrame, centers: DataFrame, cutoffs: Sequence[float], keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """(keys, below_1, ...): mean number of neighbours of each center closer than each cutoff; centers: (keys, atom_id)."""
+    sums = near.groupBy(*keys).agg(*(F.count_if(F.col("r") < c).alias(f"_{k}") for k, c in enumerate(cutoffs, 1)))
+    each = centers.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return each.join(sums, list(keys), "left").select(*keys, *((F.coalesce(F.col(f"_{k}"), F.lit(0)) / F.col("_n")).alias(f"below_{k}") for k in range(1, len(cutoffs) + 1)))
+
+
 def ranked_angles(near: DataFrame, first: int, second: int, bins: int = 180, keys: Sequence[str] = ("frame",)) -> DataFrame:
     """(bin, n, p): histogram of the angles between each atom's neighbours of two ranks, of unit sum."""
     order = Window.partitionBy(*keys, "i").orderBy("r", "j")

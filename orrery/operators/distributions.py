@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,3 +190,56 @@ def reciprocal_sq(atoms: DataFrame, box: float, shells: int, by: str = "type") -
     other = waves.select("frame", "h", "k", "l", F.col(by).alias(f"{by}_j"), F.col("c").alias("c2"), F.col("s").alias("s2"), F.col("n").alias("n2"))
     both = waves.withColumnRenamed(by, f"{by}_i").join(other, ["frame", "h", "k", "l"]).filter(F.col(f"{by}_i") <= F.col(f"{by}_j"))
     return both.groupBy(f"{by}_i", f"{by}_j", "q2").agg(F.avg((F.col("c") * F.col("c2") + F.col("s") * F.col("s2")) / F.sqrt(F.col("n") * F.col("n2"))).alias("s"))
+
+
+def faber_ziman(partial: DataFrame, fractions: DataFrame, by: str = "type") -> DataFrame:
+    """(<by>_i, <by>_j, q, a): Faber-Ziman partials 1 + (S - delta) / sqrt(c_a c_b) of partials (<by>_i, <by>_j, q, s)."""
+    side = lambda s: fractions.select(F.col(by).alias(f"{by}_{s}"), F.col("fraction").alias(f"c{s}"))
+    delta = F.when(F.col(f"{by}_i") == F.col(f"{by}_j"), 1.0).otherwise(0.0)
+    met = partial.join(side("i"), f"{by}_i").join(side("j"), f"{by}_j")
+    return met.select(f"{by}_i", f"{by}_j", "q", (1 + (F.col("s") - delta) / F.sqrt(F.col("ci") * F.col("cj"))).alias("a"))
+
+
+def neutron_total(partial: DataFrame, fractions: DataFrame, lengths: dict, by: str = "type") -> DataFrame:
+    """(q, s): sum over unordered pairs of (2 - delta) c_a c_b b_a b_b A_ab, by the square of the mean length."""
+    known = F.create_map(*(F.lit(x) for kv in lengths.items() for x in kv))
+    of = fractions.select(by, (F.col("fraction") * F.element_at(known, F.col(by))).alias("w"))
+    mean = of.agg(F.sum("w").alias("mean"))
+    side = lambda s: of.select(F.col(by).alias(f"{by}_{s}"), F.col("w").alias(f"w{s}"))
+    twice = F.when(F.col(f"{by}_i") == F.col(f"{by}_j"), 1.0).otherwise(2.0)
+    met = partial.filter(F.col(f"{by}_i") <= F.col(f"{by}_j")).join(side("i"), f"{by}_i").join(side("j"), f"{by}_j").crossJoin(mean)
+    return met.groupBy("q").agg(F.sum(twice * F.col("wi") * F.col("wj") * F.col("a") / (F.col("mean") * F.col("mean"))).alias("s"))
+
+
+def arm_angles(near: DataFrame, first: dict[tuple, tuple], second: dict[tuple, tuple], width: float, by: str = "type", keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """(a, center, c, bin, n, p): angles whose arms fit one table each, of unit sum for every triple of kinds.
+
+    first, second: (center, wing) -> (r_min, r_max). A pair of arms counts if one fits the first table and the other the
+    second, half for each order of its wings. 180 degrees belong to the last bin.
+    """
+    count = round(180 / width)
+
+    def fits(table: dict[tuple, tuple]) -> Column:
+        cases = [(F.col(f"{by}_i") == i) & (F.col(f"{by}_j") == j) & F.col("r").between(low, high) for (i, j), (low, high) in table.items()]
+        return reduce(lambda x, y: x | y, cases, F.lit(False))
+
+    arms = near.withColumns({"_first": fits(first), "_second": fits(second)}).filter(F.col("_first") | F.col("_second"))
+    names = ["j", f"{by}_j", "dx", "dy", "dz", "r", "_first", "_second"]
+    other = arms.select(*keys, "i", *(F.col(c).alias(f"{c}2") for c in names))
+    met = arms.join(other, [*keys, "i"]).filter((F.col("j") < F.col("j2")) & ((F.col("_first") & F.col("_second2")) | (F.col("_second") & F.col("_first2"))))
+    cosine = dot([F.col(f"d{a}") for a in "xyz"], [F.col(f"d{a}2") for a in "xyz"]) / (F.col("r") * F.col("r2"))
+    orders = F.explode(F.array(*(F.struct(F.col(a).alias("a"), F.col(c).alias("c")) for a, c in ((f"{by}_j", f"{by}_j2"), (f"{by}_j2", f"{by}_j")))))
+    rows = met.select(F.col(f"{by}_i").alias("center"), closed_bin(F.degrees(clamped_acos(cosine)), 0.0, width, count).alias("bin"), orders.alias("o"))
+    counts = rows.groupBy("o.a", "center", "o.c", "bin").agg((F.count("*") / 2).alias("n"))
+    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("a", "center", "c")))
+
+
+def last_frames(rows: DataFrame, count: int, frame: str = "frame") -> DataFrame:
+    """Rows of the last `count` frames and the one before, as an interval of frames is closed."""
+    last = rows.agg(F.max(frame).alias("_last"))
+    return rows.crossJoin(last).filter(F.col(frame) >= F.col("_last") - count).drop("_last")
+
+
+def unit_sum(curves: DataFrame, y: str, keys: Sequence[str]) -> DataFrame:
+    """Curves divided by their own sum."""
+    return curves.withColumn(y, F.try_divide(F.col(y), F.sum(y).over(Window.partitionBy(*keys))))

@@ -173,8 +173,49 @@ def dynamic_structure(rows: DataFrame, box: float, points: Sequence[tuple[int, i
     waves = rows.crossJoin(F.broadcast(table)).groupBy("frame", "h", "k", "l").agg(F.sum(F.cos(phase)).alias("c"), F.sum(F.sin(phase)).alias("s"), F.count("*").alias("n"))
     joined = lag_join(waves, ["c", "s", "n"], length, 1, frames, keys=("h", "k", "l"))
     f = joined.groupBy("h", "k", "l", "lag").agg(F.avg((F.col("c") * F.col("c_0") + F.col("s") * F.col("s_0")) / F.col("n")).alias("f"))
+    return frequency_curve(f, ["h", "k", "l"], length, dt, count, step)
+
+
+def frequency_curve(f: DataFrame, keys: Sequence[str], length: int, dt: float, count: int, step: float) -> DataFrame:
+    """(keys, m, omega, s): even functions of time (keys, lag, f) tapered and cosine-transformed at omega = m step."""
     grid = f.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("omega", F.col("m") * step)
     weight = F.when(F.col("lag") == 0, 1.0).otherwise(2.0) * F.cos(math.pi * F.col("lag") / (2 * length))
-    return grid.groupBy("h", "k", "l", "m", "omega").agg(F.sum(weight * F.col("f") * F.cos(F.col("omega") * F.col("lag") * dt) * dt / (2 * math.pi)).alias("s"))
+    return grid.groupBy(*keys, "m", "omega").agg(F.sum(weight * F.col("f") * F.cos(F.col("omega") * F.col("lag") * dt) * dt / (2 * math.pi)).alias("s"))
+
+
+def self_structure(rows: DataFrame, box: float, points: Sequence[tuple[int, int, int]], length: int, step: int, frames: int, dt: float, count: int, omega: float, by: str = "type") -> DataFrame:
+    """(<by>, h, k, l, m, omega, s): self part of S(q, omega), from the mean cosine of q times each atom's displacement.
+
+    At points of the reciprocal lattice every periodic image gives the same cosine, so positions need no unwrapping.
+    """
+    moved = lag_join(rows, [by, "x", "y", "z"], length, step, frames).select(by, "lag", *((F.col(a) - F.col(f"{a}_0")).alias(a) for a in "xyz"))
+    table = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(p, "hkl", strict=True))) for p in points)))
+    at = moved.withColumn("_p", table).select(by, "lag", "x", "y", "z", "_p.*")
+    phase = 2 * math.pi / box * (F.col("h") * F.col("x") + F.col("k") * F.col("y") + F.col("l") * F.col("z"))
+    f = at.groupBy(by, "h", "k", "l", "lag").agg(F.avg(F.cos(phase)).alias("f"))
+    return frequency_curve(f, [by, "h", "k", "l"], length, dt, count, omega)
+
+
+# Fixed values of units: energy (eV) of 1 THz, and THz of 1 / cm.
+EV_PER_THZ, THZ_PER_CM = 0.0041356677, 0.0299792458
+
+
+def frequency_units(energy: Column) -> dict[str, Column]:
+    """An energy in eV also in meV, as a frequency in THz and as a wave number in 1 / cm."""
+    thz = energy / EV_PER_THZ
+    return {"ev": energy, "mev": energy * 1000, "thz": thz, "per_cm": thz / THZ_PER_CM}
+
+
+def angular_to_thz(omega: Column) -> Column:
+    """rad / fs as THz."""
+    return omega * 1000 / (2 * math.pi)
 
 
+def structure_table(coherent: DataFrame, own: DataFrame | None = None, keys: Sequence[str] = ("h", "k", "l", "m")) -> DataFrame:
+    """(keys, omega, thz, s, <kind> ...): S(q, omega) as one long table, one row for each point and frequency; self parts
+    (type, keys, s), if given, as a column for each kind."""
+    out = coherent.withColumn("thz", angular_to_thz(F.col("omega")))
+    if own is None:
+        return out
+    wide = own.groupBy(*keys).pivot("type").agg(F.first("s"))
+    return out.join(wide.select(*keys, *(F.col(c).alias(f"self_{c}") for c in wide.columns if c not in keys)), list(keys))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES, dot, lattice_image, triclinic_image
+from ..functions.geometry import AXES, dot, lattice_image, lattice_parameters, triclinic_image
 from .neighbors import Box, nearest, pairs, partner_distances
 
 DENSITY = 1.6605  # amu / angstrom^3 in g / cm^3, as rounded by convention
@@ -211,16 +211,23 @@ def repair_edges(atoms: DataFrame, cutoff: float, box: Sequence[float], axis: st
     return refit(out.drop("moved"), pad)
 
 
-def renumbered(atoms: DataFrame, order: str = "atom_id") -> DataFrame:
-    """(old, new): ids 1, 2, ... in the old order, by sorted partitions and their counts, without one task for all rows."""
-    placed = atoms.select(F.col(order).alias("old")).repartitionByRange(F.col("old")).sortWithinPartitions("old").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % (1 << 33))
-    placed = placed.persist()
-    counts = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # one number for each partition
-    before, total = {}, 0
-    for part in sorted(counts):
-        before[part], total = total, total + counts[part]
-    starts = F.create_map(*(x for p, n in before.items() for x in (F.lit(p), F.lit(n)))) if before else F.create_map(F.lit(0), F.lit(0))
-    return placed.select("old", (starts[F.col("part")] + F.col("at") + 1).cast("long").alias("new"))
+def renumbered(atoms: DataFrame, order: str = "atom_id", block: int = 1 << 20) -> DataFrame:
+    """(old, new): ids 1, 2, ... in the old order, numbered in blocks of ids whose totals are summed up on their own.
+
+    A block is told by the id alone, so a task that is run again gives the same numbers. The order must be distinct.
+    """
+    placed = atoms.select(F.col(order).alias("old"), F.floor(F.col(order) / block).alias("_block"))
+    totals = placed.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each block
+    here = F.row_number().over(Window.partitionBy("_block").orderBy("old"))
+    return placed.withColumn("_at", here).join(totals.select("_block", before.alias("_before")), "_block").select("old", (F.col("_at") + F.col("_before")).alias("new"))
+
+
+def cell_changes(before: Sequence[Column], after: Sequence[Column]) -> dict[str, Column]:
+    """Relative change of the volume, and the changes of lengths and angles, of two tilted boxes (lx, ly, lz, xy, xz, yz)."""
+    volume = lambda b: b[0] * b[1] * b[2]
+    a, b = lattice_parameters(*before), lattice_parameters(*after)
+    return {"volume_change": (volume(after) - volume(before)) / volume(before)} | {f"d_{k}": b[k] - a[k] for k in a}
 
 
 def molecule_dipoles(atoms: DataFrame, box: Box, reach: float, charge: float, oxygen: int = 2, hydrogen: int = 3) -> DataFrame:

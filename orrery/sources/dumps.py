@@ -1,16 +1,18 @@
 """Multi-frame dumps and lattice or plain XYZ files as frames and atoms.
 
-A file is read as one row for each frame, split at the frame's own header, so files stay splittable; columns are found
-by the header's names. Filters on frames come before atoms are unfolded.
+A dump is read as one row for each frame, split at the frame's own header, and XYZ files as numbered lines, so files stay
+splittable; columns are found by the header's names. Filters on frames come before atoms are unfolded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lines import carried, lines
+
 KINDS = {"atom_id": "bigint", "type": "int", "element": "string", "charge": "double"} | {f"i{a}": "int" for a in "xyz"}
 NAMES = {"id": "atom_id", "name": "element", "q": "charge"}
 SEPARATOR = "ITEM: TIMESTEP\n"
@@ -83,19 +85,21 @@ def read_xyz(spark: SparkSession, path: str | Sequence[str], columns: Sequence[s
     A comment of six numbers is a lattice (a, b, c and angles); one with `Timestep: N` names the frame; else frames are
     counted in their file, and the box is the one given. A last frame with too few atoms is left out.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\r", "").alias("value"))
+    rows = lines(spark, path)
     # a count stands alone on its line, and the comment follows it
-    parts = whole.select("path", F.posexplode(F.split(F.concat(F.lit("\n"), F.col("value")), r"\n(?=[ \t]*[0-9]+[ \t]*\n)")).alias("k", "text")).filter(F.trim("text") != "")
-    f = parts.withColumn("l", F.split("text", "\n")).select("path", "k", F.trim(F.col("l")[0]).try_cast("int").alias("n_atoms"), F.trim(F.get("l", F.lit(1))).alias("comment"), F.filter(F.slice("l", 3, 1 << 30), lambda x: F.trim(x) != "").alias("lines"))
-    f = f.filter(F.size("lines") >= F.col("n_atoms"))
+    heads = carried(rows, F.when(F.col("value").rlike(r"^\s*[0-9]+\s*$"), F.struct("n", F.trim("value").cast("int").alias("n_atoms"))), "_head")
+    heads = heads.filter("_head is not null").select("path", F.col("_head.n").alias("_start"), F.col("_head.n_atoms").alias("n_atoms"), (F.col("n") - F.col("_head.n")).alias("_at"), "value")
+    f = heads.groupBy("path", "_start").agg(F.first("n_atoms").alias("n_atoms"), F.trim(F.max(F.when(F.col("_at") == 1, F.col("value")))).alias("comment"), F.count_if((F.col("_at") > 1) & (F.trim("value") != "")).alias("_found"))
+    f = f.filter(F.col("_found") >= F.col("n_atoms")).withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("_start")))  # one row for each frame
+    body = heads.filter((F.col("_at") > 1) & (F.col("_at") <= F.col("n_atoms") + 1)).select("path", "_start", "value")
     words = tokens(F.col("comment"))
     lattice = F.when(F.size(words) >= 6, F.transform(F.slice(words, 1, 6), lambda x: x.try_cast("double")))
     fixed = F.array(*(F.lit(float(x)) for x in (*box, 90, 90, 90))) if box else F.lit(None).cast("array<double>")
     step = F.regexp_extract("comment", r"Timestep:\s*([0-9]+)", 1)
-    f = f.select("path", F.when(step != "", step.try_cast("bigint")).otherwise(F.col("k") - 1).alias("timestep"), "n_atoms", F.coalesce(F.when(F.forall(lattice, lambda x: x.isNotNull()), lattice), fixed).alias("lattice"), "lines")
-    rows = f.select("path", "timestep", F.explode(F.slice("lines", 1, F.col("n_atoms"))).alias("line")).withColumn("w", tokens(F.col("line")))
-    atoms = rows.select("path", "timestep", *(F.try_element_at("w", F.lit(k + 1)).cast(KINDS.get(c, "double")).alias(c) for k, c in enumerate(columns)))
-    return f.drop("lines"), atoms
+    f = f.select("path", "_start", F.when(step != "", step.try_cast("bigint")).otherwise(F.col("k") - 1).alias("timestep"), "n_atoms", F.coalesce(F.when(F.forall(lattice, lambda x: x.isNotNull()), lattice), fixed).alias("lattice"))
+    told = body.join(f.select("path", "_start", "timestep"), ["path", "_start"]).withColumn("w", tokens(F.col("value")))
+    atoms = told.select("path", "timestep", *(F.try_element_at("w", F.lit(k + 1)).cast(KINDS.get(c, "double")).alias(c) for k, c in enumerate(columns)))
+    return f.drop("_start"), atoms
 
 
 def with_elements(atoms: DataFrame, mapping: str | dict[int, str], unknown: str | None = None) -> DataFrame:
@@ -115,8 +119,6 @@ def resolved(atoms: DataFrame, species: DataFrame) -> DataFrame:
 
 def numbered(frames: DataFrame, by: Sequence[str] = ("traj_id",), order: str = "timestep") -> DataFrame:
     """Adds frame, 0, 1, ... in each trajectory."""
-    from pyspark.sql import Window
-
     return frames.withColumn("frame", (F.dense_rank().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("int"))
 
 
@@ -182,3 +184,33 @@ def detect(spark: SparkSession, path: str) -> str:
 
 def read_any(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
     return FORMATS[detect(spark, path)](spark, path, **options)
+
+
+def write_frames(text: DataFrame, path: str, keys: Sequence[str] = ("frame",)) -> None:
+    """One folder for each value of the keys, such as frame or temperature, with the text (keys, value) of its frames.
+
+    Spark renames what is complete, so a reader never sees half a file.
+    """
+    text.select(*keys, "value").write.partitionBy(*keys).text(path)
+
+
+def read_listed(spark: SparkSession, listing: str, columns: Sequence[str] = ("atom_id", "type", "x", "y", "z")) -> tuple[DataFrame, DataFrame]:
+    """(frames, atoms) of the dumps that a list file names, one path a line; frame is the place in the list."""
+    listed = lines(spark, listing).filter(F.trim("value") != "").select(F.trim("value").alias("path"), "n")
+    paths = [r["path"] for r in listed.orderBy("n").collect()]  # a list of files is as long as the driver's own listing
+    frames, atoms = read_dump(spark, paths, columns)
+    place = F.create_map(*(F.lit(x) for k, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], k)))
+    at = F.element_at(place, F.element_at(F.split("path", "/"), -1))
+    return frames.withColumn("frame", at), atoms.withColumn("frame", at)
+
+
+def framewise(atoms: DataFrame, kernel: Callable, schema: str, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """A kernel over each frame as a pandas frame, for what no operator tells; a frame must fit into a task."""
+    return atoms.groupBy(*keys).applyInPandas(kernel, schema)
+
+
+def modified(atoms: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Atoms after a chain of modifiers, each a function from atoms to atoms."""
+    for step in steps:
+        atoms = atoms.transform(step)
+    return atoms

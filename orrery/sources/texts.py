@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .dumps import KINDS, embedded_number, tokens
+from .lines import blocked, carried, lines
 
 SECTIONS = "Masses|Atoms|Velocities|Bonds|Angles|Dihedrals|Impropers|Pair Coeffs|Bond Coeffs"
 #: Columns of atom lines by style; image flags may follow.
@@ -17,12 +18,6 @@ STYLES = {
 }
 
 
-def lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, n, value): numbered lines. Such files are of one structure or log each, so a file is read whole."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r", ""), "\n")).alias("n", "value"))
-
-
 def structure(spark: SparkSession, path: str | Sequence[str], style: str | None = None) -> dict[str, DataFrame]:
     """Parts of structure files: box (path, xlo ... zhi, tilts), masses (path, type, mass, element), atoms, velocities.
 
@@ -31,8 +26,8 @@ def structure(spark: SparkSession, path: str | Sequence[str], style: str | None
     """
     rows = lines(spark, path)
     name = F.regexp_extract("value", rf"^\s*({SECTIONS})\b", 1)
-    w = Window.partitionBy("path").orderBy("n")
-    rows = rows.withColumn("head", F.when(name != "", name)).withColumn("section", F.last("head", True).over(w)).withColumn("w", tokens(F.regexp_replace("value", "#.*", "")))
+    rows = rows.withColumn("head", F.when(name != "", name))
+    rows = carried(rows, F.col("head"), "section").withColumn("w", tokens(F.regexp_replace("value", "#.*", "")))
     body = rows.filter(F.col("head").isNull() & (F.trim("value") != ""))
     numbers = lambda key, k: F.max(F.when(F.col("value").rlike(rf"\b{key}\b"), F.element_at("w", k).try_cast("double")))
     top = rows.filter("section is null and head is null")
@@ -72,10 +67,11 @@ def log_sections(rows: DataFrame) -> DataFrame:
 
     rows: (path, n, value). Each file's sections are numbered from 1; rows repeated at the border of runs are kept.
     """
-    w = Window.partitionBy("path").orderBy("n")
     head, tail = F.col("value").rlike(r"^\s*Step\b"), F.col("value").rlike(r"^\s*Loop time")
-    marked = rows.withColumn("section", F.sum(head.cast("int")).over(w)).withColumn("names", F.last(F.when(head, tokens(F.col("value"))), True).over(w)).withColumn("open", F.last(F.when(head, True).when(tail, False), True).over(w))
-    body = marked.filter(F.col("open") & ~head).withColumn("w", tokens(F.col("value")))
+    edges = F.when(head, F.struct(F.col("n").alias("at"), tokens(F.col("value")).alias("names"))).when(tail, F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("array<string>").alias("names")))
+    marked = carried(blocked(rows).withColumn("n", F.col("n").cast("bigint")), edges, "_last").filter(F.col("_last.at").isNotNull() & ~head)
+    heads = rows.filter(head).select("path", F.col("n").cast("bigint").alias("_at"), F.row_number().over(Window.partitionBy("path").orderBy("n")).cast("bigint").alias("section"))  # one row for each section
+    body = marked.withColumn("_at", F.col("_last.at")).join(heads, ["path", "_at"]).withColumn("names", F.col("_last.names")).withColumn("w", tokens(F.col("value")))
     return body.filter((F.size("w") == F.size("names")) & F.forall("w", lambda x: x.try_cast("double").isNotNull())).select("path", "section", "n", "names", F.transform("w", lambda x: x.cast("double")).alias("w"))
 
 
@@ -120,10 +116,37 @@ def counted_blocks(rows: DataFrame, header: int = 3) -> DataFrame:
 
     rows: (path, n, value). The header is carried down to its block.
     """
-    w = Window.partitionBy("path").orderBy("n")
     whole = F.col("value").rlike(r"^\s*" + r"\s+".join([r"\d+"] * header) + r"\s*$")
-    marked = rows.filter(F.trim("value") != "").withColumn("head", F.when(whole, F.col("n"))).withColumn("at", F.last("head", True).over(w)).withColumn("step", F.last(F.when(whole, tokens(F.col("value"))[0].cast("bigint")), True).over(w))
-    return marked.filter(F.col("head").isNull() & F.col("at").isNotNull()).select("path", "step", (F.col("n") - F.col("at")).alias("row"), tokens(F.col("value")).alias("w"))
+    some = blocked(rows).filter(F.trim("value") != "")
+    marked = carried(some, F.when(whole, F.struct(F.col("n").alias("at"), tokens(F.col("value"))[0].cast("bigint").alias("step"))), "_last")
+    return marked.filter(~whole & F.col("_last").isNotNull()).select("path", F.col("_last.step").alias("step"), (F.col("n") - F.col("_last.at")).alias("row"), tokens(F.col("value")).alias("w"))
+
+
+def eigenvalues(rows: DataFrame) -> DataFrame:
+    """(path, step, band, energy, occupation) of blocks headed by step, number and number of bands."""
+    return counted_blocks(rows).select("path", "step", F.element_at("w", 1).cast("int").alias("band"), *(F.try_element_at("w", F.lit(k)).cast("double").alias(n) for k, n in ((2, "energy"), (3, "occupation"))))
+
+
+def fermi_levels(rows: DataFrame) -> DataFrame:
+    """(path, step, fermi) of lines with a step and a level."""
+    w = tokens(F.col("value"))
+    return rows.filter(F.size(w) == 2).select("path", w[0].try_cast("bigint").alias("step"), w[1].try_cast("double").alias("fermi")).filter("step is not null and fermi is not null")
+
+
+def band_weights(rows: DataFrame) -> DataFrame:
+    """(path, step, band, atom, orbital, weight) of blocks headed by step, band and number of rows."""
+    second = rows.withColumn("value", F.regexp_replace("value", r"^\s*(\d+)\s+(\d+)\s+(\d+)\s*$", "$1 $2 $3"))
+    some = blocked(second).filter(F.trim("value") != "")
+    whole = F.col("value").rlike(r"^\d+ \d+ \d+$")
+    w = tokens(F.col("value"))
+    marked = carried(some, F.when(whole, F.struct(w[0].cast("bigint").alias("step"), w[1].cast("int").alias("band"))), "_last").filter(~whole & F.col("_last").isNotNull()).withColumn("w", w)
+    return marked.select("path", "_last.step", "_last.band", F.element_at("w", 1).cast("int").alias("atom"), F.element_at("w", 2).cast("int").alias("orbital"), F.element_at("w", 3).cast("double").alias("weight"))
+
+
+def by_third_column(rows: DataFrame) -> DataFrame:
+    """(value) lines of three columns or more, those with the greatest third number first."""
+    w = tokens(F.col("value"))
+    return rows.withColumn("third", F.try_element_at(w, F.lit(3)).try_cast("double")).filter("third is not null").orderBy(F.desc("third"), "n").select("path", "n", "third", "value")
 
 
 def cartesian(atoms: DataFrame, frames: DataFrame, keys: Sequence[str] = ("step",)) -> DataFrame:

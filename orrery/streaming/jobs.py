@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.series import DEBYE
-from ..operators.tables import upsert
+from ..operators.tables import latest
 from ..operators.voxels import voxel_fields
 
 SAMPLE = "traj_id long, step long, mx double, my double, mz double"
@@ -25,42 +25,70 @@ def stream_voxels(spark: SparkSession, source: str, target: str, checkpoint: str
     return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_bins(samples: DataFrame, size: int) -> DataFrame:
-    """(traj_id, step, m2, mm, variance, debye2) of every full bin of `size` samples, with state for each trajectory.
+def running_averages(samples: DataFrame, strategy: str, size: int) -> DataFrame:
+    """(traj_id, step, m2, mm, variance, debye2) as samples arrive, with state for each trajectory.
 
-    Samples of a trajectory arrive in the order of their steps. The state is a count and six sums.
+    strategy: binned, each `size` samples on their own; sliding, the last `size` at each step; cumulative, all so far;
+    hybrid, cumulative until there are `size`, then sliding. The state is the number of samples, the last step, six sums
+    and, but for cumulative, the samples of the window. Samples of a trajectory must arrive in the order of their steps;
+    one that comes before what was seen is an error.
     """
+    import numpy as np
     import pandas as pd
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else [0] + [0.0] * 6
-        out = []
-        for batch in batches:
-            for r in batch.sort_values("step").itertuples(index=False):
-                m = (r.mx, r.my, r.mz)
-                held = [held[0] + 1, *(held[1 + k] + m[k] for k in range(3)), *(held[4 + k] + m[k] * m[k] for k in range(3))]
-                if held[0] == size:
-                    square, mean = sum(held[4:]) / size / 3, sum((x / size) ** 2 for x in held[1:4]) / 3
-                    out.append((key[0], r.step, square, mean, square - mean, (square - mean) * DEBYE * DEBYE))
-                    held = [0] + [0.0] * 6
-        state.update(tuple(held))
-        yield pd.DataFrame(out, columns=["traj_id", "step", "m2", "mm", "variance", "debye2"])
-
-    return samples.groupBy("traj_id").applyInPandasWithState(update, "traj_id long, step long, m2 double, mm double, variance double, debye2 double", "n long, a double, b double, c double, d double, e double, f double", "append", "NoTimeout")
+        seen, last, before, held = state.get if state.exists else (0, None, bytes(48), b"")
+        new = pd.concat(list(batches)).sort_values("step", kind="stable")
+        if last is not None and len(new) and new["step"].iloc[0] < last:
+            raise ValueError(f"trajectory {key[0]}: step {new['step'].iloc[0]} comes after step {last}")
+        old = np.frombuffer(held).reshape(-1, 3)
+        m = new[["mx", "my", "mz"]].to_numpy(float)
+        every = np.concatenate([old, m])
+        sums = np.concatenate([np.zeros((1, 6)), np.cumsum(np.concatenate([every, every * every], 1), 0)])
+        at = len(old) + 1 + np.arange(len(m))  # places behind each new sample
+        number = seen + 1 + np.arange(len(m))
+        if strategy == "cumulative":
+            total, n, shown = np.frombuffer(before) + sums[at], number, np.ones(len(m), bool)
+        elif strategy == "binned":
+            total, n, shown = sums[at] - sums[np.maximum(at - size, 0)], np.full(len(m), size), number % size == 0
+        else:
+            n = np.minimum(number, size)
+            total, shown = sums[at] - sums[at - n], number >= size if strategy == "sliding" else np.ones(len(m), bool)
+        mean = total[shown] / n[shown, None]
+        m2, mm = mean[:, 3:].sum(1) / 3, (mean[:, :3] ** 2).sum(1) / 3
+        if len(m):
+            before = (np.frombuffer(before) + sums[-1]).tobytes() if strategy == "cumulative" else before
+            held = b"" if strategy == "cumulative" else np.ascontiguousarray(every[-size:]).tobytes()
+            state.update((int(number[-1]), int(new["step"].iloc[-1]), before, held))
+        yield pd.DataFrame({"traj_id": key[0], "step": new["step"].to_numpy()[shown], "m2": m2, "mm": mm, "variance": m2 - mm, "debye2": (m2 - mm) * DEBYE * DEBYE})
+
+    return samples.groupBy("traj_id").applyInPandasWithState(update, "traj_id long, step long, m2 double, mm double, variance double, debye2 double", "seen long, last long, sums binary, held binary", "append", "NoTimeout")
+
+
+def running_bins(samples: DataFrame, size: int) -> DataFrame:
+    """Every full bin of `size` samples."""
+    return running_averages(samples, "binned", size)
 
 
 def stream_results(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, keys: Sequence[str]):
-    """Result rows merged by key into versions of a table; the last version is the table. Gives the started query."""
+    """Result rows of each batch appended to a log of results by batch. Gives the started query.
+
+    A batch writes its own rows alone, and one that is tried again replaces what it wrote before; `current` gives the
+    last row of each key.
+    """
     rows = spark.readStream.schema(schema).json(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(list(keys))
-        old = spark.read.parquet(f"{target}/version={number - 1}") if number else None
-        (upsert(old, new, keys) if old is not None else new).write.mode("overwrite").parquet(f"{target}/version={number}")
+        batch.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
+    """The table that a log of results tells: of each key the row of its last batch."""
+    return latest(spark.read.parquet(target), keys, "batch").drop("batch")
+
+
 def windowed_steps(samples: DataFrame, dt: float, seconds: int, late: int) -> DataFrame:
     """Means over windows of simulated time, with a watermark: step times dt seconds is the event time."""
     timed = samples.withColumn("at", F.timestamp_seconds(F.col("step") * dt)).withWatermark("at", f"{late} seconds")

@@ -1,10 +1,13 @@
 """Readers, writers and streams on files made here."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.plans.views import ATOM_BOX, atoms
 from orrery.sources import dumps, texts
+from orrery.sources.lines import carried, lines
 from orrery.streaming import jobs
 
 DUMP = """ITEM: TIMESTEP
@@ -185,4 +188,75 @@ def test_upserts_by_stream(spark, tmp_path):
     for k, text in enumerate(('{"student": "a", "status": "MET"}\n{"student": "b", "status": "MET"}', '{"student": "a", "status": "NOT_MET"}')):
         (source / f"{k}.json").write_text(text)
         jobs.stream_results(spark, str(source), str(tmp_path / "out"), str(tmp_path / "mark"), "student string, status string", ["student"]).awaitTermination()
-    assert {(r["student"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out/version=1")).collect()} == {("a", "NOT_MET"), ("b", "MET")}
+    assert {(r["student"], r["status"]) for r in jobs.current(spark, str(tmp_path / "out"), ["student"]).collect()} == {("a", "NOT_MET"), ("b", "MET")}
+
+
+@pytest.mark.parametrize("strategy", ["sliding", "cumulative", "hybrid", "binned"])
+def test_running_averages_over_restarts(spark, tmp_path, strategy):
+    """Samples that arrive in several runs of a stream give what the whole series gives."""
+    from orrery.operators.series import averaged
+
+    r = random.Random(4)
+    rows = [(t, k, r.gauss(1, 2), r.gauss(0, 1), r.gauss(0, 3)) for t in range(3) for k in range(40 + 7 * t)]
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    series = spark.createDataFrame(rows, jobs.SAMPLE)
+    for low, high in ((0, 7), (7, 25), (25, 26), (26, 99)):
+        series.filter((F.col("step") >= low) & (F.col("step") < high)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(jobs.SAMPLE).parquet(source)
+        jobs.running_averages(stream, strategy, 10).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    got = {(x["traj_id"], x["step"]): x["variance"] for x in spark.read.parquet(out).collect()}
+    want = {(x["traj_id"], x["step"]): x["variance"] for x in averaged(series, strategy, 10).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    spark.createDataFrame([(0, 3, 0.0, 0.0, 0.0)], jobs.SAMPLE).write.mode("append").parquet(source)
+    late = jobs.running_averages(spark.readStream.schema(jobs.SAMPLE).parquet(source), strategy, 10).writeStream.format("noop").option("checkpointLocation", mark).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="comes after"):
+        late.awaitTermination()
+
+
+def test_a_batch_that_broke_is_written_once(spark, tmp_path, sf_dir, monkeypatch):
+    """A stream that stops inside a batch goes on there, and nothing is written twice."""
+    from orrery.operators.voxels import voxel_fields
+    from orrery.plans.views import VOXEL_BOX, vox
+
+    own = vox(spark, sf_dir).filter("frame < 3").cache()
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    own.filter("frame < 2").write.parquet(source)
+    jobs.stream_voxels(spark, source, out, mark, own.schema, 5.0, VOXEL_BOX, F.lit(1.0)).awaitTermination()
+    own.filter("frame = 2").write.mode("append").parquet(source)
+
+    def breaks(*rows, **options):
+        voxel_fields(*rows, **options).limit(3).write.mode("overwrite").parquet(f"{out}/batch=1")
+        raise RuntimeError("the machine is gone")
+
+    monkeypatch.setattr(jobs, "voxel_fields", breaks)
+    with pytest.raises(Exception, match="the machine is gone"):
+        jobs.stream_voxels(spark, source, out, mark, own.schema, 5.0, VOXEL_BOX, F.lit(1.0)).awaitTermination()
+    monkeypatch.undo()
+    jobs.stream_voxels(spark, source, out, mark, own.schema, 5.0, VOXEL_BOX, F.lit(1.0)).awaitTermination()
+    whole = voxel_fields(own, 5.0, VOXEL_BOX, F.lit(1.0)).select("frame", "ix", "iy", "iz", "n")
+    got = spark.read.parquet(out).select("frame", "ix", "iy", "iz", "n")
+    assert got.count() == whole.count() and got.exceptAll(whole).count() == 0
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Numbers and headers go on over the borders of a file's splits."""
+    text = [f"line {k} " + "x" * (k % 17) if k % 50 else f"{k}" for k in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(text) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = lines(spark, str(tmp_path))
+        assert rows.select("block").distinct().count() > 5
+        assert [r["value"] for r in rows.orderBy("n").collect()] == text
+        told = carried(rows, F.when(F.col("value").rlike(r"^\d+$"), F.col("value").cast("int")), "head").orderBy("n").collect()
+        assert all(r["head"] == r["n"] // 50 * 50 for r in told)
+        atoms = "".join(f"{n}\nAtoms. Timestep: {k}\n" + "".join(f"H {k} {j} 0\n" for j in range(n)) for k, n in ((k, k % 7 + 1) for k in range(400)))
+        (tmp_path / "xyz").mkdir()
+        (tmp_path / "xyz/b.xyz").write_text(atoms + "9\nAtoms. Timestep: 900\nH 1 1 1\n")
+        frames, found = dumps.read_xyz(spark, str(tmp_path / "xyz/b.xyz"))
+        assert {r["timestep"]: r["n_atoms"] for r in frames.collect()} == {k: k % 7 + 1 for k in range(400)}
+        assert found.groupBy("timestep").count().filter("count <> timestep % 7 + 1").count() == 0 and found.filter("x <> timestep").count() == 0
+    finally:
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.set(k, before[k]) if k in before else spark.conf.unset(k)

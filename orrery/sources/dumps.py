@@ -6,6 +6,7 @@ splittable; columns are found by the header's names. Filters on frames come befo
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -199,8 +200,9 @@ def read_listed(spark: SparkSession, listing: str, columns: Sequence[str] = ("at
     listed = lines(spark, listing).filter(F.trim("value") != "").select(F.trim("value").alias("path"), "n")
     paths = [r["path"] for r in listed.orderBy("n").collect()]  # a list of files is as long as the driver's own listing
     frames, atoms = read_dump(spark, paths, columns)
-    place = F.create_map(*(F.lit(x) for k, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], k)))
-    at = F.element_at(place, F.element_at(F.split("path", "/"), -1))
+    bare = lambda p: re.sub(r"^[a-zA-Z]+:/*", "/", p)
+    place = F.create_map(*(F.lit(x) for k, p in enumerate(paths) for x in (bare(p), k)))
+    at = F.element_at(place, F.regexp_replace("path", r"^[a-zA-Z]+:/*", "/"))
     return frames.withColumn("frame", at), atoms.withColumn("frame", at)
 
 

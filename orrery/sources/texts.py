@@ -19,7 +19,7 @@ STYLES = {
 
 
 def structure(spark: SparkSession, path: str | Sequence[str], style: str | None = None) -> dict[str, DataFrame]:
-    """Parts of structure files: box (path, xlo ... zhi, tilts), masses (path, type, mass, element), atoms, velocities.
+    """Parts of structure files, where a word that is no number gives null: box (path, xlo ... zhi, tilts), masses (path, type, mass, element), atoms, velocities.
 
     A line belongs to the last section named above it. The style is the one given, else the one that the section's
     comment names, else atomic. A general cell is told by avec, bvec, cvec and an origin.
@@ -38,7 +38,7 @@ def structure(spark: SparkSession, path: str | Sequence[str], style: str | None
         ends += [F.coalesce(numbers(f"{a}lo {a}hi", 1), origin[k]).alias(f"{a}lo"), F.coalesce(numbers(f"{a}lo {a}hi", 2), origin[k] + general["abc"[k] + "vec"][k]).alias(f"{a}hi")]
     tilts = [F.coalesce(numbers("xy xz yz", k + 1), general[v][c], F.lit(0.0)).alias(n) for k, (n, v, c) in enumerate((("xy", "bvec", 0), ("xz", "cvec", 0), ("yz", "cvec", 1)))]
     box = top.groupBy("path").agg(*ends, *tilts)
-    masses = body.filter("section = 'Masses'").select("path", F.element_at("w", 1).cast("int").alias("type"), F.element_at("w", 2).cast("double").alias("mass"), F.regexp_extract("value", r"#\s*(\S+)", 1).alias("element"))
+    masses = body.filter("section = 'Masses'").select("path", F.element_at("w", 1).try_cast("int").alias("type"), F.element_at("w", 2).try_cast("double").alias("mass"), F.regexp_extract("value", r"#\s*(\S+)", 1).alias("element"))
     named = rows.filter("head = 'Atoms'").groupBy("path").agg(F.max(F.regexp_extract("value", r"#\s*(\w+)", 1)).alias("style"))
     said = F.lit(style) if style else F.when(F.col("style").isin(*STYLES), F.col("style")).otherwise("atomic")
     told = body.filter("section = 'Atoms'").join(named, "path", "left").withColumn("style", said)
@@ -46,10 +46,10 @@ def structure(spark: SparkSession, path: str | Sequence[str], style: str | None
 
     def value(c: str) -> Column:
         cases = [F.when(F.col("style") == s, F.try_element_at("w", F.lit((list(cs) + ["ix", "iy", "iz"]).index(c) + 1))) for s, cs in STYLES.items() if c in cs or c in ("ix", "iy", "iz")]
-        return F.coalesce(*cases).cast(KINDS.get(c, "bigint" if c == "molecule" else "double")).alias(c)
+        return F.coalesce(*cases).try_cast(KINDS.get(c, "bigint" if c == "molecule" else "double")).alias(c)
 
     atoms = told.select("path", *(value(c) for c in columns))
-    velocities = body.filter("section = 'Velocities'").select("path", F.element_at("w", 1).cast("bigint").alias("atom_id"), *(F.element_at("w", k + 2).cast("double").alias(f"v{a}") for k, a in enumerate("xyz")))
+    velocities = body.filter("section = 'Velocities'").select("path", F.element_at("w", 1).try_cast("bigint").alias("atom_id"), *(F.element_at("w", k + 2).try_cast("double").alias(f"v{a}") for k, a in enumerate("xyz")))
     return {"box": box, "masses": masses, "atoms": atoms, "velocities": velocities}
 
 
@@ -72,7 +72,7 @@ def log_sections(rows: DataFrame) -> DataFrame:
     marked = carried(blocked(rows).withColumn("n", F.col("n").cast("bigint")), edges, "_last").filter(F.col("_last.at").isNotNull() & ~head)
     heads = rows.filter(head).select("path", F.col("n").cast("bigint").alias("_at"), F.row_number().over(Window.partitionBy("path").orderBy("n")).cast("bigint").alias("section"))  # one row for each section
     body = marked.withColumn("_at", F.col("_last.at")).join(heads, ["path", "_at"]).withColumn("names", F.col("_last.names")).withColumn("w", tokens(F.col("value")))
-    return body.filter((F.size("w") == F.size("names")) & F.forall("w", lambda x: x.try_cast("double").isNotNull())).select("path", "section", "n", "names", F.transform("w", lambda x: x.cast("double")).alias("w"))
+    return body.filter((F.size("w") == F.size("names")) & F.forall("w", lambda x: x.try_cast("double").isNotNull())).select("path", "section", "n", "names", F.transform("w", lambda x: x.try_cast("double")).alias("w"))
 
 
 def thermo(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -82,9 +82,10 @@ def thermo(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str
     return rows.select("path", "section", "n", *(F.try_element_at(values, F.lit(c)).alias(c) for c in columns))
 
 
-def thermo_tables(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Numbered CSV files one after another in the order of their number, which is column file; empty ones give nothing."""
-    return spark.read.option("header", True).csv(path).withColumn("file", embedded_number(F.col("_metadata.file_path")))
+def thermo_tables(spark: SparkSession, path: str | Sequence[str], number: Column | None = None) -> DataFrame:
+    """Numbered CSV files together, with the number of each in column file: that of its name, or one told of its
+    `_metadata`. Empty files give nothing."""
+    return spark.read.option("header", True).csv(path).withColumn("file", embedded_number(F.col("_metadata.file_path")) if number is None else number)
 
 
 OSZICAR = {"temperature": "T", "energy": "E", "free": "F", "e0": "E0", "kinetic": "EK", "sp": "SP", "sk": "SK"}
@@ -124,7 +125,7 @@ def counted_blocks(rows: DataFrame, header: int = 3) -> DataFrame:
 
 def eigenvalues(rows: DataFrame) -> DataFrame:
     """(path, step, band, energy, occupation) of blocks headed by step, number and number of bands."""
-    return counted_blocks(rows).select("path", "step", F.element_at("w", 1).cast("int").alias("band"), *(F.try_element_at("w", F.lit(k)).cast("double").alias(n) for k, n in ((2, "energy"), (3, "occupation"))))
+    return counted_blocks(rows).select("path", "step", F.element_at("w", 1).try_cast("int").alias("band"), *(F.try_element_at("w", F.lit(k)).try_cast("double").alias(n) for k, n in ((2, "energy"), (3, "occupation"))))
 
 
 def fermi_levels(rows: DataFrame) -> DataFrame:
@@ -139,8 +140,8 @@ def band_weights(rows: DataFrame) -> DataFrame:
     some = blocked(second).filter(F.trim("value") != "")
     whole = F.col("value").rlike(r"^\d+ \d+ \d+$")
     w = tokens(F.col("value"))
-    marked = carried(some, F.when(whole, F.struct(w[0].cast("bigint").alias("step"), w[1].cast("int").alias("band"))), "_last").filter(~whole & F.col("_last").isNotNull()).withColumn("w", w)
-    return marked.select("path", "_last.step", "_last.band", F.element_at("w", 1).cast("int").alias("atom"), F.element_at("w", 2).cast("int").alias("orbital"), F.element_at("w", 3).cast("double").alias("weight"))
+    marked = carried(some, F.when(whole, F.struct(w[0].try_cast("bigint").alias("step"), w[1].try_cast("int").alias("band"))), "_last").filter(~whole & F.col("_last").isNotNull()).withColumn("w", w)
+    return marked.select("path", "_last.step", "_last.band", F.element_at("w", 1).try_cast("int").alias("atom"), F.element_at("w", 2).try_cast("int").alias("orbital"), F.element_at("w", 3).try_cast("double").alias("weight"))
 
 
 def by_third_column(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ between nodes that share a bucket is lost.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -21,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, stored
+from .common import bounded_batches, chunks, offsets, stored
 
 #: Two sets of similarity 0.8 miss all of 40 bands of 5 with a probability of 1.2e-7.
 BANDS, ROWS = 40, 5
@@ -33,8 +32,9 @@ BITS, BLOCK, ERRORS = 2048, 1024, 5.3
 #: Rounds of one head for each node, and of its likeliest partner, before all remaining pairs are compared; nodes that one
 #: task compares with a head.
 ROUNDS, BEST, TOGETHER = 2, 2, 200
-#: Words whose hashes a worker remembers, and the seed of these hashes.
-WORDS_KEPT, SEED = 200_000, 0x5851F42D
+#: Seeds of the words' hashes, and masks for the first n of eight bytes.
+SEED, SEEDS = 0x5851F42D, np.array([0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9], np.uint64)
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,15 +46,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Seeded 64-bit hashes of words' bytes, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
-        return found
-
-
-_hashes = WordHashes()
+def word_hashes(raw: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Seeded 64-bit hashes of words: of up to 16 bytes mixed from these as two numbers, of longer ones by xxh3."""
+    eights = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(16), strides=(1,))
+    low = eights[start] & KEEP[np.minimum(size, 8)]
+    high = eights[np.minimum(start + 8, len(raw))] & KEEP[np.clip(size - 8, 0, 8)]
+    out = mixed((mixed(low ^ SEEDS[0]) + SEEDS[1]) * MULTIPLIER ^ mixed(high + size.astype(np.uint64) * SEEDS[2]))
+    for k in np.flatnonzero(size > 16).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[start[k] : start[k] + size[k]], SEED)
+    return out
 
 
 def shingle_sets(texts: Sequence[str], size: int) -> list[np.ndarray]:
@@ -64,27 +64,32 @@ def shingle_sets(texts: Sequence[str], size: int) -> list[np.ndarray]:
     a text without words has an empty set. A shingle's hash is a sum of its words' seeded hashes, each times a power of
     an odd number, so different sequences of words share one with a probability of 2**-64, whatever their letters.
     """
-    if len(_hashes) > WORDS_KEPT:
-        _hashes.clear()
-    lists = [t.encode().lower().split() for t in texts]
-    counts = [len(x) for x in lists]
-    word = np.fromiter(map(_hashes.__getitem__, itertools.chain.from_iterable(lists)), np.uint64, sum(counts))
+    parts = [t.encode().lower() for t in texts]
+    if not parts:
+        return []
+    ends = offsets([len(r) + 1 for r in parts])
+    raw = b" ".join(parts) + b" "
+    data = np.frombuffer(raw, np.uint8)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.flatnonzero(np.diff(blank, prepend=True))
+    start = edge[::2]
+    word = word_hashes(raw, start, edge[1::2] - start)
+    at = np.searchsorted(start, ends).tolist()
     total = np.zeros(max(len(word) - size + 1, 0), np.uint64)
     for k in range(size):
         total = total * MULTIPLIER + word[k : k + len(total)]
     total = mixed(total)
-    out, at = [], 0
-    for n in counts:
-        if n >= size:
-            out.append(np.unique(total[at : at + n - size + 1]))
-        elif n:
-            one = np.array([n], np.uint64)
-            for k in range(at, at + n):
+    out = []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b - a >= size:
+            out.append(np.unique(total[a : b - size + 1]))
+        elif b > a:
+            one = np.array([b - a], np.uint64)
+            for k in range(a, b):
                 one = one * MULTIPLIER + word[k : k + 1]
             out.append(mixed(one))
         else:
             out.append(np.zeros(0, np.uint64))
-        at += n
     return out
 
 

@@ -101,8 +101,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The frame written as Parquet in the shared folder and read again, which cuts its lineage."""
+    """The frame written as Parquet in the shared folder and read again, which cuts its lineage; removed when Spark ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/orrery-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -183,9 +183,9 @@ def partner_distances(shell: DataFrame, partners: DataFrame, reach: float, keys:
     left, found = shell.select(*keys, "atom_id", *AXES).withColumn("side", F.lit(0)), []
     other = partners.select(*keys, "atom_id", *AXES).withColumn("side", F.lit(1))
     while True:
-        left = left.persist()  # else each step would search all steps before it again
         both = left.unionByName(other)
         hit = pairs(both, reach, (1.0, 1.0, 1.0), periodic=wide, keys=keys, carry=("side",), center=F.col("side") == 0, wing=F.col("side") == 1).groupBy(*keys, F.col("i").alias("atom_id")).agg(F.min("r").alias("distance"))
+        hit = hit.persist()  # of one row an atom; else each step would search all steps before it again
         found.append(hit)
         left = left.join(hit, [*keys, "atom_id"], "left_anti")
         if reach > far or left.limit(1).count() == 0:

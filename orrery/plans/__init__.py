@@ -1,6 +1,7 @@
 """Queries over the given tables, each with the SQL it is held against."""
 
-from . import fields, files, motion, records, spatial
+from . import changes, fields, files, motion, reading, records, spatial
 
-QUERIES = {**spatial.QUERIES, **motion.QUERIES, **fields.QUERIES, **records.QUERIES, **files.QUERIES}
-ORACLE_SQL = {**spatial.ORACLE_SQL, **motion.ORACLE_SQL, **fields.ORACLE_SQL, **records.ORACLE_SQL, **files.ORACLE_SQL}
+MODULES = (spatial, motion, fields, records, files, reading, changes)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -177,7 +177,7 @@ def remove_orphans(before: DataFrame, after: DataFrame, center: Sequence[float],
     for kind, other, n in ((oxygen, hydrogen, want_o), (hydrogen, oxygen, want_h)):
         rest = frame.filter(F.col("type") == other).join(gone, "atom_id", "left_anti")
         far = partner_distances(shell.filter(F.col("type") == kind), rest, width)
-        order = far.orderBy(F.desc("distance"), "atom_id").limit(int(n)).select("atom_id")
+        order = far.orderBy(F.desc("distance"), "atom_id").limit(int(n)).select("atom_id").persist()
         gone = gone.unionByName(order)
         taken.append(far)
     tags = taken[0].unionByName(taken[1]).join(gone.withColumn("tag", F.lit("DELETE")), "atom_id", "left").withColumn("tag", F.coalesce("tag", F.lit("KEEP")))

@@ -15,6 +15,7 @@ from ..operators.neighbors import nearest, pairs, symmetric
 from ..sources import dumps
 from ..streaming import jobs
 from .fields import BIN, FIELDS, PHYSICS, WINDOW, fields, shown
+from .fields import T as nudged
 from .fields import ORACLE_SQL as FIELD_SQL
 from .files import scratch
 from .motion import CHARGE, DT, LAG, LENGTH, NEAR, STEP, B, C, T
@@ -274,7 +275,7 @@ def box_edges(spark, sf):
     """Mass and cubic edge of the parts that an order's lines put together."""
     l = read(spark, sf, "lineitem")["lineitem"]
     parts = l.select(F.col("l_orderkey").alias("system"), F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_partkey") % 50 + 1).cast("double").alias("mass"), (F.col("l_linenumber") % 3 + 1).alias("atoms"))
-    found = tables.composition_sums(parts, 2.2).withColumn("third", checks.box_edge(F.col("mass"), 2.2, F.lit(10.0), F.lit(12.0)))
+    found = tables.composition_sums(parts, 2.2).withColumn("third", checks.box_edge(F.col("mass"), 2.2, F.lit(10.37), F.lit(11.93)))
     return found.select("system", R("atoms", 3).alias("atoms"), R("mass", 3).alias("mass"), R("edge", 5).alias("edge"), R("third", 3).alias("third"))
 
 
@@ -339,7 +340,7 @@ def streamed(spark, sf, strategy, size):
         rows.crossJoin(half).filter(part).drop("half").write.mode("append").parquet(source)
         stream = spark.readStream.schema(jobs.SAMPLE).parquet(source)
         jobs.running_averages(stream, strategy, size).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("traj_id", "step", R("m2", 4).alias("m2"), R("mm", 4).alias("mm"), R("variance", 4).alias("variance"), R("debye2", 3).alias("debye2"))
+    return spark.read.parquet(out).select("traj_id", "step", *(nudged(c, d).alias(c) for c, d in (("m2", 4), ("mm", 4), ("variance", 4), ("debye2", 3))))
 
 
 def stream_sliding(spark, sf):
@@ -479,7 +480,7 @@ ORACLE_SQL = {
     "pair_strings": """with p as (select p_partkey as k from part), r as (select 'O-Si' as pair, (k % 30)/10e0 as cutoff from p union all select case k % 3 when 0 then 'H-O' when 1 then 'H-H' else 'C-H' end, (k % 20)/10e0 from p)
         select pair, count(*) as n, round(sum(cutoff), 3) + 0e0 as total from r group by pair""",
     "box_edges": """with s as (select l_orderkey as system, sum(cast(l_quantity as double)*(l_linenumber % 3 + 1)) as atoms, sum(cast(l_quantity as double)*(l_partkey % 50 + 1)) as mass from lineitem group by 1)
-        select system, round(atoms, 3) + 0e0 as atoms, round(mass, 3) + 0e0 as mass, round(pow(mass*1.6605e0/2.2e0, 1e0/3e0), 5) + 0e0 as edge, round(mass*1.6605e0/2.2e0/120e0, 3) + 0e0 as third from s""",
+        select system, round(atoms, 3) + 0e0 as atoms, round(mass, 3) + 0e0 as mass, round(pow(mass*1.6605e0/2.2e0, 1e0/3e0), 5) + 0e0 as edge, round(mass*1.6605e0/2.2e0/(10.37e0*11.93e0), 3) + 0e0 as third from s""",
     "band_region_sets": f"""with b as ({BANDS_DUCK}), f as (select band from b group by band having sum(case when atom < 32 then weight else 0 end)/sum(weight) > 0.5e0)
         select case when band % 3 <> 0 then 'both' else 'first' end as kind, count(*) as n, cast(sum(band) as bigint) as bands from f group by 1""",
     "all_uploaded": "select 'root' || (l_orderkey % 200)::varchar as root, bool_and(l_quantity > 2) as done from lineitem group by 1",

@@ -44,7 +44,7 @@ def jet_tip(spark, sf):
 
 def crater(spark, sf):
     out = voxels.crater(heights(spark, sf), (F.col("iy") < 2) | (F.col("iz") < 2), 5.0)
-    return out.select("frame", R("reference", 4).alias("reference"), R("median", 4).alias("median"), "bins", R("deepest", 4).alias("deepest"))
+    return out.select("frame", T("reference", 4).alias("reference"), R("median", 4).alias("median"), "bins", T("deepest", 4).alias("deepest"))
 
 
 def crater_fit(spark, sf):
@@ -61,8 +61,13 @@ def display_range(spark, sf):
     return voxels.display_range(fields(spark, sf), "density", 2.0).select("frame", R("lo", 4).alias("lo"), R("hi", 4).alias("hi"))
 
 
+def T(c, digits):
+    """Rounded after a nudge, so that sums of short decimals, which often end in a tie, round alike in any order."""
+    return R(F.col(c) + 1e-9, digits)
+
+
 def shown(df):
-    return df.select("traj_id", "step", R("m2", 4).alias("m2"), R("mm", 4).alias("mm"), R("variance", 4).alias("variance"), R("debye2", 3).alias("debye2"), R("epsilon", 2).alias("epsilon"))
+    return df.select("traj_id", "step", *(T(c, d).alias(c) for c, d in (("m2", 4), ("mm", 4), ("variance", 4), ("debye2", 3), ("epsilon", 2))))
 
 
 PHYSICS = {"temperature": 300.0, "volume": 27000.0}
@@ -158,7 +163,7 @@ FIELDS = f"""vox as ({duck(VOX)}), s as (select frame, {IX("x", X, N[0])} as ix,
 SURF = f"""{FIELDS}, surf as (select frame, iy, iz, max(x) as height from s where type = 1 group by all)"""
 MOMENTS = ", ".join(f"avg(m{a}) over w as a{a}, avg(m{a}*m{a}) over w as b{a}" for a in "xyz")
 EPS = series.DIELECTRIC
-SHOWN = f"""select traj_id, step, round(sq, 4) + 0e0 as m2, round(mm, 4) + 0e0 as mm, round(sq - mm, 4) + 0e0 as variance, round((sq - mm)*{series.DEBYE**2!r}, 3) + 0e0 as debye2, round((sq - mm)*{EPS / (300.0 * 27000.0)!r}, 2) + 0e0 as epsilon
+SHOWN = f"""select traj_id, step, round(sq + 1e-9, 4) + 0e0 as m2, round(mm + 1e-9, 4) + 0e0 as mm, round(sq - mm + 1e-9, 4) + 0e0 as variance, round((sq - mm)*{series.DEBYE**2!r} + 1e-9, 3) + 0e0 as debye2, round((sq - mm)*{EPS / (300.0 * 27000.0)!r} + 1e-9, 2) + 0e0 as epsilon
   from (select *, (bx + by_ + bz)/3 as sq, (ax*ax + ay*ay + az*az)/3 as mm from m)"""
 MOMENTS = MOMENTS.replace("as by,", "as by_,")
 D = f"d as ({duck(DIPOLES)})"
@@ -178,7 +183,7 @@ ORACLE_SQL = {
     "si_surface": f"with {SURF} select frame, iy, iz, round(height, 5) + 0e0 as height, {IX('height', X, N[0])} as ix from surf",
     "jet_tip": f"with {FIELDS} select frame, round((max(ix) + 0.5e0)*5e0, 5) + 0e0 as tip from fields where voxel_type = 1 and avg_speed > 10e0 group by frame",
     "crater": f"""with {SURF}, p as (select frame, avg(height) filter (iy < 2 or iz < 2) as ref, quantile_cont(height, 0.5e0) as med from surf group by frame)
-        select frame, round(ref, 4) + 0e0 as reference, round(med, 4) + 0e0 as median, count(*) filter (ref - height > 5e0) as bins, round(max(ref - height), 4) + 0e0 as deepest from surf join p using (frame) group by frame, ref, med""",
+        select frame, round(ref + 1e-9, 4) + 0e0 as reference, round(med, 4) + 0e0 as median, count(*) filter (ref - height > 5e0) as bins, round(max(ref - height) + 1e-9, 4) + 0e0 as deepest from surf join p using (frame) group by frame, ref, med""",
     "crater_fit": f"""with {SURF}, p as (select frame, height as x, pow((iy + 0.5e0)*5e0 - 30e0, 2) + pow((iz + 0.5e0)*5e0 - 30e0, 2) as d2 from surf), l1 as (select frame, regr_slope(-(x*x + d2), x) as a, regr_intercept(-(x*x + d2), x) as c from p group by frame),
         q as (select p.* from p join l1 using (frame) where abs(sqrt(pow(x + a/2, 2) + d2) - sqrt(greatest(a*a/4 - c, 0e0))) <= 15e0), l2 as (select frame, regr_slope(-(x*x + d2), x) as a, regr_intercept(-(x*x + d2), x) as c from q group by frame)
         select frame, round(-a/2, 3) + 0e0 as cx, round(sqrt(greatest(a*a/4 - c, 0e0)), 3) + 0e0 as radius from l2""",

@@ -12,7 +12,7 @@ from ..operators import checks
 from ..operators.neighbors import pairs
 from ..sources import dumps, texts
 from ..streaming import jobs
-from .fields import BIN, FIELDS, ROUNDED, SIZE
+from .fields import BIN, FIELDS, ROUNDED, SIZE, T
 from .fields import ORACLE_SQL as FIELD_SQL
 from .spatial import AT, BOX, PR, R, mass
 from .views import ATOM_BOX, DIPOLES, VOXEL_BOX, atoms, dipoles, duck, vox
@@ -60,7 +60,7 @@ def stream_bins(spark, sf):
     dipoles(spark, sf).repartition("traj_id").sortWithinPartitions("traj_id", "step").write.parquet(source)
     stream = spark.readStream.schema(jobs.SAMPLE).parquet(source)
     jobs.running_bins(stream, BIN).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("traj_id", "step", R("m2", 4).alias("m2"), R("mm", 4).alias("mm"), R("variance", 4).alias("variance"), R("debye2", 3).alias("debye2"))
+    return spark.read.parquet(out).select("traj_id", "step", *(T(c, d).alias(c) for c, d in (("m2", 4), ("mm", 4), ("variance", 4), ("debye2", 3))))
 
 
 def stream_voxels(spark, sf):

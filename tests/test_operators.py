@@ -1,5 +1,6 @@
 """Analytic fixtures: lattices, straight lines, waves, spheres, repairs."""
 
+import itertools
 import math
 import random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import geometry
 from orrery.operators import bands, distributions, dynamics, neighbors, series, structure, tables, voxels
+from orrery.operators.neighbors import pairs
 
 ATOM = "frame int, atom_id long, type int, x double, y double, z double"
 
@@ -232,3 +234,84 @@ def test_manifests(spark):
     assert {r["root"]: r["done"] for r in tables.all_uploaded(done).collect()} == {"r": False, "s": True}
     notes = spark.createDataFrame([("x", 1, 5), ("x", 2, 7)], "student string, at int, points int")
     assert tables.latest(notes, ["student"], "at").first()["points"] == 7
+
+
+def brute_pairs(rows, reach, box, images, periodic=(True, True, True)):
+    """All ordered pairs of all images, by comparing every atom with every other."""
+    out = []
+    spread = [(-1, 0, 1) if p else (0,) for p in periodic]
+    for i, *p in rows:
+        for j, *q in rows:
+            found = []
+            for step in itertools.product(*spread):
+                d = [b - a + s * n for a, b, s, n in zip(p, q, step, box, strict=True)]
+                found.append(math.dist(d, (0, 0, 0)))
+            near = found if images == "explicit" else [min(found)]
+            out += [(i, j, round(r, 6)) for r in near if r <= reach and (i != j or (images == "explicit" and r > 0))]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(
+    ("box", "reach", "images", "periodic"),
+    [((30.0, 17.0, 40.0), 2.0, "minimum", (True, True, True)), ((9.0, 33.0, 7.0), 2.0, "explicit", (True, True, True)), ((6.0, 5.0, 5.5), 4.9, "explicit", (True, True, True)), ((20.0, 20.0, 20.0), 1.7, "minimum", (False, True, False)), ((8.0, 8.0, 8.0), 4.0, "minimum", (True, True, True))],
+)
+def test_pairs_of_blocks_equal_brute_force(spark, box, reach, images, periodic):
+    """Boxes of several blocks and of one, with atoms on the faces."""
+    r = random.Random(7)
+    rows = [(k, *(r.choice([0.0, n, r.uniform(0, n), n / 2, n / 2 - 1e-9]) if k % 5 == 0 else r.uniform(0, n) for n in box)) for k in range(220)]
+    atoms = spark.createDataFrame([(0, k, "a" if k % 2 else None, x, y, z) for k, x, y, z in rows] + [(0, 999, "n", None, 0.0, 0.0)], "frame int, atom_id long, type string, x double, y double, z double")
+    found = pairs(atoms, reach, box, images=images, periodic=periodic)
+    assert sorted((p["i"], p["j"], round(p["r"], 6)) for p in found.collect()) == brute_pairs(rows, reach, box, images, periodic)
+    assert all(p["type_i"] == ("a" if p["i"] % 2 else None) and p["type_j"] == ("a" if p["j"] % 2 else None) for p in found.limit(50).collect())
+    half = pairs(atoms, reach, box, images=images, periodic=periodic, half=True, center=F.col("type") == "a")
+    assert sorted((p["i"], p["j"], round(p["r"], 6)) for p in half.collect()) == [x for x in brute_pairs(rows, reach, box, images, periodic) if x[0] < x[1] and x[0] % 2]
+
+
+def test_a_radius_beyond_the_box_is_an_error(spark):
+    atoms = spark.createDataFrame([(0, 1, 1, 0.0, 0.0, 0.0)], "frame int, atom_id long, type int, x double, y double, z double")
+    with pytest.raises(ValueError, match="too large"):
+        pairs(atoms, 5.1, (10.0, 20.0, 20.0))
+    with pytest.raises(Exception, match="too large"):
+        pairs(atoms.withColumn("l", F.lit(10.0)), 5.1, (F.col("l"), 20.0, 20.0)).collect()
+    assert pairs(atoms.limit(0), 1.0, (10.0, 10.0, 10.0)).count() == 0
+
+
+def test_strings_of_cutoffs():
+    from orrery.functions.settings import pair_values, triplets
+
+    longest = pair_values("Si-O:2.2;H-O:1.4")
+    assert longest == {("O", "Si"): 2.2, ("H", "O"): 1.4}
+    (plan,) = triplets("x:O-Si-O:3.0:0.5::", longest, {("O", "Si"): 0.1}, {"O": 2, "Si": 1})
+    assert (plan.label, plan.center, plan.wing_a, plan.r_a, plan.r_c) == ("x", 1, 2, (0.5, 3.0), (0.1, 2.2))
+    with pytest.raises(ValueError, match="twice"):
+        triplets("x:O-Si-O:::|x:O-Si-O:::", longest, {}, {"O": 2, "Si": 1})
+
+
+def test_long_series_are_cut_into_blocks(spark):
+    """Running sums go on over the borders of blocks."""
+    from orrery.operators import series
+
+    r = random.Random(1)
+    rows = [(t, 10 * k, r.gauss(0, 1), r.gauss(2, 1), r.gauss(0, 4)) for t in range(2) for k in range(90)]
+    samples = spark.createDataFrame(rows, "traj_id long, step long, mx double, my double, mz double")
+    sums = {(x["traj_id"], x["step"]): (x["rn"], x["sums"]) for x in series.running(samples, block=70).collect()}
+    for t in range(2):
+        total = [0.0] * 6
+        for n, (_, step, *m) in enumerate((x for x in rows if x[0] == t), 1):
+            total = [a + b for a, b in zip(total, [*m, *(x * x for x in m)], strict=True)]
+            assert sums[t, step][0] == n and all(abs(a - b) < 1e-9 for a, b in zip(sums[t, step][1], total, strict=True))
+
+
+def test_jet_surface_and_hydronium(spark):
+    """A slow silica grain, one hydronium, and water that is fast in one slab and then in another: tip 45 then 35, surface 5 then 8."""
+    rows = []
+    for frame, grain, fast in ((0, 5.0, 44.5), (1, 8.0, 35.5)):
+        rows += [(frame, 1, 1, grain, 6.0, 6.0, 0.0), (frame, 2, 2, 14.0, 31.0, 30.0, 0.0)]
+        rows += [(frame, 3 + k, 3, 14.0 + dx, 31.0 + dy, 30.0 + dz, 0.0) for k, (dx, dy, dz) in enumerate(((0.9, 0, 0), (0, 0.9, 0), (0, 0, -0.9)))]
+        rows += [(frame, 10 + k, 2, x, 33.0, 27.0, 38.0 if x == fast else 12.0) for k, x in enumerate((25.0, 35.5, 44.5))]
+    own = spark.createDataFrame(rows, "frame int, atom_id long, type int, x double, y double, z double, vx double").withColumns({c: F.lit(0.0) for c in ("vy", "vz", "fx", "fy", "fz")})
+    box, mass = (50.0, 60.0, 60.0), F.when(F.col("type") == 1, 28.085).when(F.col("type") == 2, 15.999).otherwise(1.008)
+    fields = voxels.voxel_fields(own, 10.0, box, mass)
+    assert {r["frame"]: r["tip"] for r in voxels.jet_tip(fields, 10.0).collect()} == {0: 45.0, 1: 35.0}
+    assert {r["frame"]: r["height"] for r in voxels.surface(own, 10.0, box).collect()} == {0: 5.0, 1: 8.0}
+    assert {(r["frame"], r["ix"], r["n"]) for r in voxels.hydronium(own, 10.0, 0.0, (30.0, 30.0), 8.0).collect()} == {(0, 1, 1), (1, 1, 1)}

@@ -14,8 +14,6 @@ from .files import scratch
 from .spatial import AT, BOX, HIST, LENGTHS, MASS, PR, WIDTH, R, fractions, histogram, partial
 from .views import ATOM_BOX, BANDS_DUCK, DIPOLES, FRAMES, TRAJ, TRAJ_BOX, atoms, bands, dipoles, duck, read, traj
 
-XYZ = [(a, F.col(a).cast("string")) for a in "xyz"]
-
 
 def bounds(rows, length, keys=("frame",), step=10):
     return rows.select(*keys).distinct().select(*keys, (F.col(keys[0]) * step).alias("timestep"), *(F.lit(v).alias(f"{a}{e}") for a in "xyz" for e, v in (("lo", 0.0), ("hi", length))))
@@ -80,7 +78,7 @@ def xyz_roundtrip(spark, sf):
 def xyz_steps(spark, sf):
     """The trajectory as one XYZ text with time steps in its comments, a fixed box, and a broken last frame."""
     own, path = dumps.with_elements(traj(spark, sf), "1=Si,2=O,3=H"), scratch(spark)
-    body = told(own, ["frame"], F.col("atom_id"), F.concat_ws(" ", "element", *(c for _, c in XYZ)))
+    body = told(own, ["frame"], F.col("atom_id"), F.concat_ws(" ", "element", *(F.col(a).cast("string") for a in "xyz")))
     counted = own.groupBy("frame").agg(F.count("*").alias("n"))
     frames = body.join(counted, "frame").select(F.lit(0).alias("file"), "frame", F.concat_ws("\n", F.col("n").cast("string"), F.format_string("Atoms. Timestep: %d", F.col("frame") * 5), "value").alias("line"))
     broken = spark.range(1).select(F.lit(0).alias("file"), F.lit(1000).alias("frame"), F.lit("99\nAtoms. Timestep: 9999\nH 0 0 0").alias("line"))
@@ -159,7 +157,7 @@ def bond_list_texts(spark, sf):
     near = pairs(atoms(spark, sf), 1.5, BOX).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "r"))).alias("b"))
     own = atoms(spark, sf).withColumnRenamed("atom_id", "i").join(near, "i", "left")
     tail = F.array_join(F.transform(F.coalesce("b", F.array()), lambda p: F.concat_ws(" ", p["j"].cast("string"), p["r"].cast("string"))), " ")
-    own.select(F.concat_ws(" ", F.col("i").cast("string"), *(c for _, c in XYZ), F.col("type").cast("string"), F.coalesce(F.size("b"), F.lit(0)).cast("string"), tail).alias("value")).write.text(path)
+    own.select(F.concat_ws(" ", F.col("i").cast("string"), *(F.col(a).cast("string") for a in "xyz"), F.col("type").cast("string"), F.coalesce(F.size("b"), F.lit(0)).cast("string"), tail).alias("value")).write.text(path)
     return texts.bond_lists(spark, path).select("i", "type", "j", R("r", 4).alias("r"))
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,17 +178,49 @@ def debye_sq(histogram: DataFrame, counts: DataFrame, width: float, q_step: floa
     return out.select(f"{by}_i", f"{by}_j", "q", ((F.col(f"{by}_i") == F.col(f"{by}_j")).cast("double") + F.col("sum") / F.sqrt(F.col("ni") * F.col("nj"))).alias("s"))
 
 
+def half_points(shells: int) -> np.ndarray:
+    """Whole-numbered points (h, k, l) up to a length, one of each pair q, -q."""
+    m = np.arange(-shells, shells + 1)
+    h, k, l = (x.ravel() for x in np.meshgrid(np.arange(shells + 1), m, m, indexing="ij"))  # noqa: E741
+    length = h * h + k * k + l * l
+    return np.stack([h, k, l], 1)[(length > 0) & (length <= shells * shells) & ((h > 0) | (k > 0) | (k == 0) & (l > 0))]
+
+
+def density_waves(atoms: DataFrame, box: float, points: Callable[[], np.ndarray], keys: Sequence[str]) -> DataFrame:
+    """(keys, h, k, l, c, s, n): sums of cos and sin of q r over each group's atoms, at points of a cubic cell's reciprocal
+    lattice, which every task makes for itself.
+
+    A batch of atoms gives one partial sum for each of its groups and points, so no atom is ever beside all points.
+    """
+    types = dict(atoms.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hkl = points()
+        for batch in batches:
+            batch = batch.sort_values(list(keys))
+            new = (batch[list(keys)] != batch[list(keys)].shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(new)
+            count = np.diff(np.append(starts, len(batch)))
+            place = batch[["x", "y", "z"]].to_numpy(float)
+            some = max(1, (1 << 20) // max(len(batch), 1))
+            for k in range(0, len(hkl), some):
+                part = hkl[k : k + some]
+                phase = place @ part.T * (2 * math.pi / box)
+                c, s = (np.add.reduceat(f(phase), starts, axis=0) for f in (np.cos, np.sin))
+                out = batch.iloc[np.repeat(starts, len(part))][list(keys)].reset_index(drop=True)
+                yield out.assign(**{n: np.tile(part[:, j], len(starts)) for j, n in enumerate("hkl")}, c=c.ravel(), s=s.ravel(), n=np.repeat(count, len(part)))
+
+    rows = atoms.select(*keys, "x", "y", "z").filter("x is not null and y is not null and z is not null")
+    found = rows.mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "h int, k int, l int, c double, s double, n long"]))
+    return found.groupBy(*keys, "h", "k", "l").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
 def reciprocal_sq(atoms: DataFrame, box: float, shells: int, by: str = "type") -> DataFrame:
     """(<by>_i, <by>_j, q2, s): structure factors at the cell's reciprocal points up to `shells` times 2 pi / L.
 
-    Points come from a sequence, one of each pair q, -q; each kind's density waves are sums that Spark aggregates in
-    part before the shuffle. q2 is the squared length in units of 2 pi / L.
+    q2 is the squared length in units of 2 pi / L.
     """
-    m = F.sequence(F.lit(-shells), F.lit(shells))
-    points = atoms.sparkSession.range(1).select(F.explode(m).alias("h")).withColumn("k", F.explode(m)).withColumn("l", F.explode(m))
-    points = points.withColumn("q2", F.col("h") * F.col("h") + F.col("k") * F.col("k") + F.col("l") * F.col("l")).filter((F.col("q2") > 0) & (F.col("q2") <= shells * shells) & ((F.col("h") > 0) | (F.col("h") == 0) & ((F.col("k") > 0) | (F.col("k") == 0) & (F.col("l") > 0))))
-    phase = 2 * math.pi / box * (F.col("h") * F.col("x") + F.col("k") * F.col("y") + F.col("l") * F.col("z"))
-    waves = atoms.crossJoin(F.broadcast(points)).groupBy("frame", by, "h", "k", "l", "q2").agg(F.sum(F.cos(phase)).alias("c"), F.sum(F.sin(phase)).alias("s"), F.count("*").alias("n"))
+    waves = density_waves(atoms, box, lambda: half_points(shells), ["frame", by]).withColumn("q2", F.col("h") * F.col("h") + F.col("k") * F.col("k") + F.col("l") * F.col("l"))
     other = waves.select("frame", "h", "k", "l", F.col(by).alias(f"{by}_j"), F.col("c").alias("c2"), F.col("s").alias("s2"), F.col("n").alias("n2"))
     both = waves.withColumnRenamed(by, f"{by}_i").join(other, ["frame", "h", "k", "l"]).filter(F.col(f"{by}_i") <= F.col(f"{by}_j"))
     return both.groupBy(f"{by}_i", f"{by}_j", "q2").agg(F.avg((F.col("c") * F.col("c2") + F.col("s") * F.col("s2")) / F.sqrt(F.col("n") * F.col("n2"))).alias("s"))

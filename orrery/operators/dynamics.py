@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import dot, minimum_image
+from .distributions import density_waves
 
 
 def lag_join(rows: DataFrame, columns: Sequence[str], length: int, step: int, frames: int, keys: Sequence[str] = ("atom_id",), origin_rule: str = "inclusive") -> DataFrame:
@@ -127,9 +130,6 @@ def welch_power(rows: DataFrame, length: int, step: int, by: str = "type") -> Da
     Atoms come sorted to their tasks, many in a batch; all their segments are transformed at once and summed by kind.
     An atom with fewer frames than a segment has no power.
     """
-    import numpy as np
-    import pandas as pd
-
     hann = np.hanning(length)
     hann = hann / np.sqrt((hann**2).mean())
 
@@ -168,9 +168,7 @@ def dynamic_structure(rows: DataFrame, box: float, points: Sequence[tuple[int, i
 
     Density waves are summed for each frame and point, correlated over all origins, and cosine-transformed; ÷ atoms.
     """
-    table = rows.sparkSession.createDataFrame(list(points), "h int, k int, l int")
-    phase = 2 * math.pi / box * (F.col("h") * F.col("x") + F.col("k") * F.col("y") + F.col("l") * F.col("z"))
-    waves = rows.crossJoin(F.broadcast(table)).groupBy("frame", "h", "k", "l").agg(F.sum(F.cos(phase)).alias("c"), F.sum(F.sin(phase)).alias("s"), F.count("*").alias("n"))
+    waves = density_waves(rows, box, lambda: np.array(points), ["frame"])
     joined = lag_join(waves, ["c", "s", "n"], length, 1, frames, keys=("h", "k", "l"))
     f = joined.groupBy("h", "k", "l", "lag").agg(F.avg((F.col("c") * F.col("c_0") + F.col("s") * F.col("s_0")) / F.col("n")).alias("f"))
     return frequency_curve(f, ["h", "k", "l"], length, dt, count, step)

@@ -13,7 +13,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,9 +49,11 @@ NO_TEXT_NAMES = re.compile(
 )
 #: From this share of the page's text and so many characters, an element cut by its name alone is left to the density.
 MUCH_TEXT, LEAST_TEXT = 0.5, 250
-#: Elements that are never cut by their attributes, and those that are not cut by their names: headings are often called by an anchor.
+#: Elements that are never cut by their attributes; that are never cut by their names; and whose id is no reason to cut them,
+#: as it may be an anchor of the text.
 KEPT = frozenset("html body article main".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 b i em strong a p".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ANCHORED = frozenset("p a b i em strong span li dt dd td th tr blockquote pre code".split())
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.IGNORECASE)
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
@@ -59,7 +61,7 @@ MARK = re.compile(r"""["'>]""")
 SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 
 
-def cut_by(attributes: str) -> tuple[bool, bool]:
+def cut_by(attributes: str, names: Sequence[str] = ("class", "id", "role")) -> tuple[bool, bool]:
     """Whether an element is hidden, and whether it is named as one without article text."""
     hidden = named = False
     seen = set()
@@ -74,7 +76,7 @@ def cut_by(attributes: str) -> tuple[bool, bool]:
             hidden = hidden or value.strip().lower() == "true"
         elif name == "style":
             hidden = hidden or bool(NO_DISPLAY.search(html.unescape(value)))
-        elif name in ("class", "id", "role"):
+        elif name in names:
             named = named or any(NO_TEXT_NAMES.fullmatch(x) for x in value.split())
     return hidden, named
 
@@ -190,8 +192,7 @@ def tree(page: str) -> Node:
         cut = name in NO_TEXT
         named = False
         if attributes and not cut and name not in KEPT:
-            cut, named = cut_by(attributes)
-            named = named and name not in HEADINGS
+            cut, named = cut_by(attributes, () if name in HEADINGS else ("class", "role") if name in ANCHORED else ("class", "id", "role"))
         if name == "header" and not cut:
             cut = not (open_["article"] or open_["main"])
         if name in RAW:

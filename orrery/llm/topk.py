@@ -1,15 +1,15 @@
 """Exact top-k by inner product over lists of local scores, in three phases with a uniform threshold.
 
 Vectors become whole numbers, so scores are exact. The dimensions are cut into LISTS slices; for a query, each slice has
-a list of local scores, one of each vector, and a score is the sum of a vector's local scores. Slices of vectors are
-packed into blocks, those of queries too, and each pair of blocks is one row of work, so any number of queries is met.
+a list of local scores, one of each vector, and a score is the sum of a vector's local scores. Vectors are packed into
+blocks, queries too, and each pair of blocks is one row of work, so any number of queries is met. A block holds all
+lists of its vectors, so what a phase collects is added up where it lies, and only whole scores are shuffled.
 
-1. Each list gives its k highest local scores of a query. The vectors that they belong to are scored whole, and the k-th
-   of these scores is a safe cutoff: no answer lies below it.
+1. Each block's lists give their k highest local scores of a query. The vectors that they belong to are scored whole, and
+   the k-th of all these scores is a safe cutoff: no answer lies below it.
 2. The cutoff divided by the number of lists goes back to all lists. A vector that stays below it in each of them can't
    reach the cutoff, so only entries at or above this uniform threshold are collected.
-3. A vector's entries are added up. A list that gave none has less than the threshold, which bounds the whole score;
-   vectors whose bound reaches the cutoff are resolved exactly and ranked.
+3. The collected vectors are scored whole, and those that reach the cutoff are ranked.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def blocks(rows: DataFrame, size: int, prefix: str = "") -> DataFrame:
-    """Slices of vectors (key, v, least) of one dimension packed together, whatever their order."""
+    """Vectors (key, vec, v, cutoff) of one dimension packed together, whatever their order; a vector is whole in one block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -65,11 +65,14 @@ def blocks(rows: DataFrame, size: int, prefix: str = "") -> DataFrame:
                 for k in range(0, len(part), size):
                     piece = part.iloc[k : k + size]
                     matrix = np.array(piece["v"].tolist(), np.int64).reshape(len(piece), dimension)
-                    for s, slice_ in enumerate(np.array_split(matrix, LISTS, axis=1)):
-                        yield pd.DataFrame({"dimension": [dimension], "list": [s], "keys": [piece["key"].to_numpy(np.int64).tobytes()], "matrix": [slice_.tobytes()], "least": [piece["least"].to_numpy(np.int64).tobytes()]})
+                    yield pd.DataFrame({"dimension": [dimension], "matrix": [matrix.tobytes()], **{c: [piece[c].to_numpy(np.int64).tobytes()] for c in ("key", "vec", "cutoff")}})
 
-    packed = rows.mapInPandas(run, "dimension int, list int, keys binary, matrix binary, least binary")
-    return packed.withColumnsRenamed({c: prefix + c for c in ("keys", "matrix", "least")})
+    packed = rows.mapInPandas(run, "dimension int, matrix binary, key binary, vec binary, cutoff binary")
+    return packed.withColumnsRenamed({c: prefix + c for c in ("matrix", "key", "vec", "cutoff")})
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int64)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -84,56 +87,57 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     rows = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).filter(usable(F.col("v")) & (F.size("v") > 0))
     # a row is called by a number that is fixed by writing it
     rows = stored(rows.withColumn("v", whole(F.col("v"))).withColumn("key", F.monotonically_increasing_id()))
-    asked = rows.filter("asked").select("key", "v")
-    candidates = blocks(rows.select("key", "v", F.lit(NONE).alias("least")), BLOCK).drop("least").withColumn("part", F.pmod(F.xxhash64("keys"), F.lit(parts)).cast("int"))
+    asked = rows.filter("asked").select("key", "vec", "v")
+    candidates = blocks(rows.select("key", "vec", "v", F.lit(NONE).alias("cutoff")), BLOCK).drop("cutoff").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
 
     def paired(queries: DataFrame) -> DataFrame:
-        """Each query block beside each block of vectors of its slice; every part meets all query blocks."""
+        """Each query block beside each block of vectors; every part meets all query blocks."""
         packed = blocks(queries.repartition(max(1, parts // 4)), QUERY_BLOCK, "q_")
-        return packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(candidates, ["dimension", "list", "part"])
+        return packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(candidates, ["dimension", "part"])
 
-    def local(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the queries and of the vectors, and the local scores of all pairs of both."""
-        asking, keys = np.frombuffer(row.q_keys, np.int64), np.frombuffer(row.keys, np.int64)
-        return asking, keys, products(np.frombuffer(row.q_matrix, np.int64).reshape(len(asking), -1), np.frombuffer(row.matrix, np.int64).reshape(len(keys), -1))
+    def lists(row) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Keys of the queries and of the vectors, and each list's local scores of all pairs of both."""
+        asking, keys = numbers(row.q_key), numbers(row.key)
+        q, v = (np.array_split(numbers(m).reshape(len(n), -1), LISTS, axis=1) for m, n in ((row.q_matrix, asking), (row.matrix, keys)))
+        return asking, keys, [products(a, b) for a, b in zip(q, v, strict=True)]
 
     def highest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole scores of the vectors that a list of a block has among its k highest."""
         for batch in batches:
             for row in batch.itertuples(index=False):
-                asking, keys, scores = local(row)
+                asking, keys, local = lists(row)
                 take = min(len(keys), k + 1)  # one may be the query itself
-                top = np.argpartition(-scores, take - 1, axis=1)[:, :take]
-                other = keys[top] != asking[:, None]
-                yield pd.DataFrame({"query": np.repeat(asking, take)[other.ravel()], "list": row.list, "key": keys[top][other], "score": np.take_along_axis(scores, top, 1)[other]})
-
-    def resolved(pairs: DataFrame) -> DataFrame:
-        """(query, key, score) by whole vectors."""
-        both = pairs.join(asked.select(F.col("key").alias("query"), F.col("v").alias("q")), "query").join(rows.select("key", "v"), "key")
-        return both.select("query", "key", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
-
-    order = Window.partitionBy("query", "list").orderBy(F.desc("score"), "key")
-    lists = paired(asked.withColumn("least", F.lit(NONE))).mapInPandas(highest, "query long, list int, key long, score long")
-    named = lists.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("query", "key").distinct()
-    ranked = resolved(named).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("r") <= k)
-    upward = F.expr(f"case when cutoff > 0 then (cutoff + {LISTS - 1}) div {LISTS} else cutoff div {LISTS} end")  # whole numbers, rounded up
-    cutoffs = stored(ranked.groupBy("query").agg(F.when(F.count("*") == k, F.min("score")).alias("cutoff")).withColumn("least", upward))
-    again = asked.join(cutoffs.withColumnRenamed("query", "key"), "key", "left").select("key", "v", F.coalesce("least", F.lit(NONE)).alias("least"))
+                named = np.zeros((len(asking), len(keys)), bool)
+                for scores in local:
+                    np.put_along_axis(named, np.argpartition(-scores, take - 1, axis=1)[:, :take], True, axis=1)
+                named &= keys[None, :] != asking[:, None]
+                where, which = np.nonzero(named)
+                yield pd.DataFrame({"query": asking[where], "score": sum(scores[where, which] for scores in local)})
+
+    order = Window.partitionBy("query").orderBy(F.desc("score"))
+    ranked = paired(asked.withColumn("cutoff", F.lit(NONE))).mapInPandas(highest, "query long, score long").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    cutoffs = ranked.groupBy(F.col("query").alias("key")).agg(F.when(F.count("*") == k, F.min("score")).alias("cutoff"))
+    again = asked.join(cutoffs, "key", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(NONE)))
 
     def collected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Vectors with an entry at or above the threshold in some list, whose whole score reaches the cutoff."""
         for batch in batches:
             for row in batch.itertuples(index=False):
-                asking, keys, scores = local(row)
-                least = np.frombuffer(row.q_least, np.int64)
-                where, which = np.nonzero((scores >= least[:, None]) & (keys[None, :] != asking[:, None]))
-                yield pd.DataFrame({"query": asking[where], "key": keys[which], "score": scores[where, which]})
-
-    entries = paired(again).mapInPandas(collected, "query long, key long, score long").groupBy("query", "key").agg(F.sum("score").alias("known"), F.count("*").alias("lists"))
-    entries = entries.join(cutoffs, "query", "left")
-    bound = F.col("known") + (LISTS - F.col("lists")) * (F.col("least") - 1)
-    likely = stored(entries.filter(F.col("cutoff").isNull() | (bound >= F.col("cutoff"))))
-    found = likely.filter(F.col("lists") == LISTS).select("query", "key", F.col("known").alias("score")).unionByName(resolved(likely.filter(F.col("lists") < LISTS).select("query", "key")))
-    ids = rows.select("key", "vec")
-    found = found.join(ids.withColumnsRenamed({"key": "query", "vec": "query_id"}), "query").join(ids.withColumnRenamed("vec", "vec_id"), "key")
+                asking, keys, local = lists(row)
+                cutoff = numbers(row.q_cutoff)
+                threshold = cutoff // LISTS + (cutoff % LISTS > 0)  # rounded up
+                entry = np.zeros((len(asking), len(keys)), bool)
+                for scores in local:
+                    entry |= scores >= threshold[:, None]
+                entry &= keys[None, :] != asking[:, None]
+                where, which = np.nonzero(entry)
+                total = sum(scores[where, which] for scores in local)
+                reach = total >= cutoff[where]
+                where, which = where[reach], which[reach]
+                found = pd.DataFrame({"query": asking[where], "query_id": numbers(row.q_vec)[where], "vec_id": numbers(row.vec)[which], "key": keys[which], "score": total[reach]})
+                yield found.sort_values(["query", "score", "vec_id"], ascending=[True, False, True]).groupby("query").head(k)
+
+    found = paired(again).mapInPandas(collected, "query long, query_id long, vec_id long, key long, score long")
     last = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "key")
     return found.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, language_id, media, minhash, packing, suffix_dedup, topk, toxicity, url_filters
+from . import bpe, hard_negatives, html_extract, language_id, media, minhash, packing, suffix_dedup, topk, toxicity, url_filters
 from .common import held_out, table
 
 
@@ -62,6 +62,11 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -73,5 +78,6 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_topk": op9_topk,
     "op10_media": op10_media,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.oracle(URL_RULES), "op9_topk": topk.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.oracle(URL_RULES), "op9_topk": topk.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}

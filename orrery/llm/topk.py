@@ -14,10 +14,11 @@ lists of its vectors, so what a phase collects is added up where it lies, and on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .common import stored
 BLOCK, QUERY_BLOCK, LISTS = 1024, 256, 2
 #: No cutoff: fewer than k candidates were scored.
 NONE = -(1 << 63)
+#: Stands for a null id, which comes behind all others.
+GREATEST = (1 << 63) - 1
 
 
 def whole(vector: Column) -> Column:
@@ -56,19 +59,42 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return found.astype(np.int64)
 
 
-def blocks(rows: DataFrame, size: int, prefix: str = "") -> DataFrame:
-    """Vectors (key, vec, v, cutoff) of one dimension packed together, whatever their order; a vector is whole in one block."""
+def blocks(rows: DataFrame, size: int, prefix: str = "", keep: Sequence[str] = ("key", "vec", "unnamed", "cutoff")) -> DataFrame:
+    """Vectors v of one dimension packed together with their numbers, whatever their order; a vector is whole in one block.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The columns to keep are 64-bit numbers without nulls; they go through Arrow as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dimension, part in batch.groupby(batch["v"].map(len)):
-                for k in range(0, len(part), size):
-                    piece = part.iloc[k : k + size]
-                    matrix = np.array(piece["v"].tolist(), np.int64).reshape(len(piece), dimension)
-                    yield pd.DataFrame({"dimension": [dimension], "matrix": [matrix.tobytes()], **{c: [piece[c].to_numpy(np.int64).tobytes()] for c in ("key", "vec", "cutoff")}})
+            lengths = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+            for dimension in np.unique(lengths):
+                at = np.flatnonzero(lengths == dimension)
+                for k in range(0, len(at), size):
+                    piece = batch.take(pa.array(at[k : k + size]))
+                    whole = {"matrix": piece.column("v").flatten(), **{c: piece.column(c) for c in keep}}
+                    packed = {c: pa.array([x.to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for c, x in whole.items()}
+                    yield pa.RecordBatch.from_pydict({"dimension": pa.array([dimension], pa.int32()), **packed})
+
+    packed = rows.select("v", *keep).mapInArrow(run, ", ".join(["dimension int", *(f"{c} binary" for c in ("matrix", *keep))]))
+    return packed.withColumnsRenamed({c: prefix + c for c in ("matrix", *keep)})
+
+
+def beside(queries: DataFrame, candidates: DataFrame, parts: int, keep: Sequence[str]) -> DataFrame:
+    """Each block of queries, whose columns begin with q_, beside each block of candidates; every part meets all query blocks."""
+    packed = blocks(queries.repartition(max(1, parts // 4)), QUERY_BLOCK, "q_", keep)
+    return packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(candidates, ["dimension", "part"])
 
-    packed = rows.mapInPandas(run, "dimension int, matrix binary, key binary, vec binary, cutoff binary")
-    return packed.withColumnsRenamed({c: prefix + c for c in ("matrix", "key", "vec", "cutoff")})
+
+def dealt(packed: DataFrame, parts: int) -> DataFrame:
+    """Blocks with the part that each belongs to."""
+    return packed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+
+
+def named(id_col: str) -> dict[str, Column]:
+    """An id as a number without nulls, which the greatest stands for, and 1 beside those."""
+    number = F.col(id_col).cast("long")
+    return {"vec": F.coalesce(number, F.lit(GREATEST)), "unnamed": number.isNull().cast("long")}
 
 
 def numbers(raw: bytes) -> np.ndarray:
@@ -80,51 +106,48 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
 
     Null and empty vectors and those with null or non-finite components take no part; vectors of other lengths are never
     compared. Rows that repeat an id are queries and candidates each, also of each other; of equal scores and ids either
-    may come first. Fewer than k candidates give all of them. An empty table gives an empty result. Columns other than
+    may come first. A null id comes behind all others; a row of a null id that is_query asks for is a query of that id. Fewer than k candidates give all of them. An empty table gives an empty result. Columns other than
     the two named, and those is_query reads, don't matter. A score that doesn't fit into 64 bits is an error.
     """
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).filter(usable(F.col("v")) & (F.size("v") > 0))
+    keep = ["key", "vec", "unnamed", "cutoff"]
+    rows = vectors.select(F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"), *(c.alias(n) for n, c in named(id_col).items())).filter(usable(F.col("v")) & (F.size("v") > 0))
     # a row is called by a number that is fixed by writing it
     rows = stored(rows.withColumn("v", whole(F.col("v"))).withColumn("key", F.monotonically_increasing_id()))
-    asked = rows.filter("asked").select("key", "vec", "v")
-    candidates = blocks(rows.select("key", "vec", "v", F.lit(NONE).alias("cutoff")), BLOCK).drop("cutoff").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    asked = rows.filter("asked").drop("asked")
+    candidates = dealt(blocks(rows, BLOCK, keep=keep[:3]), parts)
 
-    def paired(queries: DataFrame) -> DataFrame:
-        """Each query block beside each block of vectors; every part meets all query blocks."""
-        packed = blocks(queries.repartition(max(1, parts // 4)), QUERY_BLOCK, "q_")
-        return packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(candidates, ["dimension", "part"])
-
-    def lists(row) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def lists(row: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Keys of the queries and of the vectors, and each list's local scores of all pairs of both."""
-        asking, keys = numbers(row.q_key), numbers(row.key)
-        q, v = (np.array_split(numbers(m).reshape(len(n), -1), LISTS, axis=1) for m, n in ((row.q_matrix, asking), (row.matrix, keys)))
+        asking, keys = numbers(row["q_key"]), numbers(row["key"])
+        q, v = (np.array_split(numbers(m).reshape(len(n), -1), LISTS, axis=1) for m, n in ((row["q_matrix"], asking), (row["matrix"], keys)))
         return asking, keys, [products(a, b) for a, b in zip(q, v, strict=True)]
 
-    def highest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole scores of the vectors that a list of a block has among its k highest."""
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            for row in batch.to_pylist():
                 asking, keys, local = lists(row)
                 take = min(len(keys), k + 1)  # one may be the query itself
-                named = np.zeros((len(asking), len(keys)), bool)
+                among = np.zeros((len(asking), len(keys)), bool)
                 for scores in local:
-                    np.put_along_axis(named, np.argpartition(-scores, take - 1, axis=1)[:, :take], True, axis=1)
-                named &= keys[None, :] != asking[:, None]
-                where, which = np.nonzero(named)
-                yield pd.DataFrame({"query": asking[where], "score": sum(scores[where, which] for scores in local)})
+                    np.put_along_axis(among, np.argpartition(-scores, take - 1, axis=1)[:, :take], True, axis=1)
+                among &= keys[None, :] != asking[:, None]
+                where, which = np.nonzero(among)
+                yield pa.RecordBatch.from_pydict({"query": asking[where], "score": sum(scores[where, which] for scores in local)})
 
     order = Window.partitionBy("query").orderBy(F.desc("score"))
-    ranked = paired(asked.withColumn("cutoff", F.lit(NONE))).mapInPandas(highest, "query long, score long").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    first = beside(asked.withColumn("cutoff", F.lit(NONE)), candidates, parts, keep).mapInArrow(highest, "query long, score long")
+    ranked = first.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
     cutoffs = ranked.groupBy(F.col("query").alias("key")).agg(F.when(F.count("*") == k, F.min("score")).alias("cutoff"))
     again = asked.join(cutoffs, "key", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(NONE)))
 
-    def collected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Vectors with an entry at or above the threshold in some list, whose whole score reaches the cutoff."""
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            for row in batch.to_pylist():
                 asking, keys, local = lists(row)
-                cutoff = numbers(row.q_cutoff)
+                cutoff = numbers(row["q_cutoff"])
                 threshold = cutoff // LISTS + (cutoff % LISTS > 0)  # rounded up
                 entry = np.zeros((len(asking), len(keys)), bool)
                 for scores in local:
@@ -133,13 +156,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
                 where, which = np.nonzero(entry)
                 total = sum(scores[where, which] for scores in local)
                 reach = total >= cutoff[where]
-                where, which = where[reach], which[reach]
-                found = pd.DataFrame({"query": asking[where], "query_id": numbers(row.q_vec)[where], "vec_id": numbers(row.vec)[which], "key": keys[which], "score": total[reach]})
-                yield found.sort_values(["query", "score", "vec_id"], ascending=[True, False, True]).groupby("query").head(k)
-
-    found = paired(again).mapInPandas(collected, "query long, query_id long, vec_id long, key long, score long")
-    last = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "key")
-    return found.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                where, which, total = where[reach], which[reach], total[reach]
+                vec, unnamed = numbers(row["vec"])[which], numbers(row["unnamed"])[which]
+                at = np.lexsort((keys[which], unnamed, vec, -total, where))
+                begins = np.searchsorted(where[at], where[at])  # where each query's rows begin
+                at = at[np.arange(len(at)) - begins < k]
+                here = where[at]
+                asker = {"query": asking[here], "query_id": numbers(row["q_vec"])[here], "query_unnamed": numbers(row["q_unnamed"])[here]}
+                yield pa.RecordBatch.from_pydict(asker | {"vec": vec[at], "unnamed": unnamed[at], "key": keys[which][at], "score": total[at]})
+
+    found = beside(again, candidates, parts, keep).mapInArrow(collected, "query long, query_id long, query_unnamed long, vec long, unnamed long, key long, score long")
+    last = Window.partitionBy("query").orderBy(F.desc("score"), "vec", "unnamed", "key")
+    found = found.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
+    return found.select(F.when(F.col("query_unnamed") == 0, F.col("query_id")).alias("query_id"), "rank", F.when(F.col("unnamed") == 0, F.col("vec")).alias("vec_id"), "score")
 
 
 ORACLE = """

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hard_negatives, html_extract, language_id, media, minhash, packing, suffix_dedup, topk, toxicity, url_filters
-from .common import held_out, table
+from . import bpe, hard_negatives, html_extract, language_id, media, minhash, packing, prefix_trie, quality, suffix_dedup, topk, toxicity, url_filters
+from .common import held_out, stored, table
 
 
 def tokenizer_path() -> str:
@@ -62,6 +62,20 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def head(conv: F.Column) -> F.Column:
+        return F.crc32(conv.cast("string").cast("binary")) % 6
+
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), lambda c: c - c % 100, head, longest_head=5)
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = stored(quality.statistics(table(spark, sf_dir, "documents")))
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    model = quality.fit(described, table(spark, sf_dir, "labels"), ~fold)
+    return quality.score(described, model, threshold=0.3).withColumn("held_out", fold)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
@@ -78,6 +92,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_topk": op9_topk,
     "op10_media": op10_media,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_quality": op12_quality,
     "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.oracle(URL_RULES), "op9_topk": topk.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.oracle(URL_RULES), "op9_topk": topk.ORACLE, "op11_prefix_trie": prefix_trie.sql(), "op13_hard_negatives": hard_negatives.ORACLE}

@@ -1,18 +1,21 @@
 """Multi-frame dumps and lattice or plain XYZ files as frames and atoms.
 
-A dump is read as one row for each frame, split at the frame's own header, and XYZ files as numbered lines, so files stay
-splittable; columns are found by the header's names. Filters on frames come before atoms are unfolded.
+A dump is read by byte ranges: one pass finds the headers and counts lines, a second parses the bytes of the frames that are
+asked for. XYZ files are numbered lines, so files stay splittable too. Columns are found by the header's names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import csv
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .lines import carried, lines
+from .ranges import RANGE, files, filled_lines, line_start, opener, ranged, read_at, readable, rows_of
 
 KINDS = {"atom_id": "bigint", "type": "int", "element": "string", "charge": "double"} | {f"i{a}": "int" for a in "xyz"}
 NAMES = {"id": "atom_id", "name": "element", "q": "charge"}
@@ -27,17 +30,129 @@ def number(words: Column, k: int | Column) -> Column:
     return F.try_element_at(words, F.lit(k) if isinstance(k, int) else k).cast("double")
 
 
-def dump_frames(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, timestep, n_atoms, bounds, xlo ... zhi, xy, xz, yz, pbc, header, lines) of every whole frame.
+#: Fields of a frame's header as a dump has them.
+HEAD = {"at": "long", "timestep": "long", "n_atoms": "long", "bounds": "string", "b0": "string", "b1": "string", "b2": "string", "columns": "string"}
+PIECE = {"path": "string", "piece": "long", "until": "long", "lines": "long", "head": "boolean"} | HEAD
+#: What begins a line of a header, and how far behind it a header's end is looked for at once.
+ITEM, HEADER_BYTES = b"ITEM: ", 1 << 12
+
+
+def header_at(file, at: int) -> tuple[dict, int] | None:
+    """The header that begins at a place, and where its atoms begin; None where it is cut off or no header."""
+    data = read_at(file, at, HEADER_BYTES)
+    if not data.startswith(b"ITEM: TIMESTEP"):
+        return None
+    while (atoms := data.find(b"\nITEM: ATOMS")) < 0 or (end := data.find(b"\n", atoms + 1)) < 0:
+        more = read_at(file, at + len(data), HEADER_BYTES)
+        if not more and atoms >= 0:  # the file ends with the header
+            end = len(data)
+            break
+        if not more or len(data) > HEADER_BYTES << 4:
+            return None
+        data += more
+    told = data[:end].decode("utf-8", "replace").replace("\r", "").split("\n")
+    found: dict = {}
+    for k, line in enumerate(told):
+        below = told[k + 1 : k + 4]
+        if line.startswith("ITEM: TIMESTEP") and below[0].strip().lstrip("-").isdigit():
+            found["timestep"] = int(below[0])
+        elif line.startswith("ITEM: NUMBER OF ATOMS") and below[0].strip().isdigit():
+            found["n_atoms"] = int(below[0])
+        elif line.startswith("ITEM: BOX BOUNDS") and len(below) == 3:
+            found |= {"bounds": line.strip()} | {f"b{i}": x.strip() for i, x in enumerate(below)}
+        elif line.startswith("ITEM: ATOMS"):
+            found["columns"] = line.strip()
+    return (found | {"at": at}, min(at + end + 1, at + len(data))) if len(found) == len(HEAD) - 1 else None
+
+
+def item_end(file, at: int, length: int) -> tuple[int, dict | None]:
+    """Where a header, or another item of two lines, ends that begins at a place, and the header."""
+    head = header_at(file, at)
+    if head:
+        return head[1], head[0]
+    return line_start(file, line_start(file, at + 1, length) + 1, length), None
+
+
+def begun_before(file, at: int, length: int) -> int:
+    """Where a header or other item ends that begins above a line and goes on below it; else the line's own place."""
+    low = max(0, at - (HEADER_BYTES << 2))
+    above = read_at(file, low, at - low)
+    places = [m.start() for m in re.finditer(rb"^ITEM: ", above, re.M) if low == 0 or m.start() > 0]
+    steps = [x for x in places if above.startswith(b"ITEM: TIMESTEP", x)]
+    ends = [item_end(file, low + x, length)[0] for x in (*steps[-1:], *places[-1:])]
+    if steps and places[-1] > steps[-1] and ends[0] > low + places[-1]:  # the last item is part of that header
+        ends = ends[:1]
+    return max([at, *ends])
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], step: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Pieces of the ranges (path, length, begin, end): lines between headers, and the header where one begins.
+
+    A line belongs to the range in which it begins. A line of a header's kind that isn't part of a frame's header ends
+    the atoms before it.
+    """
+    opened = opener()
+    for row in rows_of(batches, ("path", "length", "begin", "end")):
+        file, length = opened(row["path"]), row["length"]
+        first, last = (line_start(file, row[c], length) for c in ("begin", "end"))
+        found: list[dict] = []
+        header_end = begun_before(file, first, length) if 0 < first < last else first
+        now: dict = {"piece": header_end, "lines": 0, "head": False}
+        at = first
+        while at < last:
+            data = read_at(file, at, min(step, last - at))
+            whole = data.rfind(b"\n") + 1 or len(data)  # lines are looked at whole
+            if at + whole < last and not data.endswith(b"\n") and data.find(b"\n") < 0:
+                data = read_at(file, at, line_start(file, at + len(data), length) - at)
+                whole = len(data)
+            data = data[:whole] if at + len(data) < last else data
+            place, seen = 0, 0
+            while place >= 0:
+                place = 0 if seen == 0 and data.startswith(ITEM) else data.find(b"\n" + ITEM, max(seen - 1, 0))
+                if place < 0:
+                    break
+                place += data[place : place + 1] == b"\n"
+                if at + place < header_end:  # inside a header
+                    seen = place + 1
+                    continue
+                now["lines"] += filled_lines(data[max(seen, header_end - at, 0) : place]) if place > max(seen, header_end - at, 0) else 0
+                found.append(now | {"until": at + place})
+                header_end, head = item_end(file, at + place, length)
+                now = {"piece": header_end, "lines": 0, "head": True, "at": at + place} | (head or {})
+                seen = place + 1
+            rest = max(seen - 1 if seen else 0, header_end - at, 0)
+            now["lines"] += filled_lines(data[rest:]) if rest < len(data) else 0
+            at += len(data)
+        found.append(now | {"until": max(last, now["piece"])})
+        keep = [{"path": row["path"]} | x for x in found if x["head"] or x["lines"]]
+        kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+        yield pa.RecordBatch.from_pydict({c: pa.array([x.get(c) for x in keep], kinds[t]) for c, t in PIECE.items()})
+
+
+def dump_pieces(spark: SparkSession, path: str | Sequence[str] | DataFrame, size: int = RANGE) -> DataFrame:
+    """(path, piece, until, lines, before, found, <header>) of the atoms' byte ranges of every whole frame.
+
+    Only headers are handed over the borders of ranges: a header counts for all pieces down to the next one. before is the
+    number of the frame's lines above the piece, found that of all its lines. A last frame with too few lines is left
+    out. path may also be a table (path, length) of files.
+    """
+    listed = path if isinstance(path, DataFrame) else files(spark, path)
+    rows = ranged(listed, size).mapInArrow(pieces_of, ", ".join(f"{c} {t}" for c, t in PIECE.items()))
+    down = Window.partitionBy("path").orderBy("piece", "until")  # one row for each header and range
+    rows = rows.withColumn("frame_at", F.last(F.when(F.col("head"), F.struct(*HEAD)), True).over(down)).withColumn("number", F.sum(F.col("head").cast("int")).over(down))
+    frame = Window.partitionBy("path", "number")
+    rows = rows.filter("frame_at.timestep is not null").select(
+        "path", "piece", "until", "lines", (F.sum("lines").over(frame.orderBy("piece", "until")) - F.col("lines")).alias("before"), F.sum("lines").over(frame).alias("found"), *(F.col(f"frame_at.{c}").alias(c) for c in HEAD),
+    )
+    return rows.filter("found >= n_atoms")
+
+
+def boxed(heads: DataFrame, *more: str) -> DataFrame:
+    """(path, timestep, n_atoms, xlo ... zhi, xy, xz, yz, pbc, header, ...) of header fields.
 
     Bounds of two numbers a line are orthogonal, of three have a tilt; of four they are cell vectors with the origin.
-    The empty text before a first header and a last frame with too few lines are left out.
     """
-    raw = spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("_metadata.file_path").alias("path"), "value").filter(F.trim("value") != "")
-    lines = F.split(F.regexp_replace("value", r"\r", ""), "\n")
-    f = raw.withColumn("l", lines)
-    f = f.select("path", F.trim(F.col("l")[0]).try_cast("bigint").alias("timestep"), F.trim(F.get("l", F.lit(2))).try_cast("int").alias("n_atoms"), F.trim(F.get("l", F.lit(3))).alias("bounds"), *(tokens(F.get("l", F.lit(4 + k))).alias(f"b{k}") for k in range(3)), F.trim(F.get("l", F.lit(7))).alias("columns"), F.slice("l", 9, 1 << 30).alias("lines"))
-    f = f.withColumn("lines", F.filter("lines", lambda x: F.trim(x) != "")).filter(F.size("lines") >= F.col("n_atoms")).withColumn("lines", F.slice("lines", 1, F.greatest("n_atoms", F.lit(0))))
+    f = heads.withColumns({f"b{k}": tokens(F.col(f"b{k}")) for k in range(3)})
     abc = F.col("bounds").contains("abc origin")
     low = [F.when(abc, number(F.col(f"b{k}"), 4)).otherwise(number(F.col(f"b{k}"), 1)) for k in range(3)]
     high = [F.when(abc, number(F.col(f"b{k}"), 4) + number(F.col(f"b{k}"), k + 1)).otherwise(number(F.col(f"b{k}"), 2)) for k in range(3)]
@@ -50,11 +165,67 @@ def dump_frames(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     flags = F.regexp_extract_all("bounds", F.lit(r"\b([pfsm]{2})\b"), F.lit(1))
     box = [c.alias(n) for a, lo, hi in zip("xyz", low, high, strict=True) for n, c in ((f"{a}lo", lo), (f"{a}hi", hi))]
     header = F.transform(F.filter(F.slice(F.split("columns", r"\s+"), 3, 1000), lambda x: x != ""), lambda x: F.lower(x))
-    return f.select("path", "timestep", "n_atoms", *box, *(t.alias(n) for n, t in zip(("xy", "xz", "yz"), tilt, strict=True)), F.transform(flags, lambda x: x == "pp").alias("pbc"), header.alias("header"), "lines")
+    return f.select("path", "timestep", "n_atoms", *box, *(t.alias(n) for n, t in zip(("xy", "xz", "yz"), tilt, strict=True)), F.transform(flags, lambda x: x == "pp").alias("pbc"), header.alias("header"), *more)
+
+
+def table_of(data: bytes, names: Sequence[str], columns: dict[str, pa.DataType]) -> pa.Table:
+    """The asked columns of lines whose words stand for the names; others aren't made."""
+    if any(x in data for x in (b"\t", b"\r", b"  ", b" \n", b"\n ")) or data[:1] in (b" ", b"\n"):
+        data = re.sub(rb" *\n[ \n]*", b"\n", re.sub(rb"[ \t\r]+", b" ", data)).strip()
+    wide = data.split(b"\n", 1)[0].count(b" ") + 1
+    named = [*names, *(f"_more{k}" for k in range(len(names), wide))][: max(wide, len(names))]
+    return csv.read_csv(
+        pa.BufferReader(data), csv.ReadOptions(column_names=named, use_threads=False, block_size=max(len(data) + 1, 1 << 16)), csv.ParseOptions(delimiter=" ", quote_char=False, ignore_empty_lines=True),
+        csv.ConvertOptions(column_types=columns, include_columns=list(columns), strings_can_be_null=False),
+    )
+
+
+def piece_atoms(pieces: DataFrame, columns: Sequence[str], keep: Sequence[str] = ("path", "timestep"), at_once: int = 8 << 20) -> DataFrame:
+    """One row for each atom of pieces (path, piece, until, lines, before, n_atoms, header), with the asked columns.
+
+    Columns are found by the names of each frame's header; a missing one is an error. Lines behind the header's number of
+    atoms are left out.
+    """
+    kinds = {c: KINDS.get(c, "double") for c in columns}
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    types = dict(pieces.dtypes)
+    back = {v: k for k, v in NAMES.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = opener()
+        for batch in batches:
+            for k, row in enumerate(batch.to_pylist()):
+                names = [NAMES.get(c, c) for c in row["header"]]
+                for c in columns:
+                    if c not in names:
+                        raise ValueError(f"the dump has no column {back.get(c, c)}")
+                left = min(row["lines"], row["n_atoms"] - row["before"])
+                file, at = opened(row["path"]), row["piece"]
+                while left > 0 and at < row["until"]:
+                    end = min(line_start(file, at + at_once, row["until"]), row["until"])
+                    part = table_of(read_at(file, at, end - at), names, {c: arrow[t] for c, t in kinds.items()}).slice(0, left)
+                    left, at = left - len(part), end
+                    told = {c: batch.column(c).take(pa.array([k] * len(part))) for c in keep}
+                    for piece in part.select(list(columns)).combine_chunks().to_batches():
+                        yield pa.RecordBatch.from_arrays([*told.values(), *piece.columns], [*told, *columns])
+
+    chosen = pieces.select(*dict.fromkeys([*keep, "path", "piece", "until", "lines", "before", "n_atoms", "header"]))
+    spread = chosen.repartition("path", F.floor(F.col("piece") / RANGE)) if "path" in types else chosen
+    return spread.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{c} {t}" for c, t in kinds.items())]))
+
+
+def text_frames(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Header fields and lines of every whole frame, one row a frame: for files that can't be opened by range."""
+    raw = spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("_metadata.file_path").alias("path"), "value").filter(F.trim("value") != "")
+    f = raw.withColumn("l", F.split(F.regexp_replace("value", r"\r", ""), "\n"))
+    head = {"timestep": F.trim(F.col("l")[0]).try_cast("bigint"), "n_atoms": F.trim(F.get("l", F.lit(2))).try_cast("bigint"), "bounds": F.trim(F.get("l", F.lit(3)))}
+    head |= {f"b{k}": F.get("l", F.lit(4 + k)) for k in range(3)} | {"columns": F.trim(F.get("l", F.lit(7)))}
+    f = f.select("path", *(c.alias(n) for n, c in head.items()), F.filter(F.slice("l", 9, 1 << 30), lambda x: F.trim(x) != "").alias("lines"))
+    return boxed(f.filter(F.size("lines") >= F.col("n_atoms")).withColumn("lines", F.slice("lines", 1, F.greatest(F.col("n_atoms"), F.lit(0)).cast("int"))), "lines")
 
 
 def atoms_of(frames: DataFrame, columns: Sequence[str], keep: Sequence[str] = ("path", "timestep")) -> DataFrame:
-    """One row for each atom with the asked columns, by the names of each frame's header; a missing one is an error."""
+    """One row for each atom of frames with their lines; a column that a header lacks is an error."""
     back = {v: k for k, v in NAMES.items()}
     named = F.transform("header", lambda x: F.coalesce(*(F.when(x == k, F.lit(v)) for k, v in NAMES.items()), x))
     place = {c: F.array_position(named, c).cast("int") for c in columns}
@@ -65,12 +236,20 @@ def atoms_of(frames: DataFrame, columns: Sequence[str], keep: Sequence[str] = ("
     return rows.select(*keep, *(F.element_at("w", F.col(f"_{c}")).cast(KINDS.get(c, "double")).alias(c) for c in columns))
 
 
-def read_dump(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] = ("atom_id", "type", "x", "y", "z"), where: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(frames, atoms) of dumps. `where` chooses frames before their atoms are unfolded; only asked columns are parsed."""
-    frames = dump_frames(spark, path)
-    if where is not None:
-        frames = frames.filter(where)
-    return frames.drop("header", "lines"), atoms_of(frames, columns)
+def read_dump(spark: SparkSession, path: str | Sequence[str] | DataFrame, columns: Sequence[str] = ("atom_id", "type", "x", "y", "z"), where: Column | None = None, size: int = RANGE) -> tuple[DataFrame, DataFrame]:
+    """(frames, atoms) of dumps, of files by byte ranges, so that a frame of any size is read by many tasks.
+
+    `where` chooses frames by their header, and the bytes of others are only searched for headers, never parsed; only
+    asked columns are made. A frame whose lines are fewer than its header says is left out; so is what comes before a
+    first header. Compressed files, and stores that Arrow doesn't open, are read with one row a frame.
+    """
+    if not isinstance(path, DataFrame) and not readable([path] if isinstance(path, str) else path):
+        frames = text_frames(spark, path)
+        frames = frames if where is None else frames.filter(where)
+        return frames.drop("header", "lines"), atoms_of(frames, columns)
+    pieces = boxed(dump_pieces(spark, path, size), "at", "piece", "until", "lines", "before")
+    pieces = pieces if where is None else pieces.filter(where)
+    return pieces.filter("before = 0").dropDuplicates(["path", "at"]).drop("header", "at", "piece", "until", "lines", "before"), piece_atoms(pieces, columns)
 
 
 def read_frame_files(spark: SparkSession, path: str, columns: Sequence[str] = ("atom_id", "type", "x", "y", "z", "vx", "vy", "vz", "fx", "fy", "fz")) -> DataFrame:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks
 from ..operators.neighbors import pairs
 from ..sources import dumps, texts
+from ..sources.shared import scratch
 from ..streaming import jobs
 from .fields import BIN, FIELDS, ROUNDED, SIZE, T
 from .fields import ORACLE_SQL as FIELD_SQL
@@ -18,22 +15,6 @@ from .spatial import AT, BOX, PR, R, mass
 from .views import ATOM_BOX, DIPOLES, VOXEL_BOX, atoms, dipoles, duck, vox
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares, removed when Spark ends; a local run has one of its own."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and context._jsc.sc().getCheckpointDir().isDefined():
-        shared = context._jsc.sc().getCheckpointDir().get()
-    if not shared:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        shared = tempfile.gettempdir() + "/orrery-scratch"
-    path = f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
 def dump_roundtrip(spark, sf):
     """The snapshots written as a dump and read back."""
     own, path = atoms(spark, sf), scratch(spark)

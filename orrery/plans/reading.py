@@ -9,8 +9,8 @@ from ..operators import structure
 from ..operators.neighbors import pairs
 from ..sources import dumps, texts
 from ..sources.lines import lines
+from ..sources.shared import scratch
 from .fields import energies
-from .files import scratch
 from .spatial import AT, BOX, HIST, LENGTHS, MASS, PR, WIDTH, R, fractions, histogram, partial
 from .views import ATOM_BOX, BANDS_DUCK, DIPOLES, FRAMES, TRAJ, TRAJ_BOX, atoms, bands, dipoles, duck, read, traj
 
@@ -182,7 +182,7 @@ def weight_blocks(spark, sf):
     path = scratch(spark)
     b = bands(spark, sf)
     head = b.groupBy("band").agg(F.count("*").alias("n")).select("band", F.lit(-1).alias("atom"), F.concat_ws(" ", F.lit("0"), F.col("band").cast("string"), F.col("n").cast("string")).alias("value"))
-    rows = head.unionByName(b.select("band", "atom", F.concat_ws("  ", F.lit(""), F.col("atom").cast("string"), F.lit("0"), F.format_string("%d.0", "weight")).alias("value")))
+    rows = head.unionByName(b.select("band", "atom", F.concat_ws("  ", F.lit(""), F.col("atom").cast("string"), F.lit("0"), F.col("weight").cast("string")).alias("value")))
     told(rows, ["band"], F.col("atom"), F.col("value")).write.partitionBy("band").text(path)
     found = texts.band_weights(lines(spark, path))
     chosen = energies(b).filter("occ > 1").select(F.lit(0).cast("bigint").alias("step"), F.col("band").cast("int").alias("band"))

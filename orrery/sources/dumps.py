@@ -14,6 +14,7 @@ from pyarrow import csv
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .blocks import headed
 from .lines import carried, lines
 from .ranges import RANGE, files, filled_lines, line_start, opener, ranged, read_at, readable, rows_of
 
@@ -262,16 +263,17 @@ def read_frame_files(spark: SparkSession, path: str, columns: Sequence[str] = ("
 def read_xyz(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] = ("element", "x", "y", "z"), box: Sequence[float] | None = None) -> tuple[DataFrame, DataFrame]:
     """(frames, atoms) of XYZ files: a count, a comment, and as many atoms, again and again.
 
-    A comment of six numbers is a lattice (a, b, c and angles); one with `Timestep: N` names the frame; else frames are
+    Frames are found by their counts, from the first line on, so comments may be numbers. A comment of six numbers is a lattice (a, b, c and angles); one with `Timestep: N` names the frame; else frames are
     counted in their file, and the box is the one given. A last frame with too few atoms is left out.
     """
-    rows = lines(spark, path)
-    # a count stands alone on its line, and the comment follows it
-    heads = carried(rows, F.when(F.col("value").rlike(r"^\s*[0-9]+\s*$"), F.struct("n", F.trim("value").cast("int").alias("n_atoms"))), "_head")
+    whole = F.when(F.col("value").rlike(r"^\s*[0-9]+\s*$"), F.trim("value").try_cast("bigint"))
+    rows = headed(lines(spark, path), whole + 2)
+    heads = carried(rows, F.when(F.col("head") & whole.isNotNull(), F.struct("n", whole.cast("int").alias("n_atoms"))), "_head")
     heads = heads.filter("_head is not null").select("path", F.col("_head.n").alias("_start"), F.col("_head.n_atoms").alias("n_atoms"), (F.col("n") - F.col("_head.n")).alias("_at"), "value")
+    heads = heads.filter(F.col("_at") <= F.col("n_atoms") + 1)
     f = heads.groupBy("path", "_start").agg(F.first("n_atoms").alias("n_atoms"), F.trim(F.max(F.when(F.col("_at") == 1, F.col("value")))).alias("comment"), F.count_if((F.col("_at") > 1) & (F.trim("value") != "")).alias("_found"))
     f = f.filter(F.col("_found") >= F.col("n_atoms")).withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("_start")))  # one row for each frame
-    body = heads.filter((F.col("_at") > 1) & (F.col("_at") <= F.col("n_atoms") + 1)).select("path", "_start", "value")
+    body = heads.filter("_at > 1").select("path", "_start", "value")
     words = tokens(F.col("comment"))
     lattice = F.when(F.size(words) >= 6, F.transform(F.slice(words, 1, 6), lambda x: x.try_cast("double")))
     fixed = F.array(*(F.lit(float(x)) for x in (*box, 90, 90, 90))) if box else F.lit(None).cast("array<double>")

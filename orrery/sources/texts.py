@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .blocks import filled, headed
 from .dumps import KINDS, embedded_number, tokens
 from .lines import blocked, carried, lines
 
@@ -112,15 +113,22 @@ def bond_lists(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return out.select("path", "i", "x", "y", "z", "type", "p.j", "p.r")
 
 
-def counted_blocks(rows: DataFrame, header: int = 3) -> DataFrame:
-    """(path, step, row, w): rows below headers of `header` whole numbers, of which the first is the step.
+def counted_blocks(rows: DataFrame, header: int = 3, count: int = 3) -> DataFrame:
+    """(path, step, head, row, w): rows of blocks whose header of `header` whole numbers begins with the step.
 
-    rows: (path, n, value). The header is carried down to its block.
+    rows: (path, n, value). The header's number `count` (from 1) tells how many rows follow, and headers are found by these
+    counts alone, from the first line on, so rows may be whole numbers too. Blank lines aren't counted, lines that are no
+    header where one is due are passed over, and a last block with too few rows is left out. head: the header's words.
     """
+    w = tokens(F.col("value"))
     whole = F.col("value").rlike(r"^\s*" + r"\s+".join([r"\d+"] * header) + r"\s*$")
-    some = blocked(rows).filter(F.trim("value") != "")
-    marked = carried(some, F.when(whole, F.struct(F.col("n").alias("at"), tokens(F.col("value"))[0].cast("bigint").alias("step"))), "_last")
-    return marked.filter(~whole & F.col("_last").isNotNull()).select("path", F.col("_last.step").alias("step"), (F.col("n") - F.col("_last.at")).alias("row"), tokens(F.col("value")).alias("w"))
+    found = headed(filled(rows), F.when(whole, w[count - 1].try_cast("bigint") + 1))
+    opens = F.when(F.col("head"), F.struct(F.col("n").alias("at"), F.when(whole, w).alias("words")))
+    marked = carried(found, opens, "_last").filter(~F.col("head") & F.col("_last.words").isNotNull())
+    number = F.col("_last.words")[count - 1].try_cast("bigint")
+    told = marked.select("path", F.col("_last.at").alias("_at"), F.col("_last.words").alias("head"), number.alias("_number"), (F.col("n") - F.col("_last.at")).alias("row"), w.alias("w"))
+    whole_blocks = told.groupBy("path", "_at").agg(F.count("*").alias("_found"))
+    return told.join(whole_blocks, ["path", "_at"]).filter("_found >= _number").select("path", F.col("head")[0].try_cast("bigint").alias("step"), "head", "row", "w")
 
 
 def eigenvalues(rows: DataFrame) -> DataFrame:
@@ -136,12 +144,8 @@ def fermi_levels(rows: DataFrame) -> DataFrame:
 
 def band_weights(rows: DataFrame) -> DataFrame:
     """(path, step, band, atom, orbital, weight) of blocks headed by step, band and number of rows."""
-    second = rows.withColumn("value", F.regexp_replace("value", r"^\s*(\d+)\s+(\d+)\s+(\d+)\s*$", "$1 $2 $3"))
-    some = blocked(second).filter(F.trim("value") != "")
-    whole = F.col("value").rlike(r"^\d+ \d+ \d+$")
-    w = tokens(F.col("value"))
-    marked = carried(some, F.when(whole, F.struct(w[0].try_cast("bigint").alias("step"), w[1].try_cast("int").alias("band"))), "_last").filter(~whole & F.col("_last").isNotNull()).withColumn("w", w)
-    return marked.select("path", "_last.step", "_last.band", F.element_at("w", 1).try_cast("int").alias("atom"), F.element_at("w", 2).try_cast("int").alias("orbital"), F.element_at("w", 3).try_cast("double").alias("weight"))
+    found = counted_blocks(rows)
+    return found.select("path", "step", F.col("head")[1].try_cast("int").alias("band"), F.element_at("w", 1).try_cast("int").alias("atom"), F.try_element_at("w", F.lit(2)).try_cast("int").alias("orbital"), F.try_element_at("w", F.lit(3)).try_cast("double").alias("weight"))
 
 
 def by_third_column(rows: DataFrame) -> DataFrame:

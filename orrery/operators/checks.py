@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamped_acos, closed_bin, dot
+from .ranks import before
 
 
 def frame_summary(atoms: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
@@ -25,8 +26,7 @@ def formula(atoms: DataFrame, element: str = "element", keys: Sequence[str] = ()
 
 def not_rising(frames: DataFrame, key: str = "traj_id", order: str = "frame", value: str = "timestep") -> DataFrame:
     """Frames whose time step isn't beyond the one before."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
-    return frames.withColumn("before", before).filter(F.col("before") >= F.col(value))
+    return before(frames, key, order, value).filter(F.col("before") >= F.col(value))
 
 
 def merge_checks(parts: DataFrame, merged: DataFrame, expected: int, key: str = "name", order: str = "timestep") -> DataFrame:

@@ -9,10 +9,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.geometry import clamped_acos, closed_bin, dot, shell
+from .neighbors import TOGETHER, Blocks, Box, spans
 
 
 def pair_histogram(near: DataFrame, width: float, by: str = "type") -> DataFrame:
@@ -152,13 +155,58 @@ def angles(near: DataFrame, plans: Sequence[Triplet], by: str = "type", keys: Se
     return both.select(*keys, "i", F.col("ja").alias("j"), F.col("jc").alias("k"), "label", F.degrees(clamped_acos(cosine)).alias("theta"))
 
 
+def angle_bins(atoms: DataFrame, plans: Sequence[Triplet], width: float, box: Box, by: str = "type", keys: Sequence[str] = ("frame",), **options) -> DataFrame:
+    """(keys, label, bin, n): angles() counted in bins over [0, 180], the last one closed.
+
+    All pairs of a center lie in its block, so arms meet there, and only counts leave it.
+    """
+    reach = max(r for p in plans for r in (p.r_a[1], p.r_c[1]))
+    blocks = Blocks(atoms, reach, box, keys=keys, carry=(by,), **options)
+    count, search = round(180 / width), blocks.search
+    shape = StructType([*(blocks.fields()[k] for k in keys), StructField("label", StringType()), StructField("bin", IntegerType()), StructField("n", LongType())])
+
+    def counted(block: pa.Table) -> pa.Table:
+        i, j, d, r = search.near(block)
+        order = np.lexsort((j, i))
+        i, j, d, r = i[order], j[order], d[order], r[order]
+        kind, ids = block.column(by).to_pylist(), block.column("atom_id").to_numpy()
+        code = {k: np.array([x == k for x in kind], bool) for k in {k for p in plans for k in (p.center, p.wing_a, p.wing_c)}}
+        labels, bins, counts = [], [], []
+        for p in plans:
+            fit = [np.flatnonzero(code[p.center][i] & code[w][j] & (r >= low) & (r <= high)) for w, (low, high) in ((p.wing_a, p.r_a), (p.wing_c, p.r_c))]
+            first = np.searchsorted(i[fit[1]], i[fit[0]])
+            size = np.searchsorted(i[fit[1]], i[fit[0]], "right") - first
+            total = np.zeros(count, np.int64)
+            edges = np.flatnonzero(np.diff(np.cumsum(size) // TOGETHER)) + 1
+            for part in np.split(np.arange(len(size)), edges):
+                which, place = spans(first[part], size[part])
+                a, c = fit[0][part][which], fit[1][place]
+                keep = ids[j[a]] < ids[j[c]] if p.same_arm else ids[j[a]] != ids[j[c]]
+                a, c = a[keep], c[keep]
+                cosine = (d[a, 0] * d[c, 0] + d[a, 1] * d[c, 1] + d[a, 2] * d[c, 2]) / (r[a] * r[c])
+                theta = np.degrees(np.arccos(np.clip(cosine, -1.0, 1.0)))
+                total += np.bincount(np.minimum(np.floor(theta / width).astype(np.int64), count - 1), minlength=count)
+            at = np.flatnonzero(total)
+            labels += [p.label] * len(at)
+            bins.append(at)
+            counts.append(total[at])
+        at = np.concatenate(bins)
+        return pa.table({k: block.column(k).combine_chunks().take(pa.array(np.zeros(len(at), np.int64))) for k in keys} | {"label": pa.array(labels, pa.string()), "bin": at.astype(np.int32), "n": np.concatenate(counts)})
+
+    return blocks.apply(counted, shape, (by,)).groupBy(*keys, "label", "bin").agg(F.sum("n").alias("n"))
+
+
 def angle_distribution(found: DataFrame, width: float = 1.0, keys: Sequence[str] = ("frame",), norm: str = "frame") -> DataFrame:
-    """(label, bin, n, p): histogram over [0, 180], the last bin closed.
+    """(label, bin, n, p): histogram over [0, 180] of angles (keys, label, theta), the last bin closed."""
+    count = round(180 / width)
+    return binned_angles(found.groupBy("label", *keys, closed_bin(F.col("theta"), 0.0, width, count).alias("bin")).agg(F.count("*").alias("n")), width, keys, norm)
+
+
+def binned_angles(bins: DataFrame, width: float = 1.0, keys: Sequence[str] = ("frame",), norm: str = "frame") -> DataFrame:
+    """(label, bin, n, p) of counts (keys, label, bin, n).
 
     norm="frame" gives each contributing frame unit area and averages the frames; "sum" gives all counts unit sum.
     """
-    count = round(180 / width)
-    bins = found.groupBy("label", *keys, closed_bin(F.col("theta"), 0.0, width, count).alias("bin")).agg(F.count("*").alias("n"))
     if norm == "sum":
         total = bins.groupBy("label").agg(F.sum("n").alias("total"))
         return bins.groupBy("label", "bin").agg(F.sum("n").alias("n")).join(total, "label").select("label", "bin", "n", (F.col("n") / F.col("total")).alias("p"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.geometry import AXES
 
@@ -20,10 +22,15 @@ def lit(x: Column | float) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
-#: Edge of a block in units of the search radius: atoms of a frame are dealt to blocks, which bounds what one task holds.
-EDGE = 4
+#: Least and greatest edge of a block in units of the search radius. Atoms of a frame are dealt to blocks, which bounds what
+#: one task holds; wide blocks of a short radius spare copies of atoms near faces.
+EDGE, WIDEST = 4, 16
+#: Pairs that a block is meant to hold, and atoms in a cube of a unit of length (angstrom) in dense matter.
+BLOCK_PAIRS, DENSE = 4e6, 0.1
 #: Pairs of centers and cells that are looked at together.
 TOGETHER = 1 << 20
+#: Up to so many cells of a block its atoms are compared without them.
+FEW_CELLS = 128
 
 
 def spans(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,14 +40,24 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return which, np.arange(len(which)) - np.repeat(ends - lengths, lengths) + starts[which]
 
 
-def cell_pairs(centers: np.ndarray, wings: np.ndarray, reach: float, wrap: Sequence[float | None], explicit: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def cell_pairs(centers: np.ndarray, wings: np.ndarray, reach: float, wrap: Sequence[float | None], explicit: bool, turn: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, d) of centers and wings within reach, with the vectors d from i to j, by sorted cells of that size.
 
     wrap: the box's length on axes that are periodic within the block, whose coordinates lie in [0, length); None on
-    others. There the nearest image is taken, or every image with `explicit`.
+    others. There the nearest image is taken, or every image with `explicit`. turn: the matrix from differences of these
+    coordinates to vectors, which are never shorter in any coordinate; None where both are the same. Few atoms in few cells
+    are compared in one go, as most of them are candidates anyway.
     """
     if not len(centers) or not len(wings):
         return
+    if not explicit and len(centers) * len(wings) <= TOGETHER and np.prod([max(int(w / reach), 1) if w is not None else np.ptp(wings[:, k]) / reach + 1 for k, w in enumerate(wrap)]) <= FEW_CELLS:
+        parts = [wings[None, :, k] - centers[:, None, k] for k in range(3)]
+        parts = [x if w is None else x - w * np.rint(x / w) for x, w in zip(parts, wrap, strict=True)]
+        if turn is not None:
+            parts = [sum(parts[k] * turn[k, c] for k in range(3)) for c in range(3)]
+        i, j = np.nonzero(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2] <= reach * reach * (1 + 1e-9))
+        yield i, j, np.stack([x[i, j] for x in parts], 1)
+        return
     low = np.minimum(centers.min(0), wings.min(0))
     n, here, there, steps = [], [], [], []
     for k, length in enumerate(wrap):
@@ -72,79 +89,174 @@ def cell_pairs(centers: np.ndarray, wings: np.ndarray, reach: float, wrap: Seque
             for k, length in enumerate(wrap):
                 if length is not None:
                     d[:, k] += image[k][i] * length if explicit else -length * np.rint(d[:, k] / length)
+            d = d if turn is None else d @ turn
             near = np.flatnonzero(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2] <= reach * reach * (1 + 1e-9))
             yield i[near], j[near], d[near]
 
 
+def heights(box: Box, tilt: Box) -> list:
+    """Separations of opposite faces of a box (lx, ly, lz) with tilts (xy, xz, yz): numbers, or columns if any is one."""
+    some = any(isinstance(v, Column) for v in (*box, *tilt))
+    root = F.sqrt if some else math.sqrt
+    (lx, ly, lz), (xy, xz, yz) = ([lit(v) if some else float(v) for v in x] for x in (box, tilt))
+    slant = xy * yz - ly * xz
+    return [lx * ly * lz / root(ly * lz * ly * lz + xy * lz * xy * lz + slant * slant), ly * lz / root(lz * lz + yz * yz), lz]
+
+
+def block_edge(r: float) -> float:
+    """Edge of a block in which dense matter has about BLOCK_PAIRS pairs within r."""
+    return min(max((BLOCK_PAIRS / (DENSE * DENSE * 4 / 3 * math.pi * r**6)) ** (1 / 3), EDGE), WIDEST) * r
+
+
+@dataclass(frozen=True)
+class Search:
+    """What tasks need to find the pairs of a block."""
+
+    r_max: float
+    r_min: float
+    explicit: bool
+    half: bool
+    periodic: tuple[bool, ...]
+    tilted: bool
+
+    def near(self, block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, d, r): rows of the block that are within reach of each other."""
+        place = np.stack([block.column(f"_p{k}").to_numpy() for k in range(3)], 1)
+        wrap = [block.column(f"_l{k}")[0].as_py() if self.periodic[k] and block.column(f"_n{k}")[0].as_py() == 1 else None for k in range(3)]
+        turn = np.array(block.column("_turn")[0].as_py()).reshape(3, 3) if self.tilted else None
+        ids = block.column("atom_id").to_numpy()
+        sides = [np.flatnonzero(block.column(c).to_numpy()) for c in ("_center", "_wing")]
+        found = []
+        for i, j, d in cell_pairs(place[sides[0]], place[sides[1]], self.r_max, wrap, self.explicit, turn):
+            i, j = sides[0][i], sides[1][j]
+            r = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+            other = ids[i] < ids[j] if self.half else (ids[i] != ids[j]) | (r > 0) if self.explicit else ids[i] != ids[j]
+            keep = np.flatnonzero(other & (r >= self.r_min) & (r <= self.r_max))
+            found.append((i[keep], j[keep], d[keep], r[keep]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3)), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+class Blocks:
+    """Atoms dealt to blocks of space, those near a block's faces to its neighbours too, and the pairs within a block."""
+
+    def __init__(
+        self, atoms: DataFrame, r_max: float, box: Box, r_min: float = 0.0, origin: Box = (0.0, 0.0, 0.0), periodic: Sequence[bool] = (True, True, True), images: str = "minimum",
+        keys: Sequence[str] = ("frame",), center: Column | None = None, wing: Column | None = None, carry: Sequence[str] = ("type",), half: bool = False, tilt: Box | None = None,
+    ) -> None:
+        self.search, self.keys = Search(r_max, r_min, images == "explicit", half, tuple(periodic), tilt is not None), list(keys)
+        edge = block_edge(r_max)
+        most = 1.0 if images == "explicit" else 2.0
+        used = [F.coalesce(c, F.lit(False)) if c is not None else F.lit(True) for c in (center, wing)]
+        rows = atoms.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+        place = [F.col(axis).cast("double") - lit(low) for axis, low in zip(AXES, origin, strict=True)]
+        lengths: Sequence = box
+        if tilt is not None:
+            # coordinates along the cell's vectors, in units in which opposite faces are as far apart as in space
+            (lx, ly, lz), (xy, xz, yz) = ([lit(v) for v in x] for x in (box, tilt))
+            lengths = heights(box, tilt)
+            sz = place[2] / lz
+            sy = (place[1] - sz * yz) / ly
+            sx = (place[0] - sy * xy - sz * xz) / lx
+            zero, tall = F.lit(0.0), [lit(v) for v in lengths]
+            vectors = [(lx, zero, zero), (xy, ly, zero), (xz, yz, lz)]
+            place = [s * h for s, h in zip((sx, sy, sz), tall, strict=True)]
+            rows = rows.withColumn("_turn", F.array(*(c / h for row, h in zip(vectors, tall, strict=True) for c in row)))
+        rows = rows.select(*keys, "atom_id", *dict.fromkeys([*carry, *AXES]), used[0].alias("_center"), used[1].alias("_wing"), *(p.alias(f"_p{k}") for k, p in enumerate(place)), *(lit(v).alias(f"_l{k}") for k, v in enumerate(lengths)), *(["_turn"] if tilt is not None else []))
+        rows = rows.filter(F.col("_center") | F.col("_wing"))
+        for k, length in enumerate(lengths):
+            at = F.col(f"_p{k}")
+            if periodic[k]:
+                if not isinstance(length, Column) and most * r_max > length:
+                    raise ValueError(f"a radius of {r_max} is too large for a periodic edge of {length}")
+                size = F.col(f"_l{k}")
+                size = F.when(size >= most * r_max, size).otherwise(F.raise_error(F.lit(f"a radius of {r_max} is too large for a periodic edge")).cast("double")) if isinstance(length, Column) else size
+                count = F.greatest(F.floor(size / edge), F.lit(1)).cast("int")
+                at = at - size * F.floor(at / size)
+                at = F.when(at >= size, 0.0).otherwise(at)
+            else:
+                size, count = F.lit(None).cast("double"), F.lit(1 << 30)
+            rows = rows.withColumns({f"_p{k}": at, f"_l{k}": size, f"_n{k}": count})
+            if periodic[k] and not isinstance(length, Column) and length < 2 * edge:
+                rows = rows.withColumns({f"_b{k}": F.lit(0), f"_away{k}": F.lit(0)})
+                continue
+            width = F.col(f"_l{k}") / F.col(f"_n{k}") if periodic[k] else F.lit(edge)
+            own = F.floor(F.col(f"_p{k}") / width).cast("int")
+            own = F.least(own, F.col(f"_n{k}") - 1) if periodic[k] else own
+            inside = F.col(f"_p{k}") - own * width
+            several = F.col(f"_n{k}") > 1
+            sides = F.array(F.lit(0), F.when(several & (inside <= r_max), -1), F.when(several & (width - inside <= r_max), 1))
+            rows = rows.withColumn("_own", own).withColumn(f"_away{k}", F.explode(F.filter(sides, lambda x: x.isNotNull())))
+            to = F.col("_own") + F.col(f"_away{k}")
+            if periodic[k]:
+                turn = F.floor(to / F.col(f"_n{k}"))
+                rows = rows.withColumns({f"_b{k}": F.pmod(to, F.col(f"_n{k}")), f"_p{k}": F.col(f"_p{k}") - turn * F.col(f"_l{k}")})
+            else:
+                rows = rows.withColumn(f"_b{k}", to)
+        self.rows = rows.drop("_own").withColumn("_center", F.col("_center") & (F.col("_away0") == 0) & (F.col("_away1") == 0) & (F.col("_away2") == 0)).drop("_away0", "_away1", "_away2")
+
+    def fields(self) -> dict[str, StructField]:
+        return {f.name: f for f in self.rows.schema.fields}
+
+    def apply(self, kernel: Callable[[pa.Table], pa.Table], shape: StructType, used: Sequence[str]) -> DataFrame:
+        """A kernel over each block; `used` are the columns of atoms that it reads beside the ids."""
+        own = [c for c in self.rows.columns if c.startswith("_")]
+        rows = self.rows.select(*dict.fromkeys([*self.keys, "atom_id", *used, *own]))
+        return rows.groupBy(*self.keys, "_b0", "_b1", "_b2").applyInArrow(kernel, shape)
+
+
 def pairs(
     atoms: DataFrame, r_max: float, box: Box, r_min: float = 0.0, origin: Box = (0.0, 0.0, 0.0), periodic: Sequence[bool] = (True, True, True),
-    images: str = "minimum", keys: Sequence[str] = ("frame",), center: Column | None = None, wing: Column | None = None, carry: Sequence[str] = ("type",), half: bool = False,
+    images: str = "minimum", keys: Sequence[str] = ("frame",), center: Column | None = None, wing: Column | None = None, carry: Sequence[str] = ("type",), half: bool = False, tilt: Box | None = None,
 ) -> DataFrame:
     """Ordered pairs (keys, i, j, <carry>_i, <carry>_j, dx, dy, dz, r) with r_min <= r <= r_max; the vector goes from i to j.
 
     images="minimum" takes the nearest image of each pair, and half of every periodic edge must hold r_max. "explicit"
     takes every image within r_max, which may reach the length of the box. `center` and `wing` choose atoms for the two
-    sides; `half` keeps i < j only. Atoms with a null coordinate have no neighbours.
+    sides; `half` keeps i < j only. Atoms with a null coordinate have no neighbours. tilt (xy, xz, yz) makes the box a
+    tilted one, however far; then the separations of its faces count instead of its edges.
 
     Atoms are shuffled once, by frame and block of space; those near a block's faces go to its neighbours too. Within a
     block sorted cells give the candidates, so neither a frame nor its pairs are ever compared as a whole.
     """
-    edge = EDGE * r_max
-    most = 1.0 if images == "explicit" else 2.0
-    used = [F.coalesce(c, F.lit(False)) if c is not None else F.lit(True) for c in (center, wing)]
-    rows = atoms.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).select(*keys, "atom_id", *dict.fromkeys([*carry, *AXES]), used[0].alias("_center"), used[1].alias("_wing")).filter(F.col("_center") | F.col("_wing"))
-    for k, (axis, length, low) in enumerate(zip(AXES, box, origin, strict=True)):
-        at = F.col(axis).cast("double") - lit(low)
-        if periodic[k]:
-            if not isinstance(length, Column) and most * r_max > length:
-                raise ValueError(f"a radius of {r_max} is too large for a periodic edge of {length}")
-            size = lit(length)
-            size = F.when(size >= most * r_max, size).otherwise(F.raise_error(F.lit(f"a radius of {r_max} is too large for a periodic edge")).cast("double")) if isinstance(length, Column) else size
-            count = F.greatest(F.floor(size / edge), F.lit(1)).cast("int")
-            at = at - size * F.floor(at / size)
-            at = F.when(at >= size, 0.0).otherwise(at)
-        else:
-            size, count = F.lit(None).cast("double"), F.lit(1 << 30)
-        rows = rows.withColumns({f"_p{k}": at, f"_l{k}": size, f"_n{k}": count})
-        if periodic[k] and not isinstance(length, Column) and length < 2 * edge:
-            rows = rows.withColumns({f"_b{k}": F.lit(0), f"_away{k}": F.lit(0)})
-            continue
-        width = F.col(f"_l{k}") / F.col(f"_n{k}") if periodic[k] else F.lit(edge)
-        own = F.floor(F.col(f"_p{k}") / width).cast("int")
-        own = F.least(own, F.col(f"_n{k}") - 1) if periodic[k] else own
-        inside = F.col(f"_p{k}") - own * width
-        several = F.col(f"_n{k}") > 1
-        sides = F.array(F.lit(0), F.when(several & (inside <= r_max), -1), F.when(several & (width - inside <= r_max), 1))
-        rows = rows.withColumn("_own", own).withColumn(f"_away{k}", F.explode(F.filter(sides, lambda x: x.isNotNull())))
-        to = F.col("_own") + F.col(f"_away{k}")
-        if periodic[k]:
-            turn = F.floor(to / F.col(f"_n{k}"))
-            rows = rows.withColumns({f"_b{k}": F.pmod(to, F.col(f"_n{k}")), f"_p{k}": F.col(f"_p{k}") - turn * F.col(f"_l{k}")})
-        else:
-            rows = rows.withColumn(f"_b{k}", to)
-    rows = rows.drop("_own").withColumn("_center", F.col("_center") & (F.col("_away0") == 0) & (F.col("_away1") == 0) & (F.col("_away2") == 0)).drop("_away0", "_away1", "_away2")
-    fields = {f.name: f for f in rows.schema.fields}
+    blocks = Blocks(atoms, r_max, box, r_min, origin, periodic, images, keys, center, wing, carry, half, tilt)
+    fields, search = blocks.fields(), blocks.search
     shape = [fields[k] for k in keys] + [StructField(s, fields["atom_id"].dataType) for s in "ij"]
     shape += [StructField(f"{c}_{s}", fields[c].dataType) for c in carry for s in "ij"] + [StructField(c, DoubleType()) for c in ("dx", "dy", "dz", "r")]
 
     def met(block: pa.Table) -> pa.Table:
-        place = np.stack([block.column(f"_p{k}").to_numpy() for k in range(3)], 1)
-        wrap = [block.column(f"_l{k}")[0].as_py() if periodic[k] and block.column(f"_n{k}")[0].as_py() == 1 else None for k in range(3)]
-        ids = block.column("atom_id").to_numpy()
-        sides = [np.flatnonzero(block.column(c).to_numpy()) for c in ("_center", "_wing")]
-        found = []
-        for i, j, d in cell_pairs(place[sides[0]], place[sides[1]], r_max, wrap, images == "explicit"):
-            i, j = sides[0][i], sides[1][j]
-            r = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
-            other = ids[i] < ids[j] if half else (ids[i] != ids[j]) | (r > 0) if images == "explicit" else ids[i] != ids[j]
-            keep = np.flatnonzero(other & (r >= r_min) & (r <= r_max))
-            found.append((i[keep], j[keep], d[keep], r[keep]))
-        i, j, d, r = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros((0, 3)), np.zeros(0))
+        i, j, d, r = search.near(block)
         out = {k: block.column(k).take(i) for k in keys} | {"i": block.column("atom_id").take(i), "j": block.column("atom_id").take(j)}
         out |= {f"{c}_{s}": block.column(c).take(x) for c in carry for s, x in (("i", i), ("j", j))}
         return pa.table(out | {f"d{a}": np.ascontiguousarray(d[:, k]) for k, a in enumerate(AXES)} | {"r": r})
 
-    return rows.groupBy(*keys, "_b0", "_b1", "_b2").applyInArrow(met, StructType(shape))
+    return blocks.apply(met, StructType(shape), carry)
+
+
+def pair_bins(atoms: DataFrame, r_max: float, width: float, box: Box, by: str = "type", keys: Sequence[str] = ("frame",), per_key: bool = False, **options) -> DataFrame:
+    """(<by>_i, <by>_j, bin, n), with per_key also the keys: ordered pairs of pairs() counted by kinds and distance.
+
+    Every block counts its own pairs, and only counts leave it.
+    """
+    blocks = Blocks(atoms, r_max, box, keys=keys, carry=(by,), **options)
+    fields, search = blocks.fields(), blocks.search
+    shape = [fields[k] for k in keys] + [StructField(f"{by}_{s}", fields[by].dataType) for s in "ij"] + [StructField("bin", IntegerType()), StructField("n", LongType())]
+    bins = math.floor(r_max / width) + 1
+
+    def counted(block: pa.Table) -> pa.Table:
+        i, j, _, r = search.near(block)
+        kinds = block.column(by).combine_chunks().dictionary_encode()
+        code = np.append(kinds.indices.fill_null(len(kinds.dictionary)).to_numpy(zero_copy_only=False), 0)[:-1].astype(np.int64)
+        m = len(kinds.dictionary) + 1
+        n = np.bincount((code[i] * m + code[j]) * bins + np.floor(r / width).astype(np.int64), minlength=m * m * bins)
+        at = np.flatnonzero(n)
+        names = pa.concat_arrays([kinds.dictionary, pa.nulls(1, kinds.dictionary.type)])
+        kind = {f"{by}_{s}": names.take(pa.array(x)) for s, x in (("i", at // bins // m), ("j", at // bins % m))}
+        return pa.table({k: block.column(k).combine_chunks().take(pa.array(np.zeros(len(at), np.int64))) for k in keys} | kind | {"bin": (at % bins).astype(np.int32), "n": n[at]})
+
+    found = blocks.apply(counted, StructType(shape), (by,))
+    return found.groupBy(*(keys if per_key else ()), f"{by}_i", f"{by}_j", "bin").agg(F.sum("n").alias("n"))
 
 
 def bonds(atoms: DataFrame, cutoffs: dict[tuple, float], box: Box, by: str = "type", **options) -> DataFrame:
@@ -172,24 +284,63 @@ def symmetric(near: DataFrame, carry: Sequence[str] = ("type",)) -> DataFrame:
 def partner_distances(shell: DataFrame, partners: DataFrame, reach: float, keys: Sequence[str] = ("frame",)) -> DataFrame:
     """(keys, atom_id, distance) to the nearest partner at any distance, infinite where there is none; no periodicity.
 
-    The cell list is searched with `reach` first and twice as far each time for those still without a partner, so no
-    product of both sides is made; what is beyond both sides' extent has none.
+    Both sides lie in cells that are halved again and again, down to EDGE times reach. At each step a cell of the shell
+    keeps the cells of partners that may hold a nearest one: those no farther, by the boxes around the atoms in them, than
+    some partner is sure to be. Atoms meet only the partners of the cells that are left, and each gives one row, so no
+    product of both sides is made however far apart they are.
     """
-    from functools import reduce
-
-    span = shell.select(*AXES).unionByName(partners.select(*AXES)).agg(*(f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    far = sum((span[f"hi{a}"] - span[f"lo{a}"]) ** 2 for a in AXES if span[f"hi{a}"] is not None) ** 0.5
-    wide = (False, False, False)
-    left, found = shell.select(*keys, "atom_id", *AXES).withColumn("side", F.lit(0)), []
-    other = partners.select(*keys, "atom_id", *AXES).withColumn("side", F.lit(1))
-    while True:
-        both = left.unionByName(other)
-        hit = pairs(both, reach, (1.0, 1.0, 1.0), periodic=wide, keys=keys, carry=("side",), center=F.col("side") == 0, wing=F.col("side") == 1).groupBy(*keys, F.col("i").alias("atom_id")).agg(F.min("r").alias("distance"))
-        hit = hit.persist()  # of one row an atom; else each step would search all steps before it again
-        found.append(hit)
-        left = left.join(hit, [*keys, "atom_id"], "left_anti")
-        if reach > far or left.limit(1).count() == 0:
-            break
-        reach *= 2
-    all_found = reduce(DataFrame.unionByName, found)
-    return shell.select(*keys, "atom_id").join(all_found, [*keys, "atom_id"], "left").withColumn("distance", F.coalesce("distance", F.lit(float("inf"))))
+    from ..sources.shared import stored
+
+    sides = [df.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).select(*keys, "atom_id", *AXES) for df in (shell, partners)]
+    span = sides[0].unionByName(sides[1]).agg(*(f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    if span["lox"] is None:
+        return shell.select(*keys, "atom_id").withColumn("distance", F.lit(float("inf")))
+    extent = max(max(span[f"hi{a}"] - span[f"lo{a}"] for a in AXES), 1e-9)
+    levels = min(max(math.ceil(math.log2(extent / (EDGE * reach))), 0), 20)
+    edge = extent / 2**levels * (1 + 1e-12)
+    sides = [df.withColumns({f"_c{k}": F.floor((F.col(a) - span[f"lo{a}"]) / edge).cast("int") for k, a in enumerate(AXES)}) for df in sides]
+    cell = ["_c0", "_c1", "_c2"]
+    boxes = [stored(df.groupBy(*keys, *cell).agg(*(f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))))) for df in sides]
+
+    def at(level: int, side: int) -> DataFrame:
+        """Cells of a level with the boxes around their atoms, and the cells of the level above that they lie in."""
+        name = "ap"[side]
+        up = [F.shiftright(c, levels - level).alias(f"{name}{k}") for k, c in enumerate(cell)]
+        found = boxes[side].groupBy(*keys, *up).agg(*(f(f"{n}{a}").alias(f"{name}{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))))
+        return found.withColumns({f"_{name}{k}": F.shiftright(f"{name}{k}", 1) for k in range(3)})
+
+    near, far = F.lit(0.0), F.lit(0.0)
+    for a in AXES:
+        gap = F.greatest(F.lit(0.0), F.col(f"plo{a}") - F.col(f"ahi{a}"), F.col(f"alo{a}") - F.col(f"phi{a}"))
+        wide = F.greatest(F.abs(F.col(f"ahi{a}") - F.col(f"plo{a}")), F.abs(F.col(f"phi{a}") - F.col(f"alo{a}")))
+        near, far = near + gap * gap, far + wide * wide
+    own, met = [f"a{k}" for k in range(3)], [f"p{k}" for k in range(3)]
+    pruned = None
+    for level in range(levels + 1):
+        if pruned is None:
+            both = at(level, 0).join(at(level, 1), list(keys))
+        else:
+            both = pruned.join(at(level, 0), [*keys, *(f"_a{k}" for k in range(3))]).join(at(level, 1), [*keys, *(f"_p{k}" for k in range(3))])
+        least = F.min(far).over(Window.partitionBy(*keys, *own))
+        left = both.withColumn("_bound", least).filter(near <= F.col("_bound") * (1 + 1e-12)).select(*keys, *own, *met)
+        pruned = left.select(*keys, *(F.col(c).alias(f"_{c}") for c in (*own, *met)))
+    asked = sides[0].withColumnsRenamed({c: f"_a{k}" for k, c in enumerate(cell)})
+    given = sides[1].withColumnsRenamed({c: f"_p{k}" for k, c in enumerate(cell)}).join(pruned, [*keys, *(f"_p{k}" for k in range(3))])
+    groups = [*keys, *(f"_a{k}" for k in range(3))]
+    given = given.select(*(F.col(c).alias(f"{c}_") for c in groups), *(F.col(a).alias(f"{a}_") for a in AXES))
+    types = dict(shell.dtypes)
+
+    def closest(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        a, b = (np.stack([t.column(c + end).to_numpy() for c in AXES], 1).astype(float).reshape(-1, 3) for t, end in ((mine, ""), (theirs, "_")))
+        best = np.full(len(a), np.inf)
+        for k in range(0, len(b), 1024):
+            part = b[k : k + 1024]
+            step = max(TOGETHER // len(part), 1)
+            for n in range(0, len(a), step):
+                d = a[n : n + step, None, :] - part[None, :, :]
+                best[n : n + step] = np.minimum(best[n : n + step], (d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]).min(1))
+        return pa.table({k: mine.column(k) for k in (*keys, "atom_id")} | {"distance": np.sqrt(best)})
+
+    grouped = asked.groupBy(*groups).cogroup(given.groupBy(*(f"{c}_" for c in groups)))
+    found = grouped.applyInArrow(closest, ", ".join([*(f"`{k}` {types[k]}" for k in (*keys, "atom_id")), "distance double"]))
+    return shell.select(*keys, "atom_id").join(found, [*keys, "atom_id"], "left").withColumn("distance", F.coalesce("distance", F.lit(float("inf"))))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, dot, lattice_image, lattice_parameters, triclinic_image
+from ..sources.shared import stored
 from .neighbors import Box, nearest, pairs, partner_distances
 
 DENSITY = 1.6605  # amu / angstrom^3 in g / cm^3, as rounded by convention
@@ -177,7 +178,7 @@ def remove_orphans(before: DataFrame, after: DataFrame, center: Sequence[float],
     for kind, other, n in ((oxygen, hydrogen, want_o), (hydrogen, oxygen, want_h)):
         rest = frame.filter(F.col("type") == other).join(gone, "atom_id", "left_anti")
         far = partner_distances(shell.filter(F.col("type") == kind), rest, width)
-        order = far.orderBy(F.desc("distance"), "atom_id").limit(int(n)).select("atom_id").persist()
+        order = stored(far.orderBy(F.desc("distance"), "atom_id").limit(int(n)).select("atom_id"))
         gone = gone.unionByName(order)
         taken.append(far)
     tags = taken[0].unionByName(taken[1]).join(gone.withColumn("tag", F.lit("DELETE")), "atom_id", "left").withColumn("tag", F.coalesce("tag", F.lit("KEEP")))
@@ -190,25 +191,42 @@ def free_atoms(atoms: DataFrame, cutoff: float, box: Box, periodic: Sequence[boo
     return atoms.select("frame", "atom_id").join(near.select("frame", F.col("i").alias("atom_id")).distinct(), ["frame", "atom_id"], "left_anti")
 
 
-def repair_edges(atoms: DataFrame, cutoff: float, box: Sequence[float], axis: str = "z", pad: float = 1.0) -> DataFrame:
-    """Atoms at a broken periodic face brought back to their neighbours, in a refitted box.
+def repair_edges(
+    atoms: DataFrame, cutoff: float, box: Sequence[float], axis: str = "z", pad: float = 1.0, surface: float | None = None, spare_free: bool = True, refitted: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """(structure, report): atoms at a broken periodic face brought back to their neighbours, and checks of each frame.
 
-    Atoms that are free without periodicity along the axis, but not with it, are moved by a box length: those of the
-    lower half up; then, with what is still free, those of the upper half down. An atom that is shifted twice, or left
-    free, is an error.
+    Atoms that have no neighbour without periodicity along the axis are moved by a box length: first those of the lower
+    half, and no farther than `surface` from the face if given, up; then, of what is free after that, those of the upper
+    half down. With spare_free, atoms that are free in the periodic box too stay where they are. With refitted, the atoms
+    are moved along so that the box begins at 0 and leaves `pad` at both ends; lx, ly, lz are the box's lengths.
+
+    report: (frame, moved_up, moved_down, new_free, moved_twice, low, high, ok). new_free: atoms that are free in the
+    repaired structure and weren't in the periodic one; moved_twice: atoms moved up that would be moved down again, and
+    aren't; low and high: what is left between the atoms and the box's faces along the axis. A frame is ok if it has
+    neither new free atoms nor such that would be moved twice, and both ends are open. Frames without moves have a row too.
     """
     k = AXES.index(axis)
     open_ = [j != k for j in range(3)]
-    lost = free_atoms(atoms, cutoff, box, (True, True, True))
-    out = atoms.withColumn("moved", F.lit(0))
-    for sign, half in ((1, F.col(axis) < box[k] / 2), (-1, F.col(axis) >= box[k] / 2)):
-        free = free_atoms(out, cutoff, [b if j != k else 3 * b for j, b in enumerate(box)], open_).join(lost, ["frame", "atom_id"], "left_anti").withColumn("free", F.lit(True))
-        joined = out.join(free, ["frame", "atom_id"], "left")
-        chosen = F.coalesce("free", F.lit(False)) & half
-        out = joined.withColumn("moved", F.col("moved") + chosen.cast("int")).withColumn(axis, F.col(axis) + F.when(chosen, sign * float(box[k])).otherwise(0.0)).drop("free")
-    if out.filter("moved > 1").limit(1).count():
-        raise ValueError("an atom was moved twice")
-    return refit(out.drop("moved"), pad)
+    size = float(box[k])
+    free = lambda a, periodic: free_atoms(a, cutoff, box, periodic)
+    lost = free(atoms, (True, True, True)) if spare_free else atoms.select("frame", "atom_id").limit(0)
+    mark = lambda a, ids, name: a.join(ids.withColumn(name, F.lit(True)), ["frame", "atom_id"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    near_low = F.lit(True) if surface is None else F.col(axis) <= surface
+    near_high = F.lit(True) if surface is None else F.col(axis) >= size - surface
+    first = mark(mark(atoms, lost, "_lost"), free(atoms, open_), "_free")
+    up = F.col("_free") & ~F.col("_lost") & (F.col(axis) <= size / 2) & near_low
+    out = stored(first.withColumn("_up", up).withColumn(axis, F.col(axis) + F.when(F.col("_up"), size).otherwise(0.0)).drop("_free"))
+    again = mark(out, free(out, open_), "_free").withColumn("_high", F.col("_free") & ~F.col("_lost") & (F.col(axis) > size / 2) & near_high)
+    again = again.withColumn("_down", F.col("_high") & ~F.col("_up")).withColumn("_twice", F.col("_high") & F.col("_up"))
+    out = stored(again.withColumn(axis, F.col(axis) - F.when(F.col("_down"), size).otherwise(0.0)).drop("_free", "_high"))
+    done = mark(out, free(out, open_), "_free").withColumn("_new", F.col("_free") & ~F.col("_lost"))
+    marks = ("_up", "_down", "_new", "_twice")
+    ends = [F.min(axis), F.lit(size) - F.max(axis)]
+    counts = done.groupBy("frame").agg(*(F.count_if(c).alias(n) for c, n in zip(marks, ("moved_up", "moved_down", "new_free", "moved_twice"), strict=True)), *(F.lit(float(pad)).alias(n) if refitted else e.alias(n) for n, e in zip(("low", "high"), ends, strict=True)))
+    report = counts.withColumn("ok", (F.col("new_free") == 0) & (F.col("moved_twice") == 0) & (F.col("low") > 0) & (F.col("high") > 0))
+    whole = out.drop("_lost", *(c for c in marks if c in out.columns))
+    return (refit(whole, pad) if refitted else whole.withColumns({f"l{a}": F.lit(float(b)) for a, b in zip(AXES, box, strict=True)})), report
 
 
 def renumbered(atoms: DataFrame, order: str = "atom_id", block: int = 1 << 20) -> DataFrame:

@@ -12,12 +12,12 @@ from ..operators import bands as bd
 from ..operators import checks, dynamics, series, structure, tables, voxels
 from ..operators import distributions as dist
 from ..operators.neighbors import nearest, pairs, symmetric
+from ..sources.shared import scratch
 from ..sources import dumps
 from ..streaming import jobs
 from .fields import BIN, FIELDS, PHYSICS, WINDOW, fields, shown
 from .fields import T as nudged
 from .fields import ORACLE_SQL as FIELD_SQL
-from .files import scratch
 from .motion import CHARGE, DT, LAG, LENGTH, NEAR, STEP, B, C, T
 from .spatial import AT, BOX, CUTOFFS, MASS_SQL, PR, L, R, angle_sql, mass
 from .views import BANDS_DUCK, DIPOLES, FRAMES, RESULTS, atoms, bands, dipoles, duck, read, traj, view
@@ -165,10 +165,47 @@ def open_faces(spark, sf):
     a = atoms(spark, sf)
     there = structure.free_atoms(a, 1.2, BOX, (True, True, False)).withColumn("z_open", F.lit(True))
     lost = structure.free_atoms(a, 1.2, BOX, (True, True, True)).withColumn("lost", F.lit(True))
-    both = there.intersect(there).join(lost, ["frame", "atom_id"], "left")
+    both = there.join(lost, ["frame", "atom_id"], "left")
     return both.groupBy("frame").agg(F.count("*").alias("free"), F.count("lost").alias("lost"), F.count_if(F.col("lost").isNull()).alias("mended"))
 
 
+#: Of each way to repair: cutoff, distance from the face, whether atoms free in the periodic box stay, whether the box is refitted.
+REPAIRS = {"spared": (1.8, None, True, True), "near": (1.8, 1.5, True, False), "forced": (1.2, 2.5, False, False)}
+
+
+def edge_repairs(spark, sf):
+    """Faces along z repaired in three ways; each frame's checks."""
+    a, out = atoms(spark, sf), None
+    for way, (cutoff, surface, spare, refit) in REPAIRS.items():
+        _, report = structure.repair_edges(a, cutoff, BOX, surface=surface, spare_free=spare, refitted=refit)
+        rows = report.select(F.lit(way).alias("way"), "frame", "moved_up", "moved_down", "new_free", "moved_twice", R("low").alias("low"), R("high").alias("high"), "ok")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def repaired_edges(spark, sf):
+    """Where the repaired atoms lie in their refitted box."""
+    whole, _ = structure.repair_edges(atoms(spark, sf), 1.8, BOX)
+    return whole.select("frame", "atom_id", *(R(c).alias(c) for c in ("x", "y", "z", "lz")))
+
+
+def repair_sql(way):
+    """Names of the steps of one way to repair, as subqueries."""
+    cutoff, surface, spare, refit = REPAIRS[way]
+    wrap = lambda d: f"({d}) - {L}e0*floor(({d})/{L}e0 + 0.5e0)"
+    met = lambda t, z: f"exists (select 1 from {t} b where b.frame = a.frame and b.atom_id <> a.atom_id and sqrt(pow({wrap('b.x - a.x')}, 2) + pow({wrap('b.y - a.y')}, 2) + pow({z}, 2)) <= {cutoff}e0)"
+    lost = f"not {met('atoms', wrap('b.z - a.z'))}" if spare else "false"
+    low, high = ("true", "true") if surface is None else (f"z <= {surface}e0", f"z >= {L}e0 - {surface}e0")
+    half = f"{L / 2!r}"
+    return f"""{way}0 as materialized (select frame, atom_id, x, y, z, {lost} as lost, not {met("atoms", "b.z - a.z")} as free from atoms a),
+        {way}1 as materialized (select * exclude (z), (free and not lost and z <= {half} and {low}) as up, case when free and not lost and z <= {half} and {low} then z + {L}e0 else z end as z from {way}0),
+        {way}2 as materialized (select *, (not {met(f"{way}1", "b.z - a.z")} and not lost and z > {half} and {high}) as high from {way}1 a),
+        {way}3 as materialized (select * exclude (z), (high and not up) as down, (high and up) as twice, case when high and not up then z - {L}e0 else z end as z from {way}2),
+        {way}4 as materialized (select *, not {met(f"{way}3", "b.z - a.z")} and not lost as fresh from {way}3 a),
+        {way} as (select '{way}' as way, frame, count(*) filter (up) as moved_up, count(*) filter (down) as moved_down, count(*) filter (fresh) as new_free, count(*) filter (twice) as moved_twice,
+          {"1e0" if refit else "min(z)"} as lo, {"1e0" if refit else f"{L}e0 - max(z)"} as hi from {way}4 group by frame)"""
+
+
 def charge_dipoles(spark, sf):
     t = traj(spark, sf).withColumns({f"i{a}": ((F.col("atom_id") * p + F.col("frame")) % 3 - 1).cast("int") for a, p in zip(XYZ, (1, 5, 7), strict=True)})
     charge = F.coalesce(*(F.when(F.col("type") == k, F.lit(v)) for k, v in CHARGE.items()))
@@ -259,7 +296,7 @@ LONGEST, SHORTEST = pair_values("O-Si:2.8;H-O:2.0;H-H:2.4"), pair_values("Si-O:0
 def argued_angles(spark, sf):
     """Angles whose triplets and cutoffs come as one string."""
     plans = triplets(ARGUMENT, LONGEST, SHORTEST, NAMES)
-    return dist.angle_distribution(dist.angles(pairs(atoms(spark, sf), 3.2, BOX), plans), 10.0).select("label", "bin", "n", R("p").alias("p"))
+    return dist.binned_angles(dist.angle_bins(atoms(spark, sf), plans, 10.0, BOX), 10.0).select("label", "bin", "n", R("p").alias("p"))
 
 
 def pair_strings(spark, sf):
@@ -382,7 +419,7 @@ def averaged_by_name(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     region_predicate, frozen_flags, lattice_images, triclinic_images, wrapped_positions, edge_shift, refitted, carved, mirrored_motion, lattice_measures, cell_changes, visible_voxels, adjacency, structure_compare,
-    mass_center_shift, most_displaced, stoichiometry, orphan_candidates, open_faces, charge_dipoles, lone_hydrogens, dielectric_by_temperature, hbond_outer_angles, neighbour_counts, rot_corr_many, msd_strict,
+    mass_center_shift, most_displaced, stoichiometry, orphan_candidates, open_faces, edge_repairs, repaired_edges, charge_dipoles, lone_hydrogens, dielectric_by_temperature, hbond_outer_angles, neighbour_counts, rot_corr_many, msd_strict,
     vdos_units, vdos_phonon, current_spectrum, sqw_table, argued_angles, pair_strings, box_edges, band_region_sets, all_uploaded, latest_feedback, insert_absent, dense_frames, file_names, requirement_lists,
     stream_sliding, stream_cumulative, stream_hybrid, stream_upserts, stream_windows, averaged_by_name,
 )}
@@ -448,6 +485,10 @@ ORACLE_SQL = {
         select case when gone then 'DELETE' else 'KEEP' end as tag, count(*) as n, round(sum(distance), 3) + 0e0 as distance from (select * from o union all select * from h) group by 1""",
     "open_faces": f"""with {AT}, o as ({FREE("b.z - a.z")}), w as ({FREE(f"b.z - a.z - {L}e0*floor((b.z - a.z)/{L}e0 + 0.5e0)")})
         select o.frame, count(*) as free, count(w.atom_id) as lost, count(*) - count(w.atom_id) as mended from o left join w using (frame, atom_id) group by o.frame""",
+    "edge_repairs": f"""with {AT}, {", ".join(repair_sql(w) for w in REPAIRS)}, every as ({" union all ".join(f"select * from {w}" for w in REPAIRS)})
+        select way, frame, moved_up, moved_down, new_free, moved_twice, round(lo, 5) + 0e0 as low, round(hi, 5) + 0e0 as high, (new_free = 0 and moved_twice = 0 and lo > 0 and hi > 0) as ok from every""",
+    "repaired_edges": f"""with {AT}, {repair_sql("spared")}, e as (select frame, min(x) as x0, min(y) as y0, min(z) as z0, max(z) as z1 from spared3 group by frame)
+        select frame, atom_id, round(x - x0 + 1e0, 5) + 0e0 as x, round(y - y0 + 1e0, 5) + 0e0 as y, round(z - z0 + 1e0, 5) + 0e0 as z, round(z1 - z0 + 2e0, 5) + 0e0 as lz from spared3 join e using (frame)""",
     "charge_dipoles": f"with {T} select frame, " + ", ".join(f"round(sum((case type when 1 then 2.4e0 when 2 then -1.2e0 else 0.6e0 end)*({a} + ((atom_id*{p} + frame) % 3 - 1)*20e0)), 2) + 0e0 as m{a}" for a, p in zip(XYZ, (1, 5, 7), strict=True)) + " from traj group by frame",
     "lone_hydrogens": f"""with {PR}, k as (select frame, j, row_number() over (partition by frame, i order by r, j) as rank from pr where type_i = 2 and type_j = 3 and r < 3e0)
         select frame, count(*) as n, min(atom_id) as first from atoms where type = 3 and (frame, atom_id) not in (select frame, j from k where rank <= 2) group by frame""",

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import distributions as dist
 from ..operators import structure
-from ..operators.neighbors import pairs
+from ..operators.ranks import ranked
+from ..operators.neighbors import pair_bins, pairs
 from ..sources import dumps, texts
 from ..sources.lines import lines
 from ..sources.shared import scratch
@@ -75,14 +76,18 @@ def xyz_roundtrip(spark, sf):
     return shown(back.join(frames.select("path", R(F.get("lattice", F.lit(0)), 4).alias("edge")), "path"), "atom_id", "element", "edge")
 
 
+def sorted_lines(rows, keys, order, value):
+    """(keys, value): lines for writing, each group whole and in order in one file, without ever being one row."""
+    return rows.select(*keys, order.alias("_at"), value.alias("value")).repartition(*keys).sortWithinPartitions(*keys, "_at").drop("_at")
+
+
 def xyz_steps(spark, sf):
-    """The trajectory as one XYZ text with time steps in its comments, a fixed box, and a broken last frame."""
+    """The trajectory as XYZ texts of many frames with time steps in their comments, a fixed box, and a broken last frame."""
     own, path = dumps.with_elements(traj(spark, sf), "1=Si,2=O,3=H"), scratch(spark)
-    body = told(own, ["frame"], F.col("atom_id"), F.concat_ws(" ", "element", *(F.col(a).cast("string") for a in "xyz")))
-    counted = own.groupBy("frame").agg(F.count("*").alias("n"))
-    frames = body.join(counted, "frame").select(F.lit(0).alias("file"), "frame", F.concat_ws("\n", F.col("n").cast("string"), F.format_string("Atoms. Timestep: %d", F.col("frame") * 5), "value").alias("line"))
-    broken = spark.range(1).select(F.lit(0).alias("file"), F.lit(1000).alias("frame"), F.lit("99\nAtoms. Timestep: 9999\nH 0 0 0").alias("line"))
-    told(frames.unionByName(broken), ["file"], F.col("frame"), F.col("line")).select("value").write.text(path)
+    body = own.select("frame", F.col("atom_id").cast("bigint").alias("at"), F.concat_ws(" ", "element", *(F.col(a).cast("string") for a in "xyz")).alias("line"))
+    heads = own.groupBy("frame").agg(F.count("*").alias("n")).select("frame", F.lit(-1).cast("bigint").alias("at"), F.concat_ws("\n", F.col("n").cast("string"), F.format_string("Atoms. Timestep: %d", F.col("frame") * 5)).alias("line"))
+    sorted_lines(heads.unionByName(body), ["frame"], F.col("at"), F.col("line")).select("value").write.text(path)
+    spark.sql("select '99\nAtoms. Timestep: 9999\nH 0 0 0' as value").write.mode("append").text(path)
     found, back = dumps.read_xyz(spark, path, box=(TRAJ_BOX,) * 3)
     return back.groupBy("timestep", "element").agg(F.count("*").alias("n"), R(F.sum("x"), 3).alias("x")).join(found.select("timestep", F.get("lattice", F.lit(2)).alias("edge")), "timestep")
 
@@ -122,7 +127,7 @@ def thermo_logs(spark, sf):
     runs = rows.select("traj_id", run.alias("run")).distinct()
     edge = lambda n, text: runs.select("traj_id", (F.col("run") * 100 + n).alias("n"), F.lit(text).alias("value"))
     every = body.unionByName(edge(0, "Step Mx My")).unionByName(edge(98, "Loop time of 1")).unionByName(edge(99, "12 13 14"))
-    told(every, ["traj_id"], F.col("n"), F.col("value")).write.partitionBy("traj_id").text(path)
+    sorted_lines(every, ["traj_id"], F.col("n"), F.col("value")).write.partitionBy("traj_id").text(path)
     found = texts.thermo(spark, path, ["Step", "Mx", "Lost"]).withColumn("traj_id", F.regexp_extract("path", r"traj_id=(\d+)", 1).cast("bigint"))
     return found.groupBy("traj_id", "section").agg(F.count("*").alias("n"), F.max("Step").cast("bigint").alias("last"), R(F.avg("Mx"), 4).alias("mx"), F.count("Lost").alias("lost"))
 
@@ -213,21 +218,18 @@ def id_selections(spark, sf):
 
 def third_column(spark, sf):
     """Lines sorted by their third number, short ones left out; each line's place is told."""
-    from pyspark.sql import Window
-
     path = scratch(spark)
-    p = read(spark, sf, "part")["part"]
     k = F.col("p_partkey")
-    p.coalesce(1).sortWithinPartitions("p_partkey").select(F.when(k % 6 == 0, F.concat(k.cast("string"), F.lit(" short"))).otherwise(F.concat_ws(" ", k.cast("string"), F.lit("a"), ((k * 7919) % 1009 / 10).cast("string"))).alias("value")).write.text(path)
-    found = texts.by_third_column(lines(spark, path))
-    return found.select(F.split("value", " ")[0].cast("bigint").alias("id"), F.row_number().over(Window.orderBy(F.desc("third"), "n")).alias("place"), R("third", 2).alias("third"))
+    line = F.when(k % 6 == 0, F.concat(k.cast("string"), F.lit(" short"))).otherwise(F.concat_ws(" ", k.cast("string"), F.lit("a"), ((k * 7919) % 1009 / 10).cast("string")))
+    read(spark, sf, "part")["part"].select(line.alias("value")).write.text(path)
+    found = texts.by_third_column(lines(spark, path)).withColumn("id", F.split("value", " ")[0].cast("bigint"))
+    return ranked(found, [F.desc("third"), "id"], "place").select("id", F.col("place").cast("int").alias("place"), R("third", 2).alias("third"))
 
 
 def last_frames_rdf(spark, sf):
     """g(r) and angles of the last frames alone, curves of unit sum."""
     a = dist.last_frames(atoms(spark, sf), 2)
-    near = pairs(a, 3.0, BOX)
-    g = dist.partial_rdf(dist.pair_histogram(near, 0.5), dist.composition(a), ATOM_BOX**3, 0.5)
+    g = dist.partial_rdf(pair_bins(a, 3.0, 0.5, BOX), dist.composition(a), ATOM_BOX**3, 0.5)
     return dist.unit_sum(g, "g", ["type_i", "type_j"]).select("type_i", "type_j", "bin", "n", R("g").alias("g"))
 
 

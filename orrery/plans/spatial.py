@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import distributions as dist
 from ..operators import structure, voxels
-from ..operators.neighbors import bonds, nearest, pairs, partner_distances
+from ..operators.neighbors import bonds, heights, nearest, pair_bins, pairs, partner_distances
 from .views import ATOM_BOX, ATOMS, atoms, duck
 
 L, REACH, WIDTH = ATOM_BOX, 5.0, 0.5
@@ -55,7 +55,7 @@ DENSITY = 500 / VOLUME
 
 
 def histogram(spark, sf):
-    return dist.pair_histogram(near(spark, sf), WIDTH)
+    return pair_bins(atoms(spark, sf), REACH, WIDTH, BOX)
 
 
 def partial(spark, sf, **options):
@@ -97,12 +97,12 @@ PLANS = [dist.Triplet("O-Si-O", 1, 2, 2, (0.0, 3.0), (0.0, 3.0)), dist.Triplet("
 
 
 def bond_angles(spark, sf):
-    return dist.angle_distribution(dist.angles(near(spark, sf, 3.2), PLANS), 10.0).select("label", "bin", "n", R("p").alias("p"))
+    return dist.binned_angles(dist.angle_bins(atoms(spark, sf), PLANS, 10.0, BOX), 10.0).select("label", "bin", "n", R("p").alias("p"))
 
 
 def angle_sweep(spark, sf):
     plans = dist.default_triplets([1, 2, 3], CUTOFFS)
-    return dist.angle_distribution(dist.angles(near(spark, sf, 3.0), plans), 10.0, norm="sum").select("label", "bin", "n", R("p").alias("p"))
+    return dist.binned_angles(dist.angle_bins(atoms(spark, sf), plans, 10.0, BOX), 10.0, norm="sum").select("label", "bin", "n", R("p").alias("p"))
 
 
 def angle_sql(plans, reach, norm):
@@ -161,6 +161,23 @@ def crossing_bonds(spark, sf):
     return structure.crossing_bonds(plain, (L, L, L, 0.0, 0.0, 0.0), (L * L,) * 3).select("frame", "face", "pair", "n", R("per_area", 6).alias("per_area"))
 
 
+#: xy, xz, yz of a tilted cell, more than a third of its edges.
+TILT = (7.25, -3.5, 8.75)
+
+
+def tilted_crossings(spark, sf):
+    """Bonds across the faces of a tilted cell, by images along its vectors."""
+    half = bonds(atoms(spark, sf), CUTOFFS, BOX, half=True, carry=("x", "y", "z"), tilt=TILT)
+    plain = half.select("frame", "type_i", "type_j", *((F.col(f"{a}_j") - F.col(f"{a}_i")).alias(f"r{a}") for a in "xyz"))
+    areas = [VOLUME / h for h in heights(BOX, TILT)]
+    return structure.crossing_bonds(plain, (*BOX, *TILT), areas).select("frame", "face", "pair", "n", R("per_area", 6).alias("per_area"))
+
+
+def tilted_rdf(spark, sf):
+    """Pairs by distance in the tilted cell."""
+    return pair_bins(atoms(spark, sf), 4.0, WIDTH, BOX, tilt=TILT)
+
+
 def silanols(spark, sf):
     return structure.silanol(atoms(spark, sf), BOX, 2.6, 2.2, pad=0.5, surface=6.0)
 
@@ -210,10 +227,21 @@ def nearest_three(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     pair_counts, rdf_partial, coordination_cn, rdf_total_neutron, concentrations, explicit_images, bond_angles, angle_sweep, sq_from_gr, xray_sq, debye_sq, reciprocal_sq, knn2_dipole, hydronium_slabs,
-    nearest_partner, crossing_bonds, silanol_counts, count_stats, bbox_subset, region_density, mirror, rotate, shortest_distances, coordination_zero, nearest_three,
+    nearest_partner, crossing_bonds, tilted_crossings, tilted_rdf, silanol_counts, count_stats, bbox_subset, region_density, mirror, rotate, shortest_distances, coordination_zero, nearest_three,
 )}
 
+#: The nearest image of each pair in the tilted cell: along c first, then b, then a, which is right up to half the least height.
+TILTED = f"""{AT}, t0 as (select a.frame, a.atom_id as i, b.atom_id as j, a.type as type_i, b.type as type_j, b.x - a.x as x, b.y - a.y as y, b.z - a.z as z from atoms a join atoms b on a.frame = b.frame and a.atom_id <> b.atom_id),
+  t1 as (select *, floor(z/{LEN} + 0.5e0) as nz from t0), t2 as (select *, floor((y - nz*({TILT[2]}e0))/{LEN} + 0.5e0) as ny from t1), t3 as (select *, floor((x - nz*({TILT[1]}e0) - ny*({TILT[0]}e0))/{LEN} + 0.5e0) as nx from t2),
+  tp as (select frame, i, j, type_i, type_j, nx, ny, nz, sqrt(pow(x - nz*({TILT[1]}e0) - ny*({TILT[0]}e0) - nx*{LEN}, 2) + pow(y - nz*({TILT[2]}e0) - ny*{LEN}, 2) + pow(z - nz*{LEN}, 2)) as r from t3)"""
+
 ORACLE_SQL = {
+    "tilted_rdf": f"with {TILTED} select type_i, type_j, cast(floor(r/{WIDTH}e0) as int) as bin, count(*) as n from tp where r <= 4e0 group by all",
+    "tilted_crossings": f"""with {TILTED}, cut(a, b, c) as (values {", ".join(f"({a}, {b}, {c}e0)" for (a, b), c in CUTOFFS.items())}),
+        bd as (select tp.* from tp join cut on least(type_i, type_j) = cut.a and greatest(type_i, type_j) = cut.b and r < c and i < j),
+        f as (select frame, type_i, type_j, 'x' as face, abs(nx) as k, {VOLUME / heights(BOX, TILT)[0]!r} as area from bd union all select frame, type_i, type_j, 'y', abs(ny), {VOLUME / heights(BOX, TILT)[1]!r} from bd
+          union all select frame, type_i, type_j, 'z', abs(nz), {VOLUME / heights(BOX, TILT)[2]!r} from bd)
+        select frame, face, least(type_i, type_j)::varchar || '-' || greatest(type_i, type_j)::varchar as pair, cast(sum(k) as bigint) as n, round(sum(k)/any_value(area), 6) + 0e0 as per_area from f where k > 0 group by frame, face, least(type_i, type_j), greatest(type_i, type_j)""",
     "pair_counts": f"with {HIST} select type_i, type_j, bin, n from hist",
     "rdf_partial": f"with {HIST} select type_i, type_j, bin, n, round(g, 5) + 0e0 as g, round(cn, 5) + 0e0 as cn from gr",
     "coordination_cn": f"""with {HIST} select type_i, type_j, bin, round((bin + 1)*{WIDTH}e0, 5) + 0e0 as r,

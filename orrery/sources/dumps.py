@@ -300,8 +300,10 @@ def resolved(atoms: DataFrame, species: DataFrame) -> DataFrame:
 
 
 def numbered(frames: DataFrame, by: Sequence[str] = ("traj_id",), order: str = "timestep") -> DataFrame:
-    """Adds frame, 0, 1, ... in each trajectory."""
-    return frames.withColumn("frame", (F.dense_rank().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("int"))
+    """Adds frame, 0, 1, ... in each trajectory, whatever its length."""
+    from ..operators.ranks import dense
+
+    return dense(frames, by, order, "frame")
 
 
 def window(df: DataFrame, start: int | None = None, end: int | None = None, stride: int = 1, most: int | None = None, column: str = "frame") -> DataFrame:

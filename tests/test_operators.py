@@ -174,10 +174,27 @@ def test_transforms_and_refit(spark, cubic):
         structure.subset(cubic, (1, 1, 1), (0, 2, 2))
 
 
+def repaired(spark, rows, **options):
+    whole, report = structure.repair_edges(spark.createDataFrame(rows, ATOM), 1.2, (10.0, 10.0, 10.0), **options)
+    return {r["atom_id"]: r["z"] for r in whole.collect()}, {r["frame"]: r for r in report.collect()}
+
+
 def test_edge_repair(spark):
     rows = [(0, k, 1, 5.0, 5.0, 4.0 + k) for k in range(5)] + [(0, 9, 1, 5.0, 5.0, 0.2), (0, 10, 1, 5.0, 5.0, 9.1), (0, 11, 1, 1.0, 1.0, 1.0)]
-    out = {r["atom_id"]: r["z"] for r in structure.repair_edges(spark.createDataFrame(rows, ATOM), 1.2, (10.0, 10.0, 10.0)).collect()}
+    out, report = repaired(spark, rows)
     assert abs(out[9] - out[10] - 1.1) < 1e-9
+    assert report[0].asDict() == {"frame": 0, "moved_up": 1, "moved_down": 0, "new_free": 0, "moved_twice": 0, "low": 1.0, "high": 1.0, "ok": True}
+
+
+def test_each_check_of_edge_repair_fails(spark):
+    """A frame each: atoms that stay free, one that would be moved twice, and one that ends beyond a face."""
+    body = [(f, k, 1, 5.0, 5.0, 4.0 + k) for f in range(3) for k in range(5)]
+    deep = [(0, 22, 1, 2.0, 2.0, 0.6), (0, 23, 1, 2.0, 2.0, 9.45)]
+    alone, beyond = [(1, 24, 1, 1.0, 1.0, 1.0)], [(2, 25, 1, 5.0, 5.0, 9.0), (2, 26, 1, 5.0, 5.0, 0.1)]
+    _, spared = repaired(spark, body + deep + alone + beyond, surface=0.5, refitted=False)
+    assert spared[0]["new_free"] == 2 and not spared[0]["ok"] and spared[1]["ok"] and spared[2]["high"] < 0 and not spared[2]["ok"]
+    _, every = repaired(spark, body + alone, spare_free=False)
+    assert every[1]["moved_twice"] == 1 and every[1]["new_free"] == 1 and not every[1]["ok"] and every[0]["ok"]
 
 
 def test_orphans_are_removed(spark):

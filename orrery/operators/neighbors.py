@@ -208,14 +208,15 @@ class Blocks:
 
 def pairs(
     atoms: DataFrame, r_max: float, box: Box, r_min: float = 0.0, origin: Box = (0.0, 0.0, 0.0), periodic: Sequence[bool] = (True, True, True),
-    images: str = "minimum", keys: Sequence[str] = ("frame",), center: Column | None = None, wing: Column | None = None, carry: Sequence[str] = ("type",), half: bool = False, tilt: Box | None = None,
+    images: str = "minimum", keys: Sequence[str] = ("frame",), center: Column | None = None, wing: Column | None = None, carry: Sequence[str] = ("type",), half: bool = False, tilt: Box | None = None, most: int | None = None,
 ) -> DataFrame:
     """Ordered pairs (keys, i, j, <carry>_i, <carry>_j, dx, dy, dz, r) with r_min <= r <= r_max; the vector goes from i to j.
 
     images="minimum" takes the nearest image of each pair, and half of every periodic edge must hold r_max. "explicit"
     takes every image within r_max, which may reach the length of the box. `center` and `wing` choose atoms for the two
     sides; `half` keeps i < j only. Atoms with a null coordinate have no neighbours. tilt (xy, xz, yz) makes the box a
-    tilted one, however far; then the separations of its faces count instead of its edges.
+    tilted one, however far; then the separations of its faces count instead of its edges. most keeps that many nearest
+    neighbours of each center alone, ties to smaller ids, before anything leaves the block.
 
     Atoms are shuffled once, by frame and block of space; those near a block's faces go to its neighbours too. Within a
     block sorted cells give the candidates, so neither a frame nor its pairs are ever compared as a whole.
@@ -227,6 +228,10 @@ def pairs(
 
     def met(block: pa.Table) -> pa.Table:
         i, j, d, r = search.near(block)
+        if most is not None:
+            order = np.lexsort((block.column("atom_id").to_numpy()[j], r, i))
+            order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order]) < most]
+            i, j, d, r = i[order], j[order], d[order], r[order]
         out = {k: block.column(k).take(i) for k in keys} | {"i": block.column("atom_id").take(i), "j": block.column("atom_id").take(j)}
         out |= {f"{c}_{s}": block.column(c).take(x) for c in carry for s, x in (("i", i), ("j", j))}
         return pa.table(out | {f"d{a}": np.ascontiguousarray(d[:, k]) for k, a in enumerate(AXES)} | {"r": r})

@@ -251,7 +251,7 @@ def cell_changes(before: Sequence[Column], after: Sequence[Column]) -> dict[str,
 def molecule_dipoles(atoms: DataFrame, box: Box, reach: float, charge: float, oxygen: int = 2, hydrogen: int = 3) -> DataFrame:
     """(frame, mx, my, mz, formed, missing): each oxygen's two nearest hydrogens closer than `reach` make a molecule of
     dipole q ((O - H1) - (H2 - O)) by minimum images; oxygens with fewer are missing. Frames without oxygen have no row."""
-    near = nearest(pairs(atoms, reach, box, center=F.col("type") == oxygen, wing=F.col("type") == hydrogen).filter(F.col("r") < reach), 2)
+    near = nearest(pairs(atoms, reach, box, center=F.col("type") == oxygen, wing=F.col("type") == hydrogen, most=2).filter(F.col("r") < reach), 2)
     each = near.groupBy("frame", "i").agg(F.count("*").alias("n"), *(F.sum(f"d{a}").alias(a) for a in AXES))
     whole = atoms.filter(F.col("type") == oxygen).select("frame", F.col("atom_id").alias("i")).join(each, ["frame", "i"], "left")
     full = F.coalesce(F.col("n") == 2, F.lit(False))

@@ -12,15 +12,16 @@ from ..operators import bands as bd
 from ..operators import checks, dynamics, series, structure, tables, voxels
 from ..operators import distributions as dist
 from ..operators.neighbors import nearest, pairs, symmetric
-from ..sources.shared import scratch
 from ..sources import dumps
+from ..sources.shared import scratch
 from ..streaming import jobs
-from .fields import BIN, FIELDS, PHYSICS, WINDOW, fields, shown
+from .fields import BIN, FIELDS, PHYSICS, ROUNDED, SIZE, WINDOW, fields, shown
 from .fields import T as nudged
 from .fields import ORACLE_SQL as FIELD_SQL
+from .files import ORACLE_SQL as FILE_SQL
 from .motion import CHARGE, DT, LAG, LENGTH, NEAR, STEP, B, C, T
 from .spatial import AT, BOX, CUTOFFS, MASS_SQL, PR, L, R, angle_sql, mass
-from .views import BANDS_DUCK, DIPOLES, FRAMES, RESULTS, atoms, bands, dipoles, duck, read, traj, view
+from .views import BANDS_DUCK, DIPOLES, FRAMES, RESULTS, VOXEL_BOX, atoms, bands, dipoles, duck, read, traj, view, vox
 
 XYZ = ("x", "y", "z")
 
@@ -242,7 +243,7 @@ def neighbour_counts(spark, sf):
 
 def rot_corr_many(spark, sf):
     """Axes of oxygens with their four nearest hydrogens."""
-    near = nearest(pairs(traj(spark, sf), 4.0, (B, B, B), center=F.col("type") == 2, wing=F.col("type") == 3), 4)
+    near = nearest(pairs(traj(spark, sf), 4.0, (B, B, B), center=F.col("type") == 2, wing=F.col("type") == 3, most=4), 4)
     return dynamics.rotational(dynamics.molecule_axes(near), LENGTH, STEP, FRAMES).select("axis", "lag", R("c1", 4).alias("c1"), R("c2", 4).alias("c2"))
 
 
@@ -404,12 +405,41 @@ def stream_upserts(spark, sf):
 
 
 def stream_windows(spark, sf):
-    """Means over windows of simulated time, by event time with a watermark."""
+    """Means over windows of simulated time in append mode; samples that come after their window was closed are dropped.
+
+    The series arrive in three parts; then come late samples, one of each series, and a sample far ahead that closes all.
+    """
+    source, out, mark = (scratch(spark) for _ in range(3))
+    own = dipoles(spark, sf)
+    last = own.agg(F.max("step")).first()[0]
+    third = last // 3
+    late = own.filter("step < 16").withColumn("mx", F.col("mx") + 1e6)
+    ahead = own.filter("step = 16").limit(1).withColumns({"traj_id": F.lit(-1).cast("bigint"), "step": F.lit(last + 100000).cast("bigint")})
+    parts = [own.filter(F.col("step").between(k * third + (k > 0), (k + 1) * third if k < 2 else last)) for k in range(3)]
+    gone = 0
+    for part in [*parts, late, ahead, ahead.withColumn("step", F.col("step") + 1)]:
+        part.write.mode("append").parquet(source)
+        stream = jobs.windowed_steps(spark.readStream.schema(jobs.SAMPLE).parquet(source), 0.5, 100, 50)
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
+        query.awaitTermination()
+        gone += jobs.dropped(query)
+    found = spark.read.parquet(out).filter("traj_id >= 0")
+    return found.select("traj_id", (F.unix_timestamp(F.col("window")["start"]) / 100).cast("bigint").alias("at"), "n", R("mx", 4).alias("mx"), F.lit(gone).alias("dropped"))
+
+
+def stream_dump_voxels(spark, sf):
+    """Voxel fields of dump files that come into a folder in three steps, the query started again for each."""
     source, out, mark = (scratch(spark) for _ in range(3))
-    dipoles(spark, sf).write.parquet(source)
-    stream = jobs.windowed_steps(spark.readStream.schema(jobs.SAMPLE).parquet(source), 0.5, 100, 1_000_000)
-    stream.writeStream.outputMode("complete").foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("traj_id", (F.unix_timestamp(F.col("window")["start"]) / 100).cast("bigint").alias("at"), "n", R("mx", 4).alias("mx"))
+    own = vox(spark, sf)
+    columns = ("atom_id", "type", "x", "y", "z", "vx", "vy", "vz", "fx", "fy", "fz")
+    process = lambda a: voxels.voxel_fields(a.withColumnRenamed("timestep", "frame"), SIZE, VOXEL_BOX, mass()).withColumnRenamed("frame", "timestep")
+    edges = [F.lit(0.0).alias(f"{a}lo") for a in "xyz"] + [F.lit(v).alias(f"{a}hi") for a, v in zip("xyz", VOXEL_BOX, strict=True)]
+    for some in ("frame < 3", "frame = 3", "frame > 3"):
+        part = own.filter(some)
+        heads = part.select("frame").distinct().select("frame", F.col("frame").cast("bigint").alias("timestep"), *edges)
+        dumps.frame_text(part, heads, columns).select("value").write.mode("append").text(source)
+        jobs.stream_dumps(spark, source, out, mark, process, columns).awaitTermination()
+    return spark.read.parquet(out).select(F.col("timestep").cast("int").alias("frame"), "ix", "iy", "iz", "n", R("density", ROUNDED["density"]).alias("density"), "voxel_type")
 
 
 def averaged_by_name(spark, sf):
@@ -421,7 +451,7 @@ QUERIES = {f.__name__: f for f in (
     region_predicate, frozen_flags, lattice_images, triclinic_images, wrapped_positions, edge_shift, refitted, carved, mirrored_motion, lattice_measures, cell_changes, visible_voxels, adjacency, structure_compare,
     mass_center_shift, most_displaced, stoichiometry, orphan_candidates, open_faces, edge_repairs, repaired_edges, charge_dipoles, lone_hydrogens, dielectric_by_temperature, hbond_outer_angles, neighbour_counts, rot_corr_many, msd_strict,
     vdos_units, vdos_phonon, current_spectrum, sqw_table, argued_angles, pair_strings, box_edges, band_region_sets, all_uploaded, latest_feedback, insert_absent, dense_frames, file_names, requirement_lists,
-    stream_sliding, stream_cumulative, stream_hybrid, stream_upserts, stream_windows, averaged_by_name,
+    stream_sliding, stream_cumulative, stream_hybrid, stream_upserts, stream_windows, stream_dump_voxels, averaged_by_name,
 )}
 
 POS = "round(x, 5) + 0e0 as x, round(y, 5) + 0e0 as y, round(z, 5) + 0e0 as z"
@@ -535,6 +565,7 @@ ORACLE_SQL = {
     "stream_cumulative": STREAM("dipole_cumulative"),
     "stream_hybrid": STREAM("dipole_hybrid"),
     "stream_upserts": f"""with res as ({duck(RESULTS)}) select student, case when student::bigint % 6 = 0 then 'AGAIN2' when student::bigint % 5 = 0 then 'AGAIN1' else status end as status from res where requirement = 'quality'""",
-    "stream_windows": f"with {D} select traj_id, step // 200 as at, count(*) as n, round(avg(mx), 4) + 0e0 as mx from d group by 1, 2",
+    "stream_windows": f"with {D} select traj_id, step // 200 as at, count(*) as n, round(avg(mx), 4) + 0e0 as mx, 16 as dropped from d group by 1, 2",
+    "stream_dump_voxels": FILE_SQL["stream_voxels"],
     "averaged_by_name": f"select traj_id, step, epsilon from ({FIELD_SQL['dipole_binned']})",
 }

@@ -55,7 +55,7 @@ def current_corr(spark, sf):
 
 def rot_corr(spark, sf):
     """Axes of the molecules that an oxygen and its two nearest hydrogens make."""
-    near = pairs(traj(spark, sf), 3.0, (B, B, B), center=F.col("type") == 2, wing=F.col("type") == 3)
+    near = pairs(traj(spark, sf), 3.0, (B, B, B), center=F.col("type") == 2, wing=F.col("type") == 3, most=2)
     axes = dynamics.molecule_axes(nearest(near, 2))
     return dynamics.rotational(axes, LENGTH, STEP, FRAMES).select("axis", "lag", R("c1", 4).alias("c1"), R("c2", 4).alias("c2"))
 

@@ -8,7 +8,7 @@ from ..operators import distributions as dist
 from ..operators import structure
 from ..operators.ranks import ranked
 from ..operators.neighbors import pair_bins, pairs
-from ..sources import dumps, texts
+from ..sources import dumps, formats, texts
 from ..sources.lines import lines
 from ..sources.shared import scratch
 from .fields import energies
@@ -111,6 +111,22 @@ def frame_windows(spark, sf):
     return rows.groupBy("frame").agg(F.count("*").alias("n"), R(F.sum("vx"), 3).alias("vx"))
 
 
+def format_index(spark, sf):
+    """Frames of a dump and of an XYZ file by their format's index, the first two left out, beside atoms that a filter keeps."""
+    own, out = traj(spark, sf), None
+    named = dumps.with_elements(own, "1=Si,2=O,3=H")
+    cell = own.select("frame").distinct().select("frame", *(F.lit(v).alias(c) for c, v in (("a", TRAJ_BOX), ("b", TRAJ_BOX), ("c", TRAJ_BOX), ("alpha", 90.0), ("beta", 90.0), ("gamma", 90.0))))
+    for name, text in (("dump", dumps.frame_text(own, bounds(own, TRAJ_BOX, step=1), ("atom_id", "type", "x", "y", "z"))), ("xyz", dumps.frame_text(named, cell, ("element", "x", "y", "z"), style="xyz"))):
+        path = scratch(spark)
+        text.select("frame", "value").repartition(1, "frame").sortWithinPartitions("frame").select("value").write.text(path)
+        kind = formats.detected(spark, path)
+        rows = kind.skip(spark, path, 2).select(F.lit(kind.name).alias("format"), F.col("timestep").cast("int").alias("frame"), F.col("n_atoms").cast("bigint").alias("n"))
+        few = kind.filter(spark, path, F.col("timestep") < 20, F.col("x") < 5, ["x"] if name == "dump" else None).groupBy(F.col("timestep").cast("int").alias("frame")).agg(F.count("*").alias("few"))
+        rows = rows.join(few, "frame", "left").select("format", "frame", "n", "few")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def frame_validation(spark, sf):
     """Frames that miss atoms of what their header says."""
     own = atoms(spark, sf)
@@ -259,7 +275,7 @@ def framewise_gyration(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    frame_folders, listed_dumps, tilted_dumps, xyz_roundtrip, xyz_steps, structure_files, frame_windows, frame_validation, thermo_logs, numbered_tables, oszicar_steps, dipole_texts, bond_list_texts,
+    frame_folders, listed_dumps, tilted_dumps, xyz_roundtrip, xyz_steps, structure_files, frame_windows, format_index, frame_validation, thermo_logs, numbered_tables, oszicar_steps, dipole_texts, bond_list_texts,
     eigenvalue_blocks, weight_blocks, scaled_positions, curve_columns, id_selections, third_column, last_frames_rdf, faber_ziman_total, arm_angles, framewise_gyration,
 )}
 
@@ -285,6 +301,8 @@ ORACLE_SQL = {
     "xyz_steps": f"with {T} select cast(frame*5 as bigint) as timestep, {ELEMENT} as element, count(*) as n, round(sum(x), 3) + 0e0 as x, {TRAJ_BOX}e0 as edge from traj group by frame, type",
     "structure_files": f"with {AT} select atom_id, type, {ELEMENT} as element, case type {' '.join(f'when {k} then {v}e0' for k, v in MASS.items())} end as mass, {ATOM_BOX}e0 as edge, {POS} from atoms",
     "frame_windows": f"with {T} select cast(frame as int) as frame, count(*) as n, round(sum(vx), 3) + 0e0 as vx from traj where frame between 3 and 20 and frame % 2 = 0 and frame // 2 < 8 group by frame",
+    "format_index": f"""with {T}, n as (select frame, count(*) as n, count(*) filter (x < 5e0) as few from traj where frame >= 2 group by frame)
+        select f as format, cast(frame as int) as frame, n, case when frame < 20 and few > 0 then few end as few from n cross join (values ('dump'), ('xyz')) v(f)""",
     "frame_validation": f"with {AT}, c as (select frame, cast(count(*) as int) as n_atoms, count(*) filter (atom_id % 97 <> 0) as found from atoms group by frame) select frame, n_atoms, found from c where n_atoms <> found",
     "thermo_logs": f"with {D} select traj_id, row_number() over (partition by traj_id order by part) as section, n, last, mx, 0::bigint as lost from (select traj_id, (step // 16) // 50 as part, count(*) as n, max(step) as last, round(avg(mx), 4) + 0e0 as mx from d group by all)",
     "numbered_tables": f"with {D} select traj_id as file, count(*) as n, round(sum(mx), 3) + 0e0 as mx from d group by traj_id",

@@ -222,7 +222,7 @@ def coordination_zero(spark, sf):
 
 
 def nearest_three(spark, sf):
-    return nearest(near(spark, sf, 3.0), 3).groupBy("rank").agg(F.count("*").alias("n"), R(F.avg("r"), 4).alias("r"))
+    return nearest(near(spark, sf, 3.0, most=3), 3).groupBy("rank").agg(F.count("*").alias("n"), R(F.avg("r"), 4).alias("r"))
 
 
 QUERIES = {f.__name__: f for f in (

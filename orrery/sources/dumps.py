@@ -356,18 +356,11 @@ def frame_text(atoms: DataFrame, frames: DataFrame, columns: Sequence[str], styl
     return met.select(*keys, F.concat_ws("\n", F.lit("ITEM: TIMESTEP"), F.col("timestep").cast("string"), F.lit("ITEM: NUMBER OF ATOMS"), F.col("_n").cast("string"), F.lit("ITEM: BOX BOUNDS pp pp pp"), *bounds, F.lit(f"ITEM: ATOMS {named}"), F.col("_body")).alias("value"))
 
 
-#: Readers by format; others may be added under a name of their own.
-FORMATS: dict[str, Callable] = {"dump": read_dump, "xyz": read_xyz}
-
-
-def detect(spark: SparkSession, path: str) -> str:
-    """The format that a file's first line tells."""
-    first = spark.read.text(path).limit(1).first()
-    return "dump" if first and first[0].startswith("ITEM:") else "xyz"
-
-
 def read_any(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
-    return FORMATS[detect(spark, path)](spark, path, **options)
+    """(frames, atoms) by the format that the file's first line tells."""
+    from .formats import detected
+
+    return detected(spark, path).read(spark, path, **options)
 
 
 def write_frames(text: DataFrame, path: str, keys: Sequence[str] = ("frame",)) -> None:

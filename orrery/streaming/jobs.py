@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.series import DEBYE
 from ..operators.tables import latest
 from ..operators.voxels import voxel_fields
+from ..sources.dumps import read_dump
+from ..sources.ranges import RANGE
 
 SAMPLE = "traj_id long, step long, mx double, my double, mz double"
 
@@ -70,26 +72,69 @@ def running_bins(samples: DataFrame, size: int) -> DataFrame:
     return running_averages(samples, "binned", size)
 
 
-def stream_results(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, keys: Sequence[str]):
+def stream_dumps(spark: SparkSession, folder: str, target: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], columns: Sequence[str] = ("atom_id", "type", "x", "y", "z"), size: int = RANGE):
+    """What `process` makes of the atoms (path, timestep, <columns>) of new dump files, once for each. Gives the started query.
+
+    The stream's offsets are the files' names: a file is read in the batch in which it is seen first, by byte ranges, and
+    a query that is started again goes on behind the files of the last batch. The result must have a column timestep; it
+    is stored by time step, and a batch that is tried again replaces the steps that it wrote before.
+    """
+    names = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path", "length")
+
+    def write(batch: DataFrame, number: int) -> None:
+        _, atoms = read_dump(batch.sparkSession, batch, columns, size=size)
+        process(atoms).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timestep").parquet(target)
+
+    return names.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_results(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, keys: Sequence[str], version: str | None = None):
     """Result rows of each batch appended to a log of results by batch. Gives the started query.
 
-    A batch writes its own rows alone, and one that is tried again replaces what it wrote before; `current` gives the
-    last row of each key.
+    Of rows of one key in a batch the last one stays: that of the greatest `version`, a column that is carried along, or
+    else the one of the newest file, and the last in it. A batch writes its own rows alone, and one that is tried again
+    replaces what it wrote before; `current` gives the last row of each key.
     """
     rows = spark.readStream.schema(schema).json(source)
+    told = {"_time": "file_modification_time", "_path": "file_path", "_block": "file_block_start"}
+    rows = rows.select("*", *(F.col(f"_metadata.{c}").alias(n) for n, c in told.items()))
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        order = F.struct(*([F.col(version)] if version else []), *told, "_number")
+        numbered = batch.withColumn("_number", F.monotonically_increasing_id())
+        kept = numbered.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in batch.columns if c not in told)), order).alias("_row"))
+        kept.select("_row.*").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
-    """The table that a log of results tells: of each key the row of its last batch."""
-    return latest(spark.read.parquet(target), keys, "batch").drop("batch")
+def current(spark: SparkSession, target: str, keys: Sequence[str], version: str | None = None) -> DataFrame:
+    """The table that a log of results tells: of each key the row of the greatest version, if one is kept, and else of its last batch."""
+    order = F.struct(*([F.col(version)] if version else []), "batch")
+    return latest(spark.read.parquet(target).withColumn("_order", order), keys, "_order").drop("batch", "_order")
+
+
+def compacted(spark: SparkSession, target: str, keys: Sequence[str], to: str, version: str | None = None) -> None:
+    """A new log with one batch, the last of the old one, that tells the same table; a stream may go on writing to it."""
+    last = spark.read.parquet(target).agg(F.max("batch")).first()[0]
+    current(spark, target, keys, version).write.parquet(f"{to}/batch={last or 0}")
 
 
 def windowed_steps(samples: DataFrame, dt: float, seconds: int, late: int) -> DataFrame:
-    """Means over windows of simulated time, with a watermark: step times dt seconds is the event time."""
+    """Means over windows of simulated time: step times dt seconds is the event time.
+
+    In append mode a window is given once the watermark, `late` seconds behind the newest sample, has passed its end; its
+    state goes then, and samples that come later are dropped, and counted by `dropped`.
+    """
     timed = samples.withColumn("at", F.timestamp_seconds(F.col("step") * dt)).withWatermark("at", f"{late} seconds")
     return timed.groupBy("traj_id", F.window("at", f"{seconds} seconds")).agg(F.count("*").alias("n"), *(F.avg(f"m{a}").alias(f"m{a}") for a in "xyz"))
+
+
+def dropped(query) -> int:
+    """Groups of late rows that a stream's watermark has dropped, by its own report."""
+    return sum(int(o.numRowsDroppedByWatermark) for p in query.recentProgress for o in p.stateOperators)
+
+
+def kept_state(query) -> int:
+    """Groups that a stream holds after its last batch."""
+    return sum(int(o.numRowsTotal) for o in query.lastProgress.stateOperators)

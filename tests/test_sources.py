@@ -260,3 +260,29 @@ def test_lines_of_split_files(spark, tmp_path):
     finally:
         for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
             spark.conf.set(k, before[k]) if k in before else spark.conf.unset(k)
+
+
+def test_last_of_a_key_in_a_batch(spark, tmp_path):
+    """Six rows of one key, in a file and with a version that runs against it; the log told again in one batch."""
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("".join(f'{{"k": "a", "v": {k}, "version": {9 - k}}}\n' for k in range(6)))
+    jobs.stream_results(spark, source, out, mark, "k string, v int", ["k"]).awaitTermination()
+    assert [r["v"] for r in jobs.current(spark, out, ["k"]).collect()] == [5]
+    jobs.stream_results(spark, source, out + "2", mark + "2", "k string, v int, version int", ["k"], "version").awaitTermination()
+    (tmp_path / "in" / "b.json").write_text('{"k": "a", "v": 77, "version": 2}\n{"k": "b", "v": 1, "version": 1}\n')
+    jobs.stream_results(spark, source, out + "2", mark + "2", "k string, v int, version int", ["k"], "version").awaitTermination()
+    want = [("a", 0), ("b", 1)]
+    assert sorted((r["k"], r["v"]) for r in jobs.current(spark, out + "2", ["k"], "version").collect()) == want
+    jobs.compacted(spark, out + "2", ["k"], out + "3", "version")
+    assert sorted((r["k"], r["v"]) for r in jobs.current(spark, out + "3", ["k"], "version").collect()) == want
+
+
+def test_formats(spark, path):
+    from orrery.sources import formats
+
+    kind = formats.detected(spark, path("f.trj", DUMP))
+    assert kind.name == "dump" and kind.count(spark, path("f.trj", DUMP)) == 3 and kind.probe(spark, path("f.trj", DUMP))["n_atoms"] == 2
+    assert sorted(r["timestep"] for r in kind.skip(spark, path("f.trj", DUMP), 1).collect()) == [100, 200]
+    with pytest.raises(ValueError, match="no format"):
+        formats.detected(spark, path("g.txt", "hello"))

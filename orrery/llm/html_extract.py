@@ -1,8 +1,7 @@
 """Main text of HTML pages by composite text density.
 
-A page is read into a tree; menus, forms, adverts and the like are cut by their tags and names, the latter unless they
-hold much of the page's text. Each node's density is
-its characters per tag, raised for text outside links and lowered for text in them; a node's sum is that of its
+A page is read into a tree; menus, forms, adverts, comments and the like are cut by their tags and names, the latter unless
+they stand around the core. Each node's density is its characters per tag, raised for text outside links and lowered for text in them; a node's sum is that of its
 children's densities. The node with the greatest sum is the core of the article; going up from it towards the body,
 the subtree is widened as long as the density stays above the body's own. Lists of links are dropped outside the core.
 """
@@ -14,8 +13,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +40,21 @@ END_BORDER = frozenset("table td th caption html".split())
 
 #: Elements and names that hold no article text.
 NO_TEXT = frozenset("nav footer aside form button select option input label fieldset dialog menu head object embed audio video canvas datalist".split()) | RAW
-#: Whole names of a class list or id; where an element has much of the page's text the density decides instead.
-NO_TEXT_NAMES = re.compile(
-    r"ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|menu|navbar|nav|navigation|breadcrumbs?|footer|masthead|"
-    r"comments?|disqus|replies|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|"
-    r"recommended|pagination|pager|toolbar|widget|hidden|skip",
-    re.IGNORECASE,
+#: Words of a class, id or role. A name is cut into words at signs, digits and capitals; one of these words tells what an
+#: element is for. The first are never part of an article; the second may also name a wrapper around one, and so may the
+#: first where the name ends with a word for one.
+NO_TEXT_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsors sponsored sidebar sidebars menu menus navbar nav navigation breadcrumb breadcrumbs footer masthead "
+    "comment comments disqus reply replies respond cookie cookies consent newsletter pagination pager complementary contentinfo".split()
 )
-#: From this share of the page's text and so many characters, an element cut by its name alone is left to the density.
-MUCH_TEXT, LEAST_TEXT = 0.5, 250
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+WRAPPER_OR_NOT = frozenset(
+    "banner promo promos promotion notice notices alert popup modal overlay subscribe signup share sharing social related recommended recommendations toolbar widget widgets hidden skip".split()
+)
+WRAPPERS = frozenset("content contents body wrapper wrap container page layout text main article post entry area".split())
+#: Words that make a name tell a state and not a purpose, as in has-sidebar, menu-open or overflow-hidden.
+STATES = frozenset("no not has have with without is are on off open opened close closed count counter enabled disabled active overflow show shown visually free".split())
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Elements that are never cut by their attributes; that are never cut by their names; and whose id is no reason to cut them,
 #: as it may be an anchor of the text.
 KEPT = frozenset("html body article main".split())
@@ -61,9 +67,22 @@ MARK = re.compile(r"""["'>]""")
 SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 
 
-def cut_by(attributes: str, names: Sequence[str] = ("class", "id", "role")) -> tuple[bool, bool]:
-    """Whether an element is hidden, and whether it is named as one without article text."""
-    hidden = named = False
+@lru_cache(1 << 16)
+def purpose(name: str) -> int:
+    """2 for a name of what is never part of an article, 1 for one that may name a wrapper too, 0 for others."""
+    words = [w.lower() for w in WORD.findall(name)]
+    if not words or STATES.intersection(words):
+        return 0
+    if COMMENT_WORDS.intersection(words):
+        return 2
+    if NO_TEXT_WORDS.intersection(words):
+        return 1 if words[-1] in WRAPPERS else 2
+    return 1 if WRAPPER_OR_NOT.intersection(words) else 0
+
+
+def cut_by(attributes: str, names: Sequence[str] = ("class", "id", "role")) -> tuple[bool, int]:
+    """Whether an element is hidden, and whether it is named as one without article text, by purpose()."""
+    hidden, named = False, 0
     seen = set()
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
@@ -77,7 +96,7 @@ def cut_by(attributes: str, names: Sequence[str] = ("class", "id", "role")) -> t
         elif name == "style":
             hidden = hidden or bool(NO_DISPLAY.search(html.unescape(value)))
         elif name in names:
-            named = named or any(NO_TEXT_NAMES.fullmatch(x) for x in value.split())
+            named = max([named, *(purpose(x) for x in value.split())])
     return hidden, named
 
 
@@ -128,7 +147,7 @@ class Node:
     __slots__ = ("chars", "children", "cut", "density", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut, self.named = tag, parent, cut, False
+        self.tag, self.parent, self.cut, self.named = tag, parent, cut, 0
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -190,7 +209,7 @@ def tree(page: str) -> Node:
         if name == "body" and at.tag == "head":
             at = climb(at.parent)
         cut = name in NO_TEXT
-        named = False
+        named = 0
         if attributes and not cut and name not in KEPT:
             cut, named = cut_by(attributes, () if name in HEADINGS else ("class", "role") if name in ANCHORED else ("class", "id", "role"))
         if name == "header" and not cut:
@@ -211,35 +230,61 @@ def tree(page: str) -> Node:
     return root
 
 
-def cut_named(root: Node) -> None:
-    """Cuts the named elements that don't hold much of the page's text, links not counted."""
-    order: list[tuple[Node, bool]] = []
-    todo = [(root, False)]
-    any_named = False
+def kept_nodes(root: Node) -> list[Node]:
+    """Nodes that aren't cut, nor below one that is, in page order."""
+    order, todo = [], [root]
     while todo:
-        node, linked = todo.pop()
-        order.append((node, linked))
-        any_named = any_named or node.named
-        todo.extend((c, linked or c.tag == "a") for c in node.children if isinstance(c, Node) and not c.cut)
-    if not any_named:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.cut)
+    return order
+
+
+def cut_named(root: Node) -> None:
+    """Cuts the elements that are named as no part of an article, whatever their size.
+
+    Those that never are go first, unless they are around the page's main element or first heading. Then the core of what
+    is left is found, without those that may be wrappers where an article or main element stands outside them, and of
+    these all go that aren't around it.
+    """
+    order = kept_nodes(root)
+    if not any(n.named for n in order):
+        return
+    holds: set[int] = set()  # nodes around a main element or a first heading
+    for node in order:
+        if node.tag in ("main", "h1"):
+            up = node.parent
+            while up is not None and id(up) not in holds:
+                holds.add(id(up))
+                up = up.parent
+    for node in order:
+        node.cut = node.cut or node.named == 2 and id(node) not in holds
+    order = kept_nodes(root)
+    doubtful = [n for n in order if n.named]
+    if not doubtful:
         return
-    chars: dict[int, int] = {}
-    for node, linked in reversed(order):
-        own = 0 if linked else sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
-        chars[id(node)] = own + sum(chars[id(c)] for c in node.children if isinstance(c, Node) and not c.cut)
-    for node, _ in order:
-        if node.named and chars[id(node)] < max(LEAST_TEXT, MUCH_TEXT * chars[id(root)]):
-            node.cut = True
+    below: set[int] = set()
+    for node in order:  # parents come first
+        if node.named or id(node.parent) in below:
+            below.add(id(node))
+    aside = any(n.tag in ("article", "main") and id(n) not in below and any(isinstance(c, Node) or c.strip() for c in n.children) for n in order)
+    for node in doubtful:
+        node.cut = aside
+    core = core_of(root)[0]
+    around: set[int] = set()
+    while core is not None:
+        around.add(id(core))
+        core = core.parent
+    for node in doubtful:
+        node.cut = id(node) not in around
 
 
 def measure(root: Node) -> list[Node]:
     """Counts of every node, in page order; cut nodes are left out."""
-    order: list[Node] = []
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.cut)
+    order = kept_nodes(root)
+    for node in order:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.sum = 0.0
     for node in reversed(order):
         node.chars += sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
         if node.tag == "a":
@@ -308,23 +353,29 @@ def blocks_of(top: Node, core: Node | None) -> list[str]:
     return out
 
 
+def core_of(root: Node) -> tuple[Node | None, Node | None]:
+    """(core, body): the node of the greatest sum of densities and the body; no body where there is no text."""
+    order = measure(root)
+    body = next((n for n in order if n.tag == "body"), root)
+    if not body.chars:
+        body = root
+    if not body.chars:
+        return None, None
+    densities(order, body)
+    core = max(order[order.index(body) :], key=lambda n: n.sum)
+    return (core if core.sum > 0 else None), body
+
+
 def main_text(page: str | None) -> str:
     """A page's main text; empty for a null page and one without text."""
     if not page:
         return ""
     root = tree(page)
     cut_named(root)
-    order = measure(root)
-    body = next((n for n in order if n.tag == "body"), root)
-    if not body.chars:
-        body = root
-    if not body.chars:
+    chosen, body = core_of(root)
+    if body is None:
         return ""
-    densities(order, body)
-    inside = order[order.index(body) :]
-    core = max(inside, key=lambda n: n.sum)
-    chosen = core if core.sum > 0 else None
-    best = node = core = chosen or body
+    best = node = chosen or body
     while node is not body and node.parent is not None and node is not root:
         node = node.parent
         if node is body or node.density < body.density:
@@ -334,13 +385,18 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) of every row; null HTML gives an empty text. Repeated rows give repeated results."""
+    """(id, url, text, n_chars) of every row.
+
+    A null or empty HTML gives an empty text. Pages of any length are read whole. Repeated rows give repeated results, and
+    ids and URLs, null ones too, stay as they are. An empty table gives an empty result. Columns other than the three named
+    don't matter, whatever their names.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) for x in batch["html"]]
-            yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            texts = [main_text(x) for x in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     bounded_batches(pages)
-    narrow = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return narrow.mapInPandas(run, "id string, url string, text string, n_chars long").withColumn("id", F.col("id").cast("long")).withColumnsRenamed({"id": id_col, "url": url_col})
+    narrow = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    return narrow.mapInArrow(run, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})

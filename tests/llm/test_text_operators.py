@@ -242,6 +242,27 @@ def test_hidden_and_named_elements_are_cut(attributes):
     assert html_extract.main_text(f"<body><div>{ARTICLE}<div {attributes}><p>Some few words that are no part of it.</p></div></div></body>") == STORY
 
 
+@pytest.mark.parametrize("name", ["comments", "comment-list", "commentList", "article__comments", "site-footer", "cookie-banner", "ad-slot", "main-nav", "sidebar-left", "left_sidebar", "newsletter-signup", "related-posts", "social-share", "user-replies"])
+def test_named_elements_are_cut_whatever_their_size(name):
+    """One, five and thirty times as much text as the article itself, beside it and inside its container."""
+    for n in (1, 5, 10, 30):
+        more = f'<section class="{name}">' + f"<div><p>A reader of it says that the story number goes on for {n} days, as they do. <a href=1>Link</a></p></div>" * n + "</section>"
+        for page in (f"<main>{ARTICLE}</main>{more}", f"<main>{ARTICLE}{more}</main>", f"{more}<article>{ARTICLE}</article>", f"<article>{ARTICLE}{more}</article>"):
+            assert html_extract.main_text(f"<html><body>{page}</body></html>") == STORY
+
+
+@pytest.mark.parametrize("name", ["comments-page", "widget", "banner page", "content-with-sidebar", "nav-tabs-content", "modal", "page-container no-footer", "hidden-overflow is-open"])
+def test_wrappers_of_articles_stay(name):
+    page = f'<body><div class="{name}"><h1>The title</h1>{ARTICLE}</div><p>Some words at the end.</p></body>'
+    assert STORY in html_extract.main_text(page)
+
+
+def test_ids_of_pages_stay_as_they_are(spark):
+    rows = [((1 << 53) + 1, "u", "<p>some text"), (None, None, None), (2, "v", "")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([((1 << 53) + 1, "u", "some text", 9), (None, None, "", 0), (2, "v", "", 0)], key=str)
+
+
 def test_adverts_of_short_pages_are_cut():
     assert html_extract.main_text('<body><div class="ad">Buy more of it than the page has words.</div><article><p>Short.</p></article></body>') == "Short."
 

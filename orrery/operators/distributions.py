@@ -89,11 +89,12 @@ def form_factor(q: Column, a: Sequence[float], b: Sequence[float], c: float) ->
 def weighted_sq(partial: DataFrame, fractions: DataFrame, factor: dict, by: str = "type") -> DataFrame:
     """(q, s): partial structure factors weighted by sqrt(c_a c_b) f_a f_b / (sum c f)^2. factor: kind -> f(q) -> Column, or a number."""
     pick = lambda kind: F.coalesce(*(F.when(kind == F.lit(k), f(F.col("q")) if callable(f) else F.lit(float(f))) for k, f in factor.items()))
-    shares = {k: v for k, v in ((r[by], r["fraction"]) for r in fractions.collect())}  # one row for each kind of atom
-    mean = sum((v * (factor[k](F.col("q")) if callable(factor[k]) else F.lit(float(factor[k]))) for k, v in shares.items()), F.lit(0.0))
-    share = lambda kind: F.coalesce(*(F.when(kind == F.lit(k), F.lit(float(v))) for k, v in shares.items()))
+    side = lambda end: fractions.select(F.col(by).alias(f"{by}_{end}"), F.col("fraction").alias(f"_c{end}"))
     i, j = F.col(f"{by}_i"), F.col(f"{by}_j")
-    return partial.groupBy("q").agg(F.sum(F.sqrt(share(i) * share(j)) * pick(i) * pick(j) * F.col("s")).alias("sum")).select("q", (F.col("sum") / (mean * mean)).alias("s"))
+    met = partial.join(side("i"), f"{by}_i").join(side("j"), f"{by}_j")
+    sums = met.groupBy("q").agg(F.sum(F.sqrt(F.col("_ci") * F.col("_cj")) * pick(i) * pick(j) * F.col("s")).alias("sum"))
+    mean = sums.select("q").crossJoin(fractions.select(F.col(by).alias("_kind"), "fraction")).groupBy("q").agg(F.sum(F.col("fraction") * pick(F.col("_kind"))).alias("_mean"))  # a row for each kind
+    return sums.join(mean, "q").select("q", (F.col("sum") / (F.col("_mean") * F.col("_mean"))).alias("s"))
 
 
 @dataclass(frozen=True)
@@ -274,6 +275,45 @@ def reciprocal_sq(atoms: DataFrame, box: float, shells: int, by: str = "type") -
     return both.groupBy(f"{by}_i", f"{by}_j", "q2").agg(F.avg((F.col("c") * F.col("c2") + F.col("s") * F.col("s2")) / F.sqrt(F.col("n") * F.col("n2"))).alias("s"))
 
 
+CELL = ("lx", "ly", "lz", "xy", "xz", "yz")
+
+
+def fractional(atoms: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
+    """Atoms with coordinates as shares of their own frame's cell vectors, by columns for its edges and tilts."""
+    lx, ly, lz, xy, xz, yz = (F.col(c) for c in cell)
+    sz = F.col("z") / lz
+    sy = (F.col("y") - sz * yz) / ly
+    return atoms.withColumns({"x": (F.col("x") - sy * xy - sz * xz) / lx, "y": sy, "z": sz})
+
+
+def half_box(h: int, k: int, l: int) -> np.ndarray:  # noqa: E741
+    """Whole-numbered points with indices up to those given, one of each pair q, -q."""
+    grid = np.stack([x.ravel() for x in np.meshgrid(np.arange(h + 1), np.arange(-k, k + 1), np.arange(-l, l + 1), indexing="ij")], 1)
+    return grid[(grid[:, 0] > 0) | (grid[:, 1] > 0) | (grid[:, 1] == 0) & (grid[:, 2] > 0)]
+
+
+def reciprocal_cells(atoms: DataFrame, q_max: float, q_step: float, by: str = "type", cell: Sequence[str] = CELL) -> DataFrame:
+    """(<by>_i, <by>_j, bin, n, s): structure factors at the reciprocal points of each frame's own cell, averaged over the
+    frames' points in bins of |q| up to q_max.
+
+    atoms carry their frame's cell: edges lx, ly, lz and tilts xy, xz, yz. A phase needs a point's indices and an atom's
+    shares of the cell alone; only the point's length differs from frame to frame.
+    """
+    edges = [F.max(F.abs(F.col(cell[0]))), F.max(F.sqrt(F.col(cell[3]) ** 2 + F.col(cell[1]) ** 2)), F.max(F.sqrt(F.col(cell[4]) ** 2 + F.col(cell[5]) ** 2 + F.col(cell[2]) ** 2))]
+    longest = atoms.agg(*(e.alias(f"e{k}") for k, e in enumerate(edges))).first()
+    most = [int(q_max * (e or 0.0) / (2 * math.pi)) for e in longest]
+    waves = density_waves(fractional(atoms, cell), 1.0, lambda: half_box(*most), ["frame", by])
+    cells = atoms.select("frame", *cell).distinct()
+    lx, ly, lz, xy, xz, yz = (F.col(c) for c in cell)
+    qx = 2 * math.pi * F.col("h") / lx
+    qy = (2 * math.pi * F.col("k") - xy * qx) / ly
+    qz = (2 * math.pi * F.col("l") - xz * qx - yz * qy) / lz
+    waves = waves.join(cells, "frame").withColumn("q", F.sqrt(qx * qx + qy * qy + qz * qz)).filter(F.col("q") <= q_max).withColumn("bin", F.floor(F.col("q") / q_step).cast("int"))
+    other = waves.select("frame", "h", "k", "l", F.col(by).alias(f"{by}_j"), F.col("c").alias("c2"), F.col("s").alias("s2"), F.col("n").alias("n2"))
+    both = waves.withColumnRenamed(by, f"{by}_i").join(other, ["frame", "h", "k", "l"]).filter(F.col(f"{by}_i") <= F.col(f"{by}_j"))
+    return both.groupBy(f"{by}_i", f"{by}_j", "bin").agg(F.count("*").alias("n"), F.avg((F.col("c") * F.col("c2") + F.col("s") * F.col("s2")) / F.sqrt(F.col("n") * F.col("n2"))).alias("s"))
+
+
 def faber_ziman(partial: DataFrame, fractions: DataFrame, by: str = "type") -> DataFrame:
     """(<by>_i, <by>_j, q, a): Faber-Ziman partials 1 + (S - delta) / sqrt(c_a c_b) of partials (<by>_i, <by>_j, q, s)."""
     side = lambda s: fractions.select(F.col(by).alias(f"{by}_{s}"), F.col("fraction").alias(f"c{s}"))

@@ -30,10 +30,14 @@ def lag_join(rows: DataFrame, columns: Sequence[str], length: int, step: int, fr
     return now.join(then, [*keys, "ref"])
 
 
-def msd(rows: DataFrame, box: Sequence[float], length: int, step: int, frames: int, by: str = "type", origin_rule: str = "inclusive") -> DataFrame:
-    """(<by>, lag, n, msd): mean squared minimum-image displacement over atoms and origins."""
-    joined = lag_join(rows, [by, "x", "y", "z"], length, step, frames, origin_rule=origin_rule)
-    d = [minimum_image(F.col(a) - F.col(f"{a}_0"), size) for a, size in zip("xyz", box, strict=True)]
+def msd(rows: DataFrame, box: Sequence[float | str], length: int, step: int, frames: int, by: str = "type", origin_rule: str = "inclusive") -> DataFrame:
+    """(<by>, lag, n, msd): mean squared minimum-image displacement over atoms and origins.
+
+    An edge of the box may be the name of a column: then that of the current frame, not the origin's, is taken.
+    """
+    named = [b for b in box if isinstance(b, str)]
+    joined = lag_join(rows, [by, "x", "y", "z", *dict.fromkeys(named)], length, step, frames, origin_rule=origin_rule)
+    d = [minimum_image(F.col(a) - F.col(f"{a}_0"), F.col(size) if isinstance(size, str) else size) for a, size in zip("xyz", box, strict=True)]
     return joined.groupBy(by, "lag").agg(F.count("*").alias("n"), F.avg(dot(d, d)).alias("msd"))
 
 

@@ -18,32 +18,39 @@ MEANS = [f"{n}{a}" for n in ("m", "q") for a in "xyz"]
 
 
 def running(rows: DataFrame, keys: Sequence[str] = ("traj_id",), block: int = BLOCK) -> DataFrame:
-    """(keys, step, rn, sums): the number of each sample in its series, and sums of all up to it as arrays of six.
+    """(keys, step, rn, base, sums): the number of each sample in its series, the series' first sample, and sums of all up
+    to it, less the first sample, as arrays of six.
 
     Series are cut into blocks of steps. Samples are numbered and summed up within their block, and the blocks' totals
-    are summed up on their own, so a long series is not one task.
+    are summed up on their own, so a long series is not one task. Without the first sample, sums of squares keep their
+    digits where a series is far from 0.
     """
-    cut = rows.select(*keys, "step", F.floor(F.col("step") / block).alias("_block"), *(F.col(f"m{a}").cast("double").alias(f"m{a}") for a in "xyz"))
+    own = [F.col(f"m{a}").cast("double") for a in "xyz"]
+    base = rows.groupBy(*keys).agg(F.min_by(F.array(*own), F.when(F.col("mx").isNotNull() & F.col("my").isNotNull() & F.col("mz").isNotNull(), F.col("step"))).alias("base"))
+    cut = rows.select(*keys, "step", F.floor(F.col("step") / block).alias("_block"), *(c.alias(f"m{a}") for a, c in zip("xyz", own, strict=True))).join(base, list(keys))
+    cut = cut.withColumns({f"m{a}": F.col(f"m{a}") - F.col("base")[k] for k, a in enumerate("xyz")})
     cut = cut.select("*", *((F.col(f"m{a}") * F.col(f"m{a}")).alias(f"q{a}") for a in "xyz"))
     totals = cut.groupBy(*keys, "_block").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_{c}") for c in MEANS))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", *(f"_{c}" for c in MEANS))))
-    own = Window.partitionBy(*keys, "_block").orderBy("step")
-    here = own.rowsBetween(Window.unboundedPreceding, 0)
-    inside = cut.select(*keys, "_block", "step", F.row_number().over(own).alias("rn"), *(F.sum(c).over(here).alias(c) for c in MEANS))
-    return inside.join(totals, [*keys, "_block"]).select(*keys, "step", (F.col("rn") + F.col("_n")).alias("rn"), F.array(*(F.col(c) + F.col(f"_{c}") for c in MEANS)).alias("sums"))
+    order = Window.partitionBy(*keys, "_block").orderBy("step")
+    here = order.rowsBetween(Window.unboundedPreceding, 0)
+    inside = cut.select(*keys, "_block", "step", "base", F.row_number().over(order).alias("rn"), *(F.sum(c).over(here).alias(c) for c in MEANS))
+    return inside.join(totals, [*keys, "_block"]).select(*keys, "step", (F.col("rn") + F.col("_n")).alias("rn"), "base", F.array(*(F.col(c) + F.col(f"_{c}") for c in MEANS)).alias("sums"))
 
 
 def means(sums: Column, n: Column | int) -> list[Column]:
-    return [(F.get(sums, F.lit(k)) / n).alias(f"{c}_") for k, c in enumerate(MEANS)]
+    """Means of samples less the base, of their squares, and the base itself."""
+    return [*((F.get(sums, F.lit(k)) / n).alias(f"{c}_") for k, c in enumerate(MEANS)), *(F.get("base", F.lit(k)).alias(f"b{a}_") for k, a in enumerate("xyz"))]
 
 
 def fluctuation(temperature: Column | float = 300.0, volume: Column | float = 1.0) -> dict[str, Column]:
     """Mean square, squared mean and variance (each a third of the sum over axes), the variance in debye^2, and the
     dielectric constant without the 1."""
-    square = (F.col("qx_") + F.col("qy_") + F.col("qz_")) / 3
-    mean = (F.col("mx_") * F.col("mx_") + F.col("my_") * F.col("my_") + F.col("mz_") * F.col("mz_")) / 3
-    return {"m2": square, "mm": mean, "variance": square - mean, "debye2": (square - mean) * DEBYE * DEBYE, "epsilon": (square - mean) * DIELECTRIC / (temperature * volume)}
+    third = lambda f: (f("x") + f("y") + f("z")) / 3
+    variance = third(lambda a: F.col(f"q{a}_") - F.col(f"m{a}_") * F.col(f"m{a}_"))
+    mean = third(lambda a: (F.col(f"b{a}_") + F.col(f"m{a}_")) * (F.col(f"b{a}_") + F.col(f"m{a}_")))
+    return {"m2": variance + mean, "mm": mean, "variance": variance, "debye2": variance * DEBYE * DEBYE, "epsilon": variance * DIELECTRIC / (temperature * volume)}
 
 
 def differences(sums: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
@@ -92,7 +99,7 @@ def averaged(rows: DataFrame, strategy: str, size: int, keys: Sequence[str] = ("
 
 def dielectric(rows: DataFrame, temperature: Column | float, volume: Column | float, keys: Sequence[str] = ("traj_id",)) -> DataFrame:
     """(keys, n, var_x, var_y, var_z, total, epsilon): variances over a whole series, and their third times the prefactor."""
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *((F.avg(F.col(f"m{a}") * F.col(f"m{a}")) - F.avg(f"m{a}") * F.avg(f"m{a}")).alias(f"var_{a}") for a in "xyz"))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.var_pop(f"m{a}").alias(f"var_{a}") for a in "xyz"))
     total = (F.col("var_x") + F.col("var_y") + F.col("var_z")) / 3
     return out.select("*", total.alias("total"), (total * DIELECTRIC / (temperature * volume)).alias("epsilon"))
 

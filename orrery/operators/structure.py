@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import AXES, dot, lattice_image, lattice_parameters, triclinic_image
 from ..sources.shared import stored
 from .neighbors import Box, nearest, pairs, partner_distances
+from .quantiles import quantiles
 
 DENSITY = 1.6605  # amu / angstrom^3 in g / cm^3, as rounded by convention
 
@@ -102,8 +103,13 @@ def silanol(atoms: DataFrame, box: Box, si_o: float, o_h: float, pad: float = 0.
 
 def count_statistics(counts: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mean, median, population variance and deviation, standard error, extremes and quartiles of counts."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = counts.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"), F.stddev_pop(value).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("most"), q.alias("q"))
+    agg = [F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"), F.stddev_pop(value).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("most")]
+    if dict(counts.dtypes)[value] in ("double", "float"):  # distinct values without bound
+        q = quantiles(counts, value, [0.25, 0.5, 0.75], keys)
+        out = counts.groupBy(*keys).agg(*agg)
+        out = out.join(q, list(keys), "left") if keys else out.crossJoin(q)
+    else:
+        out = counts.groupBy(*keys).agg(*agg, F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     return out.select(*keys, "n", "mean", F.col("q")[1].alias("median"), "variance", "deviation", (F.col("deviation") / F.sqrt("n")).alias("sem"), "least", "most", (F.col("most") - F.col("least")).alias("span"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 

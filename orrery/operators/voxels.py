@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import norm
 from .neighbors import pairs
+from .quantiles import quantiles
 
 # Constants of metal units (angstrom, ps, eV, amu).
 KINETIC = 1.0364269e-4  # amu angstrom^2 / ps^2 in eV
@@ -93,7 +94,8 @@ def hydronium(atoms: DataFrame, size: float, low: float, center: tuple[float, fl
 def crater(heights: DataFrame, undisturbed: Column, least_depth: float) -> DataFrame:
     """(frame, reference, median, bins, deepest): the reference plane is the mean of undisturbed columns; bins lie
     deeper than given below it."""
-    plane = heights.groupBy("frame").agg(F.avg(F.when(undisturbed, F.col("height"))).alias("reference"), F.percentile("height", 0.5).alias("median"))
+    plane = heights.groupBy("frame").agg(F.avg(F.when(undisturbed, F.col("height"))).alias("reference"))
+    plane = plane.join(quantiles(heights, "height", [0.5], ["frame"]).select("frame", F.col("q")[0].alias("median")), "frame", "left")
     depth = F.col("reference") - F.col("height")
     return heights.join(plane, "frame").groupBy("frame", "reference", "median").agg(F.count_if(depth > least_depth).alias("bins"), F.max(depth).alias("deepest"))
 
@@ -126,8 +128,8 @@ def first_hit(voxels: DataFrame, kind: int = 2) -> DataFrame:
 
 def display_range(values: DataFrame, field: str, clip: float = 1.0, keys: Sequence[str] = ("frame",), zero_based: bool = False) -> DataFrame:
     """(keys, lo, hi): percentiles clip and 100 - clip of a field, the lower one 0 if asked."""
-    low, high = F.percentile(field, clip / 100), F.percentile(field, 1 - clip / 100)
-    return values.groupBy(*keys).agg((F.lit(0.0) if zero_based else low).alias("lo"), high.alias("hi"))
+    found = quantiles(values, field, [clip / 100, 1 - clip / 100], keys)
+    return found.select(*keys, (F.lit(0.0) if zero_based else F.col("q")[0]).alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def normalized(values: DataFrame, field: str, limits: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:

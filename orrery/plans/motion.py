@@ -53,6 +53,12 @@ def current_corr(spark, sf):
     return dynamics.current_correlation(traj(spark, sf), charge, LENGTH, STEP, FRAMES).select("lag", R("c", 5).alias("c"))
 
 
+def msd_breathing(spark, sf):
+    """Displacements in a box whose edges change from frame to frame."""
+    own = traj(spark, sf).withColumn("lx", F.lit(B) - F.col("frame") * 0.125).withColumn("ly", F.lit(B) + F.col("frame") * 0.0625)
+    return dynamics.msd(own, ("lx", "ly", B), LENGTH, STEP, FRAMES).select("type", "lag", "n", R("msd", 4).alias("msd"))
+
+
 def rot_corr(spark, sf):
     """Axes of the molecules that an oxygen and its two nearest hydrogens make."""
     near = pairs(traj(spark, sf), 3.0, (B, B, B), center=F.col("type") == 2, wing=F.col("type") == 3, most=2)
@@ -74,13 +80,17 @@ def sqw(spark, sf):
     return dynamics.dynamic_structure(traj(spark, sf), B, points, LENGTH, FRAMES, DT, 10, 0.3).select("h", "k", "l", "m", R("s", 4).alias("s"))
 
 
-QUERIES = {f.__name__: f for f in (msd, diffusion, msd_total, vacf, vdos_cosine, current_corr, rot_corr, pair_survival, welch_power, sqw)}
+QUERIES = {f.__name__: f for f in (msd, msd_breathing, diffusion, msd_total, vacf, vdos_cosine, current_corr, rot_corr, pair_survival, welch_power, sqw)}
 
 NEAR = f"""{T}, pr as (select *, sqrt(dx*dx + dy*dy + dz*dz) as r from (select a.frame, a.atom_id as i, b.atom_id as j, b.x - a.x - 20e0*floor((b.x - a.x)/20e0 + 0.5e0) as dx,
   b.y - a.y - 20e0*floor((b.y - a.y)/20e0 + 0.5e0) as dy, b.z - a.z - 20e0*floor((b.z - a.z)/20e0 + 0.5e0) as dz from traj a join traj b on a.frame = b.frame and a.type = 2 and b.type = 3) d)"""
 HANN = f"(select k, (0.5e0 - 0.5e0*cos(2*pi()*k/{LENGTH - 1}e0)) as w from range(0, {LENGTH}) t(k))"
 
+BREATH = lambda d, size: f"pow(({d}) - ({size})*round_even(({d})/({size}), 0), 2)"
+
 ORACLE_SQL = {
+    "msd_breathing": f"""with {T} select a.type, cast(b.frame - a.frame as int) as lag, count(*) as n, round(avg({BREATH("b.x - a.x", f"{B}e0 - b.frame*0.125e0")} + {BREATH("b.y - a.y", f"{B}e0 + b.frame*0.0625e0")} + {BREATH("b.z - a.z", f"{B}e0")}), 4) + 0e0 as msd
+        from traj a join traj b on a.atom_id = b.atom_id and a.frame % {STEP} = 0 and a.frame <= {FRAMES - LENGTH} and b.frame - a.frame between 0 and {LENGTH - 1} group by a.type, b.frame - a.frame""",
     "msd": f"with {LAG} select type, cast(lag as int) as lag, count(*) as n, round(avg(d2), 4) + 0e0 as msd from lags group by all",
     "diffusion": f"with {LAG}, m as (select type, lag, avg(d2) as msd from lags group by all) select type, round(regr_slope(msd, lag*{DT}e0)/6e0*1e4, 2) + 0e0 as d from m where lag >= {LENGTH // 2} group by type",
     "msd_total": f"""with {LAG}, m as (select type, lag, avg(d2) as msd from lags group by all), n as (select type, count(*) as n from traj where frame = 0 group by type)

@@ -178,6 +178,17 @@ def tilted_rdf(spark, sf):
     return pair_bins(atoms(spark, sf), 4.0, WIDTH, BOX, tilt=TILT)
 
 
+def sheared(spark, sf):
+    """The snapshots, each in a cell of its own that grows and leans with the frame."""
+    f = F.col("frame")
+    return atoms(spark, sf).withColumns({"lx": 20.0 + f * 0.25, "ly": 21.0 - f * 0.125, "lz": F.lit(22.0), "xy": f * 0.375, "xz": F.lit(-1.5), "yz": 2.0 - f * 0.25})
+
+
+def reciprocal_cells(spark, sf):
+    found = dist.reciprocal_cells(sheared(spark, sf), 1.0, 0.125)
+    return found.select("type_i", "type_j", "bin", "n", R("s", 4).alias("s"))
+
+
 def silanols(spark, sf):
     return structure.silanol(atoms(spark, sf), BOX, 2.6, 2.2, pad=0.5, surface=6.0)
 
@@ -226,7 +237,7 @@ def nearest_three(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    pair_counts, rdf_partial, coordination_cn, rdf_total_neutron, concentrations, explicit_images, bond_angles, angle_sweep, sq_from_gr, xray_sq, debye_sq, reciprocal_sq, knn2_dipole, hydronium_slabs,
+    pair_counts, rdf_partial, coordination_cn, rdf_total_neutron, concentrations, explicit_images, bond_angles, angle_sweep, sq_from_gr, xray_sq, debye_sq, reciprocal_sq, reciprocal_cells, knn2_dipole, hydronium_slabs,
     nearest_partner, crossing_bonds, tilted_crossings, tilted_rdf, silanol_counts, count_stats, bbox_subset, region_density, mirror, rotate, shortest_distances, coordination_zero, nearest_three,
 )}
 
@@ -236,6 +247,13 @@ TILTED = f"""{AT}, t0 as (select a.frame, a.atom_id as i, b.atom_id as j, a.type
   tp as (select frame, i, j, type_i, type_j, nx, ny, nz, sqrt(pow(x - nz*({TILT[1]}e0) - ny*({TILT[0]}e0) - nx*{LEN}, 2) + pow(y - nz*({TILT[2]}e0) - ny*{LEN}, 2) + pow(z - nz*{LEN}, 2)) as r from t3)"""
 
 ORACLE_SQL = {
+    "reciprocal_cells": f"""with {AT}, cl as (select distinct frame, 20e0 + frame*0.25e0 as lx, 21e0 - frame*0.125e0 as ly, 22e0 as lz, frame*0.375e0 as xy, -1.5e0 as xz, 2e0 - frame*0.25e0 as yz from atoms),
+        pt as (select h, k, l from range(0, 12) a(h), range(-12, 13) b(k), range(-12, 13) c(l) where h > 0 or k > 0 or (k = 0 and l > 0)),
+        p1 as (select *, {2 * math.pi!r}*h/lx as qx from cl cross join pt), p2 as (select *, ({2 * math.pi!r}*k - xy*qx)/ly as qy from p1), p3 as (select *, ({2 * math.pi!r}*l - xz*qx - yz*qy)/lz as qz from p2),
+        p4 as (select *, sqrt(qx*qx + qy*qy + qz*qz) as q from p3 where sqrt(qx*qx + qy*qy + qz*qz) <= 1e0),
+        w as (select p.frame, h, k, l, q, type, sum(cos(qx*x + qy*y + qz*z)) as c, sum(sin(qx*x + qy*y + qz*z)) as s, count(*) as n from p4 p join atoms a on a.frame = p.frame group by all)
+        select a.type as type_i, b.type as type_j, cast(floor(a.q/0.125e0) as int) as bin, count(*) as n, round(avg((a.c*b.c + a.s*b.s)/sqrt(a.n*b.n)), 4) + 0e0 as s
+        from w a join w b on a.frame = b.frame and a.h = b.h and a.k = b.k and a.l = b.l and a.type <= b.type group by 1, 2, 3""",
     "tilted_rdf": f"with {TILTED} select type_i, type_j, cast(floor(r/{WIDTH}e0) as int) as bin, count(*) as n from tp where r <= 4e0 group by all",
     "tilted_crossings": f"""with {TILTED}, cut(a, b, c) as (values {", ".join(f"({a}, {b}, {c}e0)" for (a, b), c in CUTOFFS.items())}),
         bd as (select tp.* from tp join cut on least(type_i, type_j) = cut.a and greatest(type_i, type_j) = cut.b and r < c and i < j),

@@ -31,14 +31,12 @@ INVISIBLE = "​‌‍⁠﻿­"
 
 #: Labelled documents learned from, at most; beginnings of words are this long.
 SAMPLE, SHORTEST, LONGEST = 6000, 4, 12
-#: Toxic documents that a term must be in, and the smoothed share of toxic documents among those it is in.
-LEAST, SHARE = 5, 0.85
+#: Toxic documents that a term must be in: at least this share of the toxic ones learned from, between these bounds; and the
+#: smoothed share of toxic documents among those it is in.
+LEAST_SHARE, LEAST, SHARE = 0.02, (2, 5), 0.85
 
 #: Clean documents that an exception must be in, and the smoothed share of clean documents among those it is in.
 SPARED, CLEAN_SHARE = 3, 0.8
-#: Phrases in which a term is no insult, besides those that are learned.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof", "sore loser's medal")
-
 #: Letters with single signs between them, as in a.b.c, and signs that a letter is decomposed to.
 SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_*·|/][^\W\d_]){2,}(?![^\W_])")
 BETWEEN = re.compile(r"[.\-_*·|/]")
@@ -75,7 +73,7 @@ class Lexicon:
     """Terms with weights; a term that ends in `*` fits the beginnings of words, any other only whole words."""
 
     weights: dict[str, float]
-    exceptions: Sequence[str] = EXCEPTIONS
+    exceptions: Sequence[str] = ()
     logistic: tuple[float, float, float] = (-3.0, 1.0, 0.3)
     _automaton: object = field(default=None, repr=False)
 
@@ -137,7 +135,7 @@ class Lexicon:
         return 1 / (1 + math.exp(-(a + b * total + c * dense)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE, exceptions: Sequence[str] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE, exceptions: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learns a lexicon from at most `sample` labelled rows, taken by a hash of their ids.
 
     Only words and their document counts reach the driver, and only those frequent and pure enough. Rows with a label
@@ -151,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
         totals = rows.agg(F.sum("y"), F.count("*")).first()
         toxic, clean = int(totals[0] or 0), int((totals[1] or 0) - (totals[0] or 0))
         if not toxic or not clean:
-            return Lexicon({}, exceptions)
+            return Lexicon({}, exceptions)  # nothing is learned from labels of one kind
 
         def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             import regex
@@ -172,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
         # toxic documents weigh as much as the others
         balanced = F.col("toxic") / toxic / (F.col("toxic") / toxic + (F.col("clean") + 0.5) / clean)
         found = rows.mapInPandas(words, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        found = found.filter((F.col("toxic") >= LEAST) & (balanced >= SHARE) & (F.col("clean") * 4 <= F.col("toxic")))
+        least = min(max(round(LEAST_SHARE * toxic), LEAST[0]), LEAST[1])
+        found = found.filter((F.col("toxic") >= least) & (balanced >= SHARE) & (F.col("clean") * 4 <= F.col("toxic")))
         terms = {r["term"]: (r["clean"], r["toxic"]) for r in found.collect()}
         weights = {t: math.log((n + 0.5) / toxic) - math.log((c + 0.5) / clean) for t, (c, n) in terms.items()}
         # a longer beginning says nothing that a shorter one of the same weight doesn't

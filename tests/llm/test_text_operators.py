@@ -189,7 +189,7 @@ def test_pooling_equals_plain_sums():
 
 
 def test_folding_and_exceptions():
-    lexicon = toxicity.Lexicon({"idiot": 3.0, "lowei*": 2.0, "trash": 2.0})
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "lowei*": 2.0, "trash": 2.0}, ("trash can",))
     for text in ("you IDIOT!", "you 1di0t", "you іdіоt", "you id​iot", "loweischaft"):
         assert lexicon.hits(toxicity.fold(text))[0] == 1, text
     for text in ("idiotic", "the trash can", "cheloweix", "", "trashy 101"):
@@ -206,6 +206,37 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit / found["predicted"].sum() > 0.95 and hit / found["toxic"].sum() > 0.8
 
 
+def plain_hits(lexicon, folded):
+    """Words that a term fits, by a scan of every word and every phrase."""
+    import re
+
+    words = {m.start(): m[0] for m in re.finditer(r"[^\W_]+", folded)}
+    spared = [(m.start(), m.end()) for p in lexicon.exceptions for m in re.finditer(rf"(?<![^\W_]){re.escape(toxicity.fold(p))}(?![^\W_])", folded)]
+    out = {}
+    for at, word in words.items():
+        found = [w for t, w in lexicon.weights.items() if (word.startswith(t[:-1]) if t.endswith("*") else word == t)]
+        if found and not any(a <= at < b for a, b in spared):
+            out[at] = max(found)
+    return len(out), sum(out.values())
+
+
+def test_hits_equal_a_plain_scan(spark):
+    """Every text of the table and many made ones, with the learned lexicon and overlapping terms."""
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    lexicon = toxicity.fit(docs, labels, ~held_out("doc_id"))
+    assert len(lexicon.weights) > 3
+    r = random.Random(8)
+    terms = ["ab", "ab*", "abc", "a*", "bca", "cab*"]
+    own = toxicity.Lexicon({t: 1.0 + k for k, t in enumerate(terms)}, ("ab c", "c ab ab", "bca"))
+    for text in ("".join(r.choice("abc  .-é1") for _ in range(r.randrange(40))) for _ in range(3000)):
+        folded = toxicity.fold(text)
+        n, weight = own.hits(folded)
+        assert (n, round(weight, 9)) == (plain_hits(own, folded)[0], round(plain_hits(own, folded)[1], 9)), folded
+    for row in docs.select("text").collect():
+        folded = toxicity.fold(row["text"] or "")
+        assert lexicon.hits(folded)[0] == plain_hits(lexicon, folded)[0]
+
+
 def test_toxicity_of_odd_texts(spark, odd_docs, no_docs):
     empty = toxicity.fit(odd_docs, no_docs, ~held_out("doc_id"))
     rows = toxicity.score_documents(odd_docs, empty).collect()

@@ -69,4 +69,4 @@ def quantiles(rows: DataFrame, value: str, shares: Sequence[float], keys: Sequen
     each = found.groupBy(*keys, "_t", "_at").agg(F.max(F.when(F.col("_e") == 0, F.col("_v"))).alias("_lo"), F.max(F.when(F.col("_e") == 1, F.col("_v"))).alias("_hi"))
     share = F.col("_at") - F.floor("_at")
     one = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") * (1 - share) + F.col("_hi") * share)
-    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_t", one.alias("v")))), lambda x: x["v"]).alias(name))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_t", one.alias("v")))), lambda x: x["v"]).alias(name)).filter(F.size(name) > 0)

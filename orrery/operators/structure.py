@@ -107,7 +107,7 @@ def count_statistics(counts: DataFrame, value: str, keys: Sequence[str] = ()) ->
     if dict(counts.dtypes)[value] in ("double", "float"):  # distinct values without bound
         q = quantiles(counts, value, [0.25, 0.5, 0.75], keys)
         out = counts.groupBy(*keys).agg(*agg)
-        out = out.join(q, list(keys), "left") if keys else out.crossJoin(q)
+        out = out.join(q, list(keys), "left") if keys else out.join(q, F.lit(True), "left")
     else:
         out = counts.groupBy(*keys).agg(*agg, F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     return out.select(*keys, "n", "mean", F.col("q")[1].alias("median"), "variance", "deviation", (F.col("deviation") / F.sqrt("n")).alias("sem"), "least", "most", (F.col("most") - F.col("least")).alias("span"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))

@@ -28,8 +28,10 @@ def composition(atoms: DataFrame, by: str = "type", keys: Sequence[str] = ("fram
     return atoms.groupBy(*keys, by).agg(F.count("*").alias("atoms"))
 
 
-def concentrations(atoms: DataFrame, by: str = "type") -> DataFrame:
-    """Mole fraction of each kind over all frames."""
+def concentrations(atoms: DataFrame, by: str = "type", first_frame: bool = False) -> DataFrame:
+    """Mole fraction of each kind over all frames, or in the first one alone."""
+    if first_frame:
+        atoms = atoms.crossJoin(atoms.agg(F.min("frame").alias("_first"))).filter(F.col("frame") == F.col("_first"))
     counts = atoms.groupBy(by).agg(F.count("*").alias("atoms"))
     total = counts.agg(F.sum("atoms").alias("total"))
     return counts.crossJoin(total).select(by, "atoms", (F.col("atoms") / F.col("total")).alias("fraction"))
@@ -362,6 +364,12 @@ def last_frames(rows: DataFrame, count: int, frame: str = "frame") -> DataFrame:
     return rows.crossJoin(last).filter(F.col(frame) >= F.col("_last") - count).drop("_last")
 
 
+def without_first(rows: DataFrame, file: str, frame: str = "frame") -> DataFrame:
+    """Rows without the first frame of each file, where a run repeats the last frame of the one before."""
+    first = rows.groupBy(file).agg(F.min(frame).alias("_first"))
+    return rows.join(first, file).filter(F.col(frame) > F.col("_first")).drop("_first")
+
+
 def unit_sum(curves: DataFrame, y: str, keys: Sequence[str]) -> DataFrame:
     """Curves divided by their own sum."""
     return curves.withColumn(y, F.try_divide(F.col(y), F.sum(y).over(Window.partitionBy(*keys))))

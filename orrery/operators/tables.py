@@ -66,16 +66,29 @@ def directory_sizes(files: DataFrame) -> DataFrame:
     return rows.groupBy("prefix", (F.col("at") + 1).alias("depth")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.count_if(F.col("at") + 1 == F.col("deep")).alias("direct"))
 
 
+#: Parts that the directories below one prefix are dealt over.
+SALTS = 16
+
+
 def archive_plan(files: DataFrame, limit: int, big: int) -> DataFrame:
     """(archive, kind, files, bytes): a directory within the limit is one archive, the topmost such; what is left goes
-    singly if it is big, else in a bundle for its directory."""
+    singly if it is big, else in a bundle for its directory.
+
+    Files are counted by directory first, big ones singly, and only directories are held against those above them, which
+    lie in SALTS copies each, so that a root isn't one key of all files.
+    """
     sizes = directory_sizes(files)
-    fits = sizes.filter(F.col("bytes") <= limit).select("prefix", "depth")
-    rows = files.select("path", "size_bytes", F.explode(prefixes(F.col("path"))).alias("prefix")).join(fits, "prefix", "left")
-    top = rows.groupBy("path", "size_bytes").agg(F.min_by("prefix", F.when(F.col("depth").isNotNull(), F.col("depth"))).alias("whole"), F.max_by("prefix", F.length("prefix")).alias("own"))
-    kind = F.when(F.col("whole").isNotNull(), "directory").when(F.col("size_bytes") >= big, "file").otherwise("bundle")
-    name = F.when(F.col("whole").isNotNull(), F.col("whole")).when(F.col("size_bytes") >= big, F.col("path")).otherwise(F.col("own"))
-    return top.groupBy(name.alias("archive"), kind.alias("kind")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+    own = F.element_at(prefixes(F.col("path")), -1).alias("own")
+    units = files.select(own, "size_bytes", F.when(F.col("size_bytes") >= big, F.col("path")).alias("unit")).groupBy("own", "unit").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    fits = sizes.filter(F.col("bytes") <= limit).select("prefix", "depth", salts)
+    parts = F.filter(F.split("own", "/"), lambda x: x != "")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    chains = units.select("own").distinct().select("own", F.pmod(F.xxhash64("own"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(above).alias("prefix"))
+    whole = chains.join(fits, ["prefix", "salt"]).groupBy("own").agg(F.min_by("prefix", "depth").alias("whole"))
+    met = units.join(whole, "own", "left")
+    kind = F.when(F.col("whole").isNotNull(), "directory").when(F.col("unit").isNotNull(), "file").otherwise("bundle")
+    return met.groupBy(F.coalesce("whole", "unit", "own").alias("archive"), kind.alias("kind")).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
 
 
 def size_in_bytes(text: Column) -> Column:
@@ -103,13 +116,27 @@ def audit(submissions: DataFrame, results: DataFrame, texts: DataFrame, key: str
     return submissions.select(key).join(results.select(key).distinct().withColumn("r", F.lit(True)), key, "left").join(texts.select(key, "text"), key, "left").select(key, F.col("r").isNotNull().alias("in_results"), F.col("text").isNull().alias("file_missing"), F.coalesce(F.length("text"), F.lit(0)).alias("characters"))
 
 
+#: Keywords that stand beside a text at once.
+TOGETHER = 1000
+#: Endings of files that are figures.
+FIGURES = (".png", ".jpg", ".jpeg", ".pdf")
+
+
+def figures(files: DataFrame, key: str, path_col: str = "path") -> DataFrame:
+    """(key, requirement, word): files that are figures, by their ending without regard to case."""
+    ending = F.lower(F.regexp_extract(path_col, r"[^/](\.[^./]*)$", 1))
+    return files.filter(ending.isin(*FIGURES)).select(key, F.lit("figures").alias("requirement"), F.col(path_col).alias("word"))
+
+
 def evidence(docs: DataFrame, keywords: DataFrame, around: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, requirement, word, place, snippet): the first place of each keyword in each text, without regard to case.
 
-    keywords: (requirement, word), a small table; all of it stands beside each text as one array, so that a text is
-    read where it lies and only what is found becomes a row.
+    keywords: (requirement, word). They stand beside each text in arrays of TOGETHER at most, whatever their number, so
+    that a text is read where it lies and only what is found becomes a row.
     """
-    every = keywords.agg(F.collect_list(F.struct("requirement", "word", F.lower("word").alias("low"))).alias("_words"))
+    blocks = -(-keywords.count() // TOGETHER)
+    listed = keywords.withColumn("_block", F.pmod(F.xxhash64("requirement", "word"), F.lit(max(2 * blocks, 1))) if blocks > 1 else F.lit(0))
+    every = listed.groupBy("_block").agg(F.collect_list(F.struct("requirement", "word", F.lower("word").alias("low"))).alias("_words")).select("_words")
     met = docs.select(id_col, text_col).crossJoin(every).withColumn("_low", F.lower(text_col))
     hits = F.transform("_words", lambda k: F.struct(k["requirement"].alias("requirement"), k["word"].alias("word"), F.call_function("locate", k["low"], F.col("_low")).alias("place")))
     met = met.select(id_col, text_col, F.explode(F.filter(hits, lambda h: h["place"] > 0)).alias("_hit")).select(id_col, text_col, "_hit.*")

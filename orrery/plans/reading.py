@@ -13,7 +13,7 @@ from ..sources.lines import lines
 from ..sources.shared import scratch
 from .fields import energies
 from .spatial import AT, BOX, HIST, LENGTHS, MASS, PR, WIDTH, R, fractions, histogram, partial
-from .views import ATOM_BOX, BANDS_DUCK, DIPOLES, FRAMES, TRAJ, TRAJ_BOX, atoms, bands, dipoles, duck, read, traj
+from .views import ATOM_BOX, BANDS_DUCK, DIPOLES, FRAMES, TRAJ, VOX, TRAJ_BOX, atoms, bands, dipoles, duck, read, traj, vox
 
 
 def bounds(rows, length, keys=("frame",), step=10):
@@ -111,6 +111,32 @@ def frame_windows(spark, sf):
     return rows.groupBy("frame").agg(F.count("*").alias("n"), R(F.sum("vx"), 3).alias("vx"))
 
 
+def large_frames(spark, sf):
+    """Frames with velocities in tilted boxes, each written in parts of a thousand atoms by several tasks, and read back."""
+    own, path = vox(spark, sf), scratch(spark)
+    heads = own.select("frame").distinct().select("frame", (F.col("frame") * 7).alias("timestep"), *(F.lit(v).alias(n) for n, v in (("xlo", 0.0), ("ylo", 0.0), ("zlo", -1.0), ("xhi", 51.0), ("yhi", 61.0), ("zhi", 61.0))), (F.col("frame") - 3.5).alias("xy"), F.lit(-2.25).alias("xz"), F.lit(4.5).alias("yz"))
+    columns = ("atom_id", "type", "x", "y", "z", "vx", "vy", "vz")
+    dumps.dump_parts(own, heads, columns, rows=1000).select("value").write.text(path)
+    frames, back = dumps.read_dump(spark, path, ("vx", "atom_id", "z"))
+    whole = dumps.joined_parts(frames).filter("parts > 0").select("timestep", "n_atoms", *(R(c, 4).alias(c) for c in ("xlo", "xhi", "yhi", "zlo", "xy", "xz", "yz")))
+    return back.groupBy("timestep").agg(F.count("*").alias("found"), R(F.sum("vx"), 3).alias("vx"), R(F.sum("z"), 3).alias("z"), F.max("atom_id").alias("last")).join(whole, "timestep")
+
+
+def name_patterns(spark, sf):
+    """The pattern that the names of numbered files share, beside each file's number."""
+    own = read(spark, sf, "nation")["nation"].select(F.concat(F.lit("run7/dump."), (F.col("n_nationkey") * 50).cast("string"), F.lit(".trj")).alias("path"))
+    pattern, place = dumps.wildcard(own)
+    return own.select(F.lit(pattern).alias("pattern"), F.lit(place).alias("place"), dumps.embedded_number(F.col("path")).alias("number"))
+
+
+def species_masses(spark, sf):
+    """Atoms named by element or by type, without regard to case, with their masses."""
+    k = F.col("p_partkey")
+    named = F.element_at(F.array(*(F.lit(x) for x in ("SI", "o", "H", "1", "2", "3"))), (k % 6 + 1).cast("int"))
+    species = read(spark, sf, "nation")["nation"].filter("n_nationkey < 3").select(F.element_at(F.array(F.lit("Si"), F.lit("O"), F.lit("h")), (F.col("n_nationkey") + 1).cast("int")).alias("element"), (F.col("n_nationkey") + 1).cast("int").alias("type"), (F.col("n_nationkey") * 7 + 1.5).alias("mass"))
+    return dumps.resolved(read(spark, sf, "part")["part"].select(named.alias("element")), species).groupBy("element", "mass").agg(F.count("*").alias("n"))
+
+
 def format_index(spark, sf):
     """Frames of a dump and of an XYZ file by their format's index, the first two left out, beside atoms that a filter keeps."""
     own, out = traj(spark, sf), None
@@ -275,7 +301,7 @@ def framewise_gyration(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    frame_folders, listed_dumps, tilted_dumps, xyz_roundtrip, xyz_steps, structure_files, frame_windows, format_index, frame_validation, thermo_logs, numbered_tables, oszicar_steps, dipole_texts, bond_list_texts,
+    frame_folders, listed_dumps, tilted_dumps, xyz_roundtrip, xyz_steps, structure_files, frame_windows, large_frames, name_patterns, species_masses, format_index, frame_validation, thermo_logs, numbered_tables, oszicar_steps, dipole_texts, bond_list_texts,
     eigenvalue_blocks, weight_blocks, scaled_positions, curve_columns, id_selections, third_column, last_frames_rdf, faber_ziman_total, arm_angles, framewise_gyration,
 )}
 
@@ -301,6 +327,10 @@ ORACLE_SQL = {
     "xyz_steps": f"with {T} select cast(frame*5 as bigint) as timestep, {ELEMENT} as element, count(*) as n, round(sum(x), 3) + 0e0 as x, {TRAJ_BOX}e0 as edge from traj group by frame, type",
     "structure_files": f"with {AT} select atom_id, type, {ELEMENT} as element, case type {' '.join(f'when {k} then {v}e0' for k, v in MASS.items())} end as mass, {ATOM_BOX}e0 as edge, {POS} from atoms",
     "frame_windows": f"with {T} select cast(frame as int) as frame, count(*) as n, round(sum(vx), 3) + 0e0 as vx from traj where frame between 3 and 20 and frame % 2 = 0 and frame // 2 < 8 group by frame",
+    "large_frames": f"""with v as ({duck(VOX)}) select cast(frame*7 as bigint) as timestep, count(*) as found, round(sum(vx), 3) + 0e0 as vx, round(sum(z), 3) + 0e0 as z, max(atom_id) as last, count(*) as n_atoms,
+        0e0 as xlo, 51e0 as xhi, 61e0 as yhi, -1e0 as zlo, frame - 3.5e0 as xy, -2.25e0 as xz, 4.5e0 as yz from v group by frame""",
+    "name_patterns": "select 'run7/dump.*.trj' as pattern, 1 as place, cast(n_nationkey*50 as bigint) as number from nation",
+    "species_masses": "select ['SI', 'o', 'H', '1', '2', '3'][p_partkey % 6 + 1] as element, [1.5e0, 8.5e0, 15.5e0][p_partkey % 3 + 1] as mass, count(*) as n from part group by all",
     "format_index": f"""with {T}, n as (select frame, count(*) as n, count(*) filter (x < 5e0) as few from traj where frame >= 2 group by frame)
         select f as format, cast(frame as int) as frame, n, case when frame < 20 and few > 0 then few end as few from n cross join (values ('dump'), ('xyz')) v(f)""",
     "frame_validation": f"with {AT}, c as (select frame, cast(count(*) as int) as n_atoms, count(*) filter (atom_id % 97 <> 0) as found from atoms group by frame) select frame, n_atoms, found from c where n_atoms <> found",

@@ -70,6 +70,13 @@ def evidence_snippets(spark, sf):
     return tables.evidence(read(spark, sf, "documents")["documents"], words)
 
 
+def figure_files(spark, sf):
+    """Figures among each host's files, whose endings go by their number."""
+    ending = F.element_at(F.array(*(F.lit(x) for x in (".png", ".html", ".PDF", "", ".jpeg", ".txt"))), (F.col("page_id") % 6 + 1).cast("int"))
+    own = read(spark, sf, "pages")["pages"].select((F.col("page_id") % 10).alias("student"), F.concat(F.lit("out/fig.v2/"), F.col("page_id").cast("string"), ending).alias("path"))
+    return tables.figures(own, "student").groupBy("student", "requirement").agg(F.count("*").alias("n"), F.max("word").alias("last"))
+
+
 def json_extract(spark, sf):
     """A field of the events' JSON by kind, read tolerantly from a fenced text."""
     e = read(spark, sf, "events")["events"]
@@ -102,7 +109,7 @@ def upload_tiers(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    status_pivot, warnings_missing, long_results, manifest_merge, upsert_results, result_merge, dir_rollup, archive_plan, evidence_snippets, json_extract, submission_audit, log_severity, size_strings, upload_tiers,
+    status_pivot, warnings_missing, long_results, manifest_merge, upsert_results, result_merge, dir_rollup, archive_plan, evidence_snippets, figure_files, json_extract, submission_audit, log_severity, size_strings, upload_tiers,
 )}
 
 RES = f"res as ({duck(RESULTS)})"
@@ -127,6 +134,7 @@ ORACLE_SQL = {
         count(*) as files, cast(sum(size_bytes) as bigint) as bytes from w group by 1, 2""",
     "evidence_snippets": f"""with kw(requirement, word) as (values {", ".join(f"('{a}', '{b}')" for a, b in KEYWORDS)}), m as (select doc_id, requirement, word, text, cast(position(lower(word) in lower(text))  as int) as place from documents cross join kw)
         select doc_id, requirement, word, place, substr(text, greatest(place - 40, 1), place - greatest(place - 40, 1) + length(word) + 40) as snippet from m where place > 0""",
+    "figure_files": """select page_id % 10 as student, 'figures' as requirement, count(*) as n, max('out/fig.v2/' || page_id::varchar || ['.png', '', '.PDF', '', '.jpeg', ''][page_id % 6 + 1]) as last from pages where page_id % 2 = 0 group by 1""",
     "json_extract": "select field, count(*) as n from (select unnest(json_keys(props)) as field from events) group by field",
     "submission_audit": """select doc_id in (select doc_id from labels) as in_results, doc_id % 11 = 0 as file_missing, count(*) as n, cast(sum(case when doc_id % 11 <> 0 then length(text) else 0 end) as bigint) as characters from documents group by 1, 2""",
     "log_severity": "select case when turn % 5 = 4 then 'ERROR' when turn % 3 = 0 or lower(role) like '%warning%' then 'WARNING' else 'OK' end as level, count(*) as n from conversations group by 1",

@@ -87,6 +87,23 @@ def concentrations(spark, sf):
     return fractions(spark, sf).select("type", "atoms", R("fraction").alias("fraction"))
 
 
+def first_concentrations(spark, sf):
+    """Mole fractions in the first frame alone."""
+    return dist.concentrations(atoms(spark, sf), first_frame=True).select("type", "atoms", R("fraction").alias("fraction"))
+
+
+def neutron_sq(spark, sf):
+    """Structure factors of all pairs of kinds weighted by their scattering lengths, which don't depend on q."""
+    s = dist.sine_transform(partial(spark, sf), fractions(spark, sf), DENSITY, WIDTH, 0.1, 60)
+    return dist.weighted_sq(s, fractions(spark, sf), LENGTHS).select(R("q", 2).alias("q"), R("s", 3).alias("s"))
+
+
+def water_dipoles_without_first(spark, sf):
+    """Dipoles of molecules without the first frame of each file, five frames a file."""
+    a = dist.without_first(atoms(spark, sf).withColumn("file", F.floor(F.col("frame") / 5)), "file")
+    return structure.molecule_dipoles(a, BOX, 3.0, 0.5).select("frame", "formed", "missing")
+
+
 def explicit_images(spark, sf):
     """Pairs of one kind within 6 angstrom in every image, on cells of that size."""
     found = near(spark, sf, 6.0, images="explicit", center=F.col("type") == 1, wing=F.col("type") == 3)
@@ -237,7 +254,7 @@ def nearest_three(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    pair_counts, rdf_partial, coordination_cn, rdf_total_neutron, concentrations, explicit_images, bond_angles, angle_sweep, sq_from_gr, xray_sq, debye_sq, reciprocal_sq, reciprocal_cells, knn2_dipole, hydronium_slabs,
+    pair_counts, rdf_partial, coordination_cn, rdf_total_neutron, concentrations, first_concentrations, neutron_sq, water_dipoles_without_first, explicit_images, bond_angles, angle_sweep, sq_from_gr, xray_sq, debye_sq, reciprocal_sq, reciprocal_cells, knn2_dipole, hydronium_slabs,
     nearest_partner, crossing_bonds, tilted_crossings, tilted_rdf, silanol_counts, count_stats, bbox_subset, region_density, mirror, rotate, shortest_distances, coordination_zero, nearest_three,
 )}
 
@@ -276,6 +293,11 @@ ORACLE_SQL = {
     "xray_sq": f"""with {SQ}, mean as (select q, sum(fraction*({FORM("type")})) as f from frac cross join (select distinct q from sq) group by q)
         select round(q, 2) + 0e0 as q, round(sum(sqrt(a.fraction*b.fraction)*({FORM("type_i")})*({FORM("type_j")})*s)/pow(any_value(f), 2), 4) + 0e0 as s
         from sq join frac a on a.type = type_i join frac b on b.type = type_j join mean using (q) group by q""",
+    "neutron_sq": f"""with {SQ}, b(type, b) as (values {", ".join(f"({k}, {v}e0)" for k, v in LENGTHS.items())}), w as (select type, fraction, b from frac join b using (type))
+        select round(q, 2) + 0e0 as q, round(sum(sqrt(x.fraction*y.fraction)*x.b*y.b*s)/pow((select sum(fraction*b) from w), 2), 3) + 0e0 as s from sq join w x on x.type = type_i join w y on y.type = type_j group by q""",
+    "first_concentrations": f"with {AT}, f as (select * from atoms where frame = (select min(frame) from atoms)) select type, count(*) as atoms, round(count(*)/(select count(*) from f), 5) + 0e0 as fraction from f group by type",
+    "water_dipoles_without_first": f"""with {PR}, keep as (select * from atoms where frame > (select min(frame) from atoms b where b.frame // 5 = atoms.frame // 5)), k as (select *, row_number() over (partition by frame, i order by r, j) as rank from pr where type_i = 2 and type_j = 3 and r < 3e0),
+        w as (select frame, i, count(*) as n from k where rank <= 2 group by all) select a.frame, count(*) filter (n = 2) as formed, count(*) filter (n is null or n <> 2) as missing from keep a left join w on a.frame = w.frame and a.atom_id = w.i where a.type = 2 group by a.frame""",
     "debye_sq": f"""with {HIST} select type_i, type_j, round(q, 2) + 0e0 as q, round(case when type_i = type_j then 1e0 else 0e0 end + sum(n*sin(q*r)/(q*r))/sqrt(a.atoms*b.atoms), 3) + 0e0 as s
         from gr join frac a on a.type = type_i join frac b on b.type = type_j cross join (select k*0.25e0 as q from range(1, 21) t(k)) group by type_i, type_j, q, a.atoms, b.atoms""",
     "reciprocal_sq": f"""with {AT}, m as (select k from range(-3, 4) t(k)), p as (select a.k as h, b.k as k, c.k as l, a.k*a.k + b.k*b.k + c.k*c.k as q2 from m a, m b, m c),

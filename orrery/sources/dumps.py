@@ -294,9 +294,12 @@ def with_elements(atoms: DataFrame, mapping: str | dict[int, str], unknown: str
 
 def resolved(atoms: DataFrame, species: DataFrame) -> DataFrame:
     """Atoms with their species row by name, without regard to case, else by type; an unknown element is an error."""
-    table = F.broadcast(species.select(F.lower("element").alias("_e"), F.col("type").alias("_t"), "mass"))
-    met = atoms.join(table, (F.lower("element") == F.col("_e")) | (F.col("element").try_cast("int") == F.col("_t")), "left")
-    return met.withColumn("mass", F.when(F.col("_e").isNotNull(), F.col("mass")).otherwise(F.raise_error(F.concat(F.lit("no species for "), F.col("element"))).cast("double"))).drop("_e", "_t")
+    by_name = species.select(F.lower("element").alias("_e"), F.col("mass").alias("_by_name"))
+    by_type = species.select(F.col("type").alias("_t"), F.col("mass").alias("_by_type"))
+    met = atoms.join(by_name, F.lower("element") == F.col("_e"), "left").join(by_type, F.col("element").try_cast("int") == F.col("_t"), "left")
+    known = F.col("_e").isNotNull() | F.col("_t").isNotNull()
+    mass = F.when(known, F.coalesce("_by_name", "_by_type")).otherwise(F.raise_error(F.concat(F.lit("no species for "), F.coalesce("element", F.lit("null")))).cast("double"))
+    return met.withColumn("mass", mass).drop("_e", "_t", "_by_name", "_by_type")
 
 
 def numbered(frames: DataFrame, by: Sequence[str] = ("traj_id",), order: str = "timestep") -> DataFrame:
@@ -356,6 +359,55 @@ def frame_text(atoms: DataFrame, frames: DataFrame, columns: Sequence[str], styl
     return met.select(*keys, F.concat_ws("\n", F.lit("ITEM: TIMESTEP"), F.col("timestep").cast("string"), F.lit("ITEM: NUMBER OF ATOMS"), F.col("_n").cast("string"), F.lit("ITEM: BOX BOUNDS pp pp pp"), *bounds, F.lit(f"ITEM: ATOMS {named}"), F.col("_body")).alias("value"))
 
 
+def dump_parts(atoms: DataFrame, frames: DataFrame, columns: Sequence[str], rows: int = 100_000, key: str = "frame") -> DataFrame:
+    """(key, value): frames as texts of dumps of at most so many atoms each, in the order of their ids.
+
+    A frame of any size is written by many tasks: each part has the frame's header, with its own number of atoms, as
+    programs do that write one file a process; joined_parts() puts them together again. frames: (key, timestep, xlo ... zhi), and
+    xy, xz, yz for tilted boxes, whose bounds enclose them. Columns may be any, velocities and charges too.
+    """
+    parts_ = int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    back = {v: k for k, v in NAMES.items()}
+    tilted = {"xy", "xz", "yz"} <= set(frames.columns)
+    low, high = {a: F.lit(0.0) for a in "xyz"}, {a: F.lit(0.0) for a in "xyz"}
+    if tilted:
+        xs, ys = F.array(F.lit(0.0), F.col("xy"), F.col("xz"), F.col("xy") + F.col("xz")), F.array(F.lit(0.0), F.col("yz"))
+        low |= {"x": F.array_min(xs), "y": F.array_min(ys)}
+        high |= {"x": F.array_max(xs), "y": F.array_max(ys)}
+    bounds = [F.concat_ws(" ", *((F.col(f"{a}{e}") + out[a]).cast("string") for e, out in (("lo", low), ("hi", high))), *([F.col(t).cast("string")] if tilted else [])) for a, t in zip("xyz", ("xy", "xz", "yz"), strict=True)]
+    box = F.concat_ws("\n", F.lit(f"ITEM: BOX BOUNDS {'xy xz yz ' if tilted else ''}pp pp pp"), *bounds, F.lit("ITEM: ATOMS " + " ".join(back.get(c, c) for c in columns)))
+    heads = frames.select(key, F.col("timestep").cast("string").alias("_step"), box.alias("_box"))
+    line = F.concat_ws(" ", *(F.col(c).cast("string") for c in columns))
+    told = atoms.select(key, F.col("atom_id").alias("_id"), line.alias("_line")).join(heads, key)
+    kind = dict(told.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, head = [], None
+
+        def text() -> pa.RecordBatch:
+            value = "\n".join(["ITEM: TIMESTEP", head[1], "ITEM: NUMBER OF ATOMS", str(len(held)), head[2], *held])
+            return pa.RecordBatch.from_arrays([pa.array([head[0]], types), pa.array([value])], [key, "value"])
+
+        for batch in batches:
+            types = batch.schema.field(key).type
+            for frame, step, top, line in zip(*(batch.column(c).to_pylist() for c in (key, "_step", "_box", "_line")), strict=True):
+                if held and (head[0] != frame or len(held) >= rows):
+                    yield text()
+                    held = []
+                head = (frame, step, top)
+                held.append(line)
+        if held:
+            yield text()
+
+    return told.repartitionByRange(parts_, key, "_id").sortWithinPartitions(key, "_id").mapInArrow(run, f"{key} {kind}, value string")
+
+
+def joined_parts(frames: DataFrame) -> DataFrame:
+    """Frames of read_dump() whose parts lie in several headers or files: one row a time step, with all its atoms counted."""
+    rest = [c for c in frames.columns if c not in ("path", "timestep", "n_atoms")]
+    return frames.groupBy("timestep").agg(F.sum("n_atoms").alias("n_atoms"), F.count("*").alias("parts"), *(F.first(c).alias(c) for c in rest))
+
+
 def read_any(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
     """(frames, atoms) by the format that the file's first line tells."""
     from .formats import detected

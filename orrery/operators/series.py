@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,23 +122,70 @@ def gaussian_smooth(curve: DataFrame, sigma: float, keys: Sequence[str] = ("labe
     return rows.join(curve.select(*keys, x, y), [*keys, x]).groupBy(*keys, "to").agg(F.sum(F.col("w") * F.col(y)).alias(y)).withColumnRenamed("to", x)
 
 
+def walls(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(wall, base) of each point: the nearest point before that is higher, -1 if none, and the lowest value from there on.
+
+    A stack holds the points that are lower than all before them; each point is pushed and popped once.
+    """
+    wall, base = np.full(len(y), -1), y.copy()
+    stack: list[int] = []
+    lowest: list[float] = []  # the lowest value from the stack's point below up to the point itself
+    for i, v in enumerate(y.tolist()):
+        low = v
+        while stack and y[stack[-1]] <= v:
+            stack.pop()
+            low = min(low, lowest.pop())
+        wall[i] = stack[-1] if stack else -1
+        base[i] = low
+        stack.append(i)
+        lowest.append(low)
+    return wall, base
+
+
+def crossings(x: np.ndarray, y: np.ndarray, tops: np.ndarray, halves: np.ndarray) -> np.ndarray:
+    """Where the curve last rises through each top's half height before it; it does, as the base on that side is lower.
+
+    Tops are met in order with a stack of points, each lower than all behind it; a binary search finds the last low one.
+    """
+    out, stack, below = np.full(len(tops), np.nan), [], []
+    at = 0
+    for i, v in enumerate(y.tolist()):
+        if at < len(tops) and tops[at] == i:
+            k = bisect.bisect_right(below, halves[at]) - 1
+            if k >= 0:
+                j = stack[k]
+                out[at] = x[j] + (halves[at] - y[j]) / (y[j + 1] - y[j]) * (x[j + 1] - x[j])
+            at += 1
+        while below and below[-1] >= v:
+            below.pop()
+            stack.pop()
+        below.append(v)
+        stack.append(i)
+    return out
+
+
 def peaks(curve: DataFrame, prominence: float, keys: Sequence[str] = ("label",), x: str = "k", y: str = "y") -> DataFrame:
     """(keys, x, y, prominence, left, right, fwhm): maxima of curves with the width at half their prominence.
 
     A peak's bases are the lowest points on each side up to a higher point; its crossings are interpolated linearly.
-    A flat top doesn't count. Each curve is short, so its points meet its own peaks alone.
+    A flat top doesn't count. A curve is one task's work, in time that grows with its points alone, however many peaks
+    it has; it must fit into memory. Points with a null are left out.
     """
-    w = Window.partitionBy(*keys).orderBy(x)
-    tops = curve.withColumn("_b", F.lag(y).over(w)).withColumn("_a", F.lead(y).over(w)).filter((F.col(y) > F.col("_b")) & (F.col(y) > F.col("_a"))).select(*keys, F.col(x).alias("px"), F.col(y).alias("py"))
-    met = tops.join(curve, list(keys))
-    walls = met.filter(F.col(y) > F.col("py")).groupBy(*keys, "px").agg(F.max(F.when(F.col(x) < F.col("px"), F.col(x))).alias("wl"), F.min(F.when(F.col(x) > F.col("px"), F.col(x))).alias("wr"))
-    inside = met.join(walls, [*keys, "px"], "left").filter((F.col("wl").isNull() | (F.col(x) > F.col("wl"))) & (F.col("wr").isNull() | (F.col(x) < F.col("wr"))))
-    bases = inside.groupBy(*keys, "px", "py").agg(F.min(F.when(F.col(x) <= F.col("px"), F.col(y))).alias("bl"), F.min(F.when(F.col(x) >= F.col("px"), F.col(y))).alias("br"))
-    high = bases.select(*keys, "px", "py", (F.col("py") - F.greatest("bl", "br")).alias("prominence")).filter(F.col("prominence") >= prominence).withColumn("half", F.col("py") - F.col("prominence") / 2)
-    steps = curve.withColumn("_nx", F.lead(x).over(w)).withColumn("_ny", F.lead(y).over(w)).filter("_nx is not null")
-    cut = high.join(steps, list(keys))
-    at = F.col(x) + (F.col("half") - F.col(y)) / (F.col("_ny") - F.col(y)) * (F.col("_nx") - F.col(x))
-    rise = (F.col("_nx") <= F.col("px")) & (F.col(y) <= F.col("half")) & (F.col("_ny") > F.col("half"))
-    fall = (F.col(x) >= F.col("px")) & (F.col(y) > F.col("half")) & (F.col("_ny") <= F.col("half"))
-    sides = cut.filter(rise | fall).groupBy(*keys, "px", "py", "prominence").agg(F.max(F.when(rise, at)).alias("left"), F.min(F.when(fall, at)).alias("right"))
-    return sides.select(*keys, F.col("px").alias(x), F.col("py").alias(y), "prominence", "left", "right", (F.col("right") - F.col("left")).alias("fwhm"))
+    types = dict(curve.dtypes)
+
+    def found(table: pa.Table) -> pa.Table:
+        table = table.sort_by(x)
+        at, v = (table.column(c).to_numpy().astype(float) for c in (x, y))
+        tops = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
+        bases = [walls(v)[1], walls(v[::-1])[1][::-1]]
+        high = v - np.maximum(*bases)
+        tops = tops[high[tops] >= prominence]
+        half = v[tops] - high[tops] / 2
+        left = crossings(at, v, tops, half)
+        right = -crossings(-at[::-1], v[::-1], len(v) - 1 - tops[::-1], half[::-1])[::-1]
+        rows = table.take(pa.array(tops))
+        return pa.table({k: rows.column(k) for k in keys} | {x: rows.column(x), y: rows.column(y), "prominence": high[tops], "left": left, "right": right, "fwhm": right - left})
+
+    shape = ", ".join([*(f"`{c}` {types[c]}" for c in (*keys, x, y)), *(f"{c} double" for c in ("prominence", "left", "right", "fwhm"))])
+    rows = curve.select(*keys, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return rows.groupBy(*keys).applyInArrow(found, shape)

@@ -81,3 +81,42 @@ def test_displacements_in_the_current_box(spark):
     df = spark.createDataFrame(rows, "frame int, atom_id long, type int, x double, y double, z double, lx double")
     got = {x["lag"]: x["msd"] for x in dynamics.msd(df, ("lx", 10.0, 10.0), 3, 1, 3).collect()}
     assert got == pytest.approx({0: 0.0, 1: (9.8 - 9.0) ** 2, 2: (19.6 - 16.0) ** 2})
+
+
+def plain_peaks(x, y, least):
+    out = []
+    for i in range(1, len(y) - 1):
+        if y[i] > y[i - 1] and y[i] > y[i + 1]:
+            left = next((k for k in range(i - 1, -1, -1) if y[k] > y[i]), -1)
+            right = next((k for k in range(i + 1, len(y)) if y[k] > y[i]), len(y))
+            high = y[i] - max(min(y[left + 1 : i + 1]), min(y[i:right]))
+            if high >= least:
+                half = y[i] - high / 2
+                a = next(k for k in range(i - 1, -1, -1) if y[k] <= half)
+                b = next(k for k in range(i + 1, len(y)) if y[k] <= half)
+                cut = lambda p, q: x[p] + (half - y[p]) / (y[q] - y[p]) * (x[q] - x[p])  # noqa: B023, E731
+                out.append((x[i], y[i], high, cut(a, a + 1), cut(b, b - 1)))
+    return out
+
+
+def test_peaks_equal_their_definition(spark):
+    r = random.Random(4)
+    curves = {k: [(t * 1.5, float(r.choice([0, 1, 2, 3, 4, 7, r.random()]))) for t in range(n)] for k, n in (("a", 400), ("b", 2), ("c", 1), ("d", 60))}
+    curves["e"] = [(float(t), float(t % 7)) for t in range(100)]
+    df = spark.createDataFrame([(k, *p) for k, c in curves.items() for p in c], "label string, k double, y double")
+    got = series.peaks(df, 0.5).collect()
+    for k, c in curves.items():
+        want = plain_peaks([a for a, _ in c], [b for _, b in c], 0.5)
+        have = sorted((x["k"], x["y"], x["prominence"], x["left"], x["right"]) for x in got if x["label"] == k)
+        assert [v for p in have for v in p] == pytest.approx([v for p in want for v in p]), k
+
+
+def test_peaks_of_a_long_curve_take_linear_time():
+    import time
+
+    y = np.random.default_rng(5).normal(size=1_000_000).cumsum() + np.sin(np.arange(1_000_000))
+    began = time.perf_counter()
+    wall, base = series.walls(y)
+    tops = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] > y[2:])) + 1
+    series.crossings(np.arange(1e6), y, tops, y[tops] - 1e-3)
+    assert time.perf_counter() - began < 20 and (base <= y).all() and (wall < np.arange(1_000_000)).all()

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from .common import bounded_batches, chunks, offsets, ranges, stored
 from .minhash import mixed
@@ -320,10 +320,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, id
     every = stored(keyed.select(*KEY, "text").mapInPandas(find_runs, "k1 long, k2 long, v long, s1 int, m int, c int"))
     size = F.sum(F.col("m").cast("long") + (window - 1))
     often = every.groupBy("v").agg(size.alias("bytes"), F.sum("c").alias("c")).filter("c > 1").select("v", F.ceil(F.col("bytes") / SHARD).cast("int").alias("parts"))
-    lists = every.join(often, "v").groupBy(*KEY).agg(F.collect_set(F.struct("v", "parts", "s1", "m")).alias("runs"))
+    lists = every.join(often, "v").groupBy(*KEY).agg(F.collect_set(F.struct("v", "parts", "s1", "m")).alias("runs"), F.count("*").alias("k"))
+    # each of the rows that repeat id and text gives the same runs
+    lists = lists.select(*KEY, "runs", (F.col("k") > F.size("runs")).alias("copied"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows without shared runs are finished; the others keep their text."""
+        """Rows without shared runs are finished, and so are copies of a row, which are removed whole; the others keep their text."""
         for batch in batches:
             raw = [t.encode() for t in batch.column("text").to_pylist()]
             found = batch.column("runs")
@@ -332,12 +334,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, id
             made["n_bytes"] = pa.array([len(r) for r in raw], pa.int64())
             made["whole"] = pa.array([hashlib.sha256(r).hexdigest() if d else None for r, d in zip(raw, done, strict=True)], pa.string())
             made["raw"] = pa.array([None if d and not keep else r for r, d in zip(raw, done, strict=True)], pa.binary())
+            made["copied"] = pa.array([bool(c) for c in batch.column("copied").to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_pydict(made | {"runs": found})
 
     joined = keyed.join(lists, KEY, "left")
-    shape = StructType([*passed, *(StructField(k, LongType()) for k in KEY), StructField("n_bytes", LongType()), StructField("whole", StringType()), StructField("raw", BinaryType()), StructField("runs", joined.schema["runs"].dataType)])
+    shape = StructType([*passed, *(StructField(k, LongType()) for k in KEY), StructField("n_bytes", LongType()), StructField("whole", StringType()), StructField("raw", BinaryType()), StructField("copied", BooleanType()), StructField("runs", joined.schema["runs"].dataType)])
     rows = stored(joined.mapInArrow(split, shape))
-    parts = rows.filter("whole is null").select(*KEY, "raw", F.explode("runs").alias("r"))
+    # of copies one row goes to the shards, for what other texts share with it
+    one = rows.filter("whole is null and copied").groupBy(*KEY).agg(F.first("raw").alias("raw"), F.first("runs").alias("runs"))
+    parts = rows.filter("whole is null and not copied").select(*KEY, "raw", "runs").unionByName(one).select(*KEY, "raw", F.explode("runs").alias("r"))
     parts = parts.select(F.col("r.v").alias("v"), F.pmod(F.xxhash64(*KEY, "r.s1"), F.col("r.parts")).cast("int").alias("part"), F.col("r.parts").alias("parts"), *KEY, F.col("r.s1").alias("s1"), F.substring("raw", F.col("r.s1") + 1, F.col("r.m") + window - 1).alias("text"))
     parts = parts.repartition("v", "part").sortWithinPartitions("v", "part")
     found = stored(parts.mapInPandas(lambda batches: shard(batches, window), "k1 long, k2 long, low long, high long, v long, bucket int, list binary"))
@@ -347,7 +352,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, id
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for n, whole, raw, cover in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "whole", "raw", "covered")), strict=True):
+            for n, whole, raw, copied, cover in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "whole", "raw", "copied", "covered")), strict=True):
+                if copied:
+                    out.append((n, 1, hashlib.sha256(b"").hexdigest(), b""))
+                    continue
                 if cover is None or whole is not None:
                     out.append((0, 0, whole or hashlib.sha256(raw).hexdigest(), raw))
                     continue
@@ -362,7 +370,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, id
 
     figures = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType())] + [StructField("kept", BinaryType() if keep == "bytes" else StringType())] * bool(keep)
     first = [f.name for f in passed]
-    done = rows.filter("whole is not null").select(*first, "n_bytes", "whole", "raw").withColumn("covered", F.lit(None).cast("array<struct<low: long, high: long>>"))
-    cut = rows.filter("whole is null").join(covered, KEY, "left").select(*first, "n_bytes", "whole", "raw", "covered")
+    done = rows.filter("whole is not null or copied").select(*first, "n_bytes", "whole", "raw", "copied").withColumn("covered", F.lit(None).cast("array<struct<low: long, high: long>>"))
+    cut = rows.filter("whole is null and not copied").join(covered, KEY, "left").select(*first, "n_bytes", "whole", "raw", "copied", "covered")
     out = done.unionByName(cut).mapInArrow(finish, StructType([*passed, *figures]))
     return out.withColumnRenamed("id", id_col) if not carry else out.select(F.col("id").alias(id_col), *out.columns[1:])

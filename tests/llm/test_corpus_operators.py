@@ -204,6 +204,16 @@ def test_repeats_equal_brute_force(spark, odd_docs, shard, longest, monkeypatch)
         assert sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect()), key=str) == want
 
 
+def test_copies_of_rows_are_removed_whole(spark):
+    """Rows that repeat id and text go whole; one of them stands for all, also for texts that share a part with them."""
+    text = "".join(random.Random(5).choice("abcdefgh ") for _ in range(600))
+    rows = [(None, text)] * 400 + [(7, text)] * 3 + [(8, "x" * 50 + text[100:350] + "y" * 50), (9, text[:150]), (10, "z" * 300), (None, "short")] * 1 + [(11, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()), key=str)
+    want = sorted([(None, 600, 600, 1)] * 400 + [(7, 600, 600, 1)] * 3 + [(8, 350, 250, 1), (9, 150, 0, 0), (10, 300, 300, 1), (None, 5, 0, 0), (11, 0, 0, 0)], key=str)
+    assert got == want
+
+
 def test_repeats_of_the_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = docs.collect()

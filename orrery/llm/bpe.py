@@ -563,7 +563,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
 
 def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Count and digests of each document's ids and decoded text, made where the ids are, so that ids are not moved."""
+    """Count and digests of each document's ids and decoded text, made where the ids are, so that ids are not moved.
+
+    A null or empty text has no ids. Whole texts are read, words of any length too. Repeated rows give repeated results,
+    rows of a null id keep it, and an empty table gives an empty result. Other columns, of any name, don't matter.
+    """
     shared = share_vocabulary(docs, tokenizer)
 
     def run(batches):

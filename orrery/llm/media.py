@@ -31,7 +31,11 @@ def feature(payload: bytes) -> str:
 
 
 def to_media(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): each whole text as a lossless WebP file. A null text counts as empty; it gives 64 zero bytes."""
+    """(id, n_bytes, media): each whole text as a lossless WebP file. A null text counts as empty; it gives 64 zero bytes.
+
+    Texts of any length are stored whole. Repeated rows give repeated files, equal texts equal ones; rows of a null id keep
+    it. An empty table gives an empty result. Other columns, of any name, don't matter.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -87,7 +87,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     """Pieces of every document and their places in sequences of at most `window` tokens.
 
     Returns id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null or empty text is the separator alone.
-    Repeated rows are packed as often as they come. An empty table gives no pieces. Columns other than the two named
+    Repeated rows and rows of a null id are packed as often as they come. An empty table gives no pieces. Columns other than the two named
     are not read. A sequence lies within one partition of the input, so no tokens are shuffled.
     """
     shared = share_vocabulary(docs, tokenizer)

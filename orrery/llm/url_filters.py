@@ -54,7 +54,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", max_children: int = MAX_CHILDREN, kept_share: float = KEPT_SHARE, errors: float = ERRORS, purity: float = PURITY) -> DataFrame:
     """(id, host, path, rule, verdict, template) for every row.
 
-    A null or malformed URL has an empty host and path, no rule, and is judged like any template. Repeated rows are
+    Rows of a null id are judged by their URL like any other. A null or malformed URL has an empty host and path, no rule, and is judged like any template. Repeated rows are
     judged alike. An empty table gives an empty result. Only the two named columns are read.
     """
     host, path = url_parts(F.col(url_col))

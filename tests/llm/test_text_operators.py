@@ -134,6 +134,15 @@ def test_other_streams_are_read_too():
     assert webp.read_payloads([file]) == [picture.tobytes()]
 
 
+def test_a_stream_of_another_encoder():
+    """The picture that browsers are commonly asked to show to tell whether they read lossless files."""
+    import base64
+
+    file = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert file[:4] == b"RIFF" and file[8:16] == b"WEBPVP8L"
+    assert webp.decode_stream(file[20:33]).tolist() == [[[0, 0, 0, 0]]]
+
+
 def test_documents_are_stored_with_copies_caches_and_transforms(monkeypatch):
     r = np.random.default_rng(4)
     passage = bytes(r.integers(32, 127, 400).astype(np.uint8))
@@ -188,6 +197,34 @@ def test_pooling_equals_plain_sums():
     assert np.allclose(network.pooled(windows), np.maximum(plain + network.bias, 0), atol=1e-4)
 
 
+def plain_language(text, network):
+    """Every window, filter and place of a text by loops over its bytes."""
+    data, votes = text.encode(), np.zeros(len(network.languages))
+    for start in range(0, max(len(data), 1), language_id.WINDOW):
+        own = data[start : start + language_id.WINDOW]
+        window = own + bytes(language_id.WINDOW - len(own))
+        pooled = []
+        for width, table in zip(language_id.WIDTHS, network.tables, strict=True):
+            sums = [[sum(table[k][window[at + k]][f] for k in range(width)) for at in range(len(window) - width + 1)] for f in range(table.shape[2])]
+            pooled += [max(x) for x in sums]
+        hidden = np.maximum(np.array(pooled) + network.bias, 0)
+        z = hidden @ network.out + network.out_bias
+        p = np.exp(z - z.max())
+        votes += p / p.sum() * max(len(own), 1)
+    return network.languages[int(votes.argmax())], votes.max() / votes.sum()
+
+
+def test_languages_equal_plain_loops(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    network = language_id.fit(docs, ~held_out("doc_id"))
+    texts = [r["text"] for r in docs.filter("length(text) < 400").limit(4).collect()] + ["é" * (language_id.WINDOW // 2 + 3), "un mot", "a"]
+    lang, score = language_id.classified([*texts, None, "12 !"], network)
+    for k, text in enumerate(texts):
+        want, sure = plain_language(text, network)
+        assert lang[k] == want and abs(score[k] - sure) < 1e-4
+    assert list(lang[-2:]) == ["und", "und"]
+
+
 def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon({"idiot": 3.0, "lowei*": 2.0, "trash": 2.0}, ("trash can",))
     for text in ("you IDIOT!", "you 1di0t", "you іdіоt", "you id​iot", "loweischaft"):

@@ -88,9 +88,10 @@ def crossing_bonds(half: DataFrame, box: Sequence[float], areas: Sequence[float]
     return rows.groupBy("frame", "face", "pair").agg(F.sum("count").alias("n"), (F.sum("count") / F.first("area")).alias("per_area"))
 
 
-def silanol(atoms: DataFrame, box: Box, si_o: float, o_h: float, pad: float = 0.0, surface: float | None = None, silicon: int = 1, oxygen: int = 2, hydrogen: int = 3) -> DataFrame:
+def silanol(atoms: DataFrame, box: Box, si_o: float, o_h: float, pad: float = 0.0, surface: float | None = None, silicon: int = 1, oxygen: int = 2, hydrogen: int = 3, silicons: DataFrame | None = None) -> DataFrame:
     """(frame, atom_id, silicon_id): oxygens with exactly one silicon and a hydrogen, within the silicons' padded extent
-    along x; with `surface`, only those whose silicon lies within this of the extent's ends."""
+    along x; with `surface`, only those whose silicon lies within this of the extent's ends, and with `silicons` (frame,
+    atom_id), only those whose silicon is one of these."""
     near = pairs(atoms, max(si_o, o_h), box, center=F.col("type") == oxygen, wing=F.col("type").isin(silicon, hydrogen), carry=("type", "x"))
     si, h = (F.col("type_j") == silicon) & (F.col("r") <= si_o), (F.col("type_j") == hydrogen) & (F.col("r") <= o_h)
     each = near.groupBy("frame", "i", "x_i").agg(F.count_if(si).alias("si"), F.count_if(h).alias("h"), F.max(F.when(si, F.struct(F.col("j"), F.col("x_j")))).alias("s"))
@@ -98,7 +99,10 @@ def silanol(atoms: DataFrame, box: Box, si_o: float, o_h: float, pad: float = 0.
     found = each.filter((F.col("si") == 1) & (F.col("h") >= 1)).join(extent, "frame").filter(F.col("x_i").between(F.col("lo") - pad, F.col("hi") + pad))
     if surface is not None:
         found = found.filter((F.col("s.x_j") <= F.col("lo") + surface) | (F.col("s.x_j") >= F.col("hi") - surface))
-    return found.select("frame", F.col("i").alias("atom_id"), F.col("s.j").alias("silicon_id"))
+    found = found.select("frame", F.col("i").alias("atom_id"), F.col("s.j").alias("silicon_id"))
+    if silicons is None:
+        return found
+    return found.join(silicons.select("frame", F.col("atom_id").alias("silicon_id")).distinct(), ["frame", "silicon_id"], "left_semi").select(*found.columns)
 
 
 def count_statistics(counts: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -210,6 +210,12 @@ def silanols(spark, sf):
     return structure.silanol(atoms(spark, sf), BOX, 2.6, 2.2, pad=0.5, surface=6.0)
 
 
+def silanols_of_set(spark, sf):
+    """Silanols on silicons of a set that is supplied: those in the lower half along y."""
+    a = atoms(spark, sf)
+    return structure.silanol(a, BOX, 2.6, 2.2, pad=0.5, silicons=a.filter("type = 1 and y < 10").select("frame", "atom_id"))
+
+
 def silanol_counts(spark, sf):
     return silanols(spark, sf).groupBy("frame").agg(F.count("*").alias("silanols"))
 
@@ -255,7 +261,7 @@ def nearest_three(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     pair_counts, rdf_partial, coordination_cn, rdf_total_neutron, concentrations, first_concentrations, neutron_sq, water_dipoles_without_first, explicit_images, bond_angles, angle_sweep, sq_from_gr, xray_sq, debye_sq, reciprocal_sq, reciprocal_cells, knn2_dipole, hydronium_slabs,
-    nearest_partner, crossing_bonds, tilted_crossings, tilted_rdf, silanol_counts, count_stats, bbox_subset, region_density, mirror, rotate, shortest_distances, coordination_zero, nearest_three,
+    nearest_partner, crossing_bonds, tilted_crossings, tilted_rdf, silanol_counts, silanols_of_set, count_stats, bbox_subset, region_density, mirror, rotate, shortest_distances, coordination_zero, nearest_three,
 )}
 
 #: The nearest image of each pair in the tilted cell: along c first, then b, then a, which is right up to half the least height.
@@ -318,6 +324,9 @@ ORACLE_SQL = {
         f as (select frame, type_i, type_j, 'x' as face, abs(round(((x2 - x1) - dx)/{LEN})) as k from bd union all select frame, type_i, type_j, 'y', abs(round(((y2 - y1) - dy)/{LEN})) from bd union all select frame, type_i, type_j, 'z', abs(round(((z2 - z1) - dz)/{LEN})) from bd)
         select frame, face, least(type_i, type_j)::varchar || '-' || greatest(type_i, type_j)::varchar as pair, cast(sum(k) as bigint) as n, round(sum(k)/{L * L!r}, 6) + 0e0 as per_area from f where k > 0 group by all""",
     "silanol_counts": f"with {SILANOL} select frame, silanols from sil",
+    "silanols_of_set": f"""with {PR}, ext as (select frame, min(x) as lo, max(x) as hi from atoms where type = 1 group by frame),
+        o as (select frame, i, x_i, count(*) filter (type_j = 1 and r <= 2.6e0) as si, count(*) filter (type_j = 3 and r <= 2.2e0) as h, max(j) filter (type_j = 1 and r <= 2.6e0) as s from pr where type_i = 2 group by all)
+        select o.frame, o.i as atom_id, o.s as silicon_id from o join ext using (frame) join atoms b on b.frame = o.frame and b.atom_id = o.s and b.y < 10 where si = 1 and h >= 1 and x_i between lo - 0.5e0 and hi + 0.5e0""",
     "count_stats": f"""with {SILANOL} select count(*) as n, round(avg(silanols), 4) + 0e0 as mean, round(quantile_cont(silanols, 0.5e0), 4) + 0e0 as median, round(var_pop(silanols), 4) + 0e0 as variance, round(stddev_pop(silanols), 4) + 0e0 as deviation,
         round(stddev_pop(silanols)/sqrt(count(*)), 4) + 0e0 as sem, min(silanols) as least, max(silanols) as most, max(silanols) - min(silanols) as span, round(quantile_cont(silanols, 0.25e0), 4) + 0e0 as q1,
         round(quantile_cont(silanols, 0.75e0), 4) + 0e0 as q3, round(quantile_cont(silanols, 0.75e0) - quantile_cont(silanols, 0.25e0), 4) + 0e0 as iqr from sil""",

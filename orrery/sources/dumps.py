@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .blocks import headed
 from .lines import carried, lines
 from .ranges import RANGE, files, filled_lines, line_start, opener, ranged, read_at, readable, rows_of
+from .shared import stored
 
 KINDS = {"atom_id": "bigint", "type": "int", "element": "string", "charge": "double"} | {f"i{a}": "int" for a in "xyz"}
 NAMES = {"id": "atom_id", "name": "element", "q": "charge"}
@@ -241,14 +242,16 @@ def read_dump(spark: SparkSession, path: str | Sequence[str] | DataFrame, column
     """(frames, atoms) of dumps, of files by byte ranges, so that a frame of any size is read by many tasks.
 
     `where` chooses frames by their header, and the bytes of others are only searched for headers, never parsed; only
-    asked columns are made. A frame whose lines are fewer than its header says is left out; so is what comes before a
-    first header. Compressed files, and stores that Arrow doesn't open, are read with one row a frame.
+    asked columns are made. The search runs when this is called. A frame whose lines are fewer than its header says is
+    left out; so is what comes before a first header. Compressed files, and stores that Arrow doesn't open, are read with
+    one row a frame.
     """
     if not isinstance(path, DataFrame) and not readable([path] if isinstance(path, str) else path):
         frames = text_frames(spark, path)
         frames = frames if where is None else frames.filter(where)
         return frames.drop("header", "lines"), atoms_of(frames, columns)
-    pieces = boxed(dump_pieces(spark, path, size), "at", "piece", "until", "lines", "before")
+    # one row for each frame and range; written once, so that files aren't searched again for every table made of them
+    pieces = stored(boxed(dump_pieces(spark, path, size), "at", "piece", "until", "lines", "before"))
     pieces = pieces if where is None else pieces.filter(where)
     return pieces.filter("before = 0").dropDuplicates(["path", "at"]).drop("header", "at", "piece", "until", "lines", "before"), piece_atoms(pieces, columns)
 

@@ -305,16 +305,18 @@ def test_strings_of_cutoffs():
 
 
 def test_long_series_are_cut_into_blocks(spark):
-    """Running sums go on over the borders of blocks."""
+    """Running sums, less each series' first sample, go on over the borders of blocks."""
     from orrery.operators import series
 
     r = random.Random(1)
     rows = [(t, 10 * k, r.gauss(0, 1), r.gauss(2, 1), r.gauss(0, 4)) for t in range(2) for k in range(90)]
     samples = spark.createDataFrame(rows, "traj_id long, step long, mx double, my double, mz double")
-    sums = {(x["traj_id"], x["step"]): (x["rn"], x["sums"]) for x in series.running(samples, block=70).collect()}
+    sums = {(x["traj_id"], x["step"]): (x["rn"], x["sums"], x["base"]) for x in series.running(samples, block=70).collect()}
     for t in range(2):
-        total = [0.0] * 6
-        for n, (_, step, *m) in enumerate((x for x in rows if x[0] == t), 1):
+        total, own = [0.0] * 6, [x for x in rows if x[0] == t]
+        for n, (_, step, *m) in enumerate(own, 1):
+            m = [a - b for a, b in zip(m, own[0][2:], strict=True)]
+            assert sums[t, step][2] == list(own[0][2:])
             total = [a + b for a, b in zip(total, [*m, *(x * x for x in m)], strict=True)]
             assert sums[t, step][0] == n and all(abs(a - b) < 1e-9 for a, b in zip(sums[t, step][1], total, strict=True))
 

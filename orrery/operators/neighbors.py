@@ -31,6 +31,8 @@ BLOCK_PAIRS, DENSE = 4e6, 0.1
 TOGETHER = 1 << 20
 #: Up to so many cells of a block its atoms are compared without them.
 FEW_CELLS = 128
+#: Partners that a cell of partner_distances() holds on the average in its densest group, at most.
+CELL_PARTNERS = 128
 
 
 def spans(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,19 +291,22 @@ def symmetric(near: DataFrame, carry: Sequence[str] = ("type",)) -> DataFrame:
 def partner_distances(shell: DataFrame, partners: DataFrame, reach: float, keys: Sequence[str] = ("frame",)) -> DataFrame:
     """(keys, atom_id, distance) to the nearest partner at any distance, infinite where there is none; no periodicity.
 
-    Both sides lie in cells that are halved again and again, down to EDGE times reach. At each step a cell of the shell
+    Both sides lie in cells that are halved again and again, down to EDGE times reach, and further while a group has more
+    than CELL_PARTNERS partners a cell, so that dense matter costs no more for each atom. At each step a cell of the shell
     keeps the cells of partners that may hold a nearest one: those no farther, by the boxes around the atoms in them, than
-    some partner is sure to be. Atoms meet only the partners of the cells that are left, and each gives one row, so no
-    product of both sides is made however far apart they are.
+    some partner is sure to be. Atoms meet only the partners of the cells that are left, no farther from their cell's box
+    than that either, and each gives one row, so no product of both sides is made however far apart they are.
     """
     from ..sources.shared import stored
 
     sides = [df.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).select(*keys, "atom_id", *AXES) for df in (shell, partners)]
-    span = sides[0].unionByName(sides[1]).agg(*(f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    both = sides[0].withColumn("_of", F.lit(0)).unionByName(sides[1].withColumn("_of", F.lit(1)))
+    span = both.groupBy(*keys).agg(F.sum("_of").alias("n"), *(f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))))
+    span = span.agg(F.max("n").alias("n"), *(f(f"{n}{a}").alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max)))).first()
     if span["lox"] is None:
         return shell.select(*keys, "atom_id").withColumn("distance", F.lit(float("inf")))
     extent = max(max(span[f"hi{a}"] - span[f"lo{a}"] for a in AXES), 1e-9)
-    levels = min(max(math.ceil(math.log2(extent / (EDGE * reach))), 0), 20)
+    levels = min(max(math.ceil(math.log2(extent / (EDGE * reach))), math.ceil(math.log2(max(span["n"], 1) / CELL_PARTNERS) / 3), 0), 20)
     edge = extent / 2**levels * (1 + 1e-12)
     sides = [df.withColumns({f"_c{k}": F.floor((F.col(a) - span[f"lo{a}"]) / edge).cast("int") for k, a in enumerate(AXES)}) for df in sides]
     cell = ["_c0", "_c1", "_c2"]
@@ -327,10 +332,14 @@ def partner_distances(shell: DataFrame, partners: DataFrame, reach: float, keys:
         else:
             both = pruned.join(at(level, 0), [*keys, *(f"_a{k}" for k in range(3))]).join(at(level, 1), [*keys, *(f"_p{k}" for k in range(3))])
         least = F.min(far).over(Window.partitionBy(*keys, *own))
-        left = both.withColumn("_bound", least).filter(near <= F.col("_bound") * (1 + 1e-12)).select(*keys, *own, *met)
+        left = both.withColumn("_bound", least * (1 + 1e-12)).filter(near <= F.col("_bound"))
         pruned = left.select(*keys, *(F.col(c).alias(f"_{c}") for c in (*own, *met)))
+    around = [f"a{n}{a}" for a in AXES for n in ("lo", "hi")]
+    pruned = left.select(*keys, *(F.col(c).alias(f"_{c}") for c in (*own, *met)), *around, "_bound")
     asked = sides[0].withColumnsRenamed({c: f"_a{k}" for k, c in enumerate(cell)})
+    away = [F.greatest(F.lit(0.0), F.col(f"alo{a}") - F.col(a), F.col(a) - F.col(f"ahi{a}")) for a in AXES]
     given = sides[1].withColumnsRenamed({c: f"_p{k}" for k, c in enumerate(cell)}).join(pruned, [*keys, *(f"_p{k}" for k in range(3))])
+    given = given.filter(away[0] * away[0] + away[1] * away[1] + away[2] * away[2] <= F.col("_bound"))
     groups = [*keys, *(f"_a{k}" for k in range(3))]
     given = given.select(*(F.col(c).alias(f"{c}_") for c in groups), *(F.col(a).alias(f"{a}_") for a in AXES))
     types = dict(shell.dtypes)

@@ -11,6 +11,7 @@ from ..functions.geometry import AXES, dot, lattice_image, lattice_parameters, t
 from ..sources.shared import stored
 from .neighbors import Box, nearest, pairs, partner_distances
 from .quantiles import quantiles
+from .ranks import ranked
 
 DENSITY = 1.6605  # amu / angstrom^3 in g / cm^3, as rounded by convention
 
@@ -187,8 +188,8 @@ def remove_orphans(before: DataFrame, after: DataFrame, center: Sequence[float],
     gone = frame.limit(0).select("atom_id")
     for kind, other, n in ((oxygen, hydrogen, want_o), (hydrogen, oxygen, want_h)):
         rest = frame.filter(F.col("type") == other).join(gone, "atom_id", "left_anti")
-        far = partner_distances(shell.filter(F.col("type") == kind), rest, width)
-        order = stored(far.orderBy(F.desc("distance"), "atom_id").limit(int(n)).select("atom_id"))
+        far = stored(partner_distances(shell.filter(F.col("type") == kind), rest, width))
+        order = ranked(far, [F.desc("distance"), "atom_id"]).filter(F.col("place") <= int(n)).select("atom_id")
         gone = gone.unionByName(order)
         taken.append(far)
     tags = taken[0].unionByName(taken[1]).join(gone.withColumn("tag", F.lit("DELETE")), "atom_id", "left").withColumn("tag", F.coalesce("tag", F.lit("KEEP")))

@@ -7,11 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import dot, minimum_image
+from ..functions.geometry import AXES, dot, minimum_image
 from .distributions import density_waves
+from .neighbors import EDGE, Blocks, candidate_cells
 
 
 def lag_join(rows: DataFrame, columns: Sequence[str], length: int, step: int, frames: int, keys: Sequence[str] = ("atom_id",), origin_rule: str = "inclusive") -> DataFrame:
@@ -128,6 +130,66 @@ def survival(present: DataFrame, length: int, step: int, frames: int, keys: Sequ
     return alive.crossJoin(start).select("lag", "alive", (F.col("alive") / F.col("start")).alias("s"))
 
 
+def pair_survival(atoms: DataFrame, r_max: float, box: Sequence[float], length: int, step: int, frames: int, center: Column, wing: Column) -> DataFrame:
+    """survival() of the pairs (center, wing) that are within r_max in a periodic box, which are counted where they are found.
+
+    atoms: (frame, atom_id, x, y, z), one row for each atom and frame. An atom's places at all lags of an origin travel
+    together to the origin frame's blocks of space, and only counts leave a block, so pairs are never rows.
+    """
+    used = {"_c": F.coalesce(center, F.lit(False)), "_w": F.coalesce(wing, F.lit(False))}
+    there = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    rows = atoms.select("frame", "atom_id", *AXES, *(c.alias(n) for n, c in used.items())).filter(there & (F.col("_c") | F.col("_w")))
+    low, last = F.greatest(F.col("frame") - (length - 1), F.lit(0)), frames - length
+    first, final = F.ceil(low / step).cast("int"), F.floor(F.least(F.col("frame"), F.lit(last)) / step).cast("int")
+    each = rows.filter(first <= final).repartition("atom_id").withColumn("ref", F.explode(F.transform(F.sequence(first, final), lambda o: o * step))).withColumn("_lag", F.col("frame") - F.col("ref"))
+    names = [*AXES, *used]
+    start_at = [F.max(F.when(F.col("_lag") == 0, F.col(n))).alias(n) for n in names]  # an atom that isn't there at the origin is in no block
+    held = each.groupBy("ref", "atom_id").agg(F.collect_list(F.struct(F.col("_lag").cast("int").alias("_lag"), *names)).alias("_path"), *start_at)
+    blocks = Blocks(held, r_max, box, keys=("ref",), center=F.col("_c"), wing=F.col("_w"), carry=("_path",), edge=EDGE * r_max)
+    sizes = [float(b) for b in box]
+
+    def counted(block: pa.Table) -> pa.Table:
+        sides = [np.flatnonzero(block.column(c).to_numpy()) for c in ("_center", "_wing")]
+        place = np.stack([block.column(f"_p{k}").to_numpy() for k in range(3)], 1)
+        wrap = [block.column(f"_l{k}")[0].as_py() if block.column(f"_n{k}")[0].as_py() == 1 else None for k in range(3)]
+        ids = block.column("atom_id").to_numpy()
+        path = block.column("_path").combine_chunks()
+        row, seen = path.value_parent_indices().to_numpy(), path.flatten()
+        told = [seen.field(k).to_numpy(zero_copy_only=False) for k in range(len(names) + 1)]
+        at, fit = np.full((length, 3, len(ids)), np.nan), np.zeros((2, length, len(ids)), bool)
+        for c in range(3):
+            at[told[0], c, row] = told[1 + c]
+        for c in range(2):
+            fit[c, told[0], row] = told[4 + c]
+        alive = np.zeros(length, np.int64)
+        for i, j in candidate_cells(place[sides[0]], place[sides[1]], r_max, wrap):
+            i, j = sides[0][i], sides[1][j]
+            mine, theirs = at[:, :, i], at[:, :, j]
+            good = [fit[0][:, i], fit[1][:, j]]
+            a, b = None, None
+            for k in range(length):
+                if a is None:
+                    d = [theirs[0, c][None, :] - mine[0, c][:, None] for c in range(3)]
+                else:
+                    d = [theirs[k, c][b] - mine[k, c][a] for c in range(3)]
+                d = [x - size * np.rint(x / size) for x, size in zip(d, sizes, strict=True)]
+                near = np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) <= r_max
+                if a is None:
+                    a, b = np.nonzero(near & (ids[i][:, None] != ids[j][None, :]))
+                else:
+                    near = np.flatnonzero(near & good[0][k][a] & good[1][k][b])
+                    a, b = a[near], b[near]
+                alive[k] += len(a)
+                if not len(a):
+                    break
+        return pa.table({"lag": np.arange(length, dtype=np.int32), "alive": alive})
+
+    found = blocks.apply(counted, "lag int, alive long", ("_path",))
+    alive = found.groupBy("lag").agg(F.sum("alive").alias("alive")).filter("alive > 0")
+    start = alive.filter("lag = 0").select(F.col("alive").alias("start"))
+    return alive.crossJoin(start).select("lag", "alive", (F.col("alive") / F.col("start")).alias("s"))
+
+
 def welch_power(rows: DataFrame, length: int, step: int, by: str = "type") -> DataFrame:
     """(<by>, k, power): mean over segments of the windowed velocities' spectra, summed over axes and a kind's atoms.
 

@@ -31,6 +31,8 @@ BLOCK_PAIRS, DENSE = 4e6, 0.1
 TOGETHER = 1 << 20
 #: Up to so many cells of a block its atoms are compared without them.
 FEW_CELLS = 128
+#: Pairs that a search for a center's nearest holds before it drops the farther ones.
+HELD_PAIRS = 1 << 21
 #: Partners that a cell of partner_distances() holds on the average in its densest group, at most.
 CELL_PARTNERS = 128
 
@@ -96,6 +98,45 @@ def cell_pairs(centers: np.ndarray, wings: np.ndarray, reach: float, wrap: Seque
             yield i[near], j[near], d[near]
 
 
+def candidate_cells(centers: np.ndarray, wings: np.ndarray, reach: float, wrap: Sequence[float | None], most: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): centers of a cell and all wings of the cells that may be within reach, by sorted cells of about `most` centers.
+
+    For work on all pairs of both; a wing comes once for a cell of centers, by whatever image. See cell_pairs() for wrap.
+    """
+    if not len(centers) or not len(wings):
+        return
+    low = np.minimum(centers.min(0), wings.min(0))
+    span = np.maximum(np.maximum(centers.max(0), wings.max(0)) - low, 1e-9)
+    edge = 1.001 * reach / min(max(int(reach / (most * float(np.prod(span)) / len(centers)) ** (1 / 3)), 1), 3)
+    n, here, there = [], [], []
+    for k, length in enumerate(wrap):
+        n.append(max(int((span[k] if length is None else length) / edge), 1))
+        width = (span[k] * (1 + 1e-12) if length is None else length) / n[k]
+        shift = low[k] if length is None else 0.0
+        here.append(np.clip(((centers[:, k] - shift) / width).astype(np.int64), 0, n[k] - 1))
+        there.append(np.clip(((wings[:, k] - shift) / width).astype(np.int64), 0, n[k] - 1))
+    cells = [(c[0] * n[1] + c[1]) * n[2] + c[2] for c in (here, there)]
+    order = [np.argsort(c, kind="stable") for c in cells]
+    cells = [c[o] for c, o in zip(cells, order, strict=True)]
+    starts = np.flatnonzero(np.diff(cells[0], prepend=-1))
+    # a cell beyond the reach is skipped; rounding of places may be off by a little
+    steps = [int(np.ceil(reach * (1 + 1e-9) / ((span[k] * (1 + 1e-12) if length is None else length) / n[k]))) for k, length in enumerate(wrap)]
+    for begin, end in zip(starts, np.append(starts[1:], len(cells[0])), strict=True):
+        cell = int(cells[0][begin])
+        own = (cell // n[2] // n[1], cell // n[2] % n[1], cell % n[2])
+        ways = []
+        for k, length in enumerate(wrap):
+            near = np.arange(own[k] - steps[k], own[k] + steps[k] + 1)
+            ways.append(np.unique(near % n[k]) if length is not None else near[(near >= 0) & (near < n[k])])
+        to = ((ways[0][:, None, None] * n[1] + ways[1][:, None]) * n[2] + ways[2]).ravel()
+        first = np.searchsorted(cells[1], to)
+        _, place = spans(first, np.searchsorted(cells[1], to, "right") - first)
+        if len(place):
+            for part in np.split(np.arange(begin, end), np.arange(0, end - begin, max(TOGETHER // len(place), 1))[1:]):
+                for some in np.split(place, np.arange(0, len(place), TOGETHER)[1:]):
+                    yield order[0][part], order[1][some]
+
+
 def heights(box: Box, tilt: Box) -> list:
     """Separations of opposite faces of a box (lx, ly, lz) with tilts (xy, xz, yz): numbers, or columns if any is one."""
     some = any(isinstance(v, Column) for v in (*box, *tilt))
@@ -123,21 +164,65 @@ class Search:
 
     def near(self, block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(i, j, d, r): rows of the block that are within reach of each other."""
+        sides = [np.flatnonzero(block.column(c).to_numpy()) for c in ("_center", "_wing")]
+        found = list(self.within(self.placed(block), *sides, self.r_max))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3)), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def placed(self, block: pa.Table) -> tuple:
+        """Ids, places, lengths of periodic axes and the matrix of a tilted cell."""
         place = np.stack([block.column(f"_p{k}").to_numpy() for k in range(3)], 1)
         wrap = [block.column(f"_l{k}")[0].as_py() if self.periodic[k] and block.column(f"_n{k}")[0].as_py() == 1 else None for k in range(3)]
         turn = np.array(block.column("_turn")[0].as_py()).reshape(3, 3) if self.tilted else None
-        ids = block.column("atom_id").to_numpy()
-        sides = [np.flatnonzero(block.column(c).to_numpy()) for c in ("_center", "_wing")]
-        found = []
-        for i, j, d in cell_pairs(place[sides[0]], place[sides[1]], self.r_max, wrap, self.explicit, turn):
-            i, j = sides[0][i], sides[1][j]
+        return block.column("atom_id").to_numpy(), place, wrap, turn
+
+    def within(self, placed: tuple, centers: np.ndarray, wings: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Parts of near() for some rows, up to a radius."""
+        ids, place, wrap, turn = placed
+        for i, j, d in cell_pairs(place[centers], place[wings], reach, wrap, self.explicit, turn):
+            i, j = centers[i], wings[j]
             r = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
             other = ids[i] < ids[j] if self.half else (ids[i] != ids[j]) | (r > 0) if self.explicit else ids[i] != ids[j]
-            keep = np.flatnonzero(other & (r >= self.r_min) & (r <= self.r_max))
-            found.append((i[keep], j[keep], d[keep], r[keep]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3)), np.zeros(0)
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            keep = np.flatnonzero(other & (r >= self.r_min) & (r <= reach))
+            yield i[keep], j[keep], d[keep], r[keep]
+
+    def nearest(self, block: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """near() with each center's nearest alone, ties to smaller ids.
+
+        The radius begins where dense wings give some more than `most`, and is doubled for the centers that lack any, so
+        neither time nor memory grows with the pairs within the whole radius.
+        """
+        placed = self.placed(block)
+        ids, place = placed[:2]
+        left, wings = (np.flatnonzero(block.column(c).to_numpy()) for c in ("_center", "_wing"))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3)), np.zeros(0))]
+
+        def kept(parts: list) -> tuple:
+            i, j, d, r = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((ids[j], r, i))
+            order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order]) < most]
+            return i[order], j[order], d[order], r[order]
+
+        room = float(np.prod(np.maximum(np.ptp(place[wings], axis=0), 1e-3 * self.r_max))) if len(wings) else 0.0
+        reach = min(max((3 * (most + 1) * room / (math.pi * max(len(wings), 1))) ** (1 / 3), 1e-3 * self.r_max, self.r_min), self.r_max)
+        while len(left) and len(wings):
+            lacking = []
+            for part in np.array_split(left, -(-len(left) // (1 << 16))):
+                held = [out[0]]
+                for found in self.within(placed, part, wings, reach):
+                    held.append(found)
+                    if sum(len(x[0]) for x in held) > HELD_PAIRS:
+                        held = [kept(held)]
+                near = kept(held)
+                if reach < self.r_max:
+                    full = np.bincount(np.searchsorted(part, near[0]), minlength=len(part)) >= most
+                    lacking.append(part[~full])
+                    near = tuple(x[full[np.searchsorted(part, near[0])]] for x in near)
+                out.append(near)
+            left = np.concatenate(lacking) if lacking else left[:0]
+            reach = min(2 * reach, self.r_max)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 class Blocks:
@@ -145,10 +230,10 @@ class Blocks:
 
     def __init__(
         self, atoms: DataFrame, r_max: float, box: Box, r_min: float = 0.0, origin: Box = (0.0, 0.0, 0.0), periodic: Sequence[bool] = (True, True, True), images: str = "minimum",
-        keys: Sequence[str] = ("frame",), center: Column | None = None, wing: Column | None = None, carry: Sequence[str] = ("type",), half: bool = False, tilt: Box | None = None,
+        keys: Sequence[str] = ("frame",), center: Column | None = None, wing: Column | None = None, carry: Sequence[str] = ("type",), half: bool = False, tilt: Box | None = None, edge: float | None = None,
     ) -> None:
         self.search, self.keys = Search(r_max, r_min, images == "explicit", half, tuple(periodic), tilt is not None), list(keys)
-        edge = block_edge(r_max)
+        edge = edge or block_edge(r_max)
         most = 1.0 if images == "explicit" else 2.0
         used = [F.coalesce(c, F.lit(False)) if c is not None else F.lit(True) for c in (center, wing)]
         rows = atoms.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
@@ -201,7 +286,7 @@ class Blocks:
     def fields(self) -> dict[str, StructField]:
         return {f.name: f for f in self.rows.schema.fields}
 
-    def apply(self, kernel: Callable[[pa.Table], pa.Table], shape: StructType, used: Sequence[str]) -> DataFrame:
+    def apply(self, kernel: Callable[[pa.Table], pa.Table], shape: StructType | str, used: Sequence[str]) -> DataFrame:
         """A kernel over each block; `used` are the columns of atoms that it reads beside the ids."""
         own = [c for c in self.rows.columns if c.startswith("_")]
         rows = self.rows.select(*dict.fromkeys([*self.keys, "atom_id", *used, *own]))
@@ -229,11 +314,7 @@ def pairs(
     shape += [StructField(f"{c}_{s}", fields[c].dataType) for c in carry for s in "ij"] + [StructField(c, DoubleType()) for c in ("dx", "dy", "dz", "r")]
 
     def met(block: pa.Table) -> pa.Table:
-        i, j, d, r = search.near(block)
-        if most is not None:
-            order = np.lexsort((block.column("atom_id").to_numpy()[j], r, i))
-            order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order]) < most]
-            i, j, d, r = i[order], j[order], d[order], r[order]
+        i, j, d, r = search.near(block) if most is None else search.nearest(block, most)
         out = {k: block.column(k).take(i) for k in keys} | {"i": block.column("atom_id").take(i), "j": block.column("atom_id").take(j)}
         out |= {f"{c}_{s}": block.column(c).take(x) for c in carry for s, x in (("i", i), ("j", j))}
         return pa.table(out | {f"d{a}": np.ascontiguousarray(d[:, k]) for k, a in enumerate(AXES)} | {"r": r})

@@ -67,8 +67,8 @@ def rot_corr(spark, sf):
 
 
 def pair_survival(spark, sf):
-    near = pairs(traj(spark, sf), 2.5, (B, B, B), center=F.col("type") == 2, wing=F.col("type") == 3)
-    return dynamics.survival(near, LENGTH, STEP, FRAMES).select("lag", "alive", R("s", 5).alias("s"))
+    found = dynamics.pair_survival(traj(spark, sf), 2.5, (B, B, B), LENGTH, STEP, FRAMES, F.col("type") == 2, F.col("type") == 3)
+    return found.select("lag", "alive", R("s", 5).alias("s"))
 
 
 def welch_power(spark, sf):

@@ -175,13 +175,27 @@ class Search:
         place = np.stack([block.column(f"_p{k}").to_numpy() for k in range(3)], 1)
         wrap = [block.column(f"_l{k}")[0].as_py() if self.periodic[k] and block.column(f"_n{k}")[0].as_py() == 1 else None for k in range(3)]
         turn = np.array(block.column("_turn")[0].as_py()).reshape(3, 3) if self.tilted else None
-        return block.column("atom_id").to_numpy(), place, wrap, turn
+        plain = None
+        if self.tilted:
+            cell = np.array(block.column("_cell")[0].as_py())
+            plain = tuple(np.stack([block.column(f"_{n}{k}").to_numpy() for k in range(3)], 1) for n in "ri") + (cell,)
+        return block.column("atom_id").to_numpy(), place, wrap, turn, plain
 
     def within(self, placed: tuple, centers: np.ndarray, wings: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Parts of near() for some rows, up to a radius."""
-        ids, place, wrap, turn = placed
+        ids, place, wrap, turn, plain = placed
         for i, j, d in cell_pairs(place[centers], place[wings], reach, wrap, self.explicit, turn):
             i, j = centers[i], wings[j]
+            if plain is not None:  # the given places and whole cell vectors, so that shares of the cell leave no rounding
+                (at, moved, (lx, ly, lz, xy, xz, yz)), step = plain, place[j] - place[i]
+                # vectors between the places less their given difference tell the whole numbers of cell vectors
+                scaled = np.linalg.solve(turn.T, d.T).T
+                tall = np.array([lx, ly, lz]) / np.diag(turn)
+                n = -np.rint((scaled - step) / tall) + moved[j] - moved[i]
+                d = at[j] - at[i]
+                d[:, 0] = d[:, 0] - n[:, 2] * xz - n[:, 1] * xy - n[:, 0] * lx
+                d[:, 1] = d[:, 1] - n[:, 2] * yz - n[:, 1] * ly
+                d[:, 2] = d[:, 2] - n[:, 2] * lz
             r = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
             other = ids[i] < ids[j] if self.half else (ids[i] != ids[j]) | (r > 0) if self.explicit else ids[i] != ids[j]
             keep = np.flatnonzero(other & (r >= self.r_min) & (r <= reach))
@@ -249,8 +263,10 @@ class Blocks:
             zero, tall = F.lit(0.0), [lit(v) for v in lengths]
             vectors = [(lx, zero, zero), (xy, ly, zero), (xz, yz, lz)]
             place = [s * h for s, h in zip((sx, sy, sz), tall, strict=True)]
+            rows = rows.withColumns({f"_r{k}": p for k, p in enumerate((F.col(a).cast("double") - lit(low) for a, low in zip(AXES, origin, strict=True)))})
+            rows = rows.withColumn("_cell", F.array(*(lit(v) for v in (*box, *tilt))))
             rows = rows.withColumn("_turn", F.array(*(c / h for row, h in zip(vectors, tall, strict=True) for c in row)))
-        rows = rows.select(*keys, "atom_id", *dict.fromkeys([*carry, *AXES]), used[0].alias("_center"), used[1].alias("_wing"), *(p.alias(f"_p{k}") for k, p in enumerate(place)), *(lit(v).alias(f"_l{k}") for k, v in enumerate(lengths)), *(["_turn"] if tilt is not None else []))
+        rows = rows.select(*keys, "atom_id", *dict.fromkeys([*carry, *AXES]), used[0].alias("_center"), used[1].alias("_wing"), *(p.alias(f"_p{k}") for k, p in enumerate(place)), *(lit(v).alias(f"_l{k}") for k, v in enumerate(lengths)), *(["_turn", "_cell", "_r0", "_r1", "_r2"] if tilt is not None else []), *(F.lit(0.0).alias(f"_i{k}") for k in range(3) if tilt is not None))
         rows = rows.filter(F.col("_center") | F.col("_wing"))
         for k, length in enumerate(lengths):
             at = F.col(f"_p{k}")
@@ -260,6 +276,9 @@ class Blocks:
                 size = F.col(f"_l{k}")
                 size = F.when(size >= most * r_max, size).otherwise(F.raise_error(F.lit(f"a radius of {r_max} is too large for a periodic edge")).cast("double")) if isinstance(length, Column) else size
                 count = F.greatest(F.floor(size / edge), F.lit(1)).cast("int")
+                if tilt is not None:  # cell vectors that the place is moved by
+                    turns = F.floor(at / size)
+                    rows = rows.withColumn(f"_i{k}", (turns + F.when(at - size * turns >= size, 1).otherwise(0)).cast("double"))
                 at = at - size * F.floor(at / size)
                 at = F.when(at >= size, 0.0).otherwise(at)
             else:
@@ -278,7 +297,7 @@ class Blocks:
             to = F.col("_own") + F.col(f"_away{k}")
             if periodic[k]:
                 turn = F.floor(to / F.col(f"_n{k}"))
-                rows = rows.withColumns({f"_b{k}": F.pmod(to, F.col(f"_n{k}")), f"_p{k}": F.col(f"_p{k}") - turn * F.col(f"_l{k}")})
+                rows = rows.withColumns({f"_b{k}": F.pmod(to, F.col(f"_n{k}")), f"_p{k}": F.col(f"_p{k}") - turn * F.col(f"_l{k}")} | ({f"_i{k}": F.col(f"_i{k}") + turn} if tilt is not None else {}))
             else:
                 rows = rows.withColumn(f"_b{k}", to)
         self.rows = rows.drop("_own").withColumn("_center", F.col("_center") & (F.col("_away0") == 0) & (F.col("_away1") == 0) & (F.col("_away2") == 0)).drop("_away0", "_away1", "_away2")

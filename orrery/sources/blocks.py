@@ -17,6 +17,10 @@ from .lines import blocked
 from .shared import stored
 
 
+#: Lines of a file that are looked at together: only their numbers and spans are, never their text.
+LINES = 1 << 17
+
+
 def filled(rows: DataFrame) -> DataFrame:
     """Rows (path, n, value) without blank lines, numbered anew within their file, with a block of lines each."""
     some = blocked(rows).filter(F.trim("value") != "")
@@ -47,7 +51,7 @@ def headed(rows: DataFrame, span: Column) -> DataFrame:
     what is less, is 1, so a line that opens nothing is passed over.
     """
     rows = rows.withColumn("_span", F.greatest(F.coalesce(span.cast("bigint"), F.lit(1)), F.lit(1)))
-    short = rows.select("path", "block", "n", "_span")
+    short = rows.select("path", F.floor(F.col("n") / LINES).alias("block"), "n", "_span")
     begins = short.groupBy("path", "block").agg(F.min("n").alias("e"))
     first = begins.groupBy("path").agg(F.min("e").alias("e"), F.count("*").alias("k"))
     reached = first.select("path", "e")
@@ -79,12 +83,12 @@ def headed(rows: DataFrame, span: Column) -> DataFrame:
     def marked(block: pa.Table, entry: pa.Table) -> pa.Table:
         block = block.sort_by("n")
         n, span = block.column("n").to_numpy(), block.column("_span").to_numpy()
-        head = np.zeros(len(n), bool)
+        head = []
         at = int(entry.column("e")[0].as_py() - n[0]) if len(entry) and len(n) else len(n)
         while at < len(n):
-            head[at] = True
+            head.append(at)
             at += int(span[at])
-        return block.drop_columns(["_span"]).append_column("head", pa.array(head))
+        return pa.table({"path": block.column("path").take(pa.array(head, pa.int64())), "n": n[head] if head else n[:0]})
 
-    shape = rows.drop("_span").withColumn("head", F.lit(True)).schema
-    return rows.groupBy("path", "block").cogroup(apart(reached)).applyInArrow(marked, shape)
+    heads = short.groupBy("path", "block").cogroup(apart(reached)).applyInArrow(marked, "path string, n long").withColumn("head", F.lit(True))
+    return rows.drop("_span").join(heads, ["path", "n"], "left").select(*(c for c in rows.columns if c != "_span"), F.coalesce("head", F.lit(False)).alias("head"))

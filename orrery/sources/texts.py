@@ -12,6 +12,8 @@ from .dumps import KINDS, embedded_number, tokens
 from .lines import blocked, carried, lines
 
 SECTIONS = "Masses|Atoms|Velocities|Bonds|Angles|Dihedrals|Impropers|Pair Coeffs|Bond Coeffs"
+#: Keys over which the atoms of a step are dealt where they meet their cell.
+STEP_PARTS = 32
 #: Columns of atom lines by style; image flags may follow.
 STYLES = {
     "atomic": ("atom_id", "type", "x", "y", "z"), "charge": ("atom_id", "type", "charge", "x", "y", "z"),
@@ -156,7 +158,10 @@ def by_third_column(rows: DataFrame) -> DataFrame:
 
 def cartesian(atoms: DataFrame, frames: DataFrame, keys: Sequence[str] = ("step",)) -> DataFrame:
     """Scaled coordinates times the cell (columns h11 ... h33, rows are vectors) of each step."""
-    met = atoms.join(frames, list(keys))
+    # a step's atoms are dealt over several keys, each with the step's cell, so that few steps are no few tasks' work
+    spread = F.explode(F.array(*(F.lit(k) for k in range(STEP_PARTS)))).alias("_part")
+    part = F.pmod(F.xxhash64("x", "y", "z"), F.lit(STEP_PARTS)).cast("int")
+    met = atoms.withColumn("_part", part).join(frames.select("*", spread), [*keys, "_part"]).drop("_part")
     return met.withColumns({a: F.col("x") * F.col(f"h1{k}") + F.col("y") * F.col(f"h2{k}") + F.col("z") * F.col(f"h3{k}") for k, a in enumerate("xyz", 1)})
 
 

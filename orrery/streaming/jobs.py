@@ -27,6 +27,21 @@ def stream_voxels(spark: SparkSession, source: str, target: str, checkpoint: str
     return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def window_sums(terms, ends, counts, size: int):
+    """Sums of the `counts` rows before each end, size at most; windows of fewer begin at row 0.
+
+    Rows are summed within blocks of `size`, from either end, and a window is the end of one block and the beginning of the
+    next, so that its digits don't depend on how many samples came before.
+    """
+    import numpy as np
+
+    blocks = np.concatenate([terms, np.zeros((-len(terms) % size, terms.shape[1]))]).reshape(-1, size, terms.shape[1])
+    down = np.cumsum(blocks, 1).reshape(-1, terms.shape[1])
+    up = np.cumsum(blocks[:, ::-1], 1)[:, ::-1].reshape(-1, terms.shape[1])
+    first = ends - counts
+    return down[ends - 1] + np.where((first // size != (ends - 1) // size)[:, None], up[np.minimum(first, len(up) - 1)] if len(up) else 0.0, 0.0)
+
+
 def running_averages(samples: DataFrame, strategy: str, size: int) -> DataFrame:
     """(traj_id, step, m2, mm, variance, debye2) as samples arrive, with state for each trajectory.
 
@@ -46,16 +61,18 @@ def running_averages(samples: DataFrame, strategy: str, size: int) -> DataFrame:
         old = np.frombuffer(held).reshape(-1, 3)
         m = new[["mx", "my", "mz"]].to_numpy(float)
         every = np.concatenate([old, m])
-        sums = np.concatenate([np.zeros((1, 6)), np.cumsum(np.concatenate([every, every * every], 1), 0)])
+        terms = np.concatenate([every, every * every], 1)
         at = len(old) + 1 + np.arange(len(m))  # places behind each new sample
         number = seen + 1 + np.arange(len(m))
         if strategy == "cumulative":
+            sums = np.concatenate([np.zeros((1, 6)), np.cumsum(terms, 0)])
             total, n, shown = np.frombuffer(before) + sums[at], number, np.ones(len(m), bool)
         elif strategy == "binned":
-            total, n, shown = sums[at] - sums[np.maximum(at - size, 0)], np.full(len(m), size), number % size == 0
+            n, shown = np.full(len(m), size), number % size == 0
+            total = window_sums(terms, at, np.minimum(at, size), size)
         else:
             n = np.minimum(number, size)
-            total, shown = sums[at] - sums[at - n], number >= size if strategy == "sliding" else np.ones(len(m), bool)
+            total, shown = window_sums(terms, at, n, size), number >= size if strategy == "sliding" else np.ones(len(m), bool)
         mean = total[shown] / n[shown, None]
         m2, mm = mean[:, 3:].sum(1) / 3, (mean[:, :3] ** 2).sum(1) / 3
         if len(m):

@@ -72,6 +72,13 @@ def contributions(weights: DataFrame, keys: Sequence[str] = ("step", "band")) ->
     return atoms.join(total, list(keys)).select(*keys, "atom", F.try_divide(F.col("weight"), F.col("total")).alias("p"))
 
 
+def dominated(weights: DataFrame, chosen: Column, keys: Sequence[str] = ("band",)) -> DataFrame:
+    """(keys): bands in which the chosen atoms have more than half of the weight, by the sums alone, as a sum of shares is
+    rounded where both halves are equal."""
+    both = weights.groupBy(*keys).agg(F.sum(F.when(chosen, F.col("weight"))).alias("_some"), F.sum("weight").alias("_all"))
+    return both.filter(2 * F.col("_some") > F.col("_all")).select(*keys)
+
+
 def participation(shares: DataFrame, keys: Sequence[str] = ("step", "band")) -> DataFrame:
     """(keys, participation): 1 / sum p^2."""
     return shares.groupBy(*keys).agg((1 / F.sum(F.col("p") * F.col("p"))).alias("participation"))

@@ -320,7 +320,7 @@ def box_edges(spark, sf):
 def band_region_sets(spark, sf):
     """Bands that the first half of the atoms dominates and that are occupied, by set operations."""
     b = bands(spark, sf)
-    first = bd.contributions(b).groupBy("band").agg(F.sum(F.when(F.col("atom") < 32, F.col("p"))).alias("p")).filter("p > 0.5").select("band")
+    first = bd.dominated(b, F.col("atom") < 32).select("band")
     odd = b.filter("band % 3 <> 0").select("band").distinct()
     return first.intersect(odd).withColumn("kind", F.lit("both")).unionByName(first.subtract(odd).withColumn("kind", F.lit("first"))).groupBy("kind").agg(F.count("*").alias("n"), F.sum("band").alias("bands"))
 
@@ -437,7 +437,7 @@ def stream_dump_voxels(spark, sf):
     for some in ("frame < 3", "frame = 3", "frame > 3"):
         part = own.filter(some)
         heads = part.select("frame").distinct().select("frame", F.col("frame").cast("bigint").alias("timestep"), *edges)
-        dumps.frame_text(part, heads, columns).select("value").write.mode("append").text(source)
+        dumps.dump_parts(part, heads, columns).select("value").write.mode("append").text(source)  # a frame is no single row
         jobs.stream_dumps(spark, source, out, mark, process, columns).awaitTermination()
     return spark.read.parquet(out).select(F.col("timestep").cast("int").alias("frame"), "ix", "iy", "iz", "n", R("density", ROUNDED["density"]).alias("density"), "voxel_type")
 

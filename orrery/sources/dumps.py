@@ -34,7 +34,7 @@ def number(words: Column, k: int | Column) -> Column:
 
 #: Fields of a frame's header as a dump has them.
 HEAD = {"at": "long", "timestep": "long", "n_atoms": "long", "bounds": "string", "b0": "string", "b1": "string", "b2": "string", "columns": "string"}
-PIECE = {"path": "string", "piece": "long", "until": "long", "lines": "long", "head": "boolean"} | HEAD
+PIECE = {"path": "string", "range": "long", "piece": "long", "until": "long", "lines": "long", "head": "boolean"} | HEAD
 #: What begins a line of a header, and how far behind it a header's end is looked for at once.
 ITEM, HEADER_BYTES = b"ITEM: ", 1 << 12
 
@@ -126,9 +126,10 @@ def pieces_of(batches: Iterator[pa.RecordBatch], step: int = 8 << 20) -> Iterato
             now["lines"] += filled_lines(data[rest:]) if rest < len(data) else 0
             at += len(data)
         found.append(now | {"until": max(last, now["piece"])})
-        keep = [{"path": row["path"]} | x for x in found if x["head"] or x["lines"]]
+        keep = [{"path": row["path"], "range": row["begin"]} | x for x in found if x["head"] or x["lines"]]
         kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
-        yield pa.RecordBatch.from_pydict({c: pa.array([x.get(c) for x in keep], kinds[t]) for c, t in PIECE.items()})
+        for k in range(0, len(keep), 1 << 13):
+            yield pa.RecordBatch.from_pydict({c: pa.array([x.get(c) for x in keep[k : k + (1 << 13)]], kinds[t]) for c, t in PIECE.items()})
 
 
 def dump_pieces(spark: SparkSession, path: str | Sequence[str] | DataFrame, size: int = RANGE) -> DataFrame:
@@ -140,8 +141,15 @@ def dump_pieces(spark: SparkSession, path: str | Sequence[str] | DataFrame, size
     """
     listed = path if isinstance(path, DataFrame) else files(spark, path)
     rows = ranged(listed, size).mapInArrow(pieces_of, ", ".join(f"{c} {t}" for c, t in PIECE.items()))
-    down = Window.partitionBy("path").orderBy("piece", "until")  # one row for each header and range
-    rows = rows.withColumn("frame_at", F.last(F.when(F.col("head"), F.struct(*HEAD)), True).over(down)).withColumn("number", F.sum(F.col("head").cast("int")).over(down))
+    # within a range first, then over the ranges, so that a file of many small frames is no single task's window
+    head = F.when(F.col("head"), F.struct(*HEAD))
+    rows = stored(rows)
+    down = Window.partitionBy("path", "range").orderBy("piece", "until")
+    over = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    ends = rows.groupBy("path", "range").agg(F.max_by(head, F.when(F.col("head"), F.struct("piece", "until"))).alias("_end"), F.sum(F.col("head").cast("int")).alias("_heads"))
+    ends = ends.select("path", "range", F.last("_end", True).over(over).alias("_above"), F.coalesce(F.sum("_heads").over(over), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_here", F.last(head, True).over(down)).withColumn("_number", F.sum(F.col("head").cast("int")).over(down)).join(ends, ["path", "range"])
+    rows = rows.withColumn("frame_at", F.coalesce("_here", "_above")).withColumn("number", F.col("_number") + F.col("_before"))
     frame = Window.partitionBy("path", "number")
     rows = rows.filter("frame_at.timestep is not null").select(
         "path", "piece", "until", "lines", (F.sum("lines").over(frame.orderBy("piece", "until")) - F.col("lines")).alias("before"), F.sum("lines").over(frame).alias("found"), *(F.col(f"frame_at.{c}").alias(c) for c in HEAD),
@@ -432,9 +440,10 @@ def read_listed(spark: SparkSession, listing: str, columns: Sequence[str] = ("at
     paths = [r["path"] for r in listed.orderBy("n").collect()]  # a list of files is as long as the driver's own listing
     frames, atoms = read_dump(spark, paths, columns)
     bare = lambda p: re.sub(r"^[a-zA-Z]+:/*", "/", p)
-    place = F.create_map(*(F.lit(x) for k, p in enumerate(paths) for x in (bare(p), k)))
-    at = F.element_at(place, F.regexp_replace("path", r"^[a-zA-Z]+:/*", "/"))
-    return frames.withColumn("frame", at), atoms.withColumn("frame", at)
+    # a table, as a plan with a literal for each file takes longer to make than to run
+    place = spark.createDataFrame([(bare(p), k) for k, p in enumerate(paths)], "_path string, frame int")
+    at = F.regexp_replace("path", r"^[a-zA-Z]+:/*", "/")
+    return tuple(t.withColumn("_path", at).join(place, "_path").drop("_path") for t in (frames, atoms))
 
 
 def framewise(atoms: DataFrame, kernel: Callable, schema: str, keys: Sequence[str] = ("frame",)) -> DataFrame:

@@ -78,21 +78,26 @@ def cell_pairs(centers: np.ndarray, wings: np.ndarray, reach: float, wrap: Seque
     cell = (there[0] * n[1] + there[1]) * n[2] + there[2]
     order = np.argsort(cell, kind="stable")
     cell = cell[order]
-    for step in product(*steps):
-        to = [h + o for h, o in zip(here, step, strict=True)]
+    ways = np.array(list(product(*steps)))
+    for some in np.split(np.arange(len(centers)), np.arange(0, len(centers), max(TOGETHER // len(ways), 1))[1:]):
+        # all cells around each center at once; a small block takes a few calls then instead of some for each cell
+        to = [h[some] + ways[:, k, None] for k, h in enumerate(here)]
         image = [np.floor_divide(t, m) if w is not None else None for t, m, w in zip(to, n, wrap, strict=True)]
         to = [t - i * m if i is not None else t for t, i, m in zip(to, image, n, strict=True)]
-        target = (to[0] * n[1] + to[1]) * n[2] + to[2]
+        target = ((to[0] * n[1] + to[1]) * n[2] + to[2]).ravel()
+        image = [i.ravel() if i is not None else None for i in image]
         first = np.searchsorted(cell, target)
         count = np.searchsorted(cell, target, "right") - first
-        edges = np.flatnonzero(np.diff(np.cumsum(count) // TOGETHER)) + 1
-        for part in np.split(np.arange(len(centers)), edges):
+        full = np.flatnonzero(count)
+        edges = np.flatnonzero(np.diff(np.cumsum(count[full]) // TOGETHER)) + 1
+        for part in np.split(full, edges):
             which, place = spans(first[part], count[part])
-            i, j = part[which], order[place]
+            asked, j = part[which], order[place]
+            i = some[asked % len(some)]
             d = wings[j] - centers[i]
             for k, length in enumerate(wrap):
                 if length is not None:
-                    d[:, k] += image[k][i] * length if explicit else -length * np.rint(d[:, k] / length)
+                    d[:, k] += image[k][asked] * length if explicit else -length * np.rint(d[:, k] / length)
             d = d if turn is None else d @ turn
             near = np.flatnonzero(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2] <= reach * reach * (1 + 1e-9))
             yield i[near], j[near], d[near]
@@ -244,10 +249,12 @@ class Blocks:
 
     def __init__(
         self, atoms: DataFrame, r_max: float, box: Box, r_min: float = 0.0, origin: Box = (0.0, 0.0, 0.0), periodic: Sequence[bool] = (True, True, True), images: str = "minimum",
-        keys: Sequence[str] = ("frame",), center: Column | None = None, wing: Column | None = None, carry: Sequence[str] = ("type",), half: bool = False, tilt: Box | None = None, edge: float | None = None,
+        keys: Sequence[str] = ("frame",), center: Column | None = None, wing: Column | None = None, carry: Sequence[str] = ("type",), half: bool = False, tilt: Box | None = None, edge: float | None = None, halo: float | None = None,
     ) -> None:
+        # halo: how far beyond its faces a block knows the atoms; more than r_max where neighbours of neighbours count
+        halo = max(halo or r_max, r_max)
         self.search, self.keys = Search(r_max, r_min, images == "explicit", half, tuple(periodic), tilt is not None), list(keys)
-        edge = edge or block_edge(r_max)
+        edge = max(edge or block_edge(r_max), 2 * halo)
         most = 1.0 if images == "explicit" else 2.0
         used = [F.coalesce(c, F.lit(False)) if c is not None else F.lit(True) for c in (center, wing)]
         rows = atoms.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
@@ -292,7 +299,7 @@ class Blocks:
             own = F.least(own, F.col(f"_n{k}") - 1) if periodic[k] else own
             inside = F.col(f"_p{k}") - own * width
             several = F.col(f"_n{k}") > 1
-            sides = F.array(F.lit(0), F.when(several & (inside <= r_max), -1), F.when(several & (width - inside <= r_max), 1))
+            sides = F.array(F.lit(0), F.when(several & (inside <= halo), -1), F.when(several & (width - inside <= halo), 1))
             rows = rows.withColumn("_own", own).withColumn(f"_away{k}", F.explode(F.filter(sides, lambda x: x.isNotNull())))
             to = F.col("_own") + F.col(f"_away{k}")
             if periodic[k]:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..functions.geometry import AXES, dot, lattice_image, lattice_parameters, triclinic_image
 from ..sources.shared import stored
-from .neighbors import Box, nearest, pairs, partner_distances
+from .neighbors import HELD_PAIRS, Blocks, Box, nearest, pairs, partner_distances
 from .quantiles import quantiles
 from .ranks import ranked
 
@@ -216,27 +220,84 @@ def repair_edges(
     repaired structure and weren't in the periodic one; moved_twice: atoms moved up that would be moved down again, and
     aren't; low and high: what is left between the atoms and the box's faces along the axis. A frame is ok if it has
     neither new free atoms nor such that would be moved twice, and both ends are open. Frames without moves have a row too.
+
+    An atom's fate follows from those within three cutoffs of it, and all neighbours that moves by a box length can give
+    lie within the cutoff in the periodic box. So one search in blocks that know the atoms around them tells everything.
+    Atoms without a place, a frame or an id have no neighbours and are none. Both tables are made when they are asked for.
     """
     k = AXES.index(axis)
-    open_ = [j != k for j in range(3)]
-    size = float(box[k])
-    free = lambda a, periodic: free_atoms(a, cutoff, box, periodic)
-    lost = free(atoms, (True, True, True)) if spare_free else atoms.select("frame", "atom_id").limit(0)
-    mark = lambda a, ids, name: a.join(ids.withColumn(name, F.lit(True)), ["frame", "atom_id"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    near_low = F.lit(True) if surface is None else F.col(axis) <= surface
-    near_high = F.lit(True) if surface is None else F.col(axis) >= size - surface
-    first = mark(mark(atoms, lost, "_lost"), free(atoms, open_), "_free")
-    up = F.col("_free") & ~F.col("_lost") & (F.col(axis) <= size / 2) & near_low
-    out = stored(first.withColumn("_up", up).withColumn(axis, F.col(axis) + F.when(F.col("_up"), size).otherwise(0.0)).drop("_free"))
-    again = mark(out, free(out, open_), "_free").withColumn("_high", F.col("_free") & ~F.col("_lost") & (F.col(axis) > size / 2) & near_high)
-    again = again.withColumn("_down", F.col("_high") & ~F.col("_up")).withColumn("_twice", F.col("_high") & F.col("_up"))
-    out = stored(again.withColumn(axis, F.col(axis) - F.when(F.col("_down"), size).otherwise(0.0)).drop("_free", "_high"))
-    done = mark(out, free(out, open_), "_free").withColumn("_new", F.col("_free") & ~F.col("_lost"))
-    marks = ("_up", "_down", "_new", "_twice")
-    ends = [F.min(axis), F.lit(size) - F.max(axis)]
-    counts = done.groupBy("frame").agg(*(F.count_if(c).alias(n) for c, n in zip(marks, ("moved_up", "moved_down", "new_free", "moved_twice"), strict=True)), *(F.lit(float(pad)).alias(n) if refitted else e.alias(n) for n, e in zip(("low", "high"), ends, strict=True)))
+    size, half = float(box[k]), float(box[k]) / 2
+    low, high = (float("inf"), -float("inf")) if surface is None else (float(surface), size - surface)
+    thin = not spare_free and 2 * cutoff > size  # several images may be near: all that are near along the other axes are looked at
+    named = atoms.withColumn("_at", F.col(axis))
+    there = F.coalesce(reduce(lambda a, b: a & b, (F.abs(a) < float("inf") for a in AXES)) & F.col("frame").isNotNull() & F.col("atom_id").isNotNull(), F.lit(False))
+    placed, rest = named.filter(there), [c for c in atoms.columns if c not in ("frame", "atom_id")]
+    reach = cutoff * (1 + 1e-9)
+    blocks = Blocks(placed.withColumn(axis, F.lit(0.0)) if thin else placed, cutoff, box, periodic=[not (thin and j == k) for j in range(3)], carry=("_at", *rest), half=True, halo=3 * reach)
+    search, fields = blocks.search, blocks.fields()
+
+    def marks(block: pa.Table) -> tuple[np.ndarray, ...]:
+        """(z, up, down, new, twice) of the block's own atoms; z is where they end along the axis."""
+        own, z = block.column("_center").to_numpy(), block.column("_at").to_numpy().astype(float)
+        place, every = search.placed(block), np.arange(len(z))
+        held, n = [], 0
+        for part in search.within(place, every, every, reach):
+            held.append(part)
+            n += len(part[0])
+            if n > HELD_PAIRS:
+                held = None
+                break
+
+        def alone(z: np.ndarray | None) -> np.ndarray:
+            """Atoms without a neighbour, in the periodic box or as they lie along the axis."""
+            met = np.zeros(len(every), bool)
+            for i, j, d, r in held if held is not None else search.within(place, every, every, reach):
+                if z is not None:
+                    d = d.copy()
+                    d[:, k] = z[j] - z[i]
+                    r = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+                near = r <= cutoff
+                met[i[near]] = met[j[near]] = True
+            return ~met
+
+        stay = ~alone(None) if spare_free else np.ones(len(z), bool)
+        up = alone(z) & stay & (z <= half) & (z <= low)
+        z = z + np.where(up, size, 0.0)
+        again = alone(z) & stay & (z > half) & (z >= high)
+        down, twice = again & ~up, again & up
+        z = z - np.where(down, size, 0.0)
+        return tuple(x[own] for x in (z, up, down, alone(z) & stay, twice))
+
+    numbers = ("moved_up", "moved_down", "new_free", "moved_twice")
+
+    def counted(block: pa.Table) -> pa.Table:
+        z, *found = marks(block)
+        some = range(min(len(z), 1))  # a block may hold nothing but atoms of others
+        told = {n: pa.array([int(x.sum()) for _ in some], pa.int64()) for n, x in zip(numbers, found, strict=True)}
+        told |= {n: pa.array([f(z) for _ in some], pa.float64()) for n, f in (("_low", np.min), ("_high", np.max))}
+        return pa.table({"frame": block.column("frame").slice(0, len(some))} | told)
+
+    def moved(block: pa.Table) -> pa.Table:
+        _, up, down, *_ = marks(block)
+        own = block.filter(block.column("_center"))
+        return own.select(["frame", "atom_id", *rest, "_at"]).append_column("_up", pa.array(up)).append_column("_down", pa.array(down))
+
+    # those without neighbours
+    stay, at = F.lit(not spare_free), F.col("_at")
+    lone = named.filter(~there).withColumn("_up", F.coalesce(stay & (at <= half) & (at <= low), F.lit(False)))
+    raised = at + F.when(F.col("_up"), size).otherwise(0.0)
+    lone = lone.withColumn("_again", F.coalesce(stay & (raised > half) & (raised >= high), F.lit(False))).withColumn("_down", F.col("_again") & ~F.col("_up"))
+    final = at + F.when(F.col("_up"), size).otherwise(0.0) - F.when(F.col("_down"), size).otherwise(0.0)
+    each = [c.cast("long").alias(n) for n, c in zip(numbers, (F.col("_up"), F.col("_down"), stay, F.col("_again") & F.col("_up")), strict=True)]
+
+    counts = blocks.apply(counted, StructType([fields["frame"], *(StructField(n, LongType()) for n in numbers), *(StructField(n, DoubleType()) for n in ("_low", "_high"))]), ())
+    counts = counts.unionByName(lone.select("frame", *each, final.alias("_low"), final.alias("_high")))
+    ends = [F.lit(float(pad))] * 2 if refitted else [F.min("_low"), F.lit(size) - F.max("_high")]
+    counts = counts.groupBy("frame").agg(*(F.sum(n).alias(n) for n in numbers), *(e.alias(n) for n, e in zip(("low", "high"), ends, strict=True)))
     report = counts.withColumn("ok", (F.col("new_free") == 0) & (F.col("moved_twice") == 0) & (F.col("low") > 0) & (F.col("high") > 0))
-    whole = out.drop("_lost", *(c for c in marks if c in out.columns))
+    kept = ["frame", "atom_id", *rest, "_at"]
+    whole = blocks.apply(moved, StructType([*(fields[c] for c in kept), *(StructField(n, BooleanType()) for n in ("_up", "_down"))]), rest)
+    whole = whole.unionByName(lone.select(*kept, "_up", "_down")).withColumn(axis, final).drop("_at", "_up", "_down")
     return (refit(whole, pad) if refitted else whole.withColumns({f"l{a}": F.lit(float(b)) for a, b in zip(AXES, box, strict=True)})), report
 
 

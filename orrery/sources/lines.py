@@ -8,18 +8,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def unnumbered(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
+    """(path, block, at, value): lines in the order of `at` within their split of a file, which begins at block; one pass."""
+    raw = spark.read.options(**options).text(path, recursiveFileLookup=True)
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", r"\r$", "").alias("value")).withColumn("at", F.monotonically_increasing_id())
+
+
 def lines(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
     """(path, block, n, value): lines numbered from 0 in their file. block is where the line's split of the file begins.
 
     Lines are numbered within their split, and the splits' totals are summed up on their own, so a file of any size is
     read by many tasks.
     """
-    raw = spark.read.options(**options).text(path, recursiveFileLookup=True)
-    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value").withColumn("_id", F.monotonically_increasing_id())
-    parts = raw.groupBy("path", "block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    raw = unnumbered(spark, path, **options)
+    parts = raw.groupBy("path", "block").agg(F.count("*").alias("_n"), F.min("at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = parts.select("path", "block", (before - F.col("_first")).alias("_shift"))
-    return raw.join(starts, ["path", "block"]).select("path", "block", (F.col("_id") + F.col("_shift")).alias("n"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    return raw.join(starts, ["path", "block"]).select("path", "block", (F.col("at") + F.col("_shift")).alias("n"), "value")
 
 
 def blocked(rows: DataFrame, size: int = 1 << 16) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .blocks import filled, headed
 from .dumps import KINDS, embedded_number, tokens
-from .lines import blocked, carried, lines
+from .lines import blocked, carried, lines, unnumbered
+from .shared import stored
 
 SECTIONS = "Masses|Atoms|Velocities|Bonds|Angles|Dihedrals|Impropers|Pair Coeffs|Bond Coeffs"
 #: Keys over which the atoms of a step are dealt where they meet their cell.
@@ -25,12 +26,13 @@ def structure(spark: SparkSession, path: str | Sequence[str], style: str | None
     """Parts of structure files, where a word that is no number gives null: box (path, xlo ... zhi, tilts), masses (path, type, mass, element), atoms, velocities.
 
     A line belongs to the last section named above it. The style is the one given, else the one that the section's
-    comment names, else atomic. A general cell is told by avec, bvec, cvec and an origin.
+    comment names, else atomic. A general cell is told by avec, bvec, cvec and an origin. The files are read when this is
+    called, and their lines written once with their sections, so that many files aren't opened again for every part.
     """
-    rows = lines(spark, path)
+    rows = unnumbered(spark, path)
     name = F.regexp_extract("value", rf"^\s*({SECTIONS})\b", 1)
     rows = rows.withColumn("head", F.when(name != "", name))
-    rows = carried(rows, F.col("head"), "section").withColumn("w", tokens(F.regexp_replace("value", "#.*", "")))
+    rows = stored(carried(rows, F.col("head"), "section", order="at").select("path", "value", "head", "section")).withColumn("w", tokens(F.regexp_replace("value", "#.*", "")))
     body = rows.filter(F.col("head").isNull() & (F.trim("value") != ""))
     numbers = lambda key, k: F.max(F.when(F.col("value").rlike(rf"\b{key}\b"), F.element_at("w", k).try_cast("double")))
     top = rows.filter("section is null and head is null")

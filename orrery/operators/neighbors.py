@@ -275,6 +275,8 @@ class Blocks:
             rows = rows.withColumn("_turn", F.array(*(c / h for row, h in zip(vectors, tall, strict=True) for c in row)))
         rows = rows.select(*keys, "atom_id", *dict.fromkeys([*carry, *AXES]), used[0].alias("_center"), used[1].alias("_wing"), *(p.alias(f"_p{k}") for k, p in enumerate(place)), *(lit(v).alias(f"_l{k}") for k, v in enumerate(lengths)), *(["_turn", "_cell", "_r0", "_r1", "_r2"] if tilt is not None else []), *(F.lit(0.0).alias(f"_i{k}") for k in range(3) if tilt is not None))
         rows = rows.filter(F.col("_center") | F.col("_wing"))
+        # columns that are the same for all atoms are told to the tasks instead of dealt with each
+        self.same, self.cut = {}, []
         for k, length in enumerate(lengths):
             at = F.col(f"_p{k}")
             if periodic[k]:
@@ -290,10 +292,14 @@ class Blocks:
                 at = F.when(at >= size, 0.0).otherwise(at)
             else:
                 size, count = F.lit(None).cast("double"), F.lit(1 << 30)
+                self.same |= {f"_l{k}": pa.scalar(None, pa.float64()), f"_n{k}": pa.scalar(1 << 30, pa.int32())}
+            if periodic[k] and not isinstance(length, Column):
+                self.same |= {f"_l{k}": pa.scalar(float(length), pa.float64()), f"_n{k}": pa.scalar(max(math.floor(length / edge), 1), pa.int32())}
             rows = rows.withColumns({f"_p{k}": at, f"_l{k}": size, f"_n{k}": count})
             if periodic[k] and not isinstance(length, Column) and length < 2 * edge:
                 rows = rows.withColumns({f"_b{k}": F.lit(0), f"_away{k}": F.lit(0)})
                 continue
+            self.cut.append(f"_b{k}")
             width = F.col(f"_l{k}") / F.col(f"_n{k}") if periodic[k] else F.lit(edge)
             own = F.floor(F.col(f"_p{k}") / width).cast("int")
             own = F.least(own, F.col(f"_n{k}") - 1) if periodic[k] else own
@@ -307,6 +313,7 @@ class Blocks:
                 rows = rows.withColumns({f"_b{k}": F.pmod(to, F.col(f"_n{k}")), f"_p{k}": F.col(f"_p{k}") - turn * F.col(f"_l{k}")} | ({f"_i{k}": F.col(f"_i{k}") + turn} if tilt is not None else {}))
             else:
                 rows = rows.withColumn(f"_b{k}", to)
+        self.same |= {name: pa.scalar(True) for name, given in (("_center", self.cut or center is not None), ("_wing", wing is not None)) if not given}
         self.rows = rows.drop("_own").withColumn("_center", F.col("_center") & (F.col("_away0") == 0) & (F.col("_away1") == 0) & (F.col("_away2") == 0)).drop("_away0", "_away1", "_away2")
 
     def fields(self) -> dict[str, StructField]:
@@ -314,9 +321,14 @@ class Blocks:
 
     def apply(self, kernel: Callable[[pa.Table], pa.Table], shape: StructType | str, used: Sequence[str]) -> DataFrame:
         """A kernel over each block; `used` are the columns of atoms that it reads beside the ids."""
-        own = [c for c in self.rows.columns if c.startswith("_")]
+        same, by = self.same, [*self.keys, *self.cut] or ["_b0"]
+        own = [c for c in self.rows.columns if c.startswith("_") and c not in same and (c in by or c not in ("_b0", "_b1", "_b2"))]
         rows = self.rows.select(*dict.fromkeys([*self.keys, "atom_id", *used, *own]))
-        return rows.groupBy(*self.keys, "_b0", "_b1", "_b2").applyInArrow(kernel, shape)
+
+        def whole(block: pa.Table) -> pa.Table:
+            return kernel(pa.Table.from_arrays([*block.columns, *(pa.repeat(v, block.num_rows) for v in same.values())], [*block.column_names, *same]))
+
+        return rows.groupBy(*by).applyInArrow(whole, shape)
 
 
 def pairs(

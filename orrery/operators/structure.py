@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import AtomicType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..functions.geometry import AXES, dot, lattice_image, lattice_parameters, triclinic_image
 from ..sources.shared import stored
@@ -268,6 +268,7 @@ def repair_edges(
         z = z - np.where(down, size, 0.0)
         return tuple(x[own] for x in (z, up, down, alone(z) & stay, twice))
 
+    kept = ["frame", "atom_id", *(c for c in rest if c != axis), "_at"]
     numbers = ("moved_up", "moved_down", "new_free", "moved_twice")
 
     def counted(block: pa.Table) -> pa.Table:
@@ -280,7 +281,7 @@ def repair_edges(
     def moved(block: pa.Table) -> pa.Table:
         _, up, down, *_ = marks(block)
         own = block.filter(block.column("_center"))
-        return own.select(["frame", "atom_id", *rest, "_at"]).append_column("_up", pa.array(up)).append_column("_down", pa.array(down))
+        return own.select(kept).append_column("_up", pa.array(up)).append_column("_down", pa.array(down))
 
     # those without neighbours
     stay, at = F.lit(not spare_free), F.col("_at")
@@ -295,9 +296,10 @@ def repair_edges(
     ends = [F.lit(float(pad))] * 2 if refitted else [F.min("_low"), F.lit(size) - F.max("_high")]
     counts = counts.groupBy("frame").agg(*(F.sum(n).alias(n) for n in numbers), *(e.alias(n) for n, e in zip(("low", "high"), ends, strict=True)))
     report = counts.withColumn("ok", (F.col("new_free") == 0) & (F.col("moved_twice") == 0) & (F.col("low") > 0) & (F.col("high") > 0))
-    kept = ["frame", "atom_id", *rest, "_at"]
-    whole = blocks.apply(moved, StructType([*(fields[c] for c in kept), *(StructField(n, BooleanType()) for n in ("_up", "_down"))]), rest)
-    whole = whole.unionByName(lone.select(*kept, "_up", "_down")).withColumn(axis, final).drop("_at", "_up", "_down")
+    whole = blocks.apply(moved, StructType([*(fields[c] for c in kept), *(StructField(n, BooleanType()) for n in ("_up", "_down"))]), kept)
+    whole = whole.unionByName(lone.select(*kept, "_up", "_down")).withColumn(axis, final).select("frame", "atom_id", *rest)
+    if refitted:  # dealt by all columns, so that both readers of refit() need them all and share one shuffle behind one search
+        whole = whole.repartition(*(f.name for f in whole.schema.fields if isinstance(f.dataType, AtomicType)))
     return (refit(whole, pad) if refitted else whole.withColumns({f"l{a}": F.lit(float(b)) for a, b in zip(AXES, box, strict=True)})), report
 
 

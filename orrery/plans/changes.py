@@ -373,9 +373,10 @@ def streamed(spark, sf, strategy, size):
     """The series' samples by a stream with state, in two runs of it."""
     source, out, mark = (scratch(spark) for _ in range(3))
     rows = dipoles(spark, sf)
-    half = rows.agg(F.expr("percentile_approx(step, 0.5)").alias("half"))
-    for part in (F.col("step") <= F.col("half"), F.col("step") > F.col("half")):
-        rows.crossJoin(half).filter(part).drop("half").write.mode("append").parquet(source)
+    # told once: an approximate median that each run told anew, in tasks of any order, would lose samples or give them twice
+    half = F.lit(rows.agg(F.expr("percentile_approx(step, 0.5)")).first()[0])
+    for part in (F.col("step") <= half, F.col("step") > half):
+        rows.filter(part).write.mode("append").parquet(source)
         stream = spark.readStream.schema(jobs.SAMPLE).parquet(source)
         jobs.running_averages(stream, strategy, size).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("traj_id", "step", *(nudged(c, d).alias(c) for c, d in (("m2", 4), ("mm", 4), ("variance", 4), ("debye2", 3))))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .topk import NONE, beside, blocks, dealt, named, numbers, usable, whole
+from .topk import NONE, beside, blocks, dealt, matrix, named, numbers, usable, whole
 
 #: Vectors in a block, and dimensions that are read together.
 BLOCK, STEP = 4096, 8
@@ -127,15 +127,15 @@ def mine(
             for row in batch.to_pylist():
                 block = {c: numbers(row[c]) for c in keep}
                 asking = {c: numbers(row[f"q_{c}"]) for c in (c[2:] for c in row if c.startswith("q_") and c != "q_matrix")}
-                matrix = np.ascontiguousarray(numbers(row["matrix"]).reshape(len(block["key"]), -1).T)
-                queries = numbers(row["q_matrix"]).reshape(len(asking["key"]), -1)
-                low, high = matrix.min(1), matrix.max(1)
+                columns_ = np.ascontiguousarray(matrix(row["matrix"], len(block["key"]), row["dimension"]).T)
+                queries = matrix(row["q_matrix"], len(asking["key"]), row["dimension"])
+                low, high = columns_.min(1), columns_.max(1)
                 laid: dict[type, np.ndarray] = {}
                 found: list[tuple] = []
                 for n, q in enumerate(queries):
                     kind = exact_type(q, low, high)
                     if kind not in laid:
-                        laid[kind] = matrix.astype(kind)
+                        laid[kind] = columns_.astype(kind)
                     found += scan(q, (laid[kind], low, high), block, {c: int(x[n]) for c, x in asking.items()})
                 columns = list(zip(*found, strict=True)) or [[] for _ in fields]
                 yield pa.RecordBatch.from_pydict({c: pa.array(np.asarray(x, np.int64)) for c, x in zip(fields, columns, strict=True)})

@@ -62,7 +62,8 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 def blocks(rows: DataFrame, size: int, prefix: str = "", keep: Sequence[str] = ("key", "vec", "unnamed", "cutoff")) -> DataFrame:
     """Vectors v of one dimension packed together with their numbers, whatever their order; a vector is whole in one block.
 
-    The columns to keep are 64-bit numbers without nulls; they go through Arrow as they are.
+    The columns to keep are 64-bit numbers without nulls; they go through Arrow as they are. Components take as few bytes
+    as the block's greatest needs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +73,9 @@ def blocks(rows: DataFrame, size: int, prefix: str = "", keep: Sequence[str] = (
                 at = np.flatnonzero(lengths == dimension)
                 for k in range(0, len(at), size):
                     piece = batch.take(pa.array(at[k : k + size]))
-                    whole = {"matrix": piece.column("v").flatten(), **{c: piece.column(c) for c in keep}}
-                    packed = {c: pa.array([x.to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for c, x in whole.items()}
+                    packed = {"matrix": narrow(piece.column("v").flatten().to_numpy(zero_copy_only=False))}
+                    packed |= {c: piece.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keep}
+                    packed = {c: pa.array([x.tobytes()], pa.binary()) for c, x in packed.items()}
                     yield pa.RecordBatch.from_pydict({"dimension": pa.array([dimension], pa.int32()), **packed})
 
     packed = rows.select("v", *keep).mapInArrow(run, ", ".join(["dimension int", *(f"{c} binary" for c in ("matrix", *keep))]))
@@ -81,9 +83,12 @@ def blocks(rows: DataFrame, size: int, prefix: str = "", keep: Sequence[str] = (
 
 
 def beside(queries: DataFrame, candidates: DataFrame, parts: int, keep: Sequence[str]) -> DataFrame:
-    """Each block of queries, whose columns begin with q_, beside each block of candidates; every part meets all query blocks."""
+    """Each block of queries, whose columns begin with q_, beside each block of candidates; every part meets all query blocks.
+
+    Neither side is broadcast: the planner takes a packed block for a short row, and would send whole tables by the driver.
+    """
     packed = blocks(queries.repartition(max(1, parts // 4)), QUERY_BLOCK, "q_", keep)
-    return packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(candidates, ["dimension", "part"])
+    return packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).hint("merge").join(candidates.hint("merge"), ["dimension", "part"])
 
 
 def dealt(packed: DataFrame, parts: int) -> DataFrame:
@@ -101,6 +106,17 @@ def numbers(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.int64)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the fewest bytes that hold them all."""
+    ends = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= ends[0] and ends[1] <= np.iinfo(t).max))
+
+
+def matrix(raw: bytes, rows: int, dimension: int) -> np.ndarray:
+    """A block's components, whatever their bytes."""
+    return np.frombuffer(raw, f"i{len(raw) // (rows * dimension)}").astype(np.int64).reshape(rows, dimension)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest scores among all other rows, ties to smaller ids.
 
@@ -120,7 +136,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     def lists(row: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Keys of the queries and of the vectors, and each list's local scores of all pairs of both."""
         asking, keys = numbers(row["q_key"]), numbers(row["key"])
-        q, v = (np.array_split(numbers(m).reshape(len(n), -1), LISTS, axis=1) for m, n in ((row["q_matrix"], asking), (row["matrix"], keys)))
+        q, v = (np.array_split(matrix(m, len(n), row["dimension"]), LISTS, axis=1) for m, n in ((row["q_matrix"], asking), (row["matrix"], keys)))
         return asking, keys, [products(a, b) for a, b in zip(q, v, strict=True)]
 
     def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,3 +103,18 @@ def test_query_equals_sql(spark, sf_dir):
     found = con.execute(hard_negatives.ORACLE)
     got = queries.op13_hard_negatives(spark, sf_dir).select(*(d[0] for d in found.description))
     assert sorted(map(tuple, got.collect())) == sorted(found.fetchall())
+
+
+@pytest.mark.parametrize("name", ["topk", "hard_negatives"])
+def test_blocks_are_not_sent_by_the_driver(spark, name):
+    """Blocks are met by a shuffle, however short the planner takes them for, and hold no more bytes than their numbers need."""
+    r = random.Random(5)
+    vectors = spark.createDataFrame([(k, [r.gauss(0, 1) for _ in range(4)], k % 3) for k in range(400)], "vec_id long, embedding array<double>, label int")
+    asked = F.col("vec_id") % 100 == 0
+    found = topk.search(vectors, asked) if name == "topk" else hard_negatives.mine(vectors, asked, F.col("label"))
+    ran = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [dimension" in ran and "BroadcastHashJoin [dimension" not in ran
+    for low, high, kind in ((-128, 127, "i1"), (-129, 0, "i2"), (0, 1 << 15, "i4"), (-(1 << 31) - 1, 5, "i8")):
+        x = np.array([[low, 0], [high, 1]])
+        held = topk.narrow(x.ravel())
+        assert held.dtype == kind and (topk.matrix(held.tobytes(), 2, 2) == x).all()

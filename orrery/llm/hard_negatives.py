@@ -175,7 +175,7 @@ def mine(
     far = far.select("anchor", "r", "rank", F.col("vec").alias("negative_vec"), F.col("unnamed").alias("negative_unnamed"), F.col("score").alias("negative_score"))
     near = near.select("anchor", "r", F.col("vec").alias("positive_vec"), F.col("unnamed").alias("positive_unnamed"), F.col("score").alias("positive_score"))
     ids = anchors.select(F.col("key").alias("anchor"), F.col("vec").alias("anchor_vec"), F.col("unnamed").alias("anchor_unnamed"))
-    return far.join(near, ["anchor", "r"]).join(ids, "anchor").select(name("anchor"), name("positive"), "rank", name("negative"), "positive_score", "negative_score")
+    return far.join(near.hint("merge"), ["anchor", "r"]).join(ids.hint("merge"), "anchor").select(name("anchor"), name("positive"), "rank", name("negative"), "positive_score", "negative_score")
 
 
 ORACLE = """

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .blocks import headed
 from .lines import carried, lines
-from .ranges import RANGE, files, filled_lines, line_start, opener, ranged, read_at, readable, rows_of
+from .ranges import RANGE, files, filled_lines, line_start, opener, qualified, ranged, read_at, readable, rows_of, sized
 from .shared import stored
 
 KINDS = {"atom_id": "bigint", "type": "int", "element": "string", "charge": "double"} | {f"i{a}": "int" for a in "xyz"}
@@ -148,7 +148,7 @@ def dump_pieces(spark: SparkSession, path: str | Sequence[str] | DataFrame, size
     over = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     ends = rows.groupBy("path", "range").agg(F.max_by(head, F.when(F.col("head"), F.struct("piece", "until"))).alias("_end"), F.sum(F.col("head").cast("int")).alias("_heads"))
     ends = ends.select("path", "range", F.last("_end", True).over(over).alias("_above"), F.coalesce(F.sum("_heads").over(over), F.lit(0)).alias("_before"))
-    rows = rows.withColumn("_here", F.last(head, True).over(down)).withColumn("_number", F.sum(F.col("head").cast("int")).over(down)).join(ends, ["path", "range"])
+    rows = rows.withColumn("_here", F.last(head, True).over(down)).withColumn("_number", F.sum(F.col("head").cast("int")).over(down)).hint("merge").join(ends.hint("merge"), ["path", "range"])
     rows = rows.withColumn("frame_at", F.coalesce("_here", "_above")).withColumn("number", F.col("_number") + F.col("_before"))
     frame = Window.partitionBy("path", "number")
     rows = rows.filter("frame_at.timestep is not null").select(
@@ -258,10 +258,18 @@ def read_dump(spark: SparkSession, path: str | Sequence[str] | DataFrame, column
         frames = text_frames(spark, path)
         frames = frames if where is None else frames.filter(where)
         return frames.drop("header", "lines"), atoms_of(frames, columns)
-    # one row for each frame and range; written once, so that files aren't searched again for every table made of them
-    pieces = stored(boxed(dump_pieces(spark, path, size), "at", "piece", "until", "lines", "before"))
+    pieces = boxed_pieces(spark, path, size)
     pieces = pieces if where is None else pieces.filter(where)
-    return pieces.filter("before = 0").dropDuplicates(["path", "at"]).drop("header", "at", "piece", "until", "lines", "before"), piece_atoms(pieces, columns)
+    return piece_frames(pieces, ["path", "at"]), piece_atoms(pieces, columns)
+
+
+def boxed_pieces(spark: SparkSession, path: str | Sequence[str] | DataFrame, size: int = RANGE) -> DataFrame:
+    """One row for each frame and range; written once, so that files aren't searched again for every table made of them."""
+    return stored(boxed(dump_pieces(spark, path, size), "at", "piece", "until", "lines", "before"))
+
+
+def piece_frames(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return pieces.filter("before = 0").dropDuplicates(list(keys)).drop("header", "at", "piece", "until", "lines", "before")
 
 
 def read_frame_files(spark: SparkSession, path: str, columns: Sequence[str] = ("atom_id", "type", "x", "y", "z", "vx", "vy", "vz", "fx", "fy", "fz")) -> DataFrame:
@@ -436,14 +444,21 @@ def write_frames(text: DataFrame, path: str, keys: Sequence[str] = ("frame",)) -
 
 def read_listed(spark: SparkSession, listing: str, columns: Sequence[str] = ("atom_id", "type", "x", "y", "z")) -> tuple[DataFrame, DataFrame]:
     """(frames, atoms) of the dumps that a list file names, one path a line; frame is the place in the list."""
-    listed = lines(spark, listing).filter(F.trim("value") != "").select(F.trim("value").alias("path"), "n")
-    paths = [r["path"] for r in listed.orderBy("n").collect()]  # a list of files is as long as the driver's own listing
-    frames, atoms = read_dump(spark, paths, columns)
-    bare = lambda p: re.sub(r"^[a-zA-Z]+:/*", "/", p)
-    # a table, as a plan with a literal for each file takes longer to make than to run
-    place = spark.createDataFrame([(bare(p), k) for k, p in enumerate(paths)], "_path string, frame int")
-    at = F.regexp_replace("path", r"^[a-zA-Z]+:/*", "/")
-    return tuple(t.withColumn("_path", at).join(place, "_path").drop("_path") for t in (frames, atoms))
+    from ..operators.ranks import ranked
+
+    listed = lines(spark, listing).filter(F.trim("value") != "").select(qualified(spark, F.trim("value")).alias("path"), "n")
+    place = ranked(listed, ["n", "path"]).select("path", (F.col("place") - 1).cast("int").alias("frame"))
+    each = place.select("path").distinct()
+    odd = [r["path"] for r in each.filter(F.udf(lambda p: not readable([p]), "boolean")("path")).collect()]
+    if not odd:  # the names stay with the tasks, however many they are
+        # places meet the pieces, not the atoms, which the planner takes for as few bytes as the pieces they come from
+        pieces = boxed_pieces(spark, sized(each)).hint("merge").join(place.hint("merge"), "path")
+        return piece_frames(pieces, ["frame", "at"]), piece_atoms(pieces, columns, ("path", "timestep", "frame"))
+    # compressed files and other stores are listed by Spark, which wants their names
+    frames, atoms = read_dump(spark, [r["path"] for r in each.collect()], columns)
+    bare = lambda c: F.regexp_replace(c, r"^[a-zA-Z]+:/*", "/")
+    place = place.select(bare("path").alias("_path"), "frame")
+    return tuple(t.withColumn("_path", bare("path")).join(place, "_path").drop("_path") for t in (frames, atoms))
 
 
 def framewise(atoms: DataFrame, kernel: Callable, schema: str, keys: Sequence[str] = ("frame",)) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes in a range.
@@ -30,21 +30,53 @@ def ranged(listed: DataFrame, size: int = RANGE) -> DataFrame:
     return parts.repartition("path", "begin")
 
 
+def store_of(path: str) -> tuple:
+    """Arrow's file system of a path, and the place in it."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if "/" in scheme or not rest:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
+
+
+def sized(paths: DataFrame) -> DataFrame:
+    """(path, length) of files that are named one by one (column path), looked up by tasks; a missing one is an error."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            told = batch.column("path").to_pylist()
+            lengths = []
+            for path in told:
+                system, place = store_of(path)
+                size = system.get_file_info(place).size
+                if size is None:
+                    raise FileNotFoundError(f"{path} is no file")
+                lengths.append(size)
+            yield pa.RecordBatch.from_pydict({"path": pa.array(told, pa.string()), "length": pa.array(lengths, pa.int64())})
+
+    return paths.select("path").mapInArrow(run, "path string, length long")
+
+
+def qualified(spark: SparkSession, path: Column) -> Column:
+    """Paths with the store that Spark takes for those that name none."""
+    space = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration())
+    root, here = space.getUri().toString().rstrip("/"), space.getWorkingDirectory().toString().rstrip("/")
+    root = root if "//" in root else root + "//"
+    return F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), path).when(path.startswith("/"), F.concat(F.lit(root), path)).otherwise(F.concat(F.lit(here + "/"), path))
+
+
 def opener() -> Callable:
     """A function that opens a path, and keeps the last file open."""
     last: list = [None, None]
 
     def opened(path: str):
         if last[0] != path:
-            from pyarrow import fs
-
-            scheme, _, rest = path.partition(":")
-            if "/" in scheme or not rest:
-                system, place = fs.LocalFileSystem(), path
-            elif scheme == "file":
-                system, place = fs.LocalFileSystem(), "/" + rest.lstrip("/")
-            else:
-                system, place = fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
+            system, place = store_of(path)
             if last[1] is not None:
                 last[1].close()
             last[:] = path, system.open_input_file(place)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -130,6 +130,48 @@ def survival(present: DataFrame, length: int, step: int, frames: int, keys: Sequ
     return alive.crossJoin(start).select("lag", "alive", (F.col("alive") / F.col("start")).alias("s"))
 
 
+def lasting(
+    cells: Iterator[tuple[np.ndarray, np.ndarray]], centers: Sequence[np.ndarray], wings: Sequence[np.ndarray], center_fits: Sequence[np.ndarray], wing_fits: Sequence[np.ndarray], r_max: float,
+    exact: Callable[[int, np.ndarray, np.ndarray], np.ndarray], same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, most: int = 1 << 18,
+) -> np.ndarray:
+    """Numbers of pairs of the cells (i, j) that have been within r_max at every lag up to each.
+
+    Places are (atoms, 3) at each lag. Squared distances are products of short floats; pairs that these leave in doubt are
+    told by exact(lag, i, j). An atom that doesn't fit at a lag has no pair there; same(i, j) tells an atom from itself.
+    """
+    alive = np.zeros(len(centers), np.int64)
+    # -2 a b + a a + b b as one product; those that don't fit lie far off, on opposite sides
+    a_side, b_side, doubt = [], [], 0.0
+    for a, b, fa, fb in zip(centers, wings, center_fits, wing_fits, strict=True):
+        a, b = np.where(fa[:, None], a, 1e6).astype(np.float32), np.where(fb[:, None], b, -1e6).astype(np.float32)
+        aa, bb = (np.einsum("ij,ij->i", x, x)[:, None] for x in (a, b))
+        a_side.append(np.concatenate([-2 * a, aa, np.ones_like(aa)], 1))
+        b_side.append(np.concatenate([b, np.ones_like(bb), bb], 1))
+        doubt = max(doubt, *(float(x[f].max(initial=0.0)) for x, f in ((aa[:, 0], fa), (bb[:, 0], fb))))
+    doubt = 4e-6 * doubt + 1e-6 * r_max * r_max
+    low, high = np.float32(r_max * r_max - doubt), np.float32(r_max * r_max + doubt)
+    for i, every in cells:
+        for at in range(0, len(every), max(most // len(i), 1)):
+            j = every[at : at + max(most // len(i), 1)]
+            held = None
+            for k in range(len(centers)):
+                squares = a_side[k][i] @ b_side[k][j].T
+                held = squares <= high if held is None else held & (squares <= high)
+                if k == 0 and same is not None:
+                    held &= ~same(i, j)
+                x, y = np.nonzero(held & (squares > low))
+                if len(x):
+                    held[x, y] = exact(k, i[x], j[y])
+                n = np.count_nonzero(held)
+                if not n:
+                    break
+                alive[k] += n
+                if k == 0:
+                    some = held.any(0)
+                    held, j = held[:, some], j[some]
+    return alive
+
+
 def pair_survival(atoms: DataFrame, r_max: float, box: Sequence[float], length: int, step: int, frames: int, center: Column, wing: Column) -> DataFrame:
     """survival() of the pairs (center, wing) that are within r_max in a periodic box, which are counted where they are found.
 
@@ -162,6 +204,26 @@ def pair_survival(atoms: DataFrame, r_max: float, box: Sequence[float], length:
         for c in range(2):
             fit[c, told[0], row] = told[4 + c]
         alive = np.zeros(length, np.int64)
+        moved = at - at[0]
+        moved -= np.array(sizes)[None, :, None] * np.rint(moved / np.array(sizes)[None, :, None])
+        far = max((float(np.nanmax(np.abs(moved[:, c]), initial=0.0)) + r_max) * 2 / sizes[c] for c in range(3))
+        # where atoms move so little that a pair can only be near by the image by which it is at the origin, paths are followed
+        # from there, and squared distances are matrix products
+        if far < 1 and all(w is None for w in wrap):
+            followed = place.T[None] + moved
+            followed -= place.mean(0)[None, :, None]
+
+            def exact(k: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                d = [at[k, c, sides[1][j]] - at[k, c, sides[0][i]] for c in range(3)]
+                d = [x - size * np.rint(x / size) for x, size in zip(d, sizes, strict=True)]
+                return np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) <= r_max
+
+            own = [[followed[k][:, side].T for k in range(length)] for side in sides]
+            there = [[f[k, side] for k in range(length)] for f, side in zip(fit, sides, strict=True)]
+            either = np.intersect1d(ids[sides[0]], ids[sides[1]]).size > 0
+            same = (lambda i, j: ids[sides[0][i]][:, None] == ids[sides[1][j]][None, :]) if either else None
+            cells = candidate_cells(place[sides[0]], place[sides[1]], r_max, wrap)
+            return pa.table({"lag": np.arange(length, dtype=np.int32), "alive": lasting(cells, *own, *there, r_max, exact, same)})
         for i, j in candidate_cells(place[sides[0]], place[sides[1]], r_max, wrap):
             i, j = sides[0][i], sides[1][j]
             mine, theirs = at[:, :, i], at[:, :, j]

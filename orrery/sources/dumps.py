@@ -364,18 +364,30 @@ def validated(frames: DataFrame, atoms: DataFrame, keys: Sequence[str] = ("path"
     return frames.select(*keys, "n_atoms").join(counts, list(keys), "left").withColumn("found", F.coalesce("found", F.lit(0))).filter("n_atoms <> found")
 
 
+def frame_head(columns: Sequence[str], style: str) -> Column:
+    """What stands above a frame's atoms in a dump or in an XYZ file with its lattice; _n is their number."""
+    if style == "xyz":
+        return F.concat_ws("\n", F.col("_n").cast("string"), F.concat_ws(" ", *(F.col(c).cast("string") for c in ("a", "b", "c", "alpha", "beta", "gamma"))))
+    back = {v: k for k, v in NAMES.items()}
+    bounds = [F.concat_ws(" ", F.col(f"{a}lo").cast("string"), F.col(f"{a}hi").cast("string")) for a in "xyz"]
+    named = " ".join(back.get(c, c) for c in columns)
+    return F.concat_ws("\n", F.lit("ITEM: TIMESTEP"), F.col("timestep").cast("string"), F.lit("ITEM: NUMBER OF ATOMS"), F.col("_n").cast("string"), F.lit("ITEM: BOX BOUNDS pp pp pp"), *bounds, F.lit(f"ITEM: ATOMS {named}"))
+
+
 def frame_text(atoms: DataFrame, frames: DataFrame, columns: Sequence[str], style: str = "dump", keys: Sequence[str] = ("frame",)) -> DataFrame:
     """(keys, value): each frame as the text of a dump or of an XYZ file with its lattice; atoms in the order of their ids."""
-    back = {v: k for k, v in NAMES.items()}
     line = F.concat_ws(" ", *(F.col(c).cast("string") for c in columns))
     body = atoms.select(*keys, F.col("atom_id").alias("_id"), line.alias("line")).groupBy(*keys).agg(F.count("*").alias("_n"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("_id", "line"))), lambda x: x["line"])).alias("_body"))
-    met = frames.join(body, list(keys))
-    if style == "xyz":
-        head = F.concat_ws("\n", F.col("_n").cast("string"), F.concat_ws(" ", *(F.col(c).cast("string") for c in ("a", "b", "c", "alpha", "beta", "gamma"))))
-        return met.select(*keys, F.concat_ws("\n", head, "_body").alias("value"))
-    bounds = [F.concat_ws(" ", F.col(f"{a}lo").cast("string"), F.col(f"{a}hi").cast("string")) for a in "xyz"]
-    named = " ".join(back.get(c, c) for c in columns)
-    return met.select(*keys, F.concat_ws("\n", F.lit("ITEM: TIMESTEP"), F.col("timestep").cast("string"), F.lit("ITEM: NUMBER OF ATOMS"), F.col("_n").cast("string"), F.lit("ITEM: BOX BOUNDS pp pp pp"), *bounds, F.lit(f"ITEM: ATOMS {named}"), F.col("_body")).alias("value"))
+    return frames.join(body, list(keys)).select(*keys, F.concat_ws("\n", frame_head(columns, style), "_body").alias("value"))
+
+
+def frame_lines(atoms: DataFrame, frames: DataFrame, columns: Sequence[str], style: str = "dump", keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """(value): frame_text() of all frames in their order, a row for each head and atom, so that no frame is one row."""
+    line = F.concat_ws(" ", *(F.col(c).cast("string") for c in columns))
+    counts = atoms.groupBy(*keys).agg(F.count("*").alias("_n"))
+    heads = frames.join(counts, list(keys)).select(*keys, F.lit(0).alias("_below"), F.lit(None).cast(dict(atoms.dtypes)["atom_id"]).alias("_id"), frame_head(columns, style).alias("value"))
+    body = atoms.join(frames.select(*keys), list(keys), "left_semi").select(*keys, F.lit(1).alias("_below"), F.col("atom_id").alias("_id"), line.alias("value"))
+    return heads.unionByName(body).orderBy(*keys, "_below", "_id").select("value")
 
 
 def dump_parts(atoms: DataFrame, frames: DataFrame, columns: Sequence[str], rows: int = 100_000, key: str = "frame") -> DataFrame:
